@@ -1,0 +1,2 @@
+"""Kept for streaming sources. The engine's collections are batches: indexes are built once and never
+change, so nothing here streams yet."""
