@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.runtime import dropped, stored
+from quillsift.llm.runtime import steady, stored
 
 #: A subtree is template if it is on so many pages of the host at least, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.3
@@ -249,6 +249,7 @@ def site_templates(pages: DataFrame) -> DataFrame:
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, host for each page."""
+    steady(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     templates = stored(site_templates(pages), "templates")
     rows = templates.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]

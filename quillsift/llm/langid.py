@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.runtime import in_fold
+from quillsift.llm.runtime import in_fold, steady
 
 FOLDS, HELD_OUT = 4, 2
 BUCKETS, WIDTH, SIZES = 1 << 16, 16, (1, 2, 3, 4)
@@ -165,6 +165,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for each document: a narrow map over the texts with
     the model (a few MB, of fixed size) sent to the tasks."""
     spark = docs.sparkSession
+    steady(spark)
     sent = spark.sparkContext.broadcast(model or train(docs))
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

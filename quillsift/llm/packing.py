@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.runtime import stored
+from quillsift.llm.runtime import steady, stored
 
 CAPACITY, END_ID, RANK_BUCKETS = 1024, 2, 128
 #: How GPT-2's byte-level vocabulary splits a text before merging.
@@ -215,6 +215,7 @@ def plan_from(counts: np.ndarray, capacity: int, stop: int) -> Plan:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
+    steady(docs.sparkSession)
     cuts = stored(pieces(docs, tokenizer, capacity), "pieces")
     full = cuts.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     short = cuts.where(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int"))

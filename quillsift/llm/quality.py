@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import textcore
+from quillsift.llm.runtime import steady
 
 #: Most that may lie inside repeated n-grams of so many words, as a share of word characters.
 COVERAGE_LIMITS = {3: 0.45, 5: 0.20, 7: 0.16, 10: 0.12}
@@ -93,11 +94,13 @@ def measured(df: DataFrame, text: str = "text") -> F.Column:
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row for each document: its counts, shares and the verdict. A narrow map; nothing is shuffled."""
+    steady(docs.sparkSession)
     return docs.select("doc_id", measured(docs).alias("q")).select("doc_id", "q.*")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns they came with."""
+    steady(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:

@@ -47,6 +47,16 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows in a batch that goes to Python: a batch of whole texts stays small beside a worker's libraries.
+BATCH_ROWS = 512
+
+
+def steady(spark: SparkSession) -> None:
+    """Bounds the memory of Python workers: batches of few rows, for texts may be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,7 +94,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             cur.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # stored, so that the rows of a node with very many links are an exchange of their own that may be split
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (
@@ -96,7 +107,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         )
         new = stored(small, "edges")
         after = size(new)
-        dropped(cur)
+        dropped(cur, least)
         cur = new
         if after == before:
             break

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import textcore
-from quillsift.llm.runtime import partitions
+from quillsift.llm.runtime import partitions, steady
 
 CHAIN, SKETCH, FEW = 2, 64, 24
 #: Sizes of the length partitions grow by this factor.
@@ -150,6 +150,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                 last = None if halo else (doc_id, text, fp)
             yield pd.DataFrame(rows, columns=columns)
 
+    steady(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = with_next(docs, ranges).withColumn("doc_id", F.col("doc_id").cast("string"))
     schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, length_partition int"

@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import textcore
-from quillsift.llm.runtime import dropped, partitions, stored
+from quillsift.llm.runtime import dropped, partitions, steady, stored
 
 LEAST, GRAM = 50, 16
 LEFT = LEAST - GRAM
 SPAN = LEFT + LEAST
-GROUP = 2048
+#: Classes of equal first words that one task compares; some 700 bytes each. So many rows are compared at a time.
+GROUP, AT_ONCE = 20_000, 4096
 
 
 def minimisers(grams: np.ndarray) -> np.ndarray:
@@ -159,7 +160,7 @@ def grouped_matches(classes: DataFrame) -> DataFrame:
         held: list[pd.DataFrame] = []
         for b in batches:
             held.append(b)
-            if sum(map(len, held)) >= 2 * GROUP:
+            if sum(map(len, held)) >= AT_ONCE:
                 all_rows = pd.concat(held, ignore_index=True)
                 whole = all_rows.gram.to_numpy() != all_rows.gram.iloc[-1]
                 if whole.any():
@@ -202,16 +203,16 @@ def dealt_matches(classes: DataFrame) -> DataFrame:
 def with_words(picked: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds to classes the word hashes around their first place: left, words."""
     wanted = picked.groupBy("first_doc").agg(F.collect_list(F.struct("gram", "around", "first_p")).alias("wanted"))  # no more than a document has suffixes
+    wanted = wanted.select("first_doc", *[F.col(f"wanted.{c}").alias(c) for c in ("gram", "around", "first_p")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, text, wants in zip(b.first_doc, b.text, b.wanted, strict=True):
+            for doc_id, text, grams, arounds, places in zip(b.first_doc, b.text, b.gram, b.around, b.first_p, strict=True):
                 words = textcore.word_hashes(textcore.raw(text))
-                for w in wants:
-                    p = w["first_p"]
+                for gram, around, p in zip(grams.tolist(), arounds.tolist(), places.tolist(), strict=True):
                     low = max(0, p - LEFT)
-                    rows.append((w["gram"], w["around"], doc_id, p, p - low, words[low : p + LEAST].tobytes()))
+                    rows.append((gram, around, doc_id, p, p - low, words[low : p + LEAST].tobytes()))
             yield pd.DataFrame(rows, columns=["gram", "around", "first_doc", "first_p", "left", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(wanted, "first_doc")
@@ -223,13 +224,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, n_words, is_copy, first_doc_id: the maximal stretches of each document that
     lie in passages repeated elsewhere (is_copy: there is an earlier occurrence; else these are the
     originals). first_doc_id is the smallest id that holds an original of a part of the stretch."""
+    steady(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     all_anchors = stored(anchors(docs), "anchors")
     place = F.xxhash64("doc_id", "p")
     grams = all_anchors.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.min("around").alias("c0"), F.max("around").alias("c1")).where("x <> y")
-    hits = stored(all_anchors.join(grams.select("gram", (F.col("c0") != F.col("c1")).alias("varied")), "gram"), "hits")
-    dropped(all_anchors)
+    # stored first, so that the join's other side may be split where a gram is hot
+    grams = stored(grams.select("gram", (F.col("c0") != F.col("c1")).alias("varied")), "grams")
+    hits = stored(all_anchors.join(grams, "gram"), "hits")
+    dropped(all_anchors, grams)
     classes = stored(
         hits.groupBy("gram", "around", "varied").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc"), "p")).alias("first"), F.min(place).alias("x"), F.max(place).alias("y"))
         .select("gram", "around", "varied", F.col("first.doc").alias("first_doc"), F.col("first.p").alias("first_p"), (F.col("x") != F.col("y")).alias("several")),
@@ -250,20 +254,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spread = spread.where("is_copy or (doc_id = fd and p = fp)").select("doc_id", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"), "is_copy", "first_doc")
     marks = own.unionByName(spread).groupBy("doc_id", "is_copy", "a", "b").agg(F.min("first_doc").alias("first_doc"))
     per = marks.groupBy("doc_id", "is_copy").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first_doc"))).alias("marks"))  # no more than a document has suffixes
+    per = per.select("doc_id", "is_copy", *[F.col(f"marks.{c}").alias(c) for c in ("a", "b", "first_doc")])
 
     def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, copy, marks in zip(b.doc_id, b.is_copy, b.marks, strict=True):
-                at = end = first = None
-                for m in marks:
-                    if end is not None and m["a"] <= end:
-                        end, first = max(end, m["b"]), min(first, m["first_doc"])
-                        continue
-                    if end is not None:
-                        rows.append((doc_id, at, end - at, copy, first))
-                    at, end, first = m["a"], m["b"], m["first_doc"]
-                rows.append((doc_id, at, end - at, copy, first))
+            for doc_id, copy, starts, ends, firsts in zip(b.doc_id, b.is_copy, b.a, b.b, b.first_doc, strict=True):
+                # a stretch begins where no earlier one reaches
+                reach = np.maximum.accumulate(ends)
+                at = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
+                until = np.append(at[1:], len(starts)) - 1
+                for s, e, first in zip(starts[at].tolist(), reach[until].tolist(), np.minimum.reduceat(firsts, at).tolist(), strict=True):
+                    rows.append((doc_id, s, e - s, copy, first))
             yield pd.DataFrame(rows, columns=["doc_id", "start_word", "n_words", "is_copy", "first_doc_id"])
 
     return per.mapInPandas(unite, f"doc_id {kind}, start_word long, n_words long, is_copy boolean, first_doc_id {kind}")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import textcore
-from quillsift.llm.runtime import in_fold
+from quillsift.llm.runtime import in_fold, steady
 
 FOLDS, HELD_OUT = 5, 0
 BUCKETS, FACTORS, TERMS = 1 << 18, 8, 6000
@@ -169,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def toxicity(docs: DataFrame, labels: DataFrame, machine: Machine | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for each document: a narrow map with a model of fixed size."""
+    steady(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine or train(docs, labels))
 
     @F.pandas_udf("double")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.runtime import partitions, stored, table_path
+from quillsift.llm.runtime import partitions, steady, stored, table_path
 
 LEAST_REVISIT = 1000
 MAGIC = b"\x1f\x8b\x08"
@@ -197,6 +197,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes the pages as archives in the shared folder, reads them back from the bytes."""
     spark = pages.sparkSession
+    steady(spark)
     kind = dict(pages.dtypes)["page_id"]
     folder = table_path(spark, "warc")
     manifest = write_archives(with_revisits(pages), folder)
