@@ -12,14 +12,16 @@ of hashes. Blocks of one set end there.
 Inside a block a signature tree is joined with itself: a set's signature is a bitmap of its shingles, a
 node holds the OR of its children's bitmaps and the range of their sizes. Dual traversal drops a pair of
 nodes when sizes are too far apart or when the common bits (plus what bit collisions may hide) are
-fewer than the overlap that any linked pair needs. Surviving pairs are counted exactly. A union-find
-skips pairs that are connected already, so a group of copies costs a number of comparisons about
-linear in its size.
+fewer than the overlap that any linked pair needs. Only sets with a surviving partner in another
+component go on; their texts then meet in the same blocks, the trees are traversed again, and surviving
+pairs are counted exactly. A union-find skips pairs that are connected already, so a group of copies
+costs a number of comparisons about linear in its size.
 
-Passes. 1: blocks of the smallest hash only, which connects most groups. 2: of each component one set
+Passes. 1: blocks of the smallest hashes only, which connects most groups. 2: of each component one set
 in each block. 3: whole blocks that still hold several components, unless pass 2 saw all of them. A
 block of over BLOCK_SETS sets or BLOCK_SHINGLES shingles is cut into chunks, and pass 3 joins each two
-chunks in a task of their own, so no task holds an unbounded group and no link is lost.
+chunks in a task of their own, so no task holds an unbounded group and no link is lost. Small blocks
+with the same sets are looked at once.
 
 Null and empty texts have no shingles and link with nothing. Rows without a doc_id get no component
 and link with nothing. Repeated rows are equal sets. An empty table gives an empty result. Only doc_id
@@ -29,7 +31,7 @@ and text are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import textcore
-from quillsift.llm.runtime import connected_components, dropped, partitions, stored
+from quillsift.llm.runtime import connected_components, dropped, partitions, steady, stored
 
-SHINGLE, KEYS = 5, 24
+SHINGLE, KEYS, HOME_KEYS = 5, 24, 2
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 1 << 21
-LEAF, FANOUT = 8, 8
+LEAF, FANOUT, SMALL_BLOCK = 8, 8, 16
 #: Bits for each shingle of a size class's largest set.
 BITS = 4
 
@@ -79,22 +81,29 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def signatures(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """A bitmap row for each set."""
-    out = np.zeros((len(sets), bits // 8), np.uint8)
-    at = np.concatenate(sets) >> np.uint64(64 - bits.bit_length() + 1)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    np.bitwise_or.at(out, (row, (at >> np.uint64(3)).astype(np.int64)), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-    return out.view(np.uint64)
+def size_class(n: int) -> int:
+    """Powers of two: linked sets are in one class or in adjacent ones."""
+    return n.bit_length()
+
+
+def bits_of(k: int) -> int:
+    return max(64, BITS << k)
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """A set's bitmap, of the length of its size class. The low bits of a hash name its bit, so a bitmap
+    of half the length is the OR of the two halves."""
+    bits = bits_of(size_class(len(s)))
+    out = np.zeros(bits, np.uint8)
+    out[s & np.uint64(bits - 1)] = 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
 
 
 class Tree:
     """Levels of nodes from the sets (level 0) up: OR of bitmaps, least and greatest size, most
     shingles hidden by collisions of bits."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        sig = signatures(sets, bits)
-        size = np.array([len(s) for s in sets])
+    def __init__(self, sig: np.ndarray, size: np.ndarray):
         self.levels = [(sig, size, size, size - np.bitwise_count(sig).sum(axis=1).astype(np.int64))]
         width = LEAF
         while len(self.levels[-1][1]) > 1:
@@ -134,8 +143,9 @@ def expand(a: np.ndarray, b: np.ndarray, width: int, counts: tuple[int, int], sa
     return x[keep], y[keep]
 
 
-def join_trees(s: Tree, t: Tree, forest: Forest, sets: list[np.ndarray], p: np.ndarray, q: np.ndarray, links: list) -> None:
-    """Dual traversal of two trees, or of one with itself; p and q: indexes of their sets."""
+def survivors(s: Tree, t: Tree, roots: Callable[[], np.ndarray], p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Dual traversal of two trees, or of one with itself. Yields pairs of sets (of their indexes p, q)
+    that may be linked and aren't in one component by now."""
     same, top = s is t, max(len(s.levels), len(t.levels)) - 1
     level = lambda tree, k: tree.levels[min(k, len(tree.levels) - 1)]
     a = b = np.zeros(1, np.int64)
@@ -145,33 +155,26 @@ def join_trees(s: Tree, t: Tree, forest: Forest, sets: list[np.ndarray], p: np.n
         if k == 1:
             break
         down = [k - 1 < len(x.levels) - 1 for x in (s, t)]
-        a2, b2 = a, b
         if down[0] and down[1]:
-            a2, b2 = expand(a, b, FANOUT, (len(level(s, k - 1)[1]), len(level(t, k - 1)[1])), same)
+            a, b = expand(a, b, FANOUT, (len(level(s, k - 1)[1]), len(level(t, k - 1)[1])), same)
         elif down[0]:
-            a2, w = children(a, FANOUT, len(level(s, k - 1)[1]))
-            b2 = b[w]
+            a, w = children(a, FANOUT, len(level(s, k - 1)[1]))
+            b = b[w]
         elif down[1]:
-            b2, w = children(b, FANOUT, len(level(t, k - 1)[1]))
-            a2 = a[w]
-        a, b = a2, b2
+            b, w = children(b, FANOUT, len(level(t, k - 1)[1]))
+            a = a[w]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     for c in range(0, len(a), 512):
-        roots = np.array([forest.find(i) for i in range(len(sets))]) if c % 4096 == 0 or len(sets) < 512 else roots
-        x, y = (a[c : c + 512], b[c : c + 512])
-        whole = uniform(roots[p], LEAF), uniform(roots[q], LEAF)
-        keep = (whole[0][x] < 0) | (whole[0][x] != whole[1][y])
+        r = roots()
+        x, y = a[c : c + 512], b[c : c + 512]
+        one, other = uniform(r[p], LEAF), uniform(r[q], LEAF)
+        keep = (one[x] < 0) | (one[x] != other[y])
         x, y = expand(x[keep], y[keep], LEAF, (len(p), len(q)), same)
-        if same:
-            x, y = x[x < y], y[x < y]
-        keep = roots[p[x]] != roots[q[y]]
+        keep = (r[p[x]] != r[q[y]]) & ((x < y) if same else True)
         x, y = x[keep], y[keep]
         ok = may_link(s.levels[0], t.levels[0], x, y)
-        for i, j in zip(p[x[ok]].tolist(), q[y[ok]].tolist(), strict=True):
-            if forest.find(i) != forest.find(j) and linked(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j])):
-                forest.union(i, j)
-                links.append((i, j))
+        yield p[x[ok]], q[y[ok]]
 
 
 def uniform(roots: np.ndarray, width: int) -> np.ndarray:
@@ -181,34 +184,59 @@ def uniform(roots: np.ndarray, width: int) -> np.ndarray:
     return np.where(low == high, low, -1)
 
 
-def join_block(sets: list[np.ndarray], components: list | None = None) -> list[tuple[int, int]]:
-    """Links that connect the sets of a block as all its links do. Sets of equal components count as
-    connected. The sets are taken by classes of size, powers of two; linked sets are in one class or in
-    adjacent ones."""
-    forest, links = Forest(len(sets)), []
-    if components is not None:
-        first: dict = {}
-        for i, c in enumerate(components):
-            forest.union(first.setdefault(c, i), i)
-    sizes = np.array([len(s) for s in sets])
-    order = np.lexsort(([int(s[0]) for s in sets], sizes))
+def block_survivors(sigs: list[np.ndarray], sizes: list[int], roots: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of a block that may be linked, from their bitmaps."""
+    size = np.array(sizes)
+    order = np.lexsort(([int(x[0]) for x in sigs], size))
     classes: dict[int, list[int]] = {}
     for i in order.tolist():
-        classes.setdefault(int(sizes[i]).bit_length(), []).append(i)
-    bits_of = lambda k: max(64, BITS << k)
-    tree = lambda k, bits: Tree([sets[i] for i in classes[k]], bits)
+        classes.setdefault(size_class(sizes[i]), []).append(i)
     for k in sorted(classes):
         own = np.array(classes[k])
+        mine = np.stack([sigs[i] for i in own])
+        tree = Tree(mine, size[own])
         if len(own) > 1:
-            t = tree(k, bits_of(k))
-            join_trees(t, t, forest, sets, own, own, links)
+            yield from survivors(tree, tree, roots, own, own)
         if k + 1 in classes:
-            join_trees(tree(k, bits_of(k + 1)), tree(k + 1, bits_of(k + 1)), forest, sets, own, np.array(classes[k + 1]), links)
+            more = np.array(classes[k + 1])
+            wide = np.stack([sigs[i] for i in more])
+            if wide.shape[1] > mine.shape[1]:
+                wide = wide[:, : mine.shape[1]] | wide[:, mine.shape[1] :]
+            yield from survivors(tree, Tree(wide, size[more]), roots, own, more)
+
+
+def start_forest(n: int, components: list | None) -> Forest:
+    forest, first = Forest(n), {}
+    for i, c in enumerate(components or ()):
+        forest.union(first.setdefault(c, i), i)
+    return forest
+
+
+def join_block(sets: list[np.ndarray], components: list | None = None) -> list[tuple[int, int]]:
+    """Links that connect the sets of a block as all its links do. Sets of equal components count as
+    connected."""
+    forest, links = start_forest(len(sets), components), []
+    sizes = [len(s) for s in sets]
+    now = lambda: np.array([forest.find(i) for i in range(len(sets))])
+    for a, b in block_survivors([signature(s) for s in sets], sizes, now):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if forest.find(i) != forest.find(j) and linked(overlap(sets[i], sets[j]), sizes[i], sizes[j]):
+                forest.union(i, j)
+                links.append((i, j))
     return links
 
 
+def with_partner(sigs: list[np.ndarray], sizes: list[int], components: list) -> np.ndarray:
+    """Which sets of a block have a partner in another component that they may be linked with."""
+    forest, out = start_forest(len(sigs), components), np.zeros(len(sigs), bool)
+    roots = np.array([forest.find(i) for i in range(len(sigs))])
+    for a, b in block_survivors(sigs, sizes, lambda: roots):
+        out[a] = out[b] = True
+    return out
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_id, keys, text_hash for each document; set_id and keys are null without shingles."""
+    """doc_id, n, set_id, keys, sig, text_hash for each document; set_id, keys, sig are null without shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -217,40 +245,70 @@ def shingled(docs: DataFrame) -> DataFrame:
                 s = textcore.shingle_set(text, SHINGLE)
                 if len(s):
                     ident = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    rows.append((doc_id, len(s), ident, s[: min(KEYS, len(s) // 4 + 1)].view(np.int64), h))
+                    rows.append((doc_id, len(s), ident, s[: min(KEYS, len(s) // 4 + 1)].view(np.int64), signature(s).tobytes(), h))
                 else:
-                    rows.append((doc_id, 0, None, None, h))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "set_id", "keys", "text_hash"]).astype({"set_id": "Int64"})
+                    rows.append((doc_id, 0, None, None, None, h))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "set_id", "keys", "sig", "text_hash"]).astype({"set_id": "Int64"})
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n long, set_id long, keys array<long>, text_hash long")
+    return rows.mapInPandas(run, f"doc_id {kind}, n long, set_id long, keys array<long>, sig binary, text_hash long")
+
+
+BLOCK = ["b0", "b1", "b2"]
+
+
+def by_block(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows of a block one after another in one task. Nothing is decided by the order of blocks."""
+    n = partitions(rows.sparkSession)
+    return rows.select(*BLOCK, "set_id", "component", *columns).repartition(n, *BLOCK).sortWithinPartitions(*BLOCK, "set_id")
+
 
+def blocks_in(batches: Iterator[pd.DataFrame], *columns: str) -> Iterator[list[tuple]]:
+    """Lists of (block, set_id, component, columns...) by block."""
+    key, held = None, []
+    for b in batches:
+        for row in zip(zip(b.b0, b.b1, b.b2, strict=True), b.set_id, b.component, *(b[c] for c in columns), strict=True):
+            if row[0] != key:
+                if len(held) > 1:
+                    yield held
+                key, held = row[0], []
+            held.append(row)
+    if len(held) > 1:
+        yield held
 
-def links_of(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows: block columns b0, b1, b2, set_id, component. Links a, b found inside the blocks."""
-    dealt = rows.join(texts, "set_id").repartition(partitions(rows.sparkSession), "b0", "b1", "b2").sortWithinPartitions("b0", "b1", "b2", "set_id")
+
+def promising(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """rows: block, set_id, component. Those whose bitmaps leave them a partner."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, sets, comps = None, [], [], []
+        for held in blocks_in(batches, "n", "sig"):
+            keep = with_partner([np.frombuffer(r[4], np.uint64) for r in held], [int(r[3]) for r in held], [r[2] for r in held])
+            if keep.any():
+                yield pd.DataFrame([(*r[0], r[1], r[2]) for r, k in zip(held, keep, strict=True) if k], columns=[*BLOCK, "set_id", "component"])
 
-        def done() -> pd.DataFrame:
-            found = join_block(sets, comps) if len(sets) > 1 else []
-            return pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["a", "b"], dtype=np.int64)
+    return by_block(rows.join(sigs, "set_id"), "n", "sig").mapInPandas(run, "b0 long, b1 int, b2 int, set_id long, component long")
 
-        for b in batches:
-            for k, i, c, text in zip(zip(b.b0, b.b1, b.b2, strict=True), b.set_id, b.component, b.text, strict=True):
-                if k != key:
-                    if len(sets) > 1:
-                        yield done()
-                    key, ids, sets, comps = k, [], [], []
-                ids.append(i)
-                sets.append(textcore.shingle_set(text, SHINGLE))
-                comps.append(c)
-        if len(sets) > 1:
-            yield done()
 
-    return dealt.select("b0", "b1", "b2", "set_id", "component", "text").mapInPandas(run, "a long, b long")
+def distinct_blocks(rows: DataFrame) -> DataFrame:
+    """Of small blocks that hold the same sets one is kept."""
+    sizes = rows.groupBy(*BLOCK).agg(F.count("*").alias("k"), F.sum(F.xxhash64("set_id", F.lit(1)).cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("set_id", F.lit(2)).cast("decimal(38,0)")).alias("y"))
+    small = sizes.where(F.col("k") <= SMALL_BLOCK).groupBy("k", "x", "y").agg(F.min(F.struct(*BLOCK)).alias("b")).select("b.*")
+    kept = stored(small.unionByName(sizes.where(F.col("k") > SMALL_BLOCK).select(*BLOCK)), "kept")
+    return rows.join(kept, BLOCK)
+
+
+def links_of(rows: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows: block, set_id, component. Links a, b found inside the blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in blocks_in(batches, "text"):
+            found = join_block([textcore.shingle_set(r[3], SHINGLE) for r in held], [r[2] for r in held])
+            if found:
+                yield pd.DataFrame([(held[i][1], held[j][1]) for i, j in found], columns=["a", "b"])
+
+    left = stored(promising(rows, sigs), "promising")
+    return by_block(distinct_blocks(left).join(texts, "set_id"), "text").mapInPandas(run, "a long, b long")
 
 
 def chunks(n: str, words: str) -> F.Column:
@@ -259,28 +317,31 @@ def chunks(n: str, words: str) -> F.Column:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id for each document."""
+    steady(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sigs = stored(shingled(docs), "shingled")
     sets = stored(
-        sigs.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets"
+        sigs.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "sets"
     )
     tokens = sets.select("set_id", "n", F.posexplode("keys").alias("r", "b0"))
-    shared = tokens.groupBy("b0").agg(F.count("*").alias("k")).where("k > 1").select("b0")
+    # aggregates that a join needs are stored first: its other side may then be split where a key is hot
+    shared = stored(tokens.groupBy("b0").agg(F.count("*").alias("k")).where("k > 1").select("b0"), "shared")
     members = stored(tokens.join(shared, "b0"), "members")
     wanted = members.select("set_id").distinct().join(sets, "set_id").select("set_id", F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash"))
     texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).select("set_id", "text")
     texts = stored(texts.dropDuplicates(["set_id"]), "texts")
 
+    sigs_of = sets.select("set_id", "n", "sig")
     zero = F.lit(0)
     no_comp = lambda df: df.withColumn("component", F.col("set_id"))
     # pass 1
-    home = members.where("r = 0")
-    sizes = home.groupBy("b0").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where("k > 1")
-    rows = no_comp(home.join(sizes, "b0")).select("b0", F.pmod(F.xxhash64("set_id"), chunks("k", "w")).alias("b1"), zero.alias("b2"), "set_id", "component")
-    first = stored(links_of(rows, texts), "links")
+    home = members.where(F.col("r") < HOME_KEYS)
+    sizes = stored(home.groupBy("b0").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where("k > 1"), "blocks")
+    rows = no_comp(home.join(sizes, "b0")).select("b0", F.pmod(F.xxhash64("set_id"), chunks("k", "w")).cast("int").alias("b1"), zero.alias("b2"), "set_id", "component")
+    first = stored(links_of(rows, sigs_of, texts), "links")
 
     def with_components(links: DataFrame) -> DataFrame:
-        comps = connected_components(links)
+        comps = stored(connected_components(links), "components")
         return members.join(comps, members.set_id == comps.node, "left").select("b0", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
 
     # pass 2
@@ -288,22 +349,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = now.groupBy("b0", "component").agg(F.min("set_id").alias("set_id"), F.max("n").alias("n"), F.count("*").alias("in_component"))
     sizes = heads.groupBy("b0").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.sum("in_component").alias("all_sets")).where("k > 1")
     sizes = stored(sizes, "blocks")
-    rows = heads.join(sizes, "b0").select("b0", F.pmod(F.xxhash64("set_id"), chunks("k", "w")).alias("b1"), zero.alias("b2"), "set_id", "component")
-    second = stored(links_of(rows, texts), "links")
+    rows = heads.join(sizes, "b0").select("b0", F.pmod(F.xxhash64("set_id"), chunks("k", "w")).cast("int").alias("b1"), zero.alias("b2"), "set_id", "component")
+    second = stored(links_of(rows, sigs_of, texts), "links")
     seen = sizes.where((F.col("k") == F.col("all_sets")) & (chunks("k", "w") == 1)).select("b0")
     # pass 3
     dropped(now)
     now = stored(with_components(first.unionByName(second)).join(seen, "b0", "left_anti"), "members")
-    sizes = now.groupBy("b0").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    sizes = stored(now.groupBy("b0").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1"), "blocks")
     cut = now.join(sizes, "b0").withColumn("chunks", chunks("k", "w")).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("chunks") > 1, F.col("chunks") - 1).otherwise(0)))
     pairs = cut.withColumn("other", other).select("b0", F.least("chunk", "other").alias("b1"), F.greatest("chunk", "other").alias("b2"), "set_id", "component")
-    third = stored(links_of(pairs, texts), "links")
+    third = stored(links_of(pairs, sigs_of, texts), "links")
     dropped(now, members, texts, sizes)
 
-    comps = connected_components(first.unionByName(second).unionByName(third))
+    comps = stored(connected_components(first.unionByName(second).unionByName(third)), "components")
     of_set = sets.select("set_id", F.col("least.doc_id").alias("doc_id")).join(comps, F.col("set_id") == F.col("node"))
-    smallest = of_set.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    smallest = stored(of_set.groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
     of_set = of_set.join(smallest, "component").select("set_id", "smallest")
     alone = sets.select("set_id", F.col("least.doc_id").alias("alone")).join(of_set, "set_id", "left").select("set_id", F.coalesce("smallest", "alone").alias("component_id"))
     result = sigs.join(alone, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
