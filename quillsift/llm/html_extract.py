@@ -1,13 +1,14 @@
 """Main text of web pages by site template removal.
 
 Each page is parsed into a tree; every element subtree outside the article's own prose gets a content
-hash. Spark counts, for each host, on how many pages a hash occurs. Subtrees that recur across many
-pages of their host are its template and are deleted; so are elements whose tag, role or class says
+hash. Spark counts, for each host, with how many different articles a hash occurs. Subtrees that recur
+across many of them are the host's template and are deleted; so are elements whose tag, role or class says
 that they are no part of the article (menus, forms, adverts, comments, ...). What is left of the
 article (or of the body, where no article is marked) becomes the text.
 
-Prose inside an article (headings, paragraphs, quotations, list items) is never counted as template:
-the same article may be published on many pages of one host.
+Prose inside an article (headings, paragraphs, quotations, list items) is never counted as template, and
+pages whose articles have one heading count once: an article may be published, as it is or with
+changes, on many pages of one host, and what recurs in its copies is no template.
 
 Null or empty html gives the empty text. A null url counts as a host of its own. Repeated rows give
 repeated results. Only page_id, url and html are read.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.runtime import steady, stored
 
-#: A subtree is template if it is on so many pages of the host at least, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 4, 0.3
+#: A subtree is template if it goes with so many of the host's articles at least, and with this share of them.
+LEAST_ARTICLES, LEAST_SHARE = 4, 0.3
 #: Up to so many (host, hash) rows, of some 60 bytes each, are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -178,6 +179,38 @@ def template_candidates(root: Node) -> list[tuple[Node, int]]:
     return out
 
 
+def text_of(n: Node) -> str:
+    out, stack = [], [n]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Node):
+            stack += reversed(x.children)
+        else:
+            out.append(x)
+    return " ".join(" ".join(out).split())
+
+
+def article_key(root: Node) -> int:
+    """Names what a page publishes: the first heading of its article, else the article's first words,
+    else the whole page."""
+    stack, article = [root], None
+    while stack:
+        n = stack.pop()
+        if n.tag in ARTICLE and article is None:
+            article = n
+            break
+        stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+    said = ""
+    stack = [article] if article else []
+    while stack and not said:
+        n = stack.pop()
+        if len(n.tag) == 2 and n.tag[0] == "h" and n.tag[1].isdigit():
+            said = text_of(n)
+        stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+    said = said or article and " ".join(text_of(article).split()[:8]) or text_of(root)
+    return xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of a page, given the hashes of its host's template."""
     root = parse(html)
@@ -233,15 +266,22 @@ def site_templates(pages: DataFrame) -> DataFrame:
 
     def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(h, x) for h, html in zip(b.host, b.html, strict=True) for x in {x for _, x in template_candidates(parse(html))}]
-            yield pd.DataFrame(rows, columns=["host", "hash"])
-
-    counts = pages.mapInPandas(subtrees, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
+            rows = []
+            for host, html in zip(b.host, b.html, strict=True):
+                root = parse(html)
+                key = article_key(root)
+                rows += [(host, x, key) for x in {x for _, x in template_candidates(root)}] + [(host, None, key)]
+            hosts, hashes, keys = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pd.DataFrame({"host": hosts, "hash": pd.array(hashes, "Int64"), "key": keys})
+
+    # a row without a hash stands for the page itself
+    counts = pages.mapInPandas(subtrees, "host string, hash long, key long").groupBy("host", "hash").agg(F.count_distinct("key").alias("n"))
+    counts = stored(counts, "subtrees")
+    sizes = counts.where("hash is null").select("host", F.col("n").alias("articles"))
     return (
-        counts.where(F.col("n") >= LEAST_PAGES)
+        counts.where(F.col("hash").isNotNull() & (F.col("n") >= LEAST_ARTICLES))
         .join(sizes, "host")
-        .where(F.col("n") >= LEAST_SHARE * F.col("pages"))
+        .where(F.col("n") >= LEAST_SHARE * F.col("articles"))
         .groupBy("host")
         .agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
     )
