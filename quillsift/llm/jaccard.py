@@ -240,15 +240,15 @@ def shingled(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc_id, text, h in zip(b.doc_id, b.text, b.text_hash, strict=True):
+            n, ids, keys, sigs = [], [], [], []
+            for text in b.text:
                 s = textcore.shingle_set(text, SHINGLE)
-                if len(s):
-                    ident = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    rows.append((doc_id, len(s), ident, s[: min(KEYS, len(s) // 4 + 1)].view(np.int64), signature(s).tobytes(), h))
-                else:
-                    rows.append((doc_id, 0, None, None, None, h))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "set_id", "keys", "sig", "text_hash"]).astype({"set_id": "Int64"})
+                n.append(len(s))
+                ids.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
+                keys.append(s[: min(KEYS, len(s) // 4 + 1)].view(np.int64) if len(s) else None)
+                sigs.append(signature(s).tobytes() if len(s) else None)
+            # an array with a mask: floats would not hold the ids
+            yield pd.DataFrame({"doc_id": b.doc_id, "n": n, "set_id": pd.array(ids, "Int64"), "keys": keys, "sig": sigs, "text_hash": b.text_hash})
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
