@@ -1,17 +1,16 @@
 """Suffix-array dedup with sparse suffixes.
 
 Finds every passage of LEAST words or more that occurs at two places or more. Only suffixes at
-content-selected positions are kept: those whose first GRAM words have the smallest hash in some window
-of LEAST words (minimisers). Any two equal passages of LEAST words hold such a suffix at the same place,
-so nothing is missed, and about one position in 18 is kept.
-
-Suffixes are brought together by their first words. Those equal in the whole surroundings that matter
-(LEAST - GRAM words to the left, LEAST to the right) form a class: a partial aggregate, so copies in any
-number cost one row. The classes that share their first words are sorted and neighbours are
-compared: each suffix is extended to the left by every possible number of words and to the right up to
-LEAST words, equal extensions lie side by side, and adjacent ones unite to maximal matches of any
-length. First words that over GROUP classes share are dealt again by the extended content, so no task
-holds an unbounded group.
+content-selected positions are kept: the leftmost smallest hash of GRAM words within each window of
+LEAST words (minimisers). Equal windows select the same place in themselves, so nothing is missed; about
+one position in 18 is kept, and each window belongs to one suffix, its selector.
+
+Suffixes are brought together by their first words. Those equal in all the words of their windows form
+a class: a partial aggregate, so copies in any number cost one row. The classes that share their first
+words are sorted and neighbours are compared: each suffix is extended to the left and right to each of its
+windows, equal extensions lie side by side, and adjacent ones unite to maximal matches of any length.
+First words that over GROUP classes share are dealt again by the extended content, so no task holds an
+unbounded group.
 
 Of equal passages the first (smallest doc_id, then place) is the original, all others are copies.
 
@@ -39,8 +38,8 @@ SPAN = LEFT + LEAST
 GROUP, AT_ONCE = 20_000, 4096
 
 
-def minimisers(grams: np.ndarray) -> np.ndarray:
-    """Positions that hold the leftmost smallest hash of some window of LEFT + 1 grams."""
+def selectors(grams: np.ndarray) -> np.ndarray:
+    """For each window of LEFT + 1 grams the place of its leftmost smallest hash; never falls."""
     window = LEFT + 1
     n = len(grams) - window + 1
     if n <= 0:
@@ -49,60 +48,72 @@ def minimisers(grams: np.ndarray) -> np.ndarray:
     while 2 * size <= window:  # minima of windows by doubling
         low, size = np.minimum(low[:-size], low[size:]), 2 * size
     low = np.minimum(low[:n], low[window - size : window - size + n])
-    out, at = [], np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    ends = np.append(at[1:], n)
-    for s, e in zip(at.tolist(), ends.tolist(), strict=True):
-        # windows s..e-1 share a smallest hash; equal grams may hold it at several places
+    out = np.empty(n, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    for s, e in zip(at.tolist(), np.append(at[1:], n).tolist(), strict=True):
         hits = s + np.flatnonzero(grams[s : e + window - 1] == low[s])
-        if len(hits) > 1:
-            first = hits[np.minimum(np.searchsorted(hits, np.arange(s, e)), len(hits) - 1)]
-            hits = np.unique(first)
-        out.append(hits)
-    return np.unique(np.concatenate(out))
+        out[s:e] = hits[0] if len(hits) == 1 else hits[np.searchsorted(hits, np.arange(s, e))]
+    return out
+
+
+_powers = np.ones(1, np.uint64)
+_inverse = np.ones(1, np.uint64)
+_INVERSE_BASE = np.uint64(pow(int(textcore.WORD_BASE), -1, 1 << 64))
+
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global _powers, _inverse
+    if len(_powers) < n:
+        one = np.ones(1, np.uint64)
+        _powers = np.multiply.accumulate(np.concatenate([one, np.full(2 * n, textcore.WORD_BASE)]))
+        _inverse = np.multiply.accumulate(np.concatenate([one, np.full(2 * n, _INVERSE_BASE)]))
+    return _powers[:n], _inverse[:n]
 
-def surroundings(words: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """A hash of the words around each position (and of how many there are on the left)."""
-    pad = np.concatenate([np.zeros(LEFT, np.uint64), words, np.zeros(LEAST, np.uint64)])
-    h = np.zeros(len(p), np.uint64)
-    for j in range(SPAN):
-        h = h * textcore.WORD_BASE + pad[p + j]
-    return textcore.mix(h)
+
+def suffixes_of(words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Place, words to the left and to the right that its windows span, hash of the first words and hash
+    of all those words, for each sparse suffix."""
+    grams = textcore.ngram_hashes(words, GRAM)
+    own = selectors(grams)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+    last = np.append(first[1:], len(own)) - 1 if len(own) else own
+    p = own[first]
+    up, down = powers(len(words) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)])])
+    left, right = p - first, last + LEAST - p
+    content = (sums[last + LEAST] - sums[first]) * down[first]
+    around = textcore.mix(content ^ textcore.mix((left * 4096 + right).astype(np.uint64)))
+    return p, left, right, grams[p], around
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, p, n, gram, around: the sparse suffixes of every document."""
+    """doc_id, p, left, right, gram, around: the sparse suffixes of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             parts = []
             for doc_id, text in zip(b.doc_id, b.text, strict=True):
                 words = textcore.word_hashes(textcore.raw(text))
-                if len(words) < LEAST:
-                    continue
-                grams = textcore.ngram_hashes(words, GRAM)
-                p = minimisers(grams)
-                parts.append(pd.DataFrame({"doc_id": np.full(len(p), doc_id, np.int64), "p": p, "n": np.full(len(p), len(words)), "gram": grams[p].view(np.int64), "around": surroundings(words, p).view(np.int64)}))
+                if len(words) >= LEAST:
+                    p, left, right, gram, around = suffixes_of(words)
+                    parts.append((np.full(len(p), doc_id, np.int64), p, left, right, gram.view(np.int64), around.view(np.int64)))
             if parts:
-                yield pd.concat(parts)
+                yield pd.DataFrame(dict(zip(("doc_id", "p", "left", "right", "gram", "around"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, p int, n int, gram long, around long")
-
-
-_powers = np.multiply.accumulate(np.full(SPAN + 1, textcore.WORD_BASE))
-_inverse = np.multiply.accumulate(np.full(SPAN + 1, np.uint64(pow(int(textcore.WORD_BASE), -1, 1 << 64))))
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, p int, left int, right int, gram long, around long")
 
 
-def extensions(words: np.ndarray, left: np.ndarray, length: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of up to SPAN word hashes: a hash of each run of LEAST words that holds the suffix's
-    first words; with the row and the start of each."""
+def extensions(words: np.ndarray, length: np.ndarray, left: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of up to SPAN word hashes: a hash of each window of LEAST words (and of where the suffix
+    begins in it), with the row and the start of each."""
+    up, down = powers(SPAN + 1)
     sums = np.zeros((len(words), SPAN + 1), np.uint64)
-    np.cumsum(words * _powers[:SPAN], axis=1, out=sums[:, 1:])
+    np.cumsum(words * up[:SPAN], axis=1, out=sums[:, 1:])
     s = np.arange(LEFT + 1)
-    h = textcore.mix((sums[:, LEAST:] - sums[:, : LEFT + 1]) * _inverse[: LEFT + 1] ^ textcore.mix(gram)[:, None])
-    ok = (s[None, :] <= left[:, None]) & (s[None, :] + LEAST <= length[:, None])
-    row, start = np.nonzero(ok)
+    place = textcore.mix(gram)[:, None] ^ textcore.mix((left[:, None] - s[None, :]).astype(np.uint64))
+    h = textcore.mix((sums[:, LEAST:] - sums[:, : LEFT + 1]) * down[: LEFT + 1] ^ place)
+    row, start = np.nonzero(s[None, :] + LEAST <= length[:, None])
     return h[row, start], row, start
 
 
@@ -128,10 +139,12 @@ MATCHES = "gram long, around long, a int, b int, is_copy boolean, first_doc long
 
 
 def compared(classes: pd.DataFrame) -> pd.DataFrame:
-    """Matches between classes; the rows of a gram are all there."""
+    """Matches between classes (is_copy: the class has an earlier one; else it is the earliest, and
+    there are others or other members of its own); the rows of a gram are all there."""
+    classes = classes.drop_duplicates(["gram", "around"], ignore_index=True)  # repeated documents brought their classes again
     words, length = matrix(list(classes.words))
-    left = classes.left.to_numpy()
-    h, row, start = extensions(words, left, length, classes.gram.to_numpy().view(np.uint64))
+    left, several = classes.left.to_numpy(), classes.several.to_numpy().astype(bool)
+    h, row, start = extensions(words, length, left, classes.gram.to_numpy().view(np.uint64))
     rank = np.empty(len(classes), np.int64)
     rank[np.lexsort((classes.first_p, classes.first_doc))] = np.arange(len(classes))
     order = np.lexsort((rank[row], h))
@@ -144,7 +157,7 @@ def compared(classes: pd.DataFrame) -> pd.DataFrame:
     some = np.maximum.reduceat((row != lead).astype(np.int8), at)[of] > 0
     out = []
     for copy in (True, False):
-        pick = some & ((row != lead) == copy)
+        pick = row != lead if copy else (row == lead) & (some | several[row])
         r, a, b = runs(row[pick], start[pick], len(classes))
         first = np.full(len(classes), np.iinfo(np.int64).max)
         np.minimum.at(first, row[pick], classes.first_doc.to_numpy()[lead[pick]])
@@ -179,14 +192,14 @@ def dealt_matches(classes: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words, length = matrix(list(b.words))
-            h, row, start = extensions(words, b.left.to_numpy(), length, b.gram.to_numpy().view(np.uint64))
-            c = b.iloc[row]
-            yield pd.DataFrame({"h": h.view(np.int64), "gram": c.gram, "around": c.around, "s": start - c.left.to_numpy(), "first_doc": c.first_doc, "first_p": c.first_p})
-
-    rows = classes.mapInPandas(spread, "h long, gram long, around long, s int, first_doc long, first_p int")
-    # the earliest class of a content by its first place (ties only within one class)
-    leads = rows.groupBy("h").agg(F.min(F.struct("first_doc", "first_p", "around")).alias("lead"), F.min("around").alias("x"), F.max("around").alias("y")).where("x <> y").select("h", "lead")
-    marks = rows.join(leads, "h").select("gram", "around", "s", (F.col("around") != F.col("lead.around")).alias("is_copy"), F.col("lead.first_doc").alias("first_doc"))
+            h, row, start = extensions(words, length, b.left.to_numpy(), b.gram.to_numpy().view(np.uint64))
+            c = b.drop(columns="words").iloc[row]
+            yield pd.DataFrame({"h": h.view(np.int64), "gram": c.gram, "around": c.around, "s": start - c.left.to_numpy(), "first_doc": c.first_doc, "first_p": c.first_p, "several": c.several})
+
+    rows = classes.mapInPandas(spread, "h long, gram long, around long, s int, first_doc long, first_p int, several boolean")
+    leads = rows.groupBy("h").agg(F.min(F.struct("first_doc", "first_p", "around")).alias("lead"), (F.min("around") != F.max("around")).alias("some"))
+    marks = rows.join(leads, "h").withColumn("is_copy", F.col("around") != F.col("lead.around")).where("is_copy or some or several")
+    marks = marks.select("gram", "around", "s", "is_copy", F.col("lead.first_doc").alias("first_doc"))
     per = marks.groupBy("gram", "around", "is_copy").agg(F.collect_set("s").alias("s"), F.min("first_doc").alias("first_doc"))  # at most LEFT + 1 starts each
 
     def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,22 +214,25 @@ def dealt_matches(classes: DataFrame) -> DataFrame:
 
 
 def with_words(picked: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds to classes the word hashes around their first place: left, words."""
-    wanted = picked.groupBy("first_doc").agg(F.collect_list(F.struct("gram", "around", "first_p")).alias("wanted"))  # no more than a document has suffixes
-    wanted = wanted.select("first_doc", *[F.col(f"wanted.{c}").alias(c) for c in ("gram", "around", "first_p")])
+    """Adds to classes the word hashes of their windows, from their first place: left, words."""
+    wanted = picked.groupBy("first_doc").agg(F.collect_list(F.struct("gram", "around", "first_p", "several")).alias("wanted"))  # no more than a document has suffixes
+    wanted = wanted.select("first_doc", *[F.col(f"wanted.{c}").alias(c) for c in ("gram", "around", "first_p", "several")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, text, grams, arounds, places in zip(b.first_doc, b.text, b.gram, b.around, b.first_p, strict=True):
+            for doc_id, text, grams, arounds, places, several in zip(b.first_doc, b.text, b.gram, b.around, b.first_p, b.several, strict=True):
                 words = textcore.word_hashes(textcore.raw(text))
-                for gram, around, p in zip(grams.tolist(), arounds.tolist(), places.tolist(), strict=True):
-                    low = max(0, p - LEFT)
-                    rows.append((gram, around, doc_id, p, p - low, words[low : p + LEAST].tobytes()))
-            yield pd.DataFrame(rows, columns=["gram", "around", "first_doc", "first_p", "left", "words"])
+                p, left, right, _, around = suffixes_of(words)
+                at = {x: i for i, x in enumerate(p.tolist())}
+                for g, a, x, many in zip(grams.tolist(), arounds.tolist(), places.tolist(), several.tolist(), strict=True):
+                    i = at.get(x)
+                    if i is not None and around[i].view(np.int64) == a:  # of several texts under one id, that which the class was seen in
+                        rows.append((g, a, doc_id, x, left[i], many, words[x - left[i] : x + right[i]].tobytes()))
+            yield pd.DataFrame(rows, columns=["gram", "around", "first_doc", "first_p", "left", "several", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(wanted, "first_doc")
-    got = rows.mapInPandas(run, "gram long, around long, first_doc long, first_p int, left int, words binary")
+    got = rows.mapInPandas(run, "gram long, around long, first_doc long, first_p int, left int, several boolean, words binary")
     return got
 
 
@@ -239,18 +255,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .select("gram", "around", "varied", F.col("first.doc").alias("first_doc"), F.col("first.p").alias("first_p"), (F.col("x") != F.col("y")).alias("several")),
         "classes",
     )
-    varied = stored(with_words(classes.where("varied").select("gram", "around", "first_doc", "first_p"), docs), "contexts")
+    varied = stored(with_words(classes.where("varied").select("gram", "around", "first_doc", "first_p", "several"), docs), "contexts")
     crowded = varied.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("gram")
     crowded = stored(crowded, "crowded")
     across = grouped_matches(varied.join(crowded, "gram", "left_anti"))
     if not crowded.isEmpty():
         across = across.unionByName(dealt_matches(varied.join(crowded, "gram")))
-    # within classes: every member but the first is a copy as far as its surroundings go
-    low, high = F.greatest(-F.col("p"), F.lit(-LEFT)), F.least(F.col("n") - F.col("p"), F.lit(LEAST))
-    own = hits.join(classes.where("several").select("gram", "around", "first_doc", "first_p"), ["gram", "around"]).where(high - low >= LEAST)
-    own = own.select("doc_id", (F.col("p") + low).alias("a"), (F.col("p") + high).alias("b"), ((F.col("doc_id") != F.col("first_doc")) | (F.col("p") != F.col("first_p"))).alias("is_copy"), "first_doc")
+    # within classes: every member but the first is a copy in all its windows; the first one is original
+    # unless a comparison with other classes decides that
+    own = hits.join(classes.where("several").select("gram", "around", "first_doc", "first_p"), ["gram", "around"])
+    own = own.withColumn("is_copy", (F.col("doc_id") != F.col("first_doc")) | (F.col("p") != F.col("first_p"))).where("is_copy or not varied")
+    own = own.select("doc_id", (F.col("p") - F.col("left")).alias("a"), (F.col("p") + F.col("right")).alias("b"), "is_copy", "first_doc")
     # matches across classes hold for each member; the originals' other members are copies already
-    spread = hits.join(stored(across, "matches"), ["gram", "around"]).join(classes.select("gram", "around", F.col("first_doc").alias("fd"), F.col("first_p").alias("fp")), ["gram", "around"])
+    matches = across.join(classes.select("gram", "around", F.col("first_doc").alias("fd"), F.col("first_p").alias("fp")), ["gram", "around"])
+    spread = hits.join(stored(matches, "matches"), ["gram", "around"])
     spread = spread.where("is_copy or (doc_id = fd and p = fp)").select("doc_id", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"), "is_copy", "first_doc")
     marks = own.unionByName(spread).groupBy("doc_id", "is_copy", "a", "b").agg(F.min("first_doc").alias("first_doc"))
     per = marks.groupBy("doc_id", "is_copy").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first_doc"))).alias("marks"))  # no more than a document has suffixes
