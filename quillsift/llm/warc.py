@@ -1,7 +1,7 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
-Writer: each task writes one ``.warc.gz`` file, every record a gzip member of its own, under a
-temporary name that is renamed when the file is complete; a task that runs again replaces it. Payloads
+Writer: each task writes one ``.warc.gz`` file, every record a gzip member of its own. A task that runs
+again writes a file of another name; the manifest names the files of the attempts that counted. Payloads
 of LEAST_REVISIT bytes or more that are equal are stored once, in the record with the largest page_id;
 the others become revisit records of the identical-payload-digest profile.
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -83,10 +82,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         fs, at = file_system(folder)
         fs.create_dir(at, recursive=True)
         task = TaskContext.get()
-        final = f"{at}/part-{task.partitionId():06d}.warc.gz"
-        temp = f"{at}/_{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
+        path = f"{at}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         records = size = 0
-        with fs.open_output_stream(temp, compression=None) as out:
+        with fs.open_output_stream(path, compression=None) as out:
             for b in batches:
                 for page_id, url, html, refers in zip(b.page_id, b.url, b.html, b.refers_to, strict=True):
                     payload = (html or "").encode("utf-8", "surrogatepass")
@@ -95,10 +93,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     out.write(data)
                     records, size = records + 1, size + len(data)
         if records:
-            fs.move(temp, final)
-            yield pd.DataFrame({"path": [final], "bytes": [size], "records": [records]})
+            yield pd.DataFrame({"path": [path], "bytes": [size], "records": [records]})
         else:
-            fs.delete_file(temp)
+            fs.delete_file(path)
 
     text = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  ids travel as text, so nulls and large numbers stay as they are
     return stored(pages.select(text("page_id"), "url", "html", text("refers_to")).mapInPandas(write, "path string, bytes long, records long"), "manifest")
