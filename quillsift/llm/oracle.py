@@ -1,7 +1,90 @@
-"""DuckDB SQL for those queries of this subpackage that SQL can express."""
+"""DuckDB SQL for those queries of this subpackage that SQL can express. The others are held against
+plain versions in tests/llm."""
 
 from __future__ import annotations
 
+from quillsift.llm import jaccard, quality, suffixes, warc
+
+WORD = r"[^\x20\x09-\x0D]+"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ROWS = "d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, {low} AS low FROM documents)".format(low=LOWERED)
+
+
+def words(text: str) -> str:
+    return f"w AS MATERIALIZED (SELECT rid, doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM (SELECT rid, doc_id, regexp_extract_all({text}, '{WORD}') AS ws FROM d))"
+
+
+def grams(n: int, more: str = "") -> str:
+    frame = f"OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+    return f"SELECT rid, doc_id, pos, string_agg(w, ' ') {frame} AS g, count(*) {frame} AS k, n{more} FROM w"
+
+
+def quality_sql() -> str:
+    parts = [ROWS, words("t")]
+    for n in quality.COVERAGE_LIMITS:
+        parts += [
+            f"g{n} AS MATERIALIZED (SELECT rid, pos, count(*) OVER (PARTITION BY rid, g) > 1 AS twice FROM ({grams(n)}) WHERE k = {n})",
+            f"c{n} AS MATERIALIZED (SELECT w.rid, length(w.w) AS c, coalesce(bool_or(twice) OVER (PARTITION BY w.rid ORDER BY w.pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), false) AS inside FROM w LEFT JOIN g{n} g ON g.rid = w.rid AND g.pos = w.pos)",
+            f"s{n} AS (SELECT rid, sum(c) FILTER (WHERE inside) AS chars, count(*) FILTER (WHERE inside) AS words FROM c{n} GROUP BY rid)",
+        ]
+    parts += [
+        "l AS (SELECT rid, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT rid, string_split(t, chr(10)) AS ls FROM d))",
+        r"dup AS (SELECT rid, count(*) AS lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY i) AS r FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) WHERE r > 1 GROUP BY rid)",
+        "base AS (SELECT rid, count(*) AS n, sum(length(w)) AS c FROM w GROUP BY rid)",
+    ]
+    names = ", ".join(f"coalesce(s{n}.chars, 0) AS c{n}" for n in quality.COVERAGE_LIMITS)
+    joins = " ".join(f"LEFT JOIN s{n} ON s{n}.rid = d.rid" for n in quality.COVERAGE_LIMITS)
+    parts.append(
+        "m AS (SELECT d.doc_id, coalesce(b.n, 0)::BIGINT AS n_words, coalesce(b.c, 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.lines, 0)::BIGINT AS n_dup_lines, "
+        f"coalesce(s5.words, 0)::BIGINT AS n_repeat_words, coalesce(dup.chars, 0) AS dup_chars, {names} FROM d LEFT JOIN base b ON b.rid = d.rid LEFT JOIN dup ON dup.rid = d.rid {joins})"
+    )
+    good = " AND ".join(f"c{n} / word_chars::DOUBLE <= {most}::DOUBLE" for n, most in quality.COVERAGE_LIMITS.items())
+    failed = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
+    verdict = f"{good} AND dup_chars / word_chars::DOUBLE <= {quality.LINE_LIMIT}::DOUBLE AND n_symbols <= {quality.SYMBOL_LIMIT}::DOUBLE * word_chars"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, CASE WHEN {failed} THEN false ELSE {verdict} END AS kept FROM m"
+
+
+def jaccard_sql() -> str:
+    n = jaccard.SHINGLE
+    parts = [
+        ROWS,
+        words("low"),
+        f"s AS MATERIALIZED (SELECT DISTINCT rid, doc_id, g FROM ({grams(n)}) WHERE k = least(n, {n}) AND (n >= {n} OR pos = 1))",
+        "z AS MATERIALIZED (SELECT rid, any_value(doc_id) AS doc_id, count(*) AS z FROM s GROUP BY rid)",
+        "i AS (SELECT x.rid AS a, y.rid AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY ALL)",
+        "e AS MATERIALIZED (SELECT a, b FROM i JOIN z x ON x.rid = a JOIN z y ON y.rid = b WHERE 100 * i >= 75 * (x.z + y.z - i))",
+        "reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)",
+    ]
+    return (
+        "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT d.doc_id, coalesce(any_value(z.z), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id FROM d JOIN reach ON reach.a = d.rid JOIN d o ON o.rid = reach.b LEFT JOIN z ON z.rid = d.rid GROUP BY d.rid, d.doc_id"
+    )
+
+
+def repeats_sql() -> str:
+    n = suffixes.LEAST
+    parts = [
+        ROWS,
+        words("t"),
+        f"g AS MATERIALIZED (SELECT doc_id, pos - 1 AS p, md5(g) AS g FROM ({grams(n)}) WHERE k = {n})",
+        "f AS MATERIALIZED (SELECT doc_id, p, first_value(doc_id) OVER o AS fd, first_value(p) OVER o AS fp, count(*) OVER (PARTITION BY g) AS c FROM g WINDOW o AS (PARTITION BY g ORDER BY doc_id, p))",
+        "m AS (SELECT doc_id, p, fd, (doc_id <> fd OR p <> fp) AS is_copy FROM f WHERE c > 1)",
+        f"b AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, is_copy ORDER BY p) + {n} THEN 0 ELSE 1 END AS fresh FROM m)",
+        "r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, is_copy ORDER BY p) AS r FROM b)",
+    ]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, min(p)::BIGINT AS start_word, (max(p) + {n} - min(p))::BIGINT AS n_words, is_copy, min(fd) AS first_doc_id FROM r GROUP BY doc_id, is_copy, r"
+
+
+def archive_sql() -> str:
+    return (
+        f"WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages), m AS (SELECT *, CASE WHEN payload_bytes >= {warc.LEAST_REVISIT} THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM p) "
+        "SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper > page_id THEN keeper END AS refers_to, url FROM m"
+    )
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_quality_rules": quality_sql(),
+        "op4_ngram_jaccard_join": jaccard_sql(),
+        "op6_suffix_dedup": repeats_sql(),
+        "op9_warc_round_trip": archive_sql(),
+    }
