@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from quillsift.operators.index import Index
 
 
+# The head and the columns of the dumps.
+RULE = "=" * 70
+HEAD = "{kind} INDEX  (N={n} documents, {terms} unique terms)"
+FORMAT = "Format: term  df  -> [{form}, ...]"
+
+
 def head(index: Index, kind: str, form: str) -> DataFrame:
     """The lines above a dump, with keys that sort before any term."""
     n, terms = index.size[0], index.terms.count()
-    lines = [f"{kind} INDEX  (N={n} documents, {terms} unique terms)", f"Format: term  df  -> [{form}, ...]", "=" * 70]
+    lines = [HEAD.format(kind=kind, n=n, terms=terms), FORMAT.format(form=form), RULE]
     return index.spark.createDataFrame([("", i, x) for i, x in enumerate(lines)], "term string, line int, value string")
 
 
@@ -49,20 +55,17 @@ def ranked_lines(results: Iterable, oov: Sequence[str] = ()) -> list[str]:
     out = [f"  (not in the collection: {', '.join(oov)})"] if oov else []
     rows = list(results)
     if not rows:
-        return [*out, "  No matching documents."]
-    out.append(f"  {'Rank':<5}{'DocID':<8}{'Score':<9}{'Category':<14}Title")
+        return [*out, "  Nothing found."]
     for r in rows:
-        out.append(f"  {r['rank']:<5}{r['docid']!s:<8}{r['score']:<9}{r['category']:<14}{r['title']}")
-        if r["snippet"]:
-            out.append(f"           {r['snippet']}")
+        out.append(f"{r['rank']:>4}. {r['docid']}  {r['score']:.4f}  {r['title']} [{r['category']}]")
+        out += [f"      {r['snippet']}"] if r["snippet"] else []
     return out
 
 
 def positional_lines(results: Iterable) -> list[str]:
     out = []
     for r in results:
-        out.append(f"  {r['docid']!s:<8}{r['category']:<14}{r['title']}  [{r['rank_shift']} vs. plain VSM]")
-        out.append(f"           match positions: {[tuple(p) if isinstance(p, tuple) else p for p in r['match_positions']]}")
-        if r["snippet"]:
-            out.append(f"           {r['snippet']}")
-    return out or ["  No matching documents."]
+        places = ", ".join(str(tuple(p) if isinstance(p, tuple) else p) for p in r["match_positions"])
+        out.append(f"{r['rank']:>4}. {r['docid']}  {r['title']} [{r['category']}], {r['rank_shift']} against VSM, at {places}")
+        out += [f"      {r['snippet']}"] if r["snippet"] else []
+    return out or ["  Nothing found."]
