@@ -22,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm import textcore
 from quillsift.llm.runtime import partitions, steady
 
 CHAIN, SKETCH, FEW = 2, 64, 24
+#: Most ranges of doc_id that documents are dealt to.
+MOST_RANGES = 16_384
 #: Sizes of the length partitions grow by this factor.
 LENGTH_FACTOR = 1.25
 #: Common words of English, German, French and Spanish: fixed values.
@@ -103,28 +105,49 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
+def index_among(cuts: list, value: F.Column) -> F.Column:
+    """How many of the sorted cuts are at most the value: found in two steps over about the square root
+    of their number each."""
+    if not cuts:
+        return F.lit(0)
+    width = max(1, int(len(cuts) ** 0.5))
+    parts = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    upto = lambda c: F.size(F.filter(c, lambda x: x <= value))
+    part = upto(F.array(*[F.lit(p[0]) for p in parts]))
+    inside = F.element_at(F.array(*[F.array(*map(F.lit, p)) for p in parts]), F.greatest(part, F.lit(1)))
+    return F.when(part == 0, 0).otherwise((part - 1) * width + upto(inside))
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that hash partitioning sends there, so that each range gets a
+    partition of its own."""
+    ids = spark.range(24 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    found = {r.p: r.id for r in ids.groupBy("p").agg(F.min("id").alias("id")).collect()}
+    return [found.get(i, i) for i in range(n)]
+
+
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, text, home, halo: the documents by ranges of doc_id, each range with the first document
     of the next one (halo)."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = min(ranges or 2 * partitions(docs.sparkSession), 512)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("doc_id"))) if cuts else F.lit(0)
-    docs = docs.withColumn("home", F.when(F.col("doc_id").isNull(), 0).otherwise(at))
-    # a row for each range, at most 512
+    kind = dict(docs.dtypes)["doc_id"]
+    ranges = min(ranges or 2 * partitions(spark), MOST_RANGES)
+    cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 20 * ranges))).first()[0] or []
+    docs = docs.withColumn("home", F.when(F.col("doc_id").isNull(), 0).otherwise(index_among(sorted(set(cuts)), F.col("doc_id"))))
+    # a row for each range, at most MOST_RANGES
     firsts = {r.home: r.f.doc_id for r in docs.groupBy("home").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("f")).collect()}
     homes = sorted(firsts)
     before = {h: homes[i - 1] for i, h in enumerate(homes)}
-    kind = dict(docs.dtypes)["doc_id"]
-    spread = F.array(F.struct("home", F.lit(False).alias("halo")))
-    if homes:
-        top = homes[-1] + 1
-        first = F.element_at(F.array(*[F.lit(firsts.get(i)).cast(kind) for i in range(top)]), F.col("home") + 1)
-        prev = F.element_at(F.array(*[F.lit(before.get(i, 0)) for i in range(top)]), F.col("home") + 1)
-        spread = F.when(F.col("doc_id").eqNullSafe(first), F.array(F.struct("home", F.lit(False).alias("halo")), F.struct(prev.alias("home"), F.lit(True).alias("halo")))).otherwise(spread)
+    keys = partition_keys(spark, max(ranges, len(cuts) + 1))
+    at = lambda values: F.element_at(F.array(*values), F.col("home") + 1)
+    top = range(homes[-1] + 1 if homes else 1)
+    own = F.struct("home", F.lit(False).alias("halo"))
+    both = F.array(own, F.struct(at([F.lit(before.get(i, 0)) for i in top]).alias("home"), F.lit(True).alias("halo")))
+    spread = F.when(F.col("doc_id").eqNullSafe(at([F.lit(firsts.get(i)).cast(kind) for i in top])), both).otherwise(F.array(own))
     dealt = docs.select("doc_id", "text", F.explode(spread).alias("at")).select("doc_id", "text", "at.home", "at.halo")
-    return dealt.repartition(ranges, "home").sortWithinPartitions("home", "halo", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    dealt = dealt.withColumn("key", at([F.lit(keys[i]).cast("long") for i in top]))
+    return dealt.repartition(len(keys), "key").drop("key").sortWithinPartitions("home", "halo", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
