@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillsift.operators.index import Index
 from quillsift.operators.positional import by_hits, phrase_hits
 from quillsift.operators.rank import Ranker, bm25, fielded, query_terms, sdm, smart, vsm
+from quillsift.plans.storage import stored
 
 BASELINE_POOL, PHRASE_POOL = 100, 100
 
@@ -61,7 +62,7 @@ def rule_judgments(index: Index, queries: DataFrame, pooled: DataFrame) -> DataF
 
 def report(index: Index, queries: DataFrame, judgments: DataFrame | None = None, k: int = 10, custom: tuple[str, str] | None = ("lnc", "ltc")) -> DataFrame:
     """NDCG of every ranker; without judgments the rule grades the pooled documents."""
-    lists = rankings(index, queries, k, custom)
+    lists = stored(rankings(index, queries, k, custom), "rankings")  # read for the pool and for the grades
     return ndcg(lists, rule_judgments(index, queries, pool(lists)) if judgments is None else judgments)
 
 

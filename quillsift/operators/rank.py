@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillsift.functions import weighting
 from quillsift.functions.text import analyze
 from quillsift.operators.index import Index
+from quillsift.plans.storage import stored
 
 #: A ranker: index, queries, number of documents for each query -> qid, docid, score, rank.
 Ranker = Callable[[Index, DataFrame, int], DataFrame]
@@ -23,8 +24,12 @@ SDM_WEIGHTS, SDM_POOL, ORDERED_WINDOW, UNORDERED_WINDOW = (0.8, 0.15, 0.05), 50,
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """qid, off, term: the analyzed queries."""
-    return analyze(queries, F.coalesce("text", F.lit("")), "qid", position="off")
+    """qid, off, term: the analyzed queries. Every ranker of a plan needs them: they are analyzed once for
+    each table of queries and stored."""
+    found = getattr(queries, "_analyzed", None)
+    if found is None:
+        found = queries._analyzed = stored(analyze(queries, F.coalesce("text", F.lit("")), "qid", position="off"), "queries")
+    return found
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

@@ -161,7 +161,7 @@ def shown(table: str, k: int = 10) -> str:
 
 def badges(table: str) -> str:
     return (
-        "SELECT r.qid, r.docid, r.rank, n_hits, v.rank AS vsm_rank, CASE WHEN v.rank IS NULL THEN 'NEW' WHEN v.rank = r.rank THEN '=' WHEN v.rank > r.rank THEN '^' || (v.rank - r.rank) ELSE 'v' || (r.rank - v.rank) END AS rank_shift "
+        "SELECT r.qid, r.docid, r.rank, n_hits, coalesce(v.rank, 0) AS vsm_rank, CASE WHEN v.rank IS NULL THEN 'NEW' WHEN v.rank = r.rank THEN '=' WHEN v.rank > r.rank THEN '^' || (v.rank - r.rank) ELSE 'v' || (r.rank - v.rank) END AS rank_shift "
         f"FROM {table} r LEFT JOIN (SELECT qid, docid, rank FROM vsm WHERE rank <= 100) v ON v.qid = r.qid AND v.docid = r.docid WHERE r.rank <= 10"
     )
 

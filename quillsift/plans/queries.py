@@ -203,7 +203,7 @@ _proximity("proximity_unordered", False)
 
 def badged(index: Index, hits: DataFrame, queries: DataFrame, *columns: str) -> DataFrame:
     best = evaluation.with_badges(index, positional.by_hits(hits, 10, *columns), queries)
-    return best.select("qid", "docid", F.col("rank").cast("long").alias("rank"), "n_hits", "rank_shift", F.col("vsm_rank").cast("long").alias("vsm_rank"))
+    return best.select("qid", "docid", F.col("rank").cast("long").alias("rank"), "n_hits", "rank_shift", F.coalesce(F.col("vsm_rank").cast("long"), F.lit(0)).alias("vsm_rank"))
 
 
 @query
