@@ -23,14 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.runtime import stored
+from quillsift.llm.runtime import partitions, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_TIMES = 1.5, 2
 SEED = 20240607
 BUCKET_ROWS = 1024
 #: The knapsack covers a missing budget up to this many words.
-KNAPSACK_WORDS = 8192
+KNAPSACK_WORDS = 32_768
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,7 +77,8 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> dict[int,
     reach[0] = True
     via = np.full(top + 1, -1, np.int64)
     items: list[tuple[int, int]] = []
-    for length, count in sorted(zip(lengths.tolist(), counts.tolist(), strict=True)):
+    order = np.argsort(seeded(lengths + 2), kind="stable")  # no length has the first call on the budget
+    for length, count in zip(lengths[order].tolist(), counts[order].tolist(), strict=True):
         k = 1
         while count and length * k <= top and not reach[budget]:
             k = min(k, count)
@@ -115,13 +116,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     take = np.minimum(counts, np.floor(budget / total * counts + seeded(lengths)).astype(np.int64))
     left = budget - int((take * lengths).sum())
     order = np.argsort(seeded(lengths + 1), kind="stable")
-    for i in order:  # too much by chance: give some back
-        if left >= 0:
+    for i in order:  # give some back, so that the knapsack has choice enough
+        if left >= KNAPSACK_WORDS // 2:
             break
-        if take[i]:
-            k = min(int(take[i]), -(left // int(lengths[i])))
-            take[i] -= k
-            left += k * int(lengths[i])
+        k = min(int(take[i]), -((left - KNAPSACK_WORDS // 2) // int(lengths[i])))
+        take[i] -= k
+        left += k * int(lengths[i])
     for i in order:  # far too little: whole documents in seeded order
         if left <= KNAPSACK_WORDS:
             break
@@ -160,7 +160,8 @@ def mix_copies(docs: DataFrame) -> DataFrame:
     plan = stored(plan.join(counts, ["key", "size"]).withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS).cast("long")), "plan")
     h = F.xxhash64(F.lit(SEED), "doc_id")
     dealt = sized.join(plan, ["key", "size"], "left").withColumn("h", h).withColumn("bucket", F.when((F.col("more") > 0) & (F.col("more") < F.col("n")), F.pmod("h", "buckets")))
-    some = dealt.where("bucket is not null")
+    # dealt by bucket too: else the windows would take over the join's dealing by length, hot lengths and all
+    some = dealt.where("bucket is not null").repartition(partitions(docs.sparkSession), "key", "size", "bucket")
     before = some.groupBy("key", "size", "bucket").agg(F.count("*").alias("in_bucket")).withColumn(
         "before", F.sum("in_bucket").over(Window.partitionBy("key", "size").orderBy("bucket")) - F.col("in_bucket")
     )
