@@ -1,13 +1,13 @@
 """SpotSigs: document fingerprints from chains of content words behind common words.
 
 Each common word (anchor) of a text and the CHAIN content words that follow it form one signature. A
-text's signatures are a set; its fingerprint holds the set's size and a bottom-k sketch of it: the
-whole set if it is small, else its SKETCH smallest hashes. Fingerprints are partitioned by set size;
+text's signatures are a set; its fingerprint holds the set's size and the whole set, 64 bits for each
+signature, so the likeness of two fingerprints is the Jaccard of the sets. Fingerprints are partitioned by set size;
 two of them are compared only as far as the sizes allow, for no likeness exceeds smaller over larger.
 
 A text with fewer than FEW signatures also takes every word as an anchor; a text without a word has
-one signature, the text itself (null counts as empty). So equal texts, and no others but by a collision of 64-bit hashes
-or by edits outside all chains, have equal fingerprints.
+one signature, the text itself (null counts as empty). So texts with equal signature sets, and no
+others but by a collision of 64-bit hashes, have equal fingerprints.
 
 The next document: ascending doc_id, after the last the first; null ids come first, rows with one id
 in the order of their texts' hashes. Documents are dealt to ranges of doc_id, and each range also gets
@@ -17,6 +17,7 @@ holds two texts at a time. One document alone is its own next one.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from quillsift.llm import textcore
 from quillsift.llm.runtime import partitions, steady
 
-CHAIN, SKETCH, FEW = 2, 64, 24
+CHAIN, FEW = 2, 24
 #: Most ranges of doc_id that documents are dealt to.
 MOST_RANGES = 16_384
 #: Sizes of the length partitions grow by this factor.
@@ -70,34 +71,33 @@ def signatures(text: str) -> np.ndarray:
     return sigs if len(sigs) >= FEW else np.unique(np.concatenate([sigs, chains(h, h, np.arange(1, len(h) + 1))]))
 
 
+def written(sigs: np.ndarray) -> str:
+    return f"{len(sigs):x}:" + base64.b64encode(sigs.astype(">u8").tobytes()).decode()
+
+
 def fingerprint(text: str) -> str:
-    s = signatures(text)
-    return f"{len(s):x}:" + (s[:SKETCH] >> np.uint64(32)).astype(">u4").tobytes().hex()
+    return written(signatures(text))
 
 
-def read(fp: str) -> tuple[int, np.ndarray]:
-    n, _, sketch = fp.partition(":")
-    return int(n, 16), np.frombuffer(bytes.fromhex(sketch), ">u4")
+def read(fp: str) -> np.ndarray:
+    return np.frombuffer(base64.b64decode(fp.partition(":")[2]), ">u8").astype(np.uint64)
 
 
 def length_partition(n: int) -> int:
     return int(np.log(n) / np.log(LENGTH_FACTOR))
 
 
-def likeness(a: str, b: str, least: float = 0.0) -> float:
-    """Jaccard of two fingerprints' sets, from their sketches (exact if both are whole). 0 without a
-    comparison if set sizes alone keep it under ``least``."""
-    if a == b:
-        return 1.0
-    (na, sa), (nb, sb) = read(a), read(b)
-    bound = min(na, nb) / max(na, nb)
-    if bound < least:
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Of two signature sets. 0 without a comparison if their sizes alone keep it under ``least``."""
+    if min(len(a), len(b)) / max(len(a), len(b)) < least:
         return 0.0
-    both = np.union1d(sa, sb)
-    if na > SKETCH or nb > SKETCH:
-        both = both[both <= min(sa[-1] if na > SKETCH else both[-1], sb[-1] if nb > SKETCH else both[-1])]
-    common = np.isin(both, sa, assume_unique=True) & np.isin(both, sb, assume_unique=True)
-    return float(min(bound, common.mean())) if len(both) else 0.0
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def likeness(a: str, b: str, least: float = 0.0) -> float:
+    """Jaccard of two fingerprints' sets."""
+    return 1.0 if a == b else jaccard(read(a), read(b), least)
 
 
 def edited(text: str, following: str) -> str:
@@ -164,13 +164,13 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
                     home, last = h, None
                 if halo and last is None:  # its range is done
                     continue
-                fp = fingerprint(text)
+                sigs = signatures(text)
                 if last:
                     other = edited(last[1], text)
-                    efp = fingerprint(other)
-                    n = int(last[2].partition(":")[0], 16)
-                    rows.append((last[0], len(last[1]), hashlib.sha256(textcore.raw(other)).hexdigest(), last[2], efp, likeness(last[2], efp), likeness(last[2], fp), n, length_partition(n)))
-                last = None if halo else (doc_id, text, fp)
+                    own, esigs = last[2], signatures(other)
+                    n = len(own)
+                    rows.append((last[0], len(last[1]), hashlib.sha256(textcore.raw(other)).hexdigest(), written(own), written(esigs), jaccard(own, esigs), jaccard(own, sigs), n, length_partition(n)))
+                last = None if halo else (doc_id, text, sigs)
             yield pd.DataFrame(rows, columns=columns)
 
     steady(docs.sparkSession)

@@ -535,6 +535,25 @@ def test_likeness():
     assert spotsigs.likeness(spotsigs.fingerprint("a b"), spotsigs.fingerprint(" ".join(a)), least=0.5) == 0.0
 
 
+def test_large_sets_are_compared_whole(spark):
+    rng = np.random.default_rng(7)
+    w = [("the " if rng.random() < 0.4 else "") + f"w{i}" for i in range(2000)]
+    text, sets = " ".join(w), lambda t: set(spotsigs.signatures(t).tolist())
+    one = [" ".join([*w[:i], w[i] + "x", *w[i + 1 :]]) for i in range(100, 2000, 100)]
+    one = [t for t in one if sets(t) != sets(text)]
+    assert len(one) > 10 and len(sets(text)) > 500
+    for t in one:
+        exact = len(sets(t) & sets(text)) / len(sets(t) | sets(text))
+        assert spotsigs.fingerprint(t) != spotsigs.fingerprint(text) and spotsigs.likeness(spotsigs.fingerprint(t), spotsigs.fingerprint(text)) == exact < 1
+    rows = [(2 * i, text) for i in range(len(one))] + [(2 * i + 1, t) for i, t in enumerate(one)]
+    got = {r.doc_id: r for r in spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(one):
+        r = got[2 * i]
+        assert r.near_next == len(sets(t) & sets(text)) / len(sets(t) | sets(text)) and r.n_signatures == len(sets(text))
+        other = spotsigs.edited(text, t)
+        assert r.near_edited == len(sets(other) & sets(text)) / len(sets(other) | sets(text))
+
+
 def test_ids_stay_whole(spark):
     big = (1 << 60) + 1
     df = spark.createDataFrame([row(big, "a b c"), row(None, "d")], "doc_id long, text string, lang string, source string, n_chars long, a int, b string, c string, d string, e string, f string, g string, h string, i string, j string, k string, l string")
