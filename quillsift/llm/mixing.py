@@ -4,8 +4,10 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 words; a target stops at twice its source's words, and the excess is reshared by weight until no
 target is above. Every document of a source is taken floor(target / source size) times; the rest of
 the budget is filled with one more copy of chosen documents. Which: documents are counted by exact
-length, each length gives its share (rounded by a seeded number), and a bounded knapsack over the
-counts fits what is still missing. Last, so many documents of each length are chosen by seeded hash.
+length, each length gives its share (rounded by a seeded number), some are given back, and a bounded
+knapsack over the counts fits what is missing. If that is not met, more is given back, up to the whole
+budget: so the sum is the nearest there is, or up to MOST_WORDS were open to choice. Last, so many
+documents of each length are chosen by seeded hash.
 
 Only counts by length reach the fitting, one group for each source; their number is bounded by the
 longest text, not by the documents. Documents of one length are ranked in buckets of about
@@ -29,8 +31,9 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST_TIMES = 1.5, 2
 SEED = 20240607
 BUCKET_ROWS = 1024
-#: The knapsack covers a missing budget up to this many words.
-KNAPSACK_WORDS = 32_768
+#: At first so many words, or the longest document, are open to the knapsack; then OPEN_FACTOR times as many
+#: until the budget is met or wholly open. Budgets over MOST_WORDS that none of this meets keep the nearest sum found.
+LEAST_WORDS, OPEN_FACTOR, MOST_WORDS = 16_384, 8, 1 << 24
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,35 +75,36 @@ def seeded(x: np.ndarray) -> np.ndarray:
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> dict[int, int]:
     """How many of each length come nearest to the budget (over it by at most as much as under it)."""
-    top = 2 * budget
+    unit = int(np.gcd.reduce(lengths))
+    lengths = lengths // unit
+    goal = (2 * budget + unit) // (2 * unit)
+    top = min(2 * goal, goal + int(lengths.max())) + 1
     reach = np.zeros(top + 1, bool)
     reach[0] = True
-    via = np.full(top + 1, -1, np.int64)
+    via = np.full(top + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
     order = np.argsort(seeded(lengths + 2), kind="stable")  # no length has the first call on the budget
     for length, count in zip(lengths[order].tolist(), counts[order].tolist(), strict=True):
         k = 1
-        while count and length * k <= top and not reach[budget]:
+        while count and length * k <= top and not reach[goal]:
             k = min(k, count)
             v = length * k
             if v > top:
                 break
-            new = np.zeros_like(reach)
-            new[v:] = reach[: top + 1 - v]
-            new &= ~reach
+            new = np.flatnonzero(reach[: top + 1 - v] & ~reach[v:]) + v
             via[new] = len(items)
-            reach |= new
+            reach[new] = True
             items.append((length, k))
             count -= k
             k *= 2
-        if reach[budget]:
+        if reach[goal]:
             break
     sums = np.flatnonzero(reach)
-    at = int(sums[np.argmin(np.abs(sums - budget))])
+    at = int(sums[np.argmin(np.abs(sums * unit - budget))])
     out: dict[int, int] = {}
     while at:
         length, k = items[via[at]]
-        out[length] = out.get(length, 0) + k
+        out[length * unit] = out.get(length * unit, 0) + k
         at -= length * k
     return out
 
@@ -114,27 +118,47 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget >= total:
         return counts.copy()
     take = np.minimum(counts, np.floor(budget / total * counts + seeded(lengths)).astype(np.int64))
+    useful = lengths <= 2 * budget  # with a longer one the sum is further off than without any
+    take[~useful] = 0
+    if not useful.any():
+        return take
+    unit = int(np.gcd.reduce(lengths[useful]))
+    least = min(budget % unit, -budget % unit)
+    room, best, off = max(LEAST_WORDS, int(lengths[useful].max())), take, budget + 1
+    while True:
+        tried, left = opened(lengths, np.where(useful, counts, 0), take, budget, room)
+        fits = useful & (counts > tried)
+        if left > 0 and fits.any():
+            where = {int(x): i for i, x in enumerate(lengths)}
+            for length, k in knapsack(lengths[fits], (counts - tried)[fits], left).items():
+                tried[where[length]] += k
+        miss = abs(budget - int((tried * lengths).sum()))
+        if miss < off:
+            best, off = tried, miss
+        if off <= least or room >= min(budget, MOST_WORDS) or not fits.any():
+            return best
+        room = min(OPEN_FACTOR * room, max(room, MOST_WORDS))
+
+
+def opened(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int, room: int) -> tuple[np.ndarray, int]:
+    """What to take so that from room to 2 * room words of the budget (all of it, if it is smaller) are
+    left, and how many are. No length is above room."""
+    take = take.copy()
     left = budget - int((take * lengths).sum())
     order = np.argsort(seeded(lengths + 1), kind="stable")
     for i in order:  # give some back, so that the knapsack has choice enough
-        if left >= KNAPSACK_WORDS // 2:
+        if left >= room:
             break
-        k = min(int(take[i]), -((left - KNAPSACK_WORDS // 2) // int(lengths[i])))
+        k = min(int(take[i]), -((left - room) // int(lengths[i])))
         take[i] -= k
         left += k * int(lengths[i])
     for i in order:  # far too little: whole documents in seeded order
-        if left <= KNAPSACK_WORDS:
+        if left <= 2 * room:
             break
-        k = min(int(counts[i] - take[i]), max(0, left - KNAPSACK_WORDS // 2) // int(lengths[i]))
+        k = min(int(counts[i] - take[i]), (left - room) // int(lengths[i]))
         take[i] += k
         left -= k * int(lengths[i])
-    if 0 < left:
-        fits = (counts > take) & (lengths <= 2 * left)
-        budgeted = knapsack(lengths[fits], (counts - take)[fits], left) if left <= KNAPSACK_WORDS else {int(lengths[fits].min()): 1} if fits.any() else {}
-        where = {int(x): i for i, x in enumerate(lengths)}
-        for length, k in budgeted.items():
-            take[where[length]] += k
-    return take
+    return take, left
 
 
 def fit_source(rows: pd.DataFrame) -> pd.DataFrame:

@@ -282,6 +282,29 @@ def test_fitting(counts, share):
     assert (take >= 0).all() and (take <= n).all() and abs(int((take * lengths).sum()) - budget) <= lengths.max()
 
 
+@given(st.integers(0, 10**6))
+@settings(max_examples=20, deadline=None)
+def test_fitting_with_long_documents(seed):
+    def nearest(counts, budget):
+        """Plain: all sums as bits of a number."""
+        sums = 1
+        for x, n in counts.items():
+            for _ in range(n):
+                sums |= sums << x
+        return next(d for d in range(budget + 1) if sums >> (budget - d) & 1 or sums >> (budget + d) & 1)
+
+    rng = np.random.default_rng(seed)
+    short = Counter(rng.integers(50, 550, 500).tolist())
+    cases = [({200_000: 1, 100: 1000}, 200_000), ({300_000: 1} | short, 310_000), ({1: 1, 1000: 2000}, 900_500), ({900_000: 1, 40_000: 3}, 100_000)]
+    cases.append((dict(Counter(rng.integers(33_000, 99_000, 12).tolist())), int(rng.integers(50_000, 500_000))))
+    cases.append((dict(Counter(rng.integers(33_000, 99_000, 6).tolist())) | {7: 300}, int(rng.integers(50_000, 300_000))))
+    for counts, budget in cases:
+        lengths = np.array(sorted(counts))
+        n = np.array([counts[x] for x in lengths.tolist()])
+        take = mixing.fit(lengths, n, budget)
+        assert (take >= 0).all() and (take <= n).all() and abs(int((take * lengths).sum()) - budget) == nearest(counts, budget)
+
+
 # 6
 
 
