@@ -8,7 +8,8 @@ article (or of the body, where no article is marked) becomes the text.
 
 Prose inside an article (headings, paragraphs, quotations, list items) is never counted as template, and
 pages whose articles have one heading count once: an article may be published, as it is or with
-changes, on many pages of one host, and what recurs in its copies is no template.
+changes, on many pages of one host, and what recurs in its copies is no template. A heading over mostly
+different texts (a site's or section's name) names no article; there, the texts are counted.
 
 Null or empty html gives the empty text. A null url counts as a host of its own. Repeated rows give
 repeated results. Only page_id, url and html are read.
@@ -20,15 +21,19 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.llm import textcore
 from quillsift.llm.runtime import steady, stored
 
 #: A subtree is template if it goes with so many of the host's articles at least, and with this share of them.
 LEAST_ARTICLES, LEAST_SHARE = 4, 0.3
+#: Pages with one heading hold different articles if so large a share of them differ in their texts' sketches.
+LEAST_DIFFERENT = 0.5
 #: Up to so many (host, hash) rows, of some 60 bytes each, are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -190,25 +195,51 @@ def text_of(n: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
-def article_key(root: Node) -> int:
-    """Names what a page publishes: the first heading of its article, else the article's first words,
-    else the whole page."""
-    stack, article = [root], None
+def hash_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def article_of(root: Node) -> Node | None:
+    stack = [root]
     while stack:
         n = stack.pop()
-        if n.tag in ARTICLE and article is None:
-            article = n
-            break
+        if n.tag in ARTICLE:
+            return n
         stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+    return None
+
+
+def body_sketch(root: Node) -> int:
+    """The least hash of three words in a row of the paragraphs (of all text, if there is none): texts
+    that share most of their words have one sketch, mostly."""
+    said, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if n.tag == "p":
+            said.append(text_of(n))
+        else:
+            stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+    h = textcore.word_hashes(textcore.raw(" ".join(said) or text_of(root)))
+    if len(h) > 2:
+        h = (h[:-2] * textcore.WORD_BASE + h[1:-1]) * textcore.WORD_BASE + h[2:]
+    return int(textcore.mix(h).min().astype(np.int64)) if len(h) else 0
+
+
+def article_key(root: Node) -> tuple[bool, int, int]:
+    """Names what a page publishes: whether an article is marked; its first heading, else its first
+    words; a sketch of its text. Without a marked article, the page's sketch and its whole text."""
+    article = article_of(root)
+    if article is None:
+        return False, body_sketch(root), hash_of(text_of(root))
     said = ""
-    stack = [article] if article else []
+    stack = [article]
     while stack and not said:
         n = stack.pop()
         if len(n.tag) == 2 and n.tag[0] == "h" and n.tag[1].isdigit():
             said = text_of(n)
         stack += [c for c in reversed(n.children) if isinstance(c, Node)]
-    said = said or article and " ".join(text_of(article).split()[:8]) or text_of(root)
-    return xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass")) - (1 << 63)
+    said = said or " ".join(text_of(article).split()[:8]) or text_of(root)
+    return True, hash_of(said), body_sketch(article)
 
 
 def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -269,13 +300,17 @@ def site_templates(pages: DataFrame) -> DataFrame:
             rows = []
             for host, html in zip(b.host, b.html, strict=True):
                 root = parse(html)
-                key = article_key(root)
-                rows += [(host, x, key) for x in {x for _, x in template_candidates(root)}] + [(host, None, key)]
-            hosts, hashes, keys = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"host": hosts, "hash": pd.array(hashes, "Int64"), "key": keys})
+                named = article_key(root)
+                rows += [(host, x, *named) for x in {x for _, x in template_candidates(root)}] + [(host, None, *named)]
+            hosts, hashes, marked, keys, bodies = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pd.DataFrame({"host": hosts, "hash": pd.array(hashes, "Int64"), "marked": marked, "key": keys, "body": bodies})
 
     # a row without a hash stands for the page itself
-    counts = pages.mapInPandas(subtrees, "host string, hash long, key long").groupBy("host", "hash").agg(F.count_distinct("key").alias("n"))
+    found = pages.mapInPandas(subtrees, "host string, hash long, marked boolean, key long, body long")
+    bodies = found.groupBy("host", "hash", "marked", "key", "body").agg(F.count("*").alias("pages"))
+    named = bodies.groupBy("host", "hash", "marked", "key").agg(F.count("*").alias("bodies"), F.sum("pages").alias("pages"))
+    differ = ~F.col("marked") | (F.col("bodies") >= LEAST_ARTICLES) & (F.col("bodies") >= LEAST_DIFFERENT * F.col("pages"))
+    counts = named.groupBy("host", "hash").agg(F.sum(F.when(differ, F.col("bodies")).otherwise(1)).alias("n"))
     counts = stored(counts, "subtrees")
     sizes = counts.where("hash is null").select("host", F.col("n").alias("articles"))
     return (

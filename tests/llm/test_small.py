@@ -96,6 +96,24 @@ def test_templates_go(spark):
     assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def prose(i):
+    return " ".join(f"t{i * 7919 % 1009}w{k * i % 97}" for k in range(40))
+
+
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_one_heading_over_many_articles(spark):
+    page = lambda text: f"<body><main><h2>News</h2><div><div>Read our terms</div></div><p>{text}</p></main></body>"
+    got = texts_of(spark, [(i, f"http://n.org/{i}", page(prose(i))) for i in range(1, 13)])
+    assert all(got[i] == "News\n\n" + prose(i) for i in range(1, 13))
+    # copies of one article with changes: nothing of it is template
+    copies = [prose(1).replace(f"w{k * 1 % 97}", "changed", 1) for k in range(30, 38)] + [prose(1)] * 8
+    got = texts_of(spark, [(i, f"http://n.org/{i}", page(t)) for i, t in enumerate(copies)])
+    assert all(got[i] == "News\n\nRead our terms\n\n" + t for i, t in enumerate(copies))
+
+
 # 2
 
 
