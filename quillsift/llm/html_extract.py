@@ -9,7 +9,8 @@ article (or of the body, where no article is marked) becomes the text.
 Prose inside an article (headings, paragraphs, quotations, list items) is never counted as template, and
 pages whose articles have one heading count once: an article may be published, as it is or with
 changes, on many pages of one host, and what recurs in its copies is no template. A heading over mostly
-different texts (a site's or section's name) names no article; there, the texts are counted.
+different texts (a site's or section's name) names no article; there, the texts are counted. Where no
+article is marked, what recurs mostly in texts with one sketch counts as copied, unless it goes with the share.
 
 Null or empty html gives the empty text. A null url counts as a host of its own. Repeated rows give
 repeated results. Only page_id, url and html are read.
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from quillsift.llm import textcore
 from quillsift.llm.runtime import steady, stored
 
-#: A subtree is template if it goes with so many of the host's articles at least, and with this share of them.
-LEAST_ARTICLES, LEAST_SHARE = 4, 0.3
+#: A subtree is template if it goes with so many of the host's articles at least, and with this share of them,
+#: or with MANY_ARTICLES, whatever their share.
+LEAST_ARTICLES, LEAST_SHARE, MANY_ARTICLES = 4, 0.3, 10
 #: Pages with one heading hold different articles if so large a share of them differ in their texts' sketches.
 LEAST_DIFFERENT = 0.5
 #: Up to so many (host, hash) rows, of some 60 bytes each, are broadcast; more are joined by shuffle.
@@ -292,8 +294,8 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """host, hashes: the template subtrees of each host that has any. A host has few: each is on a
-    fixed share of its pages, so their number is bounded by the size of a page over that share."""
+    """host, hashes: the template subtrees of each host that has any. Each is on MANY_ARTICLES pages or
+    a fixed share of them, so their number is bounded by the host's subtrees over MANY_ARTICLES."""
 
     def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -310,13 +312,15 @@ def site_templates(pages: DataFrame) -> DataFrame:
     bodies = found.groupBy("host", "hash", "marked", "key", "body").agg(F.count("*").alias("pages"))
     named = bodies.groupBy("host", "hash", "marked", "key").agg(F.count("*").alias("bodies"), F.sum("pages").alias("pages"))
     differ = ~F.col("marked") | (F.col("bodies") >= LEAST_ARTICLES) & (F.col("bodies") >= LEAST_DIFFERENT * F.col("pages"))
-    counts = named.groupBy("host", "hash").agg(F.sum(F.when(differ, F.col("bodies")).otherwise(1)).alias("n"))
+    counts = named.groupBy("host", "hash").agg(
+        F.sum(F.when(differ, F.col("bodies")).otherwise(1)).alias("n"), F.sum(F.when(differ & F.col("marked"), F.col("bodies")).otherwise(1)).alias("apart")
+    )
     counts = stored(counts, "subtrees")
     sizes = counts.where("hash is null").select("host", F.col("n").alias("articles"))
     return (
         counts.where(F.col("hash").isNotNull() & (F.col("n") >= LEAST_ARTICLES))
         .join(sizes, "host")
-        .where(F.col("n") >= LEAST_SHARE * F.col("articles"))
+        .where((F.col("n") >= LEAST_SHARE * F.col("articles")) | (F.col("apart") >= MANY_ARTICLES) & (F.col("apart") >= LEAST_DIFFERENT * F.col("n")))
         .groupBy("host")
         .agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
     )

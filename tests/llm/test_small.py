@@ -114,6 +114,20 @@ def test_one_heading_over_many_articles(spark):
     assert all(got[i] == "News\n\nRead our terms\n\n" + t for i, t in enumerate(copies))
 
 
+def test_section_templates_of_a_large_host(spark):
+    banner = lambda k: f"<div><div>Desk number {k}</div></div>"
+    plain = lambda k, text, date: f"<body>{banner(k)}<div><p>{text}</p></div><div>{date}</div></body>"
+    marked = lambda k, i: f"<body><main><h2>Story {i}</h2>{banner(k)}<p>{prose(i)}</p></main></body>"
+    rows = [(i, f"http://plain.org/{i}", plain(i % 10, prose(i), f"day {i}")) for i in range(1, 151)]
+    rows += [(1000 + i, f"http://plain.org/copy{i}", plain(77, prose(999), f"day {1000 + i}")) for i in range(12)]
+    rows += [(2000 + i, f"http://marked.org/{i}", marked(i % 10, i)) for i in range(1, 151)]
+    got = texts_of(spark, rows)
+    for i in range(1, 151):  # each banner is on a tenth of its host's pages
+        assert got[i] == f"{prose(i)}\n\nday {i}" and got[2000 + i] == f"Story {i}\n\n{prose(i)}"
+    for i in range(12):  # copies of one article
+        assert prose(999) in got[1000 + i]
+
+
 # 2
 
 
