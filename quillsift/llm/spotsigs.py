@@ -2,8 +2,9 @@
 
 Each common word (anchor) of a text and the CHAIN content words that follow it form one signature. A
 text's signatures are a set; its fingerprint holds the set's size and the whole set, 64 bits for each
-signature, so the likeness of two fingerprints is the Jaccard of the sets. Fingerprints are partitioned by set size;
-two of them are compared only as far as the sizes allow, for no likeness exceeds smaller over larger.
+signature, so the likeness of two fingerprints is the Jaccard of the sets. The
+partition by set size is a column of the result; the two comparisons made here don't need it, nor the bound
+by the sizes (no likeness exceeds smaller over larger), which ``jaccard`` applies where ``least`` is given.
 
 A text with fewer than FEW signatures also takes every word as an anchor; a text without a word has
 one signature, the text itself (null counts as empty). So texts with equal signature sets, and no
