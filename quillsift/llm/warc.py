@@ -10,6 +10,9 @@ head of each candidate member to see whether a WARC record begins there, and own
 members start inside its range. No index and no record boundary need to be known beforehand. Nothing
 larger than a chunk and one record is held.
 
+What a row says of a response is counted and hashed from the payload that was read; a header that says
+otherwise is an error. A revisit has no payload, so its header is held against the response it refers to.
+
 Null html is the empty payload. A null page_id is kept as null and refers to nothing by number. Rows
 with the same page_id and payload can't be told apart: both are responses. Files are reached through
 pyarrow's file systems, by the scheme of the shared folder's URI.
@@ -101,24 +104,33 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return stored(pages.select(text("page_id"), "url", "html", text("refers_to")).mapInPandas(write, "path string, bytes long, records long"), "manifest")
 
 
+class Corrupt(ValueError):
+    pass
+
+
 def parse_record(data: bytes) -> dict:
+    """The fields of a record. Size and digest are those of the payload; only a revisit, which has none,
+    is taken at its word."""
     head, _, block = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    http, _, payload = block[: int(fields["content-length"])].partition(b"\r\n\r\n")
-    sizes = [int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
     ident = lambda k: fields.get(k, "").removeprefix(f"<{ID}").removesuffix(">") or None
+    name, size = ident("warc-record-id"), int(fields["content-length"])
+    if len(block) < size:
+        raise Corrupt(f"record {name} holds {len(block)} bytes instead of {size}")
+    http, _, payload = block[:size].partition(b"\r\n\r\n")
+    said = next((int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    if fields.get("warc-type") != "revisit":
+        found = hashlib.sha1(payload).hexdigest()
+        if (said, digest) != (len(payload), found):
+            raise Corrupt(f"the payload of record {name} is {len(payload)} bytes with digest {found}, its heads say {said} and {digest!r}")
     return {
-        "page_id": ident("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": sizes[0] if sizes else len(payload),
-        "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "record_type": fields.get("warc-type"),
-        "refers_to": ident("warc-refers-to"), "payload": payload,
+        "page_id": name, "url": fields.get("warc-target-uri"), "payload_bytes": said, "payload_digest": digest,
+        "record_type": fields.get("warc-type"), "refers_to": ident("warc-refers-to"), "payload": payload,
     }
 
 
-class Corrupt(ValueError):
-    pass
-
-
 def record_at(f, at: int, size: int) -> tuple[bytes, int] | None:
     """The record of the gzip member at a place and the member's end, or None where no WARC record
     begins: the bytes there only look like the magic. Damage after a valid head is an error, never a
@@ -191,12 +203,21 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
     return splits.repartition(partitions(spark)).mapInPandas(read, schema + (", payload binary" if payloads else ""))
 
 
+def check_revisits(records: DataFrame) -> None:
+    whole = records.where("record_type <> 'revisit'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    lost = records.where("record_type = 'revisit'").join(whole, ["refers_to", "payload_bytes", "payload_digest"], "left_anti").select("page_id").take(1)
+    if lost:
+        raise Corrupt(f"record {lost[0].page_id} revisits no response with its payload")
+
+
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages as archives in the shared folder, reads them back from the bytes."""
+    """Writes the pages as archives in the shared folder, reads them back from the bytes. Fails if a
+    revisit's size and digest aren't those of the response that it refers to."""
     spark = pages.sparkSession
     steady(spark)
     kind = dict(pages.dtypes)["page_id"]
     folder = table_path(spark, "warc")
     manifest = write_archives(with_revisits(pages), folder)
-    back = read_archives(spark, manifest, folder=folder)
+    back = stored(read_archives(spark, manifest, folder=folder), "records")
+    check_revisits(back)
     return back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url")

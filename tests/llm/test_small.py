@@ -542,7 +542,7 @@ def test_splits(tmp_path, split):
 def test_false_magic_and_damage(tmp_path):
     import gzip
 
-    good = warc.record(1, "u", b"p", "0", None)
+    good = warc.record(1, "u", b"p", hashlib.sha1(b"p").hexdigest(), None)
     data = b"\x1f\x8b\x08 no member" + good + gzip.compress(b"no record") + warc.MAGIC + good
     (tmp_path / "a").write_bytes(data)
     with open(tmp_path / "a", "rb") as f:
@@ -551,6 +551,29 @@ def test_false_magic_and_damage(tmp_path):
             list(warc.records_in(f, 0, len(data), len(data) - 3))
 
 
+def test_rows_come_from_the_payload(spark):
+    whole, again = hashlib.sha1(b"payload").hexdigest(), lambda data: gzip_text(data)
+    assert warc.parse_record(again(warc.record(1, "u", b"payload", whole, None)))["payload_digest"] == whole
+    with pytest.raises(warc.Corrupt):  # a wrong digest in the head
+        warc.parse_record(again(warc.record(1, "u", b"payload", "notthedigest", None)))
+    good = again(warc.record(1, "u", b"payload", whole, None))
+    for damaged in (good.replace(b"payload\r\n", b"pAyload\r\n"), good.replace(b"Content-Length: 7", b"Content-Length: 8"), good[:-8]):
+        with pytest.raises(warc.Corrupt):
+            warc.parse_record(damaged)
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+    rows = [("9", 7, whole, "response", None), ("1", 7, whole, "revisit", "9")]
+    warc.check_revisits(spark.createDataFrame(rows, schema))
+    for wrong in (("1", 8, whole, "revisit", "9"), ("1", 7, "other", "revisit", "9"), ("1", 7, whole, "revisit", "8")):
+        with pytest.raises(warc.Corrupt):
+            warc.check_revisits(spark.createDataFrame([*rows, wrong], schema))
+
+
+def gzip_text(data):
+    import gzip
+
+    return gzip.decompress(data)
+
+
 # 10
 
 
