@@ -14,9 +14,11 @@ unbounded group.
 
 Of equal passages the first (smallest doc_id, then place) is the original, all others are copies.
 
-Words are ``[^\\x20\\x09-\\x0D]+``; spans are in words. Null and empty texts hold nothing. Rows without a
-doc_id are left out; rows that share a doc_id count as one document (a repeated row is no repeat of
-itself). An empty table gives an empty result. Only doc_id and text are read.
+Words are ``[^\\x20\\x09-\\x0D]+``; spans are in words. Null and empty texts hold nothing; texts of any
+length are read whole. Rows without a doc_id are left out. A document is a doc_id with a text: a repeated
+row is no repeat of itself, and several texts under one id are documents of their own, in the order of
+their hashes. Ids may be numbers or strings. An empty table gives an empty result. Only doc_id and text
+are read.
 """
 
 from __future__ import annotations
@@ -87,21 +89,25 @@ def suffixes_of(words: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, p, left, right, gram, around: the sparse suffixes of every document."""
+    """doc_id, text_hash, p, left, right, gram, around: the sparse suffixes of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = []
-            for doc_id, text in zip(b.doc_id, b.text, strict=True):
+            parts, ids, hashes, n = [], [], [], []
+            for doc_id, text_hash, text in zip(b.doc_id, b.text_hash, b.text, strict=True):
                 words = textcore.word_hashes(textcore.raw(text))
                 if len(words) >= LEAST:
                     p, left, right, gram, around = suffixes_of(words)
-                    parts.append((np.full(len(p), doc_id, np.int64), p, left, right, gram.view(np.int64), around.view(np.int64)))
+                    n.append(len(p))
+                    ids.append(doc_id)
+                    hashes.append(text_hash)
+                    parts.append((p, left, right, gram.view(np.int64), around.view(np.int64)))
             if parts:
-                yield pd.DataFrame(dict(zip(("doc_id", "p", "left", "right", "gram", "around"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                each = dict(zip(("p", "left", "right", "gram", "around"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
+                yield pd.DataFrame({"doc_id": pd.Series(ids).repeat(n).array, "text_hash": np.repeat(hashes, n)} | each)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, p int, left int, right int, gram long, around long")
+    return docs.where("doc_id is not null").mapInPandas(run, f"doc_id {kind}, text_hash long, p int, left int, right int, gram long, around long")
 
 
 def extensions(words: np.ndarray, length: np.ndarray, left: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +141,8 @@ def runs(row: np.ndarray, start: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return a[0], a[1], b[1]
 
 
-MATCHES = "gram long, around long, a int, b int, is_copy boolean, first_doc long"
+#: The first_doc of matches has the type of the ids.
+MATCHES = "gram long, around long, a int, b int, is_copy boolean, first_doc {}"
 
 
 def compared(classes: pd.DataFrame) -> pd.DataFrame:
@@ -145,8 +152,9 @@ def compared(classes: pd.DataFrame) -> pd.DataFrame:
     words, length = matrix(list(classes.words))
     left, several = classes.left.to_numpy(), classes.several.to_numpy().astype(bool)
     h, row, start = extensions(words, length, left, classes.gram.to_numpy().view(np.uint64))
+    code, ids = pd.factorize(classes.first_doc, sort=True)
     rank = np.empty(len(classes), np.int64)
-    rank[np.lexsort((classes.first_p, classes.first_doc))] = np.arange(len(classes))
+    rank[np.lexsort((classes.first_p, classes.first_hash, code))] = np.arange(len(classes))
     order = np.lexsort((rank[row], h))
     h, row, start = h[order], row[order], start[order]
     if not len(h):
@@ -159,10 +167,10 @@ def compared(classes: pd.DataFrame) -> pd.DataFrame:
     for copy in (True, False):
         pick = row != lead if copy else (row == lead) & (some | several[row])
         r, a, b = runs(row[pick], start[pick], len(classes))
-        first = np.full(len(classes), np.iinfo(np.int64).max)
-        np.minimum.at(first, row[pick], classes.first_doc.to_numpy()[lead[pick]])
+        first = np.full(len(classes), len(ids))
+        np.minimum.at(first, row[pick], code[lead[pick]])
         c = classes.iloc[r]
-        out.append(pd.DataFrame({"gram": c.gram.to_numpy(), "around": c.around.to_numpy(), "a": a - left[r], "b": b - left[r], "is_copy": copy, "first_doc": first[r]}))
+        out.append(pd.DataFrame({"gram": c.gram.to_numpy(), "around": c.around.to_numpy(), "a": a - left[r], "b": b - left[r], "is_copy": copy, "first_doc": ids[first[r]]}))
     return pd.concat(out)
 
 
@@ -183,7 +191,7 @@ def grouped_matches(classes: DataFrame) -> DataFrame:
             yield compared(rest)
 
     n = partitions(classes.sparkSession)
-    return classes.repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(run, MATCHES)
+    return classes.repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(run, MATCHES.format(dict(classes.dtypes)["first_doc"]))
 
 
 def dealt_matches(classes: DataFrame) -> DataFrame:
@@ -194,10 +202,11 @@ def dealt_matches(classes: DataFrame) -> DataFrame:
             words, length = matrix(list(b.words))
             h, row, start = extensions(words, length, b.left.to_numpy(), b.gram.to_numpy().view(np.uint64))
             c = b.drop(columns="words").iloc[row]
-            yield pd.DataFrame({"h": h.view(np.int64), "gram": c.gram, "around": c.around, "s": start - c.left.to_numpy(), "first_doc": c.first_doc, "first_p": c.first_p, "several": c.several})
+            yield pd.DataFrame({"h": h.view(np.int64), "gram": c.gram, "around": c.around, "s": start - c.left.to_numpy(), "first_doc": c.first_doc, "first_hash": c.first_hash, "first_p": c.first_p, "several": c.several})
 
-    rows = classes.mapInPandas(spread, "h long, gram long, around long, s int, first_doc long, first_p int, several boolean")
-    leads = rows.groupBy("h").agg(F.min(F.struct("first_doc", "first_p", "around")).alias("lead"), (F.min("around") != F.max("around")).alias("some"))
+    kind = dict(classes.dtypes)["first_doc"]
+    rows = classes.mapInPandas(spread, f"h long, gram long, around long, s int, first_doc {kind}, first_hash long, first_p int, several boolean")
+    leads = rows.groupBy("h").agg(F.min(F.struct("first_doc", "first_hash", "first_p", "around")).alias("lead"), (F.min("around") != F.max("around")).alias("some"))
     marks = rows.join(leads, "h").withColumn("is_copy", F.col("around") != F.col("lead.around")).where("is_copy or some or several")
     marks = marks.select("gram", "around", "s", "is_copy", F.col("lead.first_doc").alias("first_doc"))
     per = marks.groupBy("gram", "around", "is_copy").agg(F.collect_set("s").alias("s"), F.min("first_doc").alias("first_doc"))  # at most LEFT + 1 starts each
@@ -210,83 +219,96 @@ def dealt_matches(classes: DataFrame) -> DataFrame:
             c = b.iloc[r]
             yield pd.DataFrame({"gram": c.gram, "around": c.around, "a": a - LEFT, "b": e - LEFT, "is_copy": c.is_copy, "first_doc": c.first_doc})
 
-    return per.mapInPandas(unite, MATCHES)
+    return per.mapInPandas(unite, MATCHES.format(kind))
 
 
 def with_words(picked: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds to classes the word hashes of their windows, from their first place: left, words."""
-    wanted = picked.groupBy("first_doc").agg(F.collect_list(F.struct("gram", "around", "first_p", "several")).alias("wanted"))  # no more than a document has suffixes
-    wanted = wanted.select("first_doc", *[F.col(f"wanted.{c}").alias(c) for c in ("gram", "around", "first_p", "several")])
+    place = ("gram", "around", "first_p", "several")
+    wanted = picked.groupBy("first_doc", "first_hash").agg(F.collect_list(F.struct(*place)).alias("wanted"))  # no more than a document has suffixes
+    wanted = wanted.select("first_doc", "first_hash", *[F.col(f"wanted.{c}").alias(c) for c in place])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, text, grams, arounds, places, several in zip(b.first_doc, b.text, b.gram, b.around, b.first_p, b.several, strict=True):
+            for doc_id, text_hash, text, grams, arounds, places, several in zip(b.first_doc, b.first_hash, b.text, b.gram, b.around, b.first_p, b.several, strict=True):
                 words = textcore.word_hashes(textcore.raw(text))
-                p, left, right, _, around = suffixes_of(words)
+                p, left, right, _, _ = suffixes_of(words)
                 at = {x: i for i, x in enumerate(p.tolist())}
                 for g, a, x, many in zip(grams.tolist(), arounds.tolist(), places.tolist(), several.tolist(), strict=True):
-                    i = at.get(x)
-                    if i is not None and around[i].view(np.int64) == a:  # of several texts under one id, that which the class was seen in
-                        rows.append((g, a, doc_id, x, left[i], many, words[x - left[i] : x + right[i]].tobytes()))
-            yield pd.DataFrame(rows, columns=["gram", "around", "first_doc", "first_p", "left", "several", "words"])
+                    i = at[x]
+                    rows.append((g, a, doc_id, text_hash, x, left[i], many, words[x - left[i] : x + right[i]].tobytes()))
+            yield pd.DataFrame(rows, columns=["gram", "around", "first_doc", "first_hash", "first_p", "left", "several", "words"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text").join(wanted, "first_doc")
-    got = rows.mapInPandas(run, "gram long, around long, first_doc long, first_p int, left int, several boolean, words binary")
-    return got
+    rows = docs.select(F.col("doc_id").alias("first_doc"), F.col("text_hash").alias("first_hash"), "text").join(wanted, ["first_doc", "first_hash"])
+    return rows.mapInPandas(run, f"gram long, around long, first_doc {dict(docs.dtypes)['doc_id']}, first_hash long, first_p int, left int, several boolean, words binary")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start_word, n_words, is_copy, first_doc_id: the maximal stretches of each document that
-    lie in passages repeated elsewhere (is_copy: there is an earlier occurrence; else these are the
-    originals). first_doc_id is the smallest id that holds an original of a part of the stretch."""
+#: What names a document, and the first place of a class.
+DOC, FIRST = ["doc_id", "text_hash"], ["first_doc", "first_hash", "first_p"]
+
+
+def spans_by_document(docs: DataFrame) -> DataFrame:
+    """The rows of ``repeated_spans`` with the text_hash of the document that each belongs to."""
     steady(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = dict(docs.dtypes)["doc_id"]
     all_anchors = stored(anchors(docs), "anchors")
-    place = F.xxhash64("doc_id", "p")
+    place = F.xxhash64(*DOC, "p")
     grams = all_anchors.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.min("around").alias("c0"), F.max("around").alias("c1")).where("x <> y")
     # stored first, so that the join's other side may be split where a gram is hot
     grams = stored(grams.select("gram", (F.col("c0") != F.col("c1")).alias("varied")), "grams")
     hits = stored(all_anchors.join(grams, "gram"), "hits")
     dropped(all_anchors, grams)
     classes = stored(
-        hits.groupBy("gram", "around", "varied").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc"), "p")).alias("first"), F.min(place).alias("x"), F.max(place).alias("y"))
-        .select("gram", "around", "varied", F.col("first.doc").alias("first_doc"), F.col("first.p").alias("first_p"), (F.col("x") != F.col("y")).alias("several")),
+        hits.groupBy("gram", "around", "varied").agg(F.min(F.struct(*DOC, "p")).alias("first"), F.min(place).alias("x"), F.max(place).alias("y"))
+        .select("gram", "around", "varied", F.col("first.doc_id").alias("first_doc"), F.col("first.text_hash").alias("first_hash"), F.col("first.p").alias("first_p"), (F.col("x") != F.col("y")).alias("several")),
         "classes",
     )
-    varied = stored(with_words(classes.where("varied").select("gram", "around", "first_doc", "first_p", "several"), docs), "contexts")
+    varied = stored(with_words(classes.where("varied").select("gram", "around", *FIRST, "several"), docs), "contexts")
     crowded = varied.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > GROUP).select("gram")
     crowded = stored(crowded, "crowded")
     across = grouped_matches(varied.join(crowded, "gram", "left_anti"))
     if not crowded.isEmpty():
         across = across.unionByName(dealt_matches(varied.join(crowded, "gram")))
+    across = stored(across, "across")
+    dropped(varied, crowded)
     # within classes: every member but the first is a copy in all its windows; the first one is original
     # unless a comparison with other classes decides that
-    own = hits.join(classes.where("several").select("gram", "around", "first_doc", "first_p"), ["gram", "around"])
-    own = own.withColumn("is_copy", (F.col("doc_id") != F.col("first_doc")) | (F.col("p") != F.col("first_p"))).where("is_copy or not varied")
-    own = own.select("doc_id", (F.col("p") - F.col("left")).alias("a"), (F.col("p") + F.col("right")).alias("b"), "is_copy", "first_doc")
+    is_first = (F.col("doc_id") == F.col("first_doc")) & (F.col("text_hash") == F.col("first_hash")) & (F.col("p") == F.col("first_p"))
+    own = hits.join(classes.where("several").select("gram", "around", *FIRST), ["gram", "around"])
+    own = own.withColumn("is_copy", ~is_first).where("is_copy or not varied")
+    own = own.select(*DOC, (F.col("p") - F.col("left")).alias("a"), (F.col("p") + F.col("right")).alias("b"), "is_copy", "first_doc")
     # matches across classes hold for each member; the originals' other members are copies already
-    matches = across.join(classes.select("gram", "around", F.col("first_doc").alias("fd"), F.col("first_p").alias("fp")), ["gram", "around"])
-    spread = hits.join(stored(matches, "matches"), ["gram", "around"])
-    spread = spread.where("is_copy or (doc_id = fd and p = fp)").select("doc_id", (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"), "is_copy", "first_doc")
-    marks = own.unionByName(spread).groupBy("doc_id", "is_copy", "a", "b").agg(F.min("first_doc").alias("first_doc"))
-    per = marks.groupBy("doc_id", "is_copy").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first_doc"))).alias("marks"))  # no more than a document has suffixes
-    per = per.select("doc_id", "is_copy", *[F.col(f"marks.{c}").alias(c) for c in ("a", "b", "first_doc")])
+    matches = stored(across.withColumnRenamed("first_doc", "found_doc").join(classes.select("gram", "around", *FIRST), ["gram", "around"]), "matches")
+    spread = hits.join(matches, ["gram", "around"]).where(F.col("is_copy") | is_first)
+    spread = spread.select(*DOC, (F.col("p") + F.col("a")).alias("a"), (F.col("p") + F.col("b")).alias("b"), "is_copy", F.col("found_doc").alias("first_doc"))
+    marks = own.unionByName(spread).groupBy(*DOC, "is_copy", "a", "b").agg(F.min("first_doc").alias("first_doc"))
+    per = marks.groupBy(*DOC, "is_copy").agg(F.array_sort(F.collect_list(F.struct("a", "b", "first_doc"))).alias("marks"))  # no more than a document has suffixes
+    per = per.select(*DOC, "is_copy", *[F.col(f"marks.{c}").alias(c) for c in ("a", "b", "first_doc")])
 
     def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, copy, starts, ends, firsts in zip(b.doc_id, b.is_copy, b.a, b.b, b.first_doc, strict=True):
+            for doc_id, text_hash, copy, starts, ends, firsts in zip(b.doc_id, b.text_hash, b.is_copy, b.a, b.b, b.first_doc, strict=True):
                 # a stretch begins where no earlier one reaches
                 reach = np.maximum.accumulate(ends)
                 at = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
                 until = np.append(at[1:], len(starts)) - 1
-                for s, e, first in zip(starts[at].tolist(), reach[until].tolist(), np.minimum.reduceat(firsts, at).tolist(), strict=True):
-                    rows.append((doc_id, s, e - s, copy, first))
-            yield pd.DataFrame(rows, columns=["doc_id", "start_word", "n_words", "is_copy", "first_doc_id"])
+                for s, e, u, v in zip(starts[at].tolist(), reach[until].tolist(), at.tolist(), until.tolist(), strict=True):
+                    rows.append((doc_id, text_hash, s, e - s, copy, min(firsts[u : v + 1])))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "start_word", "n_words", "is_copy", "first_doc_id"])
 
-    return per.mapInPandas(unite, f"doc_id {kind}, start_word long, n_words long, is_copy boolean, first_doc_id {kind}")
+    out = stored(per.mapInPandas(unite, f"doc_id {kind}, text_hash long, start_word long, n_words long, is_copy boolean, first_doc_id {kind}"), "spans")
+    dropped(hits, classes, across, matches)
+    return out
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, start_word, n_words, is_copy, first_doc_id: the maximal stretches of each document that
+    lie in passages repeated elsewhere (is_copy: there is an earlier occurrence; else these are the
+    originals). first_doc_id is the smallest id that holds an original of a part of the stretch."""
+    return spans_by_document(docs).drop("text_hash")
 
 
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -306,14 +328,17 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents with every copied passage cut out (originals stay), with the columns they came
-    with; n_chars, where there is such a column, counts anew. Documents of which no word is left go."""
-    copies = repeated_spans(docs).where("is_copy").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
+    with; n_chars, where there is such a column, counts anew. Each row loses the copies of its own text
+    alone, whatever else is stored under its id; rows without an id stay as they are. Documents of which
+    no word is left go."""
+    copies = spans_by_document(docs).where("is_copy").groupBy(*DOC).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without_spans(t, [(x["start_word"], x["n_words"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id") == F.col("c.doc_id"), "left").withColumn("__cut", cut(F.col("d.text"), F.col("c.spans")))
+    same = (F.col("d.doc_id") == F.col("c.doc_id")) & (F.xxhash64("d.text") == F.col("c.text_hash"))
+    joined = docs.alias("d").join(copies.alias("c"), same, "left").withColumn("__cut", cut(F.col("d.text"), F.col("c.spans")))
     fresh = {"text": F.col("__cut")}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.when(F.col("c.spans").isNull(), F.col("d.n_chars")).otherwise(F.length("__cut").cast(dict(docs.dtypes)["n_chars"]))

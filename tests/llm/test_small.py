@@ -400,6 +400,19 @@ def test_suffixes_mixture(spark, monkeypatch, group):
     assert spans_of(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)) == repeats(texts)
 
 
+def test_texts_under_one_id(spark):
+    """Only copies go, whatever else has the same id; ids may be strings."""
+    a, tail, b = STORY, " ".join(f"tail{i}" for i in range(60)), " ".join(f"own{i}" for i in range(100))
+    rows = [(0, a), (1, f"{a} {tail}"), (1, b), (1, b), (None, a)]
+    for kind, name in (("long", lambda i: i), ("string", lambda i: i if i is None else f"id{i}")):
+        df = spark.createDataFrame([(name(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        assert spans_of(df) == [(name(0), 0, 120, False, name(0)), (name(1), 0, 120, True, name(0))]
+        left = Counter((r.doc_id, r.text) for r in suffixes.without_copies(df).collect())
+        assert left == Counter([(name(0), a), (name(1), tail), (name(1), b), (name(1), b), (None, a)])
+    twice = spark.createDataFrame([(1, a), (1, f"{a} {tail}"), (1, a)], "doc_id long, text string")
+    assert sorted(x[1:] for x in spans_of(twice)) == [(0, 120, False, 1), (0, 120, True, 1)]
+
+
 # 7
 
 
