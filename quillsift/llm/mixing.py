@@ -6,16 +6,18 @@ target is above. Every document of a source is taken floor(target / source size)
 the budget is filled with one more copy of chosen documents. Which: documents are counted by exact
 length, each length gives its share (rounded by a seeded number), some are given back, and a bounded
 knapsack over the counts fits what is missing. If that is not met, more is given back, up to the whole
-budget: so the sum is the nearest there is, or up to MOST_WORDS were open to choice. Last, so many
-documents of each length are chosen by seeded hash.
+budget: so the sum is the nearest there is. Only where over MOST_WORDS are missing and more than MOST_SUMS
+different sums can be made, sums closer together than a MOST_SUMS-th of the budget count as one. Last, so
+many documents of each length are chosen by seeded hash.
 
 Only counts by length reach the fitting, one group for each source; their number is bounded by the
 longest text, not by the documents. Documents of one length are ranked in buckets of about
 BUCKET_ROWS, so copies in any number spread over tasks.
 
-Null text has size 0; documents of size 0 are never taken. A null source is a source of its own.
-Rows with one doc_id are told apart by nothing: any of them may be the one taken once more. An empty
-table gives an empty result.
+Null text has size 0; documents of size 0 are never taken. A null source is a source of its own. Texts
+of any length are counted whole. Rows are dealt one by one, whatever their doc_id (it may be null, repeated,
+a string): of rows alike in doc_id, source and text, which one is taken once more is told by nothing, and
+they are ranked as one row that stands for several. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ SHARE, MOST_TIMES = 1.5, 2
 SEED = 20240607
 BUCKET_ROWS = 1024
 #: At first so many words, or the longest document, are open to the knapsack; then OPEN_FACTOR times as many
-#: until the budget is met or wholly open. Budgets over MOST_WORDS that none of this meets keep the nearest sum found.
-LEAST_WORDS, OPEN_FACTOR, MOST_WORDS = 16_384, 8, 1 << 24
+#: until the budget is met or wholly open. Above MOST_WORDS the sums are a list instead of a table.
+LEAST_WORDS, OPEN_FACTOR, MOST_WORDS, MOST_SUMS = 16_384, 8, 1 << 24, 1 << 21
+ROW = "__row_of_mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,7 +50,8 @@ def source_key(source: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """key, source_size, target from rows key, size. Capped water-filling, a small aggregate a round."""
+    """key, source_size, target from rows key, size. Capped water-filling, a small aggregate a round;
+    each round but the last caps a source more."""
     per = sizes.groupBy("key").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy("key")  # over sources, not documents
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int"))
@@ -63,6 +67,8 @@ def source_targets(sizes: DataFrame, most_rounds: int = 1000) -> DataFrame:
         if left is not None and now <= level:
             break
         left, level = fixed, now
+    else:
+        raise RuntimeError(f"targets did not settle in {most_rounds} rounds")
     return per.select("key", "source_size", F.least(F.col("weight") * F.lit(level), most).alias("target"))
 
 
@@ -109,6 +115,38 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> dict[int,
     return out
 
 
+def listed_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int | None = None) -> dict[int, int]:
+    """The same with a sorted list of the sums that can be made, for few but very long documents. Over
+    ``most`` sums, those of one most-th of the reach count as one."""
+    most, top = most or MOST_SUMS, 2 * budget
+    sums, made = np.zeros(1, np.int64), np.zeros(1, np.int64)  # and the step that made each sum first
+    steps: list[tuple[int, int]] = [(0, 0)]
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        length, count, k = int(lengths[i]), int(counts[i]), 1
+        while count and length * k <= top:
+            k = min(k, count)
+            v = length * k
+            new = sums[sums <= top - v] + v
+            at = np.minimum(np.searchsorted(sums, new), len(sums) - 1)
+            new = new[sums[at] != new]
+            if len(sums) + len(new) > most:  # one new sum for each cell that has none yet
+                cell = new * most // (top + 1)
+                first = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(new) else np.zeros(0, bool)
+                new = new[first & ~np.isin(cell, sums * most // (top + 1))]
+            if len(new):
+                steps.append((length, k))
+                order = np.argsort(both := np.concatenate([sums, new]), kind="stable")
+                sums, made = both[order], np.concatenate([made, np.full(len(new), len(steps) - 1)])[order]
+            count, k = count - k, 2 * k
+    at = int(sums[np.argmin(np.abs(sums - budget))])
+    out: dict[int, int] = {}
+    while at:
+        length, k = steps[int(made[np.searchsorted(sums, at)])]
+        out[length] = out.get(length, 0) + k
+        at -= length * k
+    return out
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, so that their words come nearest to the budget."""
     take = np.zeros(len(lengths), np.int64)
@@ -135,9 +173,16 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         miss = abs(budget - int((tried * lengths).sum()))
         if miss < off:
             best, off = tried, miss
-        if off <= least or room >= min(budget, MOST_WORDS) or not fits.any():
+        if off <= least or room >= budget or not fits.any():
             return best
+        if room >= MOST_WORDS:  # a table of sums would be too large
+            break
         room = min(OPEN_FACTOR * room, max(room, MOST_WORDS))
+    tried = np.zeros(len(lengths), np.int64)
+    where = {int(x): i for i, x in enumerate(lengths)}
+    for length, k in listed_knapsack(lengths[useful], counts[useful], budget).items():
+        tried[where[length]] = k
+    return tried if abs(budget - int((tried * lengths).sum())) < off else best
 
 
 def opened(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int, room: int) -> tuple[np.ndarray, int]:
@@ -169,10 +214,13 @@ def fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["key", "size"]].assign(base=base, more=fit(rows["size"].to_numpy(), rows["n"].to_numpy(), budget))
 
 
-def mix_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, key, size, source_size, target, copies (how often the mix takes the document)."""
-    sized = stored(docs.select("doc_id", source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size")), "sizes")
-    counts = stored(sized.groupBy("key", "size").agg(F.count("*").alias("n")), "lengths")
+def mix_copies(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, key, size, source_size, target, rows, base, once_more: rows that are alike, each taken base
+    times and once_more of them once again. Of the columns in ``more`` the least value is kept."""
+    h = F.xxhash64(F.lit(SEED), "doc_id", "source", "text")
+    sized = docs.select("doc_id", source_key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), h.alias("h"), *more)
+    sized = stored(sized.groupBy("doc_id", "key", "size", "h").agg(F.count("*").alias("rows"), *[F.min(c).alias(c) for c in more]), "sizes")
+    counts = stored(sized.groupBy("key", "size").agg(F.sum("rows").alias("n")), "lengths")
     targets = stored(source_targets(counts.select("key", (F.col("size") * F.col("n")).alias("size"))), "targets")
     plan = (
         counts.where("size > 0")
@@ -182,28 +230,33 @@ def mix_copies(docs: DataFrame) -> DataFrame:
         .applyInPandas(fit_source, "key string, size long, base long, more long")
     )
     plan = stored(plan.join(counts, ["key", "size"]).withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS).cast("long")), "plan")
-    h = F.xxhash64(F.lit(SEED), "doc_id")
-    dealt = sized.join(plan, ["key", "size"], "left").withColumn("h", h).withColumn("bucket", F.when((F.col("more") > 0) & (F.col("more") < F.col("n")), F.pmod("h", "buckets")))
+    dealt = sized.join(plan, ["key", "size"], "left").withColumn("bucket", F.when((F.col("more") > 0) & (F.col("more") < F.col("n")), F.pmod("h", "buckets")))
     # dealt by bucket too: else the windows would take over the join's dealing by length, hot lengths and all
     some = dealt.where("bucket is not null").repartition(partitions(docs.sparkSession), "key", "size", "bucket")
-    before = some.groupBy("key", "size", "bucket").agg(F.count("*").alias("in_bucket")).withColumn(
+    before = some.groupBy("key", "size", "bucket").agg(F.sum("rows").alias("in_bucket")).withColumn(
         "before", F.sum("in_bucket").over(Window.partitionBy("key", "size").orderBy("bucket")) - F.col("in_bucket")
     )
-    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("h", "doc_id"))
-    ranked = some.withColumn("rank", rank).join(before, ["key", "size", "bucket"]).select("doc_id", "key", "size", (F.col("base") + F.when(F.col("before") + F.col("rank") <= F.col("more"), 1).otherwise(0)).alias("copies"))
-    rest = dealt.where("bucket is null").select("doc_id", "key", "size", (F.coalesce("base", F.lit(0)) + F.when(F.col("more") > 0, 1).otherwise(0)).alias("copies"))
-    return ranked.unionByName(rest).join(targets, "key")
+    upto = F.sum("rows").over(Window.partitionBy("key", "size", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = F.col("more") - F.col("before") - (F.col("upto") - F.col("rows"))  # for these rows and those behind them
+    ranked = some.withColumn("upto", upto).join(before, ["key", "size", "bucket"]).withColumn("once_more", F.greatest(F.lit(0), F.least("rows", left)))
+    rest = dealt.where("bucket is null").withColumn("base", F.coalesce("base", F.lit(0))).withColumn("once_more", F.when(F.col("more") > 0, F.col("rows")).otherwise(0))
+    columns = ["doc_id", "key", "size", "rows", "base", "once_more", *more]
+    return ranked.select(columns).unionByName(rest.select(columns)).join(targets, "key")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, source for each document."""
     source = F.when(F.substring("key", 1, 1) == "0", F.expr("substring(key, 2)"))
-    return mix_copies(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), source.alias("source"))
+    each = mix_copies(docs).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    taken = F.col("size") * (F.col("base") + F.when(F.col("i") <= F.col("once_more"), 1).otherwise(0))
+    return each.select("doc_id", "size", "source_size", "target", taken.alias("taken"), source.alias("source"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns it came with. Rows that
-    share a doc_id are each taken as often as the one of them that is taken most."""
-    times = mix_copies(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("times")).where("times > 0")
-    each = docs.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return each.select("d.*", F.explode(F.array_repeat(F.lit(True), F.col("t.times"))).alias("__copy_of_mix")).drop("__copy_of_mix")
+    """The mix itself: each row as often as it is taken, with the columns it came with. The rows are
+    written once under numbers, which name them whatever their ids are; of rows alike in doc_id, source and
+    text the first stands for all."""
+    held = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    times = mix_copies(held, ROW).select(ROW, (F.col("rows") * F.col("base") + F.col("once_more")).cast("int").alias("__times")).where("__times > 0")
+    each = held.join(times, ROW)
+    return each.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(True), F.col("__times"))).alias("__copy_of_mix")).drop("__copy_of_mix")

@@ -337,6 +337,57 @@ def test_fitting_with_long_documents(seed):
         assert (take >= 0).all() and (take <= n).all() and abs(int((take * lengths).sum()) - budget) == nearest(counts, budget)
 
 
+@given(st.dictionaries(st.integers(1, 100_000), st.integers(1, 3), min_size=1, max_size=8), st.floats(0, 1))
+@settings(max_examples=60, deadline=None)
+def test_fits_are_the_nearest_sums(counts, share):
+    """Against every sum, by the table of sums and by their list."""
+    lengths = np.array(sorted(counts))
+    n = np.array([counts[x] for x in lengths.tolist()])
+    budget = int(share * (lengths * n).sum())
+    sums = {0}
+    for x, k in counts.items():
+        sums = {s + x * i for s in sums for i in range(k + 1)}
+    nearest = min(abs(s - budget) for s in sums)
+    take = mixing.fit(lengths, n, budget)
+    assert (take >= 0).all() and (take <= n).all() and abs(int((take * lengths).sum()) - budget) == nearest
+    listed = mixing.listed_knapsack(lengths, n, budget)
+    assert all(k <= counts[x] for x, k in listed.items()) and abs(sum(x * k for x, k in listed.items()) - budget) == nearest
+    coarse = mixing.listed_knapsack(lengths, n, budget, most=500)
+    assert all(k <= counts[x] for x, k in coarse.items()) and abs(sum(x * k for x, k in coarse.items()) - budget) <= nearest + 24 * (2 * budget // 500 + 1)
+
+
+def test_fits_of_huge_documents():
+    lengths, n = np.array([30_000_001, 41_000_007, 50_300_000, 61_000_019]), np.array([3, 3, 2, 2])
+    budget = 2 * 30_000_001 + 50_300_000 + 61_000_019
+    assert int((mixing.fit(lengths, n, budget) * lengths).sum()) == budget
+    for lengths, n, budget in (([40000, 50000], [5, 5], 90_000), ([40000, 50000, 60000], [3, 3, 3], 110_000)):
+        assert int((mixing.fit(np.array(lengths), np.array(n), budget) * np.array(lengths)).sum()) == budget
+
+
+def test_mix_of_rows_without_names(spark):
+    """Rows that share an id, or have none, are taken one by one."""
+    rows = [(None, " ".join(f"w{i}" for i in range(20 + i)), "a", i) for i in range(40)] + [(7, "x y z", "b", 99)] * 50 + [("8", "only " * 300, "b", 1)]
+    df = spark.createDataFrame([(None if i is None else str(i), *r) for i, *r in rows], "doc_id string, text string, source string, size long").repartition(3)
+    report = mixing.mix_report(df).collect()
+    assert len(report) == len(rows)
+    taken, mixed = Counter(), Counter()
+    for r in report:
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+    copies = mixing.mixed(df)
+    assert copies.columns == df.columns
+    for r in copies.collect():
+        mixed[r.source] += len(words(r.text))
+    assert mixed == taken and all(abs(taken[r.source] - r.target) <= 3 for r in report)
+
+
+def test_targets_that_do_not_settle(spark):
+    sizes = spark.createDataFrame([("0a", 1), ("0b", 1000), ("0c", 1)], "key string, size long")
+    assert len(mixing.source_targets(sizes).collect()) == 3
+    with pytest.raises(RuntimeError):
+        mixing.source_targets(sizes, most_rounds=1)
+
+
 # 6
 
 
