@@ -1,25 +1,37 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed into a tree; every element subtree outside the article's own prose gets a content
-hash. Spark counts, for each host, with how many different articles a hash occurs. Subtrees that recur
-across many of them are the host's template and are deleted; so are elements whose tag, role or class says
-that they are no part of the article (menus, forms, adverts, comments, ...). What is left of the
-article (or of the body, where no article is marked) becomes the text.
-
-Prose inside an article (headings, paragraphs, quotations, list items) is never counted as template, and
-pages whose articles have one heading count once: an article may be published, as it is or with
+Each page is parsed into a tree; element subtrees get hashes, Spark counts for each host with how many
+different articles a hash occurs, and subtrees that recur across many of them are deleted, before anything
+else is decided. Two hashes are counted:
+
+* of the content (tag, marks, text, children): boilerplate that says the same on many pages. Headings, table
+  cells and inline elements inside an article are exempt; its paragraphs, quotations and list items are
+  deleted only if their share of the host's articles is large and these are different texts.
+* of the shape (tag, marks without page numbers, the kinds of children): blocks of the site, such as menus,
+  adverts and footers, whose texts change from page to page. Only subtrees count that have a name (a class, an
+  id, a role or a tag that says more than div), hold no first heading, and lie beside the host's main place:
+  the path on which most words of the host's pages are. They must be on half of the host's articles,
+  and hold few words next to the main place.
+
+In what is left, elements go whose tag, role or class says that they are no part of the article (menus, forms,
+adverts, comments, ...). The text is that of the marked article, or of the body where none is marked.
+
+Pages whose articles have one heading count once: an article may be published, as it is or with
 changes, on many pages of one host, and what recurs in its copies is no template. A heading over mostly
 different texts (a site's or section's name) names no article; there, the texts are counted. Where no
 article is marked, what recurs mostly in texts with one sketch counts as copied, unless it goes with the share.
 
-Null or empty html gives the empty text. A null url counts as a host of its own. Repeated rows give
-repeated results. Only page_id, url and html are read.
+Null or empty html gives the empty text. A null url counts as a host of its own. A null page_id is kept,
+others stay whole beside it. Repeated rows give repeated results. Pages of any length and depth are parsed
+whole, in time linear in their length. An empty table gives an empty result. Only page_id, url and html
+are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,6 +46,9 @@ from quillsift.llm.runtime import steady, stored
 #: A subtree is template if it goes with so many of the host's articles at least, and with this share of them,
 #: or with MANY_ARTICLES, whatever their share.
 LEAST_ARTICLES, LEAST_SHARE, MANY_ARTICLES = 4, 0.3, 10
+#: A shape is template if it goes with LEAST_ARTICLES and this share of the host's articles, and holds at most so
+#: large a share of the words of the main place. A place is more main than its parent if it holds so much of it.
+SHAPE_SHARE, SHAPE_WORDS, MAIN_SHARE = 0.5, 0.25, 0.7
 #: Pages with one heading hold different articles if so large a share of them differ in their texts' sketches.
 LEAST_DIFFERENT = 0.5
 #: Up to so many (host, hash) rows, of some 60 bytes each, are broadcast; more are joined by shuffle.
@@ -45,6 +60,14 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li b i em strong a span u s small sub sup code q cite mark figcaption dd dt td th tr".split())
+#: Prose that may be template inside an article too.
+PARAGRAPHS = frozenset("p li blockquote pre figcaption dd dt".split())
+#: Containers whose tag gives them no name; elements whose text is none.
+NAMELESS = frozenset("html body head div center font table tbody thead tfoot caption ul ol dl fieldset details summary hgroup picture svg option optgroup select".split())
+SILENT = frozenset("head title script style noscript template".split())
+#: Numbers of pages in marks, such as post-123.
+NUMBERS = re.compile(r"(?<=[-_])\d+(?=\s|$)")
+ARTICLE = frozenset(("article", "main"))
 #: Elements that are never part of an article's text.
 UNWANTED = frozenset("head nav footer aside form script style noscript template iframe object button select textarea input svg canvas menu dialog audio video map".split())
 #: Words in class, id or role that say the same.
@@ -55,66 +78,71 @@ MARKS = frozenset(
 QUALIFIERS = frozenset("has no with without is js".split())
 #: Open elements that the start of another one ends.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS, LISTS = ("h1", "h2", "h3", "h4", "h5", "h6"), "html body table ul ol dl select".split()
 SCOPES = frozenset("html body table td th ul ol dl article section div main nav aside footer header form blockquote".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "inside", "hash", "shape", "path", "words", "text")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.inside = parent is not None and (parent.inside or parent.tag in ARTICLE)
 
 
 class Builder(HTMLParser):
-    """A forgiving tree: unclosed elements end with their parents, stray end tags are ignored."""
+    """A forgiving tree: unclosed elements end with their parents, stray end tags are ignored. The depths
+    at which each tag is open are kept, so that nothing climbs the tree."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("")
+        self.root = Node("")
+        self.path, self.depths = [self.root], {}
+
+    def close_from(self, depth: int) -> None:
+        while len(self.path) > depth:
+            self.depths[self.path.pop().tag].pop()
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        depth, depths = 0, self.depths
+        for t in tags:
+            if (d := depths.get(t)) and d[-1] > depth:
+                depth = d[-1]
+        return depth
 
-    def close_open(self, tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
-        n = self.at
-        while n is not self.root and n.tag not in stop or n.tag in tags:
-            if n.tag in tags:
-                self.at = n.parent
-                return
-            n = n.parent
+    def close_open(self, tags: Iterable[str], stop: Iterable[str]) -> None:
+        depth = self.innermost(tags)
+        if depth and depth >= self.innermost(stop):
+            self.close_from(depth)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in HEAD_ONLY and tag != "head":
-            n = self.at
-            while n is not self.root:
-                if n.tag == "head":
-                    self.at = n.parent
-                    break
-                n = n.parent
+        if self.depths.get("head") and tag not in HEAD_ONLY and tag != "head":
+            self.close_from(self.depths["head"][-1])
         if tag in BLOCKS:
-            self.close_open({"p"}, SCOPES)
-            if tag[0] == "h" and tag[1:].isdigit():
-                self.close_open({"h1", "h2", "h3", "h4", "h5", "h6"}, SCOPES)
+            if self.depths.get("p"):
+                self.close_open(("p",), SCOPES)
+            if tag in HEADINGS:
+                self.close_open(HEADINGS, SCOPES)
         if tag in IMPLIED:
-            self.close_open(IMPLIED[tag], frozenset("html body table ul ol dl select".split()))
-        said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        node = Node(tag, said, self.at)
-        self.at.children.append(node)
+            self.close_open(IMPLIED[tag], LISTS)
+        said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v) if attrs else ""
+        node = Node(tag, said, self.path[-1])
+        self.path[-1].children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.depths.setdefault(tag, []).append(len(self.path))
+            self.path.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.at = self.at.parent
+            self.close_from(len(self.path) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n is not self.root:
-            if n.tag == tag:
-                self.at = n.parent
-                return
-            n = n.parent
+        if depths := self.depths.get(tag):
+            self.close_from(depths[-1])
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.path[-1].children.append(data)
 
 
 def parse(html: str | None) -> Node:
@@ -136,53 +164,84 @@ def unwanted(n: Node, in_article: bool) -> bool:
     return False
 
 
-def walk(root: Node, hashes: list[tuple[Node, int]] | None = None) -> list[tuple[Node, int]]:
-    """Every element with text and the hash of its subtree (tag, marks, text, children), children
-    first. Works without recursion, so depth has no limit."""
-    out: list[tuple[Node, int]] = []
-    done: dict[int, tuple[int, bool]] = {}
-    stack: list[tuple[Node, bool]] = [(root, False)]
+def inner(n: Node) -> list[Node]:
+    return [c for c in n.children if isinstance(c, Node)]
+
+
+def hash_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def hashed(root: Node) -> list[Node]:
+    """Every element, parents first, with its text, words, content hash (of tag, marks, text and children) and,
+    for containers, its shape (of tag, marks and the kinds of its children) and path (of tags and marks from
+    the root). Works without recursion, so depth has no limit."""
+    order, stack = [], [root]
     while stack:
-        n, seen = stack.pop()
-        if not seen:
-            stack.append((n, True))
-            stack += [(c, False) for c in n.children if isinstance(c, Node)]
-            continue
-        h, text = xxhash.xxh3_64(f"{n.tag}\0{n.attrs}\0".encode()), False
+        n = stack.pop()
+        order.append(n)
+        if n.tag not in PROSE:
+            n.path = hash_of(f"{n.parent.path if n.parent else ''}/{n.tag}\0{NUMBERS.sub('', n.attrs)}") if n is root or n.parent.tag not in PROSE else 0
+        else:
+            n.path = 0
+        stack += reversed(inner(n))
+    for n in reversed(order):
+        h, text, words, kinds = xxhash.xxh3_64(f"{n.tag}\0{n.attrs}\0".encode("utf-8", "surrogatepass")), False, 0, set()
         for c in n.children:
             if isinstance(c, Node):
-                sub, has = done.pop(id(c))
-                h.update(sub.to_bytes(8, "little"))
-                text |= has
-            elif s := " ".join(c.split()):
-                h.update(s.encode("utf-8", "surrogatepass") + b"\1")
+                h.update((c.hash + (1 << 63)).to_bytes(8, "little"))
+                text |= c.text
+                words += c.words
+                if c.text and (c.tag not in PROSE or c.tag in BLOCKS):
+                    kinds.add(c.shape)
+            elif parts := c.split():
+                h.update(" ".join(parts).encode("utf-8", "surrogatepass") + b"\1")
                 text = True
-        done[id(n)] = h.intdigest(), text
-        if text and n is not root:
-            out.append((n, h.intdigest() - (1 << 63)))
+                words += len(parts)
+        n.hash, n.text, n.words = h.intdigest() - (1 << 63), text, 0 if n.tag in SILENT else words
+        n.shape = n.tag if n.tag in PROSE else str(hash_of(f"{n.tag}\0{NUMBERS.sub('', n.attrs)}\0{','.join(sorted(kinds))}"))
+    return order
+
+
+def holders(order: list[Node], held: Callable[[Node], bool]) -> set[int]:
+    """The elements that hold one of these, and these."""
+    out: set[int] = set()
+    for n in reversed(order):
+        if id(n) in out or held(n):
+            out.add(id(n))
+            if n.parent is not None:
+                out.add(id(n.parent))
     return out
 
 
-def within(n: Node, tags: frozenset[str]) -> bool:
-    n = n.parent
-    while n is not None:
-        if n.tag in tags:
-            return True
-        n = n.parent
-    return False
-
-
-ARTICLE = frozenset(("article", "main"))
+def template_candidates(order: list[Node]) -> tuple[list[Node], list[Node]]:
+    """Subtrees that may be template by their content: outside articles, none that holds one; and
+    paragraphs inside articles."""
+    around = holders(order, lambda n: n.tag in ARTICLE)
+    outside = [n for n in order[1:] if n.text and id(n) not in around and not (n.tag in PROSE and n.inside)]
+    return outside, [n for n in order if n.text and n.inside and n.tag in PARAGRAPHS]
 
 
-def template_candidates(root: Node) -> list[tuple[Node, int]]:
-    """Subtrees that may be template: none that holds an article, no prose inside one."""
-    out, holders = [], set()
-    for n, h in walk(root):
-        if n.tag in ARTICLE or id(n) in holders:
-            holders.add(id(n.parent))
-        elif not (n.tag in PROSE and within(n, ARTICLE)):
-            out.append((n, h))
+def main_place(root: Node) -> Node:
+    """The innermost container of most of a page's words."""
+    n = root
+    while True:
+        best = max((c for c in inner(n) if c.tag not in PROSE and c.words), key=lambda c: c.words, default=None)
+        if best is None or best.words < MAIN_SHARE * n.words:
+            return n
+        n = best
+
+
+def shaped_candidates(order: list[Node], main: Callable[[Node], bool]) -> list[Node]:
+    """Subtrees that may be template by their shape: outermost containers with a name beside the main place."""
+    around, out = holders(order, lambda n: main(n) or n.tag in ARTICLE or n.tag == "h1"), []
+    inside = {id(order[0])} if main(order[0]) else set()
+    for n in order[1:]:
+        if id(n.parent) in inside or main(n):
+            inside.add(id(n))
+        elif n.words and n.path and id(n) not in around and not n.inside and (n.attrs or n.tag not in NAMELESS):
+            out.append(n)
+            inside.add(id(n))
     return out
 
 
@@ -197,17 +256,13 @@ def text_of(n: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
-def hash_of(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def article_of(root: Node) -> Node | None:
     stack = [root]
     while stack:
         n = stack.pop()
         if n.tag in ARTICLE:
             return n
-        stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+        stack += reversed(inner(n))
     return None
 
 
@@ -220,7 +275,7 @@ def body_sketch(root: Node) -> int:
         if n.tag == "p":
             said.append(text_of(n))
         else:
-            stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+            stack += reversed(inner(n))
     h = textcore.word_hashes(textcore.raw(" ".join(said) or text_of(root)))
     if len(h) > 2:
         h = (h[:-2] * textcore.WORD_BASE + h[1:-1]) * textcore.WORD_BASE + h[2:]
@@ -239,15 +294,37 @@ def article_key(root: Node) -> tuple[bool, int, int]:
         n = stack.pop()
         if len(n.tag) == 2 and n.tag[0] == "h" and n.tag[1].isdigit():
             said = text_of(n)
-        stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+        stack += reversed(inner(n))
     said = said or " ".join(text_of(article).split()[:8]) or text_of(root)
     return True, hash_of(said), body_sketch(article)
 
 
-def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The text of a page, given the hashes of its host's template."""
+@dataclass(frozen=True)
+class Template:
+    """What is known of a host: hashes of recurring subtrees outside articles and of paragraphs inside them,
+    shapes of recurring blocks, the path of the main place."""
+
+    outside: frozenset[int] = frozenset()
+    paragraphs: frozenset[int] = frozenset()
+    shapes: frozenset[int] = frozenset()
+    main: int = 0
+
+
+def deleted(root: Node, template: Template) -> set[int]:
+    """The subtrees of a page that belong to its host's template."""
+    order = hashed(root)
+    outside, paragraphs = template_candidates(order)
+    gone = {id(n) for n in outside if n.hash in template.outside} | {id(n) for n in paragraphs if n.hash in template.paragraphs}
+    is_main = lambda n: n.path == template.main
+    if template.shapes and any(map(is_main, order)):
+        gone |= {id(n) for n in shaped_candidates(order, is_main) if int(n.shape) in template.shapes}
+    return gone
+
+
+def main_text(html: str | None, template: Template | None = None) -> str:
+    """The text of a page, given its host's template."""
     root = parse(html)
-    gone = {id(n) for n, h in template_candidates(root) if h in template} if template else set()
+    gone = deleted(root, template) if template else set()
     found: dict[tuple[str, bool], list[Node]] = {}
     stack: list[tuple[Node, bool]] = [(root, False)]
     while stack:
@@ -257,9 +334,9 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
             if n.tag == "article":
                 continue
         out = out or id(n) in gone or unwanted(n, False)
-        stack += [(c, out) for c in reversed(n.children) if isinstance(c, Node)]
+        stack += [(c, out) for c in reversed(inner(n))]
     # an article inside an unwanted element (a menu that was never closed) counts if there is no other
-    articles = next((found[k] for k in (("article", False), ("article", True), ("main", False)) if k in found), [])
+    articles: list[Node] = next((found[k] for k in (("article", False), ("article", True), ("main", False)) if k in found), [])
     blocks: list[str] = []
     piece: list[str] = []
 
@@ -269,14 +346,14 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
         piece.clear()
 
     todo: list = [("in", a) for a in reversed(articles or [root])]
-    inside = bool(articles)
+    inside, chosen = bool(articles), {id(a) for a in articles}
     while todo:
         kind, n = todo.pop()
         if kind == "text":
             piece.append(n)
         elif kind == "out":
             flush()
-        elif id(n) in gone or n not in articles and unwanted(n, inside):
+        elif id(n) in gone or id(n) not in chosen and unwanted(n, inside):
             continue
         elif n.tag in ("br", "wbr"):
             piece.append(" " if n.tag == "br" else "")
@@ -293,51 +370,85 @@ def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+#: What a hash is of: the page itself, a subtree outside articles, a paragraph inside one, a shape, a main place.
+PAGE, OUTSIDE, PARAGRAPH, SHAPE, MAIN = range(5)
+
+
+def counted_hashes(html: str | None) -> tuple[list[tuple[int, int, int]], tuple[bool, int, int]]:
+    """kind, hash, words of what is counted of a page; what names its article."""
+    root = parse(html)
+    order = hashed(root)
+    outside, paragraphs = template_candidates(order)
+    place = main_place(root)
+    shapes: dict[int, int] = {}
+    for n in shaped_candidates(order, lambda n: n is place):
+        shapes[int(n.shape)] = shapes.get(int(n.shape), 0) + n.words
+    rows = {(OUTSIDE, n.hash, 0) for n in outside} | {(PARAGRAPH, n.hash, 0) for n in paragraphs} | {(SHAPE, h, k) for h, k in shapes.items()}
+    return [*rows, (MAIN, place.path, place.words), (PAGE, 0, 0)], article_key(root)
+
+
 def site_templates(pages: DataFrame) -> DataFrame:
-    """host, hashes: the template subtrees of each host that has any. Each is on MANY_ARTICLES pages or
-    a fixed share of them, so their number is bounded by the host's subtrees over MANY_ARTICLES."""
+    """host, outside, paragraphs, shapes, main: the template of each host that has any. Each subtree is on
+    MANY_ARTICLES pages or a fixed share of them, so their number is bounded by the host's subtrees
+    over MANY_ARTICLES."""
 
     def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for host, html in zip(b.host, b.html, strict=True):
-                root = parse(html)
-                named = article_key(root)
-                rows += [(host, x, *named) for x in {x for _, x in template_candidates(root)}] + [(host, None, *named)]
-            hosts, hashes, marked, keys, bodies = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-            yield pd.DataFrame({"host": hosts, "hash": pd.array(hashes, "Int64"), "marked": marked, "key": keys, "body": bodies})
-
-    # a row without a hash stands for the page itself
-    found = pages.mapInPandas(subtrees, "host string, hash long, marked boolean, key long, body long")
-    bodies = found.groupBy("host", "hash", "marked", "key", "body").agg(F.count("*").alias("pages"))
-    named = bodies.groupBy("host", "hash", "marked", "key").agg(F.count("*").alias("bodies"), F.sum("pages").alias("pages"))
+                found, (marked, key, body) = counted_hashes(html)
+                # copies of an article with another heading are told by their text: the paragraphs' articles are named by it
+                rows += [(host, *x, *((True, body, key) if x[0] == PARAGRAPH else (marked, key, body))) for x in found]
+            yield pd.DataFrame(rows, columns=["host", "kind", "hash", "words", "marked", "key", "body"])
+
+    found = pages.mapInPandas(subtrees, "host string, kind int, hash long, words long, marked boolean, key long, body long")
+    what = ["host", "kind", "hash"]
+    bodies = found.groupBy(*what, "marked", "key", "body").agg(F.count("*").alias("pages"), F.sum("words").alias("words"))
+    named = bodies.groupBy(*what, "marked", "key").agg(F.count("*").alias("bodies"), F.sum("pages").alias("pages"), F.sum("words").alias("words"))
     differ = ~F.col("marked") | (F.col("bodies") >= LEAST_ARTICLES) & (F.col("bodies") >= LEAST_DIFFERENT * F.col("pages"))
-    counts = named.groupBy("host", "hash").agg(
-        F.sum(F.when(differ, F.col("bodies")).otherwise(1)).alias("n"), F.sum(F.when(differ & F.col("marked"), F.col("bodies")).otherwise(1)).alias("apart")
-    )
-    counts = stored(counts, "subtrees")
-    sizes = counts.where("hash is null").select("host", F.col("n").alias("articles"))
-    return (
-        counts.where(F.col("hash").isNotNull() & (F.col("n") >= LEAST_ARTICLES))
-        .join(sizes, "host")
-        .where((F.col("n") >= LEAST_SHARE * F.col("articles")) | (F.col("apart") >= MANY_ARTICLES) & (F.col("apart") >= LEAST_DIFFERENT * F.col("n")))
-        .groupBy("host")
-        .agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
+    differ = differ & (F.col("kind") != PARAGRAPH)
+    counts = named.groupBy(*what).agg(
+        F.sum(F.when(differ, F.col("bodies")).otherwise(1)).alias("n"), F.sum(F.when(differ & F.col("marked"), F.col("bodies")).otherwise(1)).alias("apart"),
+        F.sum("pages").alias("pages"), F.sum("words").alias("words"),
+    )
+    counts = stored(counts.where((F.col("n") >= LEAST_ARTICLES) | F.col("kind").isin(PAGE, MAIN)), "subtrees")
+    mains = counts.where(F.col("kind") == MAIN).groupBy("host").agg(F.max_by(F.struct("hash", "words"), F.struct("words", "hash")).alias("main"))
+    hosts = stored(counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("articles")).join(mains, "host"), "hosts")
+    least = lambda share: F.col("n") >= share * F.col("articles")
+    recurs = (
+        F.when(F.col("kind") == OUTSIDE, least(LEAST_SHARE) | (F.col("apart") >= MANY_ARTICLES) & (F.col("apart") >= LEAST_DIFFERENT * F.col("n")))
+        .when(F.col("kind") == PARAGRAPH, least(LEAST_SHARE) & (F.col("n") >= LEAST_DIFFERENT * F.col("pages")))
+        .when(F.col("kind") == SHAPE, least(SHAPE_SHARE) & (F.col("words") <= SHAPE_WORDS * F.col("main.words")))
     )
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("hash"))))
+    chosen = counts.where(F.col("n") >= LEAST_ARTICLES).join(hosts, "host").where(recurs)
+    return chosen.groupBy("host").agg(of(OUTSIDE).alias("outside"), of(PARAGRAPH).alias("paragraphs"), of(SHAPE).alias("shapes"), F.min("main.hash").alias("main"))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, host for each page."""
     steady(pages.sparkSession)
-    pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    kind = dict(pages.dtypes)["page_id"]
+    # ids travel as text: pandas would make floats of a column with nulls
+    pages = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     templates = stored(site_templates(pages), "templates")
-    rows = templates.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
+    sizes = F.size("outside") + F.size("paragraphs") + F.size("shapes")
+    rows = templates.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0]
     small = F.broadcast(templates) if rows <= BROADCAST_ROWS else templates
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Template | None] = {}
         for b in batches:
-            texts = [main_text(h, frozenset(() if t is None else t)) for h, t in zip(b.html, b.hashes, strict=True)]
+            texts = []
+            for host, html, outside, paragraphs, shapes, main in zip(b.host, b.html, b.outside, b.paragraphs, b.shapes, b.main, strict=True):
+                if host not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[host] = None if outside is None else Template(frozenset(outside.tolist()), frozenset(paragraphs.tolist()), frozenset(shapes.tolist()), int(main))
+                texts.append(main_text(html, known[host]))
             yield pd.DataFrame({"page_id": b.page_id, "url": b.url, "text": texts, "n_chars": [len(t) for t in texts], "host": b.host})
 
-    kind = dict(pages.dtypes)["page_id"]
-    return pages.join(small, "host", "left").mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars long, host string")
+    # a path as a number would become a float beside hosts without a template
+    joined = pages.join(small.withColumn("main", F.col("main").cast("string")), "host", "left")
+    found = joined.mapInPandas(extract, "page_id string, url string, text string, n_chars long, host string")
+    return found.withColumn("page_id", F.col("page_id").cast(kind))
