@@ -1,18 +1,22 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Documents become token ids; longer ones are cut into full pieces behind a first piece that may be
-shorter. Only a histogram of piece lengths (at most CAPACITY numbers) reaches the planner. It goes
-through the lengths from the longest down and fills each gap exactly: by one piece of the gap's
-length, else by a pair, else by a triple whose lengths sum to it (looked up in an index of sums), as
-often as the counts allow. What then remains is packed best-fit decreasing, again by counts. Last,
-pieces are dealt to the plan's places by their rank within their length.
+shorter. Only a histogram of piece lengths (at most CAPACITY numbers) reaches the planner. It indexes
+the sums of single lengths, pairs and triples, goes through the lengths from the longest down and fills
+each gap exactly: by a single, else a pair, else a triple that the index has under the gap, as often as
+the counts allow; combinations whose lengths are used up leave the index. What then remains is packed
+best-fit decreasing, again by counts. Last, pieces are dealt to the plan's places by their rank within
+their length.
 
 Ranks are exact and distributed: a piece's rank is its row number within a hash bucket of its length
 plus the sizes of the buckets before it, so a length that a third of all pieces have spreads over
 RANK_BUCKETS tasks. Full pieces need no rank.
 
-A null text is an empty one: its document is the single end id. Repeated rows are packed each on its
-own. An empty table gives an empty result. Other columns are not read.
+Ids are those of the ``tokenizers`` file. Where it says plainly that it is a byte-level BPE of the kind
+that tiktoken's merge loop computes too, that loop is used, in a quarter of the time.
+
+A null text is an empty one: its document is the single end id. Texts of any length are encoded whole.
+Repeated rows are packed each on its own. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from quillsift.llm.runtime import steady, stored
 
 CAPACITY, END_ID, RANK_BUCKETS = 1024, 2, 128
-#: How GPT-2's byte-level vocabulary splits a text before merging.
+#: How a ByteLevel pre-tokenizer splits a text before merging: a fixed value of that format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict[str, object] = {}
 
@@ -50,10 +54,33 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+def plain_ranks(spec: dict) -> dict[bytes, int] | None:
+    """The tokens of a ``tokenizers`` file as merge ranks, or None where its ids may not be those of a plain
+    byte-level BPE: no normalizer, this file's way of splitting, all bytes in the vocabulary, and every other
+    token the result of one merge, ids in the order of merges."""
+    model, special = spec["model"], {t["content"] for t in spec.get("added_tokens", [])}
+    before = spec.get("pre_tokenizer") or {}
+    plain = (
+        model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and spec.get("normalizer") is None
+        and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+    )
+    letters = byte_letters()
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special} if plain else {}
+    if not plain or any(c not in letters for t in vocab for c in t):
+        return None
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [vocab.get(t, -1) for t in merged]
+    first = max((vocab.get(c, 1 << 40) for c in letters), default=0)
+    if len(set(merged)) != len(merged) or len(vocab) != len(merged) + len(letters) or not ids or ids[0] <= first or any(x >= y for x, y in zip(ids, ids[1:], strict=False)):
+        return None
+    return {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+
+
 class Encoder:
-    """Ids of the ``tokenizers`` file at a path. A byte-level vocabulary gives the same ids through
-    tiktoken's merge loop in a quarter of the time; texts with a special token's string go through
-    ``tokenizers`` itself."""
+    """Ids of the ``tokenizers`` file at a path; fast is tiktoken's loop, where it gives the same. Texts with
+    a special token's string go through ``tokenizers`` itself."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -63,12 +90,11 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        letters = byte_letters()
-        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.fast = tiktoken.Encoding("from_file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = plain_ranks(spec)
+        self.fast = ranks and tiktoken.Encoding("from_file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -137,56 +163,77 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
     return min((plan_from(counts, capacity, stop) for stop in stops), key=lambda p: p.sequences)
 
 
+class Sums:
+    """Index of the sums of lengths: under each sum the smaller lengths of its pairs, and the lengths that
+    make triples with a pair of the rest. What the counts no longer allow leaves the index when it is met."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        have = np.flatnonzero(left)
+        self.pairs = [have[: np.searchsorted(have, s // 2, side="right")] for s in range(len(left))]
+        self.thirds: dict[int, list[int]] = {}
+
+    def often(self, total: int) -> np.ndarray:
+        """How often the counts allow each pair with this sum."""
+        a = self.pairs[total]
+        out = np.minimum(self.left[a], self.left[total - a])
+        if len(a) and 2 * a[-1] == total:
+            out[-1] = self.left[a[-1]] // 2
+        return out
+
+    def pair(self, total: int, *others: int) -> tuple[int, ...] | None:
+        """The pair with this sum that the counts allow most often next to the others."""
+        if not len(self.pairs[total]):
+            return None
+        often = self.often(total)
+        if not often.all():
+            self.pairs[total], often = self.pairs[total][often > 0], often[often > 0]
+        for n in others:
+            self.left[n] -= 1
+        if others and len(often):
+            often = self.often(total)
+        for n in others:
+            self.left[n] += 1
+        if not len(often) or often.max() <= 0:
+            return None
+        a = int(self.pairs[total][np.argmax(often)])
+        return a, total - a
+
+    def triple(self, total: int, *others: int) -> tuple[int, ...] | None:
+        """A triple with this sum that the counts allow next to the others: the longest third that has a pair."""
+        if total not in self.thirds:
+            self.thirds[total] = np.flatnonzero(self.left[: max(0, total - 1)]).tolist()
+        stack = self.thirds[total]
+        while stack and (not self.left[stack[-1]] or not len(self.pairs[total - stack[-1]])):
+            stack.pop()
+        for c in reversed(stack):
+            if self.left[c] > others.count(c) and (found := self.pair(total - c, c, *others)):
+                return (c, *found)
+        return None
+
+
 def plan_from(counts: np.ndarray, capacity: int, stop: int) -> Plan:
     """Fills the gaps of pieces longer than stop exactly, the rest best-fit. The work depends on the
     capacity alone: each step uses up a length or an open bin."""
     left, plan = counts.astype(np.int64).copy(), Plan()
+    index = Sums(left)
 
-    def consume(lengths: list[int]) -> bool:
-        runs = grouped(lengths)
+    def consume(*lengths: int) -> bool:
+        runs = grouped(list(lengths))
         times = min(int(left[n]) // k for n, k in runs)
-        if times <= 0:
-            return False
         for n, k in runs:
             left[n] -= times * k
-        plan.add(runs, times)
-        return True
-
-    def pair_for(gap: int) -> list[int] | None:
-        """The pair of available lengths summing to gap that can be used most often."""
-        a = np.arange(1, gap // 2 + 1)
-        if not len(a):
-            return None
-        often = np.minimum(left[a], left[gap - a])
-        if gap % 2 == 0:
-            often[-1] = left[gap // 2] // 2
-        best = int(np.argmax(often))
-        return [int(a[best]), gap - int(a[best])] if often[best] > 0 else None
+        if times:
+            plan.add(runs, times)
+        return times > 0
 
     for n in range(capacity - 1, stop, -1):
         gap = capacity - n
-        while left[n]:  # singles
-            if not left[gap] or not consume([n, gap]):
-                break
-        while left[n]:  # pairs
-            left[n] -= 1
-            found = pair_for(gap)
-            left[n] += 1
-            if not found or not consume([n, *found]):
-                break
-        while left[n]:  # triples: the largest available third whose rest is a pair
-            left[n] -= 1
-            found = None
-            for c in np.flatnonzero(left[1:gap])[::-1] + 1:
-                left[c] -= 1
-                rest = pair_for(gap - int(c))
-                left[c] += 1
-                if rest:
-                    found = [int(c), *rest]
-                    break
-            left[n] += 1
-            if not found or not consume([n, *found]):
-                break
+        if left[n] and left[gap]:
+            consume(n, gap)
+        for find in (index.pair, index.triple):
+            while left[n] and (found := find(gap, n)):
+                consume(n, *found)
     # the rest, best-fit decreasing; open: gap -> [(pattern, bins)]
     open_bins: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
     for n in range(capacity - 1, 0, -1):
