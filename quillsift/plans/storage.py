@@ -11,17 +11,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one where that is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Where that is unset, a temporary one of this
+    machine that goes with the process, which only a local master can share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillsift-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """A table that several parts of a plan read, written once."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes df once as Parquet in the shared folder and reads it back: lineage is cut, and a lost
+    executor costs only the rereading of a file."""
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        if name := getattr(t, "_stored_as", None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        if path := getattr(t, "_stored_at", None):
+            removed(t.sparkSession, path)
