@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import textcore
-from quillsift.llm.runtime import steady, stored
+from quillsift.llm.runtime import dropped, steady, stored
 
 #: A subtree is template if it goes with so many of the host's articles at least, and with this share of them,
 #: or with MANY_ARTICLES, whatever their share.
@@ -422,7 +422,10 @@ def site_templates(pages: DataFrame) -> DataFrame:
     )
     of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("hash"))))
     chosen = counts.where(F.col("n") >= LEAST_ARTICLES).join(hosts, "host").where(recurs)
-    return chosen.groupBy("host").agg(of(OUTSIDE).alias("outside"), of(PARAGRAPH).alias("paragraphs"), of(SHAPE).alias("shapes"), F.min("main.hash").alias("main"))
+    templates = chosen.groupBy("host").agg(of(OUTSIDE).alias("outside"), of(PARAGRAPH).alias("paragraphs"), of(SHAPE).alias("shapes"), F.min("main.hash").alias("main"))
+    templates = stored(templates, "templates")
+    dropped(counts, hosts)
+    return templates
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -431,7 +434,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
     # ids travel as text: pandas would make floats of a column with nulls
     pages = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    templates = stored(site_templates(pages), "templates")
+    templates = site_templates(pages)
     sizes = F.size("outside") + F.size("paragraphs") + F.size("shapes")
     rows = templates.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0]
     small = F.broadcast(templates) if rows <= BROADCAST_ROWS else templates

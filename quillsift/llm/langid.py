@@ -9,7 +9,7 @@ fitted on it, and the least score at which PRECISION of the accepted rows are ri
 rejection limit.
 
 For prediction the two layers are one table (bucket x language), so a text is the mean of table rows.
-Whole texts are read. lang, source and doc_id are never inputs of a prediction.
+Whole texts are read, in slices, so that of a very long one no more than a slice is expanded. lang, source and doc_id are never inputs of a prediction.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected; so is everything if no
 labelled row exists. A null lang is no label. A null doc_id counts as an empty id when rows are dealt
@@ -141,7 +141,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     each = max(1, sample_rows // len(sizes))
     scale = 1 << 30
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, each / n) * scale))]), F.col("lang"))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(scale)) < share).limit(2 * sample_rows)
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(scale)) < share)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -156,7 +156,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             yield pd.DataFrame(out, columns=["lang", "ids", "shares", "held"])
 
     sample = chosen.withColumn("h", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(1 << 40))).select("lang", "text", "h")
-    got = sample.mapInPandas(features, "lang string, ids binary, shares binary, held boolean").collect()
+    got = sample.mapInPandas(features, "lang string, ids binary, shares binary, held boolean").limit(4 * sample_rows).collect()
     got.sort(key=lambda r: (r.lang, bytes(r.ids), bytes(r.shares)))
     return fit([(r.lang, np.frombuffer(r.ids, np.uint16), np.frombuffer(r.shares, np.float32), r.held) for r in got])
 

@@ -5,7 +5,8 @@ the text; what counts is the share of the text's word characters that lie inside
 the share inside lines that repeat an earlier line. A text goes when any share passes its limit.
 
 Null or empty texts have no words: all counts are 0, base_failed is true, kept is false. Repeated rows
-are judged alike, one row each. Only doc_id and text are read, so other columns may have any name.
+are judged alike, one row each. Very long texts are measured whole; hashing goes through them in slices.
+An empty table gives an empty result. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -10,10 +10,11 @@ which rare labels are not thinned (up to half of the sample). The TERMS buckets
 apart best enter the machine; it is trained by AdaGrad in numpy. Then the bias is set on a part of the
 sample that was not trained on, so that 0.5 separates the labels best.
 
-Whole texts are scored. labels, lang, source and doc_id are never inputs of a score. Null and empty
+Whole texts are scored, very long ones in slices. labels, lang, source and doc_id are never inputs of a score. Null and empty
 texts get the score of no terms; without any labelled row that is 0. A null label is no label;
 where a document has several labels the largest counts. A null doc_id counts as an empty one for the
-folds and is joined with no label. Repeated rows are scored each on its own.
+folds and is joined with no label. Repeated rows are scored each on its own. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -160,11 +161,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [terms(t) for t in b.text]
-            yield pd.DataFrame({"label": b.label, "ids": [i.astype(np.int32).tobytes() for i, _ in got], "n": [np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in got]})
+            yield pd.DataFrame({"label": b.label, "ids": [i.astype(np.int32).tobytes() for i, _ in got], "n": [n.astype(np.uint32).tobytes() for _, n in got]})
 
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInPandas(features, "label int, ids binary, n binary").collect()
     got.sort(key=lambda r: (r.label, bytes(r.ids), bytes(r.n)))
-    return fit([(r.label, np.frombuffer(r.ids, np.int32).astype(np.int64), np.frombuffer(r.n, np.uint16).astype(np.int64)) for r in got])
+    return fit([(r.label, np.frombuffer(r.ids, np.int32).astype(np.int64), np.frombuffer(r.n, np.uint32).astype(np.int64)) for r in got])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, machine: Machine | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm.runtime import partitions, steady, stored, table_path
+from quillsift.llm.runtime import dropped, partitions, removed, steady, stored, table_path
 
 LEAST_REVISIT = 1000
 MAGIC = b"\x1f\x8b\x08"
@@ -220,4 +220,6 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     manifest = write_archives(with_revisits(pages), folder)
     back = stored(read_archives(spark, manifest, folder=folder), "records")
     check_revisits(back)
+    dropped(manifest)
+    removed(spark, folder)  # nothing reads the archives any more
     return back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url")
