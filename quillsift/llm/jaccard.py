@@ -7,7 +7,9 @@ cost one row. Each set then joins the blocks of its KEYS smallest shingle hashes
 floor(n / 4) + 1 smallest, if those are fewer: then sharing one is certain for linked sets). In a random
 order of the shingles each of the first KEYS of the union lies in both sets with probability of at least
 3/4, so linked sets of any size share a block but for a chance of 4 ** -KEYS, below that of a collision
-of hashes. Blocks of one set end there.
+of hashes; ``keys=None`` takes floor(n / 4) + 1 for sets of any size. Blocks of one set end there.
+Bitmaps and texts are held in buckets of set_id, so each pass shuffles its block rows to them and nothing
+else, and then only the texts of sets that the bitmaps leave a partner.
 
 Inside a block a signature tree is joined with itself: a set's signature is a bitmap of its shingles, a
 node holds the OR of its children's bitmaps and the range of their sizes. Dual traversal drops a pair of
@@ -24,8 +26,8 @@ chunks in a task of their own, so no task holds an unbounded group and no link i
 with the same sets are looked at once.
 
 Null and empty texts have no shingles and link with nothing. Rows without a doc_id get no component
-and link with nothing. Repeated rows are equal sets. An empty table gives an empty result. Only doc_id
-and text are read.
+and link with nothing. Repeated rows are equal sets. Texts of any length are read whole. An empty table
+gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -39,9 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import textcore
-from quillsift.llm.runtime import connected_components, dropped, partitions, steady, stored
+from quillsift.llm.runtime import bucketed, connected_components, dropped, partitions, steady, stored
 
 SHINGLE, KEYS, HOME_KEYS = 5, 24, 2
+#: What makes a text the sorted set of 64-bit hashes that is joined.
+Sets = Callable[[str | None], np.ndarray]
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 1 << 21
 LEAF, FANOUT, SMALL_BLOCK = 8, 8, 16
 #: Bits for each shingle of a size class's largest set.
@@ -235,17 +239,21 @@ def with_partner(sigs: list[np.ndarray], sizes: list[int], components: list) ->
     return out
 
 
-def shingled(docs: DataFrame) -> DataFrame:
+def shingles(text: str | None) -> np.ndarray:
+    return textcore.shingle_set(text, SHINGLE)
+
+
+def shingled(docs: DataFrame, sets: Sets = shingles, most_keys: int | None = KEYS) -> DataFrame:
     """doc_id, n, set_id, keys, sig, text_hash for each document; set_id, keys, sig are null without shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n, ids, keys, sigs = [], [], [], []
             for text in b.text:
-                s = textcore.shingle_set(text, SHINGLE)
+                s = sets(text)
                 n.append(len(s))
                 ids.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-                keys.append(s[: min(KEYS, len(s) // 4 + 1)].view(np.int64) if len(s) else None)
+                keys.append(s[: min(most_keys or len(s), len(s) // 4 + 1)].view(np.int64) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
             # an array with a mask: floats would not hold the ids
             yield pd.DataFrame({"doc_id": b.doc_id, "n": n, "set_id": pd.array(ids, "Int64"), "keys": keys, "sig": sigs, "text_hash": b.text_hash})
@@ -291,45 +299,49 @@ def promising(rows: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def distinct_blocks(rows: DataFrame) -> DataFrame:
-    """Of small blocks that hold the same sets one is kept."""
+    """Of small blocks that hold the same sets one is kept: the names of the blocks that stay."""
     sizes = rows.groupBy(*BLOCK).agg(F.count("*").alias("k"), F.sum(F.xxhash64("set_id", F.lit(1)).cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("set_id", F.lit(2)).cast("decimal(38,0)")).alias("y"))
     small = sizes.where(F.col("k") <= SMALL_BLOCK).groupBy("k", "x", "y").agg(F.min(F.struct(*BLOCK)).alias("b")).select("b.*")
-    kept = stored(small.unionByName(sizes.where(F.col("k") > SMALL_BLOCK).select(*BLOCK)), "kept")
-    return rows.join(kept, BLOCK)
+    return stored(small.unionByName(sizes.where(F.col("k") > SMALL_BLOCK).select(*BLOCK)), "kept")
 
 
-def links_of(rows: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows: block, set_id, component. Links a, b found inside the blocks."""
+def links_of(rows: DataFrame, sigs: DataFrame, texts: DataFrame, sets: Sets = shingles) -> DataFrame:
+    """rows: block, set_id, component. Links a, b found inside the blocks, stored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for held in blocks_in(batches, "text"):
-            found = join_block([textcore.shingle_set(r[3], SHINGLE) for r in held], [r[2] for r in held])
+            found = join_block([sets(r[3]) for r in held], [r[2] for r in held])
             if found:
                 yield pd.DataFrame([(held[i][1], held[j][1]) for i, j in found], columns=["a", "b"])
 
     left = stored(promising(rows, sigs), "promising")
-    return by_block(distinct_blocks(left).join(texts, "set_id"), "text").mapInPandas(run, "a long, b long")
+    kept = distinct_blocks(left)
+    links = stored(by_block(left.join(kept, BLOCK).join(texts, "set_id"), "text").mapInPandas(run, "a long, b long"), "links")
+    dropped(left, kept)
+    return links
 
 
 def chunks(n: str, words: str) -> F.Column:
     return F.greatest(F.ceil(F.col(n) / BLOCK_SETS), F.ceil(F.col(words) / BLOCK_SHINGLES)).cast("int")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id for each document."""
+def near_duplicates(docs: DataFrame, set_of: Sets = shingles, keys: int | None = KEYS) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_id for each document. set_of: the sets that are joined; keys:
+    the most blocks that a set joins, None for as many as make sharing one certain."""
     steady(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sigs = stored(shingled(docs), "shingled")
-    sets = stored(
-        sigs.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "sets"
+    sigs = stored(shingled(docs, set_of, keys), "shingled")
+    sets = bucketed(
+        sigs.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "sets", "set_id"
     )
     tokens = sets.select("set_id", "n", F.posexplode("keys").alias("r", "b0"))
     # aggregates that a join needs are stored first: its other side may then be split where a key is hot
     shared = stored(tokens.groupBy("b0").agg(F.count("*").alias("k")).where("k > 1").select("b0"), "shared")
     members = stored(tokens.join(shared, "b0"), "members")
     wanted = members.select("set_id").distinct().join(sets, "set_id").select("set_id", F.col("least.doc_id").alias("doc_id"), F.col("least.text_hash").alias("text_hash"))
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).select("set_id", "text")
-    texts = stored(texts.dropDuplicates(["set_id"]), "texts")
+    # of a repeated row one is taken; the join has brought them together
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("set_id", "text")
+    texts = bucketed(texts.repartition(partitions(docs.sparkSession), "set_id"), "texts", "set_id")
 
     sigs_of = sets.select("set_id", "n", "sig")
     zero = F.lit(0)
@@ -338,31 +350,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     home = members.where(F.col("r") < HOME_KEYS)
     sizes = stored(home.groupBy("b0").agg(F.count("*").alias("k"), F.sum("n").alias("w")).where("k > 1"), "blocks")
     rows = no_comp(home.join(sizes, "b0")).select("b0", F.pmod(F.xxhash64("set_id"), chunks("k", "w")).cast("int").alias("b1"), zero.alias("b2"), "set_id", "component")
-    first = stored(links_of(rows, sigs_of, texts), "links")
+    first = links_of(rows, sigs_of, texts, set_of)
+    dropped(shared, sizes)
 
     def with_components(links: DataFrame) -> DataFrame:
         comps = stored(connected_components(links), "components")
-        return members.join(comps, members.set_id == comps.node, "left").select("b0", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
+        named = members.join(comps, members.set_id == comps.node, "left").select("b0", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
+        named = stored(named, "members")
+        dropped(comps)
+        return named
 
     # pass 2
-    now = stored(with_components(first), "members")
+    now = with_components(first)
     heads = now.groupBy("b0", "component").agg(F.min("set_id").alias("set_id"), F.max("n").alias("n"), F.count("*").alias("in_component"))
     sizes = heads.groupBy("b0").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.sum("in_component").alias("all_sets")).where("k > 1")
     sizes = stored(sizes, "blocks")
     rows = heads.join(sizes, "b0").select("b0", F.pmod(F.xxhash64("set_id"), chunks("k", "w")).cast("int").alias("b1"), zero.alias("b2"), "set_id", "component")
-    second = stored(links_of(rows, sigs_of, texts), "links")
+    second = links_of(rows, sigs_of, texts, set_of)
     seen = sizes.where((F.col("k") == F.col("all_sets")) & (chunks("k", "w") == 1)).select("b0")
     # pass 3
     dropped(now)
-    now = stored(with_components(first.unionByName(second)).join(seen, "b0", "left_anti"), "members")
+    after = with_components(first.unionByName(second))
+    now = stored(after.join(seen, "b0", "left_anti"), "members")
+    dropped(after, sizes)
     sizes = stored(now.groupBy("b0").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1"), "blocks")
     cut = now.join(sizes, "b0").withColumn("chunks", chunks("k", "w")).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("chunks") > 1, F.col("chunks") - 1).otherwise(0)))
     pairs = cut.withColumn("other", other).select("b0", F.least("chunk", "other").alias("b1"), F.greatest("chunk", "other").alias("b2"), "set_id", "component")
-    third = stored(links_of(pairs, sigs_of, texts), "links")
+    third = links_of(pairs, sigs_of, texts, set_of)
     dropped(now, members, texts, sizes)
 
     comps = stored(connected_components(first.unionByName(second).unionByName(third)), "components")
+    dropped(first, second, third)
     of_set = sets.select("set_id", F.col("least.doc_id").alias("doc_id")).join(comps, F.col("set_id") == F.col("node"))
     smallest = stored(of_set.groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
     of_set = of_set.join(smallest, "component").select("set_id", "smallest")
@@ -373,7 +392,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def count(text: pd.Series) -> pd.Series:
-        return pd.Series([len(textcore.shingle_set(t, SHINGLE)) for t in text], dtype="int64")
+        return pd.Series([len(set_of(t)) for t in text], dtype="int64")
 
     return result.unionByName(unnamed.select("doc_id", count("text").alias("n_shingles"), F.lit(None).cast(kind).alias("component_id"), F.lit(None).cast("long").alias("set_id")))
 

@@ -2,57 +2,35 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillsift.plans.storage import dropped, removed, stored, table_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or where that is unset
-    (tests, local runs) a temporary folder that goes with the process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quillsift-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["bucketed", "connected_components", "dropped", "id_text", "in_fold", "partitions", "read_table", "removed", "steady", "stored", "table_path"]
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back: lineage is cut, and a lost
-    executor costs only the rereading of a file."""
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """A stored table in as many buckets of a key as shuffles have partitions: joins on the key shuffle
+    the other side alone. df should be dealt by the key already."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("path", path).bucketBy(partitions(spark), key).saveAsTable(table)
+    out = spark.table(table)
+    out._stored_at, out._stored_as = path, table
     return out
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "_stored_at", None)
-        if path:
-            jvm = t.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Rows in a batch that goes to Python: a batch of whole texts stays small beside a worker's libraries.
 BATCH_ROWS = 512
 
 
 def steady(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers: batches of few rows, for texts may be long."""
+    """Bounds the memory of Python workers: batches of few rows, for texts may be long. The results of the
+    operators are lazy and planned when they are read, so the session keeps the smaller batches."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
