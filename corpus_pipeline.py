@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillsift.llm import jaccard, mixing, packing, quality, suffixes
-from quillsift.llm.runtime import read_table, stored
+from quillsift.llm.runtime import dropped, read_table, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        dropped(before)  # of the tables that stages wrote; documents stay
     return STAGES[-1][1](spark, docs, sf_dir)

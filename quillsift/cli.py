@@ -13,92 +13,97 @@ from pyspark.sql import SparkSession
 from quillsift.functions import weighting
 from quillsift.operators import evaluation
 from quillsift.plans.engine import SearchEngine
+from quillsift.plans.storage import stored
 from quillsift.sources import collections, sinks
 
 
-class Console:
-    """The menus over an engine; ask and say stand for input and print."""
+HELP = """find WORDS             rank by every model
+phrase WORDS           exact phrases
+near A B [DISTANCE]    A before B, at most so many words apart (3)
+judge WORDS            grade the pooled documents 0 to 3, compare the models by NDCG
+scheme [DOCS QUERIES]  show or set the SMART pair of the custom model
+quit"""
 
-    def __init__(self, engine: SearchEngine, ask: Callable[[str], str] = input, say: Callable[[str], None] = print):
-        self.engine, self.ask, self.say = engine, ask, say
-        self.scheme = ("lnc", "ltc")
 
-    def lines(self, title: str, lines: list[str]) -> None:
-        self.say(f"\n[{title}]")
-        for line in lines:
-            self.say(line)
+class Console:
+    """Commands over an engine; read and write stand for input and print."""
 
-    def free_text(self) -> None:
-        query = self.ask("Enter free-text query: ").strip()
-        if not query:
-            return
-        e = self.engine
-        oov = [r.term for r in e.oov(query).orderBy("term").collect()]
-        custom = ".".join(self.scheme)
-        for title, found in (
-            ("VSM lnc.ltc", e.search_vsm(query)),
-            ("BM25", e.search_bm25(query)),
-            ("Sequential dependence on VSM", e.search_sdm(query)),
-            ("Title-boosted VSM", e.search_fielded(query)),
-            (f"SMART {custom}", e.search_custom(query, doc_scheme=self.scheme[0], query_scheme=self.scheme[1])),
-        ):
-            self.lines(title, sinks.ranked_lines(found.collect(), oov))
-        if oov:
-            fixed = {r.term: r.suggestion for r in e.corrections(query).collect()}
-            if fixed:
-                self.say(f"  corrected: {fixed}")
-            self.lines("Typo-tolerant VSM", sinks.ranked_lines(e.search_with_typo_tolerance(query).collect()))
-
-    def positional(self) -> None:
-        if self.ask("1) Phrase  2) Proximity: ").strip() == "1":
-            found = self.engine.search_phrase(self.ask("Enter phrase: ").strip())
-        else:
-            a, b = self.ask("First term: ").strip(), self.ask("Second term: ").strip()
-            found = self.engine.search_proximity(a, b, int(self.ask("Within how many positions: ").strip() or 3))
-        self.lines("Positional", sinks.positional_lines(found.collect()))
-
-    def grades(self) -> None:
-        query = self.ask("Enter query to judge: ").strip()
-        if not query:
-            return
+    def __init__(self, engine: SearchEngine, read: Callable[[str], str] = input, write: Callable[[str], None] = print):
+        self.engine, self.read, self.write = engine, read, write
+        self.scheme = ("lnc", "ltc")
+        self.commands = {"find": self.find, "phrase": self.phrase, "near": self.near, "judge": self.judge, "scheme": self.set_scheme}
+
+    def block(self, title: str, lines: list[str]) -> None:
+        self.write("\n".join([f"== {title}", *lines]))
+
+    def find(self, words: str) -> None:
+        """Rankings of every model; with unknown words also their corrections and a search for these."""
+        e, q = self.engine, self.engine.queries(words)
+        unknown = sorted(r.term for r in e.oov(q).collect())
+        models = {
+            "vector space": e.search_vsm(q),
+            "bm25": e.search_bm25(q),
+            "sequential dependence": e.search_sdm(q),
+            "title boost": e.search_fielded(q),
+            f"smart {'.'.join(self.scheme)}": e.search_custom(q, 10, *self.scheme),
+        }
+        for title, found in models.items():
+            self.block(title, sinks.ranked_lines(found.collect(), unknown))
+        if unknown:
+            fixed = ", ".join(f"{r.term} -> {r.suggestion}" for r in e.corrections(q).orderBy("term").collect())
+            self.block(f"corrected ({fixed or 'nothing near'})", sinks.ranked_lines(e.search_with_typo_tolerance(q).collect()))
+
+    def phrase(self, words: str) -> None:
+        self.block("phrase", sinks.positional_lines(self.engine.search_phrase(words).collect()))
+
+    def near(self, words: str) -> None:
+        a, b, *most = words.split()
+        self.block("near", sinks.positional_lines(self.engine.search_proximity(a, b, int(most[0]) if most else 3).collect()))
+
+    def judge(self, words: str) -> None:
+        """Asks for a grade of each document that some model finds; what is no grade counts 0."""
         e = self.engine
-        lists = evaluation.rankings(e.index, e.queries(query), 10, self.scheme)
+        lists = stored(evaluation.rankings(e.index, e.queries(words), 10, self.scheme), "rankings")
         pooled = evaluation.pool(lists).join(e.index.docs, "docid").select("docid", "title").orderBy("docid").collect()
         if not pooled:
-            self.say("  Nothing found.")
+            self.write("no model finds a document")
             return
         rows = []
         for d in pooled:
-            said = self.ask(f"  {d.docid} - {d.title}\n    relevance (0-3): ").strip()
-            rows.append((0, d.docid, int(said) if said in ("0", "1", "2", "3") else 0))
+            said = self.read(f"{d.docid} {d.title!r} grade> ").strip()
+            rows.append((0, d.docid, int(said) if said in {"0", "1", "2", "3"} else 0))
         kind = dict(e.index.docs.dtypes)["docid"]
         judged = e.index.spark.createDataFrame(rows, f"qid int, docid {kind}, grade int")
-        self.say(sinks.markdown(evaluation.ndcg(lists, judged).orderBy("ndcg_at_10", ascending=False)))
+        self.write(sinks.markdown(evaluation.ndcg(lists, judged).orderBy("ndcg_at_10", ascending=False)))
 
-    def smart(self) -> None:
-        self.say(f"Current scheme: {'.'.join(self.scheme)}; tf {weighting.TF_CODES}, df {weighting.DF_CODES}, norm {weighting.NORM_CODES}")
-        d, q = self.ask("Document scheme [lnc]: ").strip() or "lnc", self.ask("Query scheme [ltc]: ").strip() or "ltc"
-        try:
-            self.scheme = weighting.check_scheme(d), weighting.check_scheme(q)
-        except ValueError as e:
-            self.say(f"  {e}; scheme left unchanged.")
+    def set_scheme(self, words: str) -> None:
+        pair = tuple(words.split())
+        if pair:
+            if len(pair) != 2:
+                raise ValueError("a pair of schemes is wanted")
+            self.scheme = weighting.check_scheme(pair[0]), weighting.check_scheme(pair[1])
+        self.write(f"scheme {'.'.join(self.scheme)} (tf {weighting.TF_CODES}, df {weighting.DF_CODES}, norm {weighting.NORM_CODES})")
 
     def run(self) -> None:
-        menus = {"1": self.free_text, "2": self.positional, "3": self.grades, "4": self.smart}
-        while True:
-            choice = self.ask("1) Search  2) Phrase or proximity  3) Grades and NDCG  4) SMART scheme  5) Quit: ").strip()
-            if choice not in menus:
-                break
-            menus[choice]()
-
-
-def main() -> None:
+        self.write(HELP)
+        while (line := self.read("quillsift> ").strip()) != "quit":
+            name, _, words = line.partition(" ")
+            if name not in self.commands or not words.strip() and name != "scheme":
+                self.write(HELP)
+                continue
+            try:
+                self.commands[name](words.strip())
+            except ValueError as e:
+                self.write(f"not done: {e}")
+
+
+def main(words: list[str] | None = None) -> None:
     args = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     source = args.add_mutually_exclusive_group(required=True)
     for name in ("tagged", "documents", "index"):
         source.add_argument(f"--{name}")
     args.add_argument("--dump", help="write both index dumps below this folder and end")
-    a = args.parse_args()
+    a = args.parse_args(words)
     spark = SparkSession.builder.getOrCreate()
     if a.index:
         engine = SearchEngine.open(spark, a.index)

@@ -18,6 +18,11 @@ def check_scheme(scheme: str) -> str:
     return scheme
 
 
+def norm_name(tf: str, df: str) -> str:
+    """The column that holds a document's cosine norm under these codes (names of columns know no case)."""
+    return f"norm_{'log_over_mean' if tf == 'L' else tf}_{df}"
+
+
 def tf_weight(code: str, tf: Column, max_tf: Column, avg_tf: Column) -> Column:
     tf = tf.cast("double")
     log = F.lit(1.0) + F.log10(tf)

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.operators.index import Index
-from quillsift.operators.rank import query_terms, vsm
+from quillsift.operators.rank import Queries, analyzed, query_terms, vsm
 
 MOST_EDITS = 2
 
 
-def suggestions(index: Index, queries: DataFrame, most: int = MOST_EDITS) -> DataFrame:
+def suggestions(index: Index, queries: Queries, most: int = MOST_EDITS) -> DataFrame:
     """term, suggestion, distance for the unknown terms that a known one is near to: the nearest, of
     equally near ones the smallest. Known terms are joined by length, so only those that can be near
     enough are compared."""
-    oov = query_terms(queries).select("term").distinct().join(index.terms, "term", "left_anti")
+    q = analyzed(queries)
+    oov = q.words.select("term").distinct().join(q.of_terms(index.terms), "term", "left_anti")
     lengths = oov.select("term", F.explode(F.sequence(F.greatest(F.length("term") - most, F.lit(1)), F.length("term") + most)).alias("size"))
     known = index.terms.select(F.col("term").alias("known"), F.length("term").alias("size"))
     near = known.join(lengths, "size").withColumn("distance", F.levenshtein("term", "known", most)).where("distance >= 0")
@@ -23,15 +24,16 @@ def suggestions(index: Index, queries: DataFrame, most: int = MOST_EDITS) -> Dat
     return best.select("term", F.col("best.known").alias("suggestion"), F.col("best.distance").alias("distance"))
 
 
-def corrected(index: Index, queries: DataFrame) -> DataFrame:
+def corrected(index: Index, queries: Queries) -> DataFrame:
     """qid, text: the queries' stems with corrections in place, in order."""
-    q = query_terms(queries).join(suggestions(index, queries), "term", "left")
+    a = analyzed(queries)
+    q = query_terms(a).join(suggestions(index, a), "term", "left")
     word = F.coalesce("suggestion", "term")
     per = q.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("off", word.alias("word")))).alias("words"))
     return per.select("qid", F.array_join(F.col("words.word"), " ").alias("text"))
 
 
-def typo_tolerant(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+def typo_tolerant(index: Index, queries: Queries, k: int = 10) -> DataFrame:
     """VSM over the corrected queries. The corrected stems are analyzed like any text, so they are
     stopped and stemmed a second time."""
     return vsm(index, corrected(index, queries), k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillsift.operators.index import Index
 from quillsift.operators.positional import by_hits, phrase_hits
-from quillsift.operators.rank import Ranker, bm25, fielded, query_terms, sdm, smart, vsm
+from quillsift.operators.rank import BOOST_POOL, Queries, Ranker, analyzed, bm25, fielded, sdm, smart, vsm
 from quillsift.plans.storage import stored
 
 BASELINE_POOL, PHRASE_POOL = 100, 100
@@ -33,12 +33,16 @@ def ndcg(rankings: DataFrame, judgments: DataFrame) -> DataFrame:
     return sums.select(*keys, share(10), share(5))
 
 
-def rankings(index: Index, queries: DataFrame, k: int = 10, custom: tuple[str, str] | None = None) -> DataFrame:
-    """The lists of all rankers; custom: a pair of SMART schemes to add."""
-    rankers: dict[str, Ranker] = {"VSM (lnc.ltc)": vsm, "BM25": bm25, "SDM": sdm, "Title-boosted VSM": fielded}
-    lists = [r(index, queries, k).withColumn("ranker", F.lit(name)) for name, r in rankers.items()]
+def rankings(index: Index, queries: Queries, k: int = 10, custom: tuple[str, str] | None = None) -> DataFrame:
+    """The lists of all rankers; custom: a pair of SMART schemes to add. The vector space is ranked once,
+    as far down as its own list and the pools of the rankers built on it reach."""
+    a = analyzed(queries)
+    base = stored(vsm(index, a, max(k, BOOST_POOL)), "base")
+    cut: Ranker = lambda i, q, n: base.where(F.col("rank") <= n)
+    found = {"VSM (lnc.ltc)": cut(index, a, k), "BM25": bm25(index, a, k), "SDM": sdm(index, a, k, base=cut), "Title-boosted VSM": fielded(index, a, k, base=cut)}
+    lists = [r.withColumn("ranker", F.lit(name)) for name, r in found.items()]
     if custom:
-        lists.append(smart(index, queries, k, *custom).withColumn("ranker", F.lit(f"Custom ({custom[0]}.{custom[1]})")))
+        lists.append(smart(index, a, k, *custom).withColumn("ranker", F.lit(f"Custom ({custom[0]}.{custom[1]})")))
     out = lists[0].select("ranker", "qid", "rank", "docid")
     for x in lists[1:]:
         out = out.unionByName(x.select("ranker", "qid", "rank", "docid"))
@@ -49,24 +53,29 @@ def pool(ranked: DataFrame) -> DataFrame:
     return ranked.select("qid", "docid").distinct()
 
 
-def rule_judgments(index: Index, queries: DataFrame, pooled: DataFrame) -> DataFrame:
+def rule_judgments(index: Index, queries: Queries, pooled: DataFrame) -> DataFrame:
     """qid, docid, grade: 3 for a phrase hit (among the first so many), 2 for all terms, 1 for any."""
-    terms = query_terms(queries).select("qid", "term").distinct()
+    a = analyzed(queries)
+    terms = a.words.select("qid", "term").distinct()
     wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
-    held = terms.join(index.inverted, "term").join(pooled, ["qid", "docid"], "left_semi").groupBy("qid", "docid").agg(F.count("*").alias("held"))
-    phrases = by_hits(phrase_hits(index, queries), PHRASE_POOL, "start").select("qid", "docid", F.lit(True).alias("phrase"))
+    held = terms.join(a.of_terms(index.inverted), "term").join(pooled, ["qid", "docid"], "left_semi").groupBy("qid", "docid").agg(F.count("*").alias("held"))
+    phrases = by_hits(phrase_hits(index, a), PHRASE_POOL, "start").select("qid", "docid", F.lit(True).alias("phrase"))
     rows = pooled.join(wanted, "qid", "left").join(held, ["qid", "docid"], "left").join(phrases, ["qid", "docid"], "left")
     grade = F.when(F.col("phrase"), 3).when(F.col("held") == F.col("wanted"), 2).when(F.col("held") > 0, 1).otherwise(0)
     return rows.select("qid", "docid", grade.alias("grade"))
 
 
-def report(index: Index, queries: DataFrame, judgments: DataFrame | None = None, k: int = 10, custom: tuple[str, str] | None = ("lnc", "ltc")) -> DataFrame:
-    """NDCG of every ranker; without judgments the rule grades the pooled documents."""
-    lists = stored(rankings(index, queries, k, custom), "rankings")  # read for the pool and for the grades
-    return ndcg(lists, rule_judgments(index, queries, pool(lists)) if judgments is None else judgments)
+def report(index: Index, queries: Queries, judgments: DataFrame | None = None, k: int = 10, custom: tuple[str, str] | None = ("lnc", "ltc")) -> DataFrame:
+    """NDCG of every ranker and the documents it ranks, best first; without judgments the rule grades the
+    pooled documents."""
+    a = analyzed(queries)
+    lists = stored(rankings(index, a, k, custom), "rankings")  # read for the pool, for the grades and for the documents
+    values = ndcg(lists, rule_judgments(index, a, pool(lists)) if judgments is None else judgments)
+    ranked = lists.groupBy("ranker", "qid").agg(F.sort_array(F.collect_list(F.struct("rank", "docid"))).alias("all"))
+    return values.join(ranked.select("ranker", "qid", F.col("all.docid").alias("ranked_docids")), ["ranker", "qid"])
 
 
-def with_badges(index: Index, ranked: DataFrame, queries: DataFrame) -> DataFrame:
+def with_badges(index: Index, ranked: DataFrame, queries: Queries) -> DataFrame:
     """Adds vsm_rank and rank_shift: NEW, = , ^n (up) or vn (down) against VSM's first hundred."""
     baseline = vsm(index, queries, BASELINE_POOL).select("qid", "docid", F.col("rank").alias("vsm_rank"))
     up = F.col("vsm_rank") - F.col("rank")
@@ -86,10 +95,11 @@ def divergence(one: DataFrame, other: DataFrame, evidence: DataFrame, reach: int
     return up.unionByName(down).join(hits, ["qid", "docid"], "left").withColumn("ordered_hits", F.coalesce("ordered_hits", F.lit(0)))
 
 
-def result_sets(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+def result_sets(index: Index, queries: Queries, k: int = 10) -> DataFrame:
     """qid, docid, in_vsm, in_phrase, in_sdm: which of three searches find a document. Terms that every
     document holds have idf 0: VSM finds nothing by them, positions still do."""
-    lists = {"in_vsm": vsm(index, queries, k), "in_phrase": by_hits(phrase_hits(index, queries), k, "start"), "in_sdm": sdm(index, queries, k)}
+    a = analyzed(queries)
+    lists = {"in_vsm": vsm(index, a, k), "in_phrase": by_hits(phrase_hits(index, a), k, "start"), "in_sdm": sdm(index, a, k)}
     every = None
     for name, t in lists.items():
         t = t.select("qid", "docid", F.lit(name).alias("found"))

@@ -1,9 +1,10 @@
 """Positional, inverted and title indexes as tables.
 
-docs are dealt out by docid once. The tokens of a document then stay together through the grouping by
-(docid, term) and the statistics of a document, so the index costs one shuffle of the texts, one of the
-distinct words (each is stemmed once) and one that sorts the postings by term. Sorted files let a query
-skip the row groups of other terms.
+docs are dealt out by docid once, and a document's words are counted there: what is joined with the stems is
+a row for each document and distinct word, not for each token. Each distinct word of the collection is
+stemmed once. While the vocabulary is small enough to be broadcast, a document's rows stay together up to the
+postings; beyond, they are shuffled by word and back. One more shuffle sorts the postings by term: a condition
+on terms then reads their row groups alone.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillsift.functions import weighting
 from quillsift.functions.stemming import stems_of
 from quillsift.functions.text import full_text, title_text, words
 from quillsift.plans.storage import scratch
@@ -26,7 +28,8 @@ TABLES = ("docs", "postings", "terms", "title_postings", "doc_stats", "collectio
 class Index:
     """docs(docid, category, title, text); postings(term, docid, tf, positions, dl, lnc);
     terms(term, df); title_postings(term, docid, tf); doc_stats(docid, dl, max_tf, avg_tf, n_unique,
-    char_len), documents without a word included; collection(n, avgdl), one row."""
+    char_len and a cosine norm for each pair of SMART's tf and df codes), documents without a word included;
+    collection(n, avgdl), one row."""
 
     docs: DataFrame
     postings: DataFrame
@@ -85,8 +88,8 @@ def build_index(docs: DataFrame, path: str | None = None) -> Index:
     stems = spark.read.parquet(f"{path}/vocabulary")
 
     dealt = docs.repartition("docid")
-    tokens = dealt.select("docid", F.posexplode(words(full_text())).alias("pos", "raw")).join(stems, "raw")
-    grouped = tokens.groupBy("docid", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions"))
+    found = dealt.select("docid", F.posexplode(words(full_text())).alias("pos", "raw")).groupBy("docid", "raw").agg(F.collect_list("pos").alias("at"))
+    grouped = found.join(stems, "raw").groupBy("docid", "term").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("positions")).withColumn("tf", F.size("positions"))
     whole = Window.partitionBy("docid")
     log = F.lit(1.0) + F.log10(F.col("tf").cast("double"))
     weighted = grouped.withColumn("dl", F.sum("tf").over(whole)).withColumn("lnc", log / F.sqrt(F.sum(log * log).over(whole)))
@@ -97,11 +100,15 @@ def build_index(docs: DataFrame, path: str | None = None) -> Index:
     postings.groupBy("term").agg(F.count("*").alias("df")).sort("term").write.parquet(f"{path}/terms")
     titles = docs.select("docid", F.explode(words(title_text())).alias("raw")).join(stems, "raw")
     titles.groupBy("term", "docid").agg(F.count("*").cast("int").alias("tf")).sort("term", "docid").write.parquet(f"{path}/title_postings")
-    stats = postings.groupBy("docid").agg(F.sum("tf").alias("dl"), F.max("tf").alias("max_tf"), F.avg("tf").alias("avg_tf"), F.count("*").alias("n_unique"))
+    n = docs.count()
+    known = postings.select("docid", "term", "tf").join(spark.read.parquet(f"{path}/terms"), "term").withColumns({"max_tf": F.max("tf").over(whole), "avg_tf": F.avg("tf").over(whole)})
+    squared = lambda t, d: F.pow(weighting.tf_weight(t, F.col("tf"), F.col("max_tf"), F.col("avg_tf")) * weighting.df_weight(d, F.col("df"), F.lit(n)), F.lit(2))
+    norms = {weighting.norm_name(t, d): F.sqrt(F.sum(squared(t, d))) for t in weighting.TF_CODES for d in weighting.DF_CODES}
+    stats = known.groupBy("docid").agg(F.sum("tf").alias("dl"), F.max("tf").alias("max_tf"), F.avg("tf").alias("avg_tf"), F.count("*").alias("n_unique"), *[v.alias(k) for k, v in norms.items()])
     char_len = F.length(F.coalesce("title", F.lit(""))) + 1 + F.length(F.coalesce("text", F.lit("")))
     zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
     docs.select("docid", char_len.alias("char_len")).join(stats, "docid", "left").select(
-        "docid", zero("dl", "long"), zero("max_tf", "int"), zero("avg_tf", "double"), zero("n_unique", "long"), "char_len"
+        "docid", zero("dl", "long"), zero("max_tf", "int"), zero("avg_tf", "double"), zero("n_unique", "long"), "char_len", *[zero(c, "double") for c in norms]
     ).write.parquet(f"{path}/doc_stats")
     doc_stats = spark.read.parquet(f"{path}/doc_stats")
     doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl") / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0)).alias("avgdl")).write.parquet(f"{path}/collection")

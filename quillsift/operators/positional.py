@@ -6,57 +6,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.operators.index import Index
-from quillsift.operators.rank import query_terms
+from quillsift.operators.rank import Analyzed, Queries, analyzed
 
 
-def candidate_docs(index: Index, queries: DataFrame) -> DataFrame:
+def candidate_docs(index: Index, queries: Queries) -> DataFrame:
     """qid, docid: documents that hold every term of a query; none if a term is unknown."""
-    terms = query_terms(queries).select("qid", "term").distinct()
+    a = analyzed(queries)
+    terms = a.words.select("qid", "term").distinct()
     wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
-    held = terms.join(index.inverted, "term").groupBy("qid", "docid").agg(F.count("*").alias("held"))
+    held = terms.join(a.of_terms(index.inverted), "term").groupBy("qid", "docid").agg(F.count("*").alias("held"))
     return held.join(wanted, "qid").where("held = wanted").select("qid", "docid")
 
 
-def phrase_hits(index: Index, queries: DataFrame) -> DataFrame:
+def phrase_hits(index: Index, queries: Queries) -> DataFrame:
     """qid, docid, start: places where the terms of a query stand in order without a gap. Each occurrence
     votes for the place where the phrase would start; a place with as many votes as the phrase has
     terms is a hit. One equi-join, no pairs of positions."""
-    q = query_terms(queries)
+    a = analyzed(queries)
+    q = a.words
     wanted = q.groupBy("qid").agg(F.count("*").alias("wanted"))
-    near = q.select("qid", "term").distinct().join(index.postings.select("term", "docid", "positions"), "term")
-    near = near.join(candidate_docs(index, queries), ["qid", "docid"], "left_semi")
+    near = q.select("qid", "term").distinct().join(a.of_terms(index.postings).select("term", "docid", "positions"), "term")
+    near = near.join(candidate_docs(index, a), ["qid", "docid"], "left_semi")
     votes = near.select("qid", "docid", "term", F.explode("positions").alias("pos")).join(q, ["qid", "term"])
     found = votes.groupBy("qid", "docid", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("votes"))
     return found.join(wanted, "qid").where("votes = wanted").select("qid", "docid", "start")
 
 
-def first_terms(pairs: DataFrame) -> DataFrame:
-    """qid, k, a, b from rows qid, term_a, term_b, k: the first term of each argument."""
-    out = pairs.select("qid", "k")
+def first_terms(pairs: DataFrame) -> tuple[DataFrame, Analyzed, Analyzed]:
+    """qid, k, a, b from rows qid, term_a, term_b, k: the first term of each argument; both sides analyzed."""
+    out, sides = pairs.select("qid", "k"), []
     for side in ("a", "b"):
-        terms = query_terms(pairs.select("qid", F.col(f"term_{side}").alias("text"))).where("off = 0").select("qid", F.col("term").alias(side))
-        out = out.join(terms, "qid")
-    return out
+        sides.append(analyzed(pairs.select("qid", F.col(f"term_{side}").alias("text"))))
+        out = out.join(sides[-1].words.where("off = 0").select("qid", F.col("term").alias(side)), "qid")
+    return out, *sides
 
 
 def proximity_hits(index: Index, pairs: DataFrame, ordered: bool = True) -> DataFrame:
     """qid, docid, pa, pb: positions of the two terms at most k apart, b behind a if ordered. Positions
     are put in bins k wide, so partners are in the same bin or the next: an equi-join on document and
     bin, with the distance as a condition on its rows, never all pairs of a document."""
-    q = first_terms(pairs).where("k > 0")
-    occ = index.postings.select("term", "docid", F.explode("positions").alias("pos"))
+    q, one, other = first_terms(pairs)
+    q = q.where("k > 0")
     width = F.floor(F.col("pos") / F.col("k"))
-    a = q.select("qid", "k", F.col("a").alias("term")).join(occ, "term").select("qid", "k", "docid", F.col("pos").alias("pa"), width.alias("bin"))
+    a = q.select("qid", "k", F.col("a").alias("term")).join(index.positions(one.of_terms(index.postings)), "term").select("qid", "k", "docid", F.col("pos").alias("pa"), width.alias("bin"))
     bins = F.array(width - 1, width) if ordered else F.array(width - 1, width, width + 1)
-    b = q.select("qid", "k", F.col("b").alias("term")).join(occ, "term").select("qid", "docid", F.col("pos").alias("pb"), F.explode(bins).alias("bin"))
+    b = q.select("qid", "k", F.col("b").alias("term")).join(index.positions(other.of_terms(index.postings)), "term").select("qid", "docid", F.col("pos").alias("pb"), F.explode(bins).alias("bin"))
     gap = F.col("pb") - F.col("pa")
     near = (gap > 0) & (gap <= F.col("k")) if ordered else (gap != 0) & (F.abs(gap) <= F.col("k"))
     return a.join(b, ["qid", "docid", "bin"]).where(near).select("qid", "docid", "pa", "pb")
 
 
 def by_hits(hits: DataFrame, k: int, *columns: str) -> DataFrame:
-    """qid, docid, rank, n_hits, match_positions: the documents with the most hits."""
-    match = F.sort_array(F.collect_list(columns[0] if len(columns) == 1 else F.struct(*columns)))
-    per = hits.groupBy("qid", "docid").agg(F.count("*").alias("n_hits"), match.alias("match_positions"))
+    """qid, docid, rank, n_hits, match_positions: the documents with the most hits. Hits are counted first;
+    places are gathered of the best documents alone."""
+    per = hits.groupBy("qid", "docid").agg(F.count("*").alias("n_hits"))
     order = Window.partitionBy("qid").orderBy(F.desc("n_hits"), "docid")
-    return per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    match = F.sort_array(F.collect_list(columns[0] if len(columns) == 1 else F.struct(*columns)))
+    return hits.join(best, ["qid", "docid"]).groupBy("qid", "docid", "rank", "n_hits").agg(match.alias("match_positions"))

@@ -8,6 +8,7 @@ then docid: the order of a distributed sum doesn't decide between equal document
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,19 +18,48 @@ from quillsift.functions.text import analyze
 from quillsift.operators.index import Index
 from quillsift.plans.storage import stored
 
-#: A ranker: index, queries, number of documents for each query -> qid, docid, score, rank.
-Ranker = Callable[[Index, DataFrame, int], DataFrame]
+#: Up to so many analyzed words of queries are known to the driver: their terms become conditions of the scans.
+MOST_KNOWN = 2000
 BOOST, BOOST_POOL = 1.5, 200
 SDM_WEIGHTS, SDM_POOL, ORDERED_WINDOW, UNORDERED_WINDOW = (0.8, 0.15, 0.05), 50, 2, 4
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """qid, off, term: the analyzed queries. Every ranker of a plan needs them: they are analyzed once for
-    each table of queries and stored."""
-    found = getattr(queries, "_analyzed", None)
-    if found is None:
-        found = queries._analyzed = stored(analyze(queries, F.coalesce("text", F.lit("")), "qid", position="off"), "queries")
-    return found
+@dataclass(frozen=True)
+class Analyzed:
+    """Queries that are analyzed: texts(qid, text), words(qid, off, term), and their distinct terms where
+    they are few. Rankers that call others hand them on, so that a plan analyzes its queries once."""
+
+    texts: DataFrame
+    words: DataFrame
+    known: tuple[str, ...] | None = field(default=None)
+
+    def of_terms(self, rows: DataFrame, column: str = "term") -> DataFrame:
+        """The rows of the queries' terms, as far as a condition can tell: files are sorted by term, so
+        a scan reads the row groups of these terms alone. A batch of many queries reads the whole table."""
+        return rows if self.known is None else rows.where(F.col(column).isin(*self.known))
+
+
+Queries = DataFrame | Analyzed
+#: A ranker: index, queries, number of documents for each query -> qid, docid, score, rank.
+Ranker = Callable[[Index, Queries, int], DataFrame]
+
+
+def analyzed(queries: Queries) -> Analyzed:
+    """Analyzes a table of queries (qid, text). Few words come to the driver and back as a local table; else
+    they are stored."""
+    if isinstance(queries, Analyzed):
+        return queries
+    words = analyze(queries, F.coalesce("text", F.lit("")), "qid", position="off")
+    few = words.limit(MOST_KNOWN + 1).collect()
+    if len(few) > MOST_KNOWN:
+        return Analyzed(queries, stored(words, "queries"))
+    rows = sorted((tuple(r) for r in few), key=lambda r: (str(r[0]), r[1]))
+    return Analyzed(queries, queries.sparkSession.createDataFrame(rows, words.schema), tuple(sorted({r.term for r in few})))
+
+
+def query_terms(queries: Queries) -> DataFrame:
+    """qid, off, term: the analyzed queries."""
+    return analyzed(queries).words
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -42,9 +72,10 @@ def of_collection(df: DataFrame, index: Index) -> DataFrame:
     return df.withColumns({"n": F.lit(index.size[0]), "avgdl": F.lit(index.size[1])})
 
 
-def oov_terms(index: Index, queries: DataFrame) -> DataFrame:
+def oov_terms(index: Index, queries: Queries) -> DataFrame:
     """qid, term: distinct query terms that are in no document."""
-    return query_terms(queries).select("qid", "term").distinct().join(index.terms, "term", "left_anti").select("qid", "term")
+    q = analyzed(queries)
+    return q.words.select("qid", "term").distinct().join(q.of_terms(index.terms), "term", "left_anti").select("qid", "term")
 
 
 def vsm_idf(index: Index) -> DataFrame:
@@ -61,43 +92,48 @@ def unit(df: DataFrame, key: str, raw: str) -> Column:
     return F.col(raw) / F.when(norm > 0, norm).otherwise(1.0)
 
 
-def ltc_query(index: Index, queries: DataFrame) -> DataFrame:
+def ltc_query(index: Index, queries: Queries) -> DataFrame:
     """qid, term, w; terms without weight (unknown, or in every document) have 0."""
-    q = of_collection(query_terms(queries).groupBy("qid", "term").agg(F.count("*").alias("qtf")).join(index.terms, "term", "left"), index)
+    a = analyzed(queries)
+    q = of_collection(a.words.groupBy("qid", "term").agg(F.count("*").alias("qtf")).join(a.of_terms(index.terms), "term", "left"), index)
     idf = weighting.df_weight("t", F.coalesce("df", F.lit(0)), F.col("n"))
     raw = q.withColumn("raw", F.when(idf > 0, weighting.tf_weight("l", F.col("qtf"), F.col("qtf"), F.col("qtf")) * idf).otherwise(0.0))
     return raw.select("qid", "term", unit(raw, "qid", "raw").alias("w"))
 
 
-def vsm(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+def vsm(index: Index, queries: Queries, k: int = 10) -> DataFrame:
     """Vector space, lnc.ltc: document weights are in the postings."""
-    q = ltc_query(index, queries).where("w <> 0")
-    return top(q.join(index.postings.select("term", "docid", "lnc"), "term").groupBy("qid", "docid").agg(F.sum(F.col("w") * F.col("lnc")).alias("score")), k)
+    a = analyzed(queries)
+    q = ltc_query(index, a).where("w <> 0")
+    return top(q.join(a.of_terms(index.postings).select("term", "docid", "lnc"), "term").groupBy("qid", "docid").agg(F.sum(F.col("w") * F.col("lnc")).alias("score")), k)
 
 
-def bm25(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+def bm25(index: Index, queries: Queries, k: int = 10) -> DataFrame:
     """Each distinct query term counts once."""
-    q = query_terms(queries).select("qid", "term").distinct().join(index.terms, "term")
-    hits = of_collection(q.join(index.postings.select("term", "docid", "tf", "dl"), "term"), index)
+    a = analyzed(queries)
+    q = a.words.select("qid", "term").distinct().join(a.of_terms(index.terms), "term")
+    hits = of_collection(q.join(a.of_terms(index.postings).select("term", "docid", "tf", "dl"), "term"), index)
     part = weighting.bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
     return top(hits.groupBy("qid", "docid").agg(F.sum(part).alias("score")), k)
 
 
-def fielded(index: Index, queries: DataFrame, k: int = 10, base: Ranker = vsm, boost: float = BOOST, pool: int = BOOST_POOL) -> DataFrame:
+def fielded(index: Index, queries: Queries, k: int = 10, base: Ranker = vsm, boost: float = BOOST, pool: int = BOOST_POOL) -> DataFrame:
     """The best of a base ranking, multiplied by boost for each distinct query term in title or category."""
-    ranked = base(index, queries, pool).select("qid", "docid", "score")
-    terms = query_terms(queries).select("qid", "term").distinct()
-    found = terms.join(index.title_postings.select("term", "docid"), "term").groupBy("qid", "docid").agg(F.count("*").alias("hits"))
+    a = analyzed(queries)
+    ranked = base(index, a, pool).select("qid", "docid", "score")
+    terms = a.words.select("qid", "term").distinct()
+    found = terms.join(a.of_terms(index.title_postings).select("term", "docid"), "term").groupBy("qid", "docid").agg(F.count("*").alias("hits"))
     boosted = ranked.join(found, ["qid", "docid"], "left").withColumn("score", F.col("score") * F.pow(F.lit(boost), F.coalesce("hits", F.lit(0))))
     return top(boosted.drop("hits"), k)
 
 
-def query_bigrams(index: Index, queries: DataFrame) -> DataFrame:
+def query_bigrams(index: Index, queries: Queries) -> DataFrame:
     """qid, ta, tb: neighbours among a query's distinct terms in order of first occurrence, both known."""
-    distinct = query_terms(queries).groupBy("qid", "term").agg(F.min("off").alias("off"))
+    a = analyzed(queries)
+    distinct = a.words.groupBy("qid", "term").agg(F.min("off").alias("off"))
     pairs = distinct.select("qid", F.col("term").alias("ta"), F.lead("term").over(Window.partitionBy("qid").orderBy("off")).alias("tb")).where("tb is not null")
     for side in ("ta", "tb"):
-        pairs = pairs.join(index.terms.select(F.col("term").alias(side)), side, "left_semi")
+        pairs = pairs.join(a.of_terms(index.terms).select(F.col("term").alias(side)), side, "left_semi")
     return pairs.select("qid", "ta", "tb")
 
 
@@ -108,67 +144,66 @@ def shifted_hits(a: str, b: str, shifts: list[int]) -> Column:
     return sum((F.size(F.array_intersect(moved(d), b)) for d in shifts), F.lit(0))
 
 
-def sdm_evidence(index: Index, queries: DataFrame) -> DataFrame:
+def sdm_evidence(index: Index, queries: Queries) -> DataFrame:
     """qid, docid, ordered, unordered: for every document that holds both terms of some bigram (counts
     may be 0) the pairs within the ordered and unordered windows, summed over the bigrams."""
-    p = index.postings.select("term", "docid", "positions")
-    left = query_bigrams(index, queries).join(p.select(F.col("term").alias("ta"), "docid", F.col("positions").alias("pa")), "ta")
+    a = analyzed(queries)
+    p = a.of_terms(index.postings).select("term", "docid", "positions")
+    left = query_bigrams(index, a).join(p.select(F.col("term").alias("ta"), "docid", F.col("positions").alias("pa")), "ta")
     both = left.join(p.select(F.col("term").alias("tb"), "docid", F.col("positions").alias("pb")), ["tb", "docid"])
     ahead, near = list(range(1, ORDERED_WINDOW + 1)), [d for k in range(1, UNORDERED_WINDOW + 1) for d in (k, -k)]
     return both.groupBy("qid", "docid").agg(F.sum(shifted_hits("pa", "pb", ahead)).alias("ordered"), F.sum(shifted_hits("pa", "pb", near)).alias("unordered"))
 
 
-def sdm(index: Index, queries: DataFrame, k: int = 10, base: Ranker = vsm, pool: int = SDM_POOL, weights: tuple[float, float, float] = SDM_WEIGHTS) -> DataFrame:
+def sdm(index: Index, queries: Queries, k: int = 10, base: Ranker = vsm, pool: int = SDM_POOL, weights: tuple[float, float, float] = SDM_WEIGHTS) -> DataFrame:
     """Sequential dependence: the base ranking's pool, ordered and unordered bigram windows, each over
     its greatest value for the query, mixed linearly."""
-    unigram = base(index, queries, pool).select("qid", "docid", F.col("score").alias("ft"), F.lit(0).cast("long").alias("fo"), F.lit(0).cast("long").alias("fu"))
-    grams = sdm_evidence(index, queries).select("qid", "docid", F.lit(0.0).alias("ft"), F.col("ordered").alias("fo"), F.col("unordered").alias("fu"))
-    every = unigram.unionByName(grams).groupBy("qid", "docid").agg(F.sum("ft").alias("ft"), F.sum("fo").alias("fo"), F.sum("fu").alias("fu"))
-    over = Window.partitionBy("qid")
-
-    def share(c: str) -> Column:
-        most = F.max(c).over(over).cast("double")
-        return F.col(c) / F.when(most != 0, most).otherwise(1.0)
-
-    score = sum((F.lit(w) * share(c) for w, c in zip(weights, ("ft", "fo", "fu"), strict=True)), F.lit(0.0))
-    return top(every.withColumn("score", score).drop("ft", "fo", "fu"), k)
-
-
-def sdm_on_bm25(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
+    a = analyzed(queries)
+    unigram = base(index, a, pool).select("qid", "docid", F.col("score").alias("ft"), F.lit(0).cast("long").alias("fo"), F.lit(0).cast("long").alias("fu"))
+    grams = sdm_evidence(index, a).select("qid", "docid", F.lit(0.0).alias("ft"), F.col("ordered").alias("fo"), F.col("unordered").alias("fu"))
+    parts = ("ft", "fo", "fu")
+    every = unigram.unionByName(grams).groupBy("qid", "docid").agg(*[F.sum(c).alias(c) for c in parts])
+    # a query may have any number of candidates: its greatest values are partial aggregates, a row a query
+    most = every.groupBy("qid").agg(*[F.max(c).cast("double").alias(f"most_{c}") for c in parts])
+    share = lambda c: F.col(c) / F.when(F.col(f"most_{c}") != 0, F.col(f"most_{c}")).otherwise(1.0)
+    score = sum((F.lit(w) * share(c) for w, c in zip(weights, parts, strict=True)), F.lit(0.0))
+    return top(every.join(most, "qid").select("qid", "docid", score.alias("score")), k)
+
+
+def sdm_on_bm25(index: Index, queries: Queries, k: int = 10) -> DataFrame:
     return sdm(index, queries, k, base=bm25)
 
 
-def smart_doc_weights(index: Index, scheme: str, only: DataFrame | None = None) -> DataFrame:
-    """term, docid, w of a document scheme; only: a table of the terms that are wanted. The cosine norm
-    alone needs all terms of a document, as a partial aggregate."""
+def smart_doc_weights(index: Index, scheme: str, queries: Queries | None = None) -> DataFrame:
+    """term, docid, w of a document scheme, of all terms or of the queries'. Cosine norms of every tf and df
+    code are stored with the documents, so that no other posting is read."""
     tf, df, norm = weighting.check_scheme(scheme)
-    rows = of_collection(index.postings.select("term", "docid", "tf").join(index.terms, "term").join(index.doc_stats, "docid"), index)
-    weighted = rows.withColumn("raw", weighting.tf_weight(tf, F.col("tf"), F.col("max_tf"), F.col("avg_tf")) * weighting.df_weight(df, F.col("df"), F.col("n")))
-    part = weighted if only is None else weighted.join(only, "term", "left_semi")
-    if norm == "c":
-        norms = weighted.groupBy("docid").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-        part = part.join(norms, "docid")
-    by = {"n": F.lit(1.0), "c": F.col("norm") if norm == "c" else F.lit(1.0), "u": F.col("n_unique").cast("double"), "b": F.pow(F.col("char_len").cast("double"), F.lit(weighting.BYTE_POWER))}[norm]
-    return part.select("term", "docid", (F.col("raw") / F.when(by > 0, by).otherwise(1.0)).alias("w"))
+    wanted = (lambda t: t) if queries is None else analyzed(queries).of_terms
+    rows = of_collection(wanted(index.postings).select("term", "docid", "tf").join(wanted(index.terms), "term").join(index.doc_stats, "docid"), index)
+    raw = weighting.tf_weight(tf, F.col("tf"), F.col("max_tf"), F.col("avg_tf")) * weighting.df_weight(df, F.col("df"), F.col("n"))
+    by = {"n": F.lit(1.0), "c": F.col(weighting.norm_name(tf, df)), "u": F.col("n_unique").cast("double"), "b": F.pow(F.col("char_len").cast("double"), F.lit(weighting.BYTE_POWER))}[norm]
+    return rows.select("term", "docid", (raw / F.when(by > 0, by).otherwise(1.0)).alias("w"))
 
 
-def smart_query_weights(index: Index, queries: DataFrame, scheme: str) -> DataFrame:
+def smart_query_weights(index: Index, queries: Queries, scheme: str) -> DataFrame:
     """qid, term, w of a query scheme. Both length norms u and b divide by the length of the query's
     text; unknown terms count in the cosine norm where the scheme has no idf."""
     tf, df, norm = weighting.check_scheme(scheme)
     over = Window.partitionBy("qid")
-    q = query_terms(queries).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    a = analyzed(queries)
+    q = a.words.groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     q = q.withColumn("max_tf", F.max("qtf").over(over)).withColumn("avg_tf", F.avg("qtf").over(over))
-    q = of_collection(q.join(index.terms, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).join(queries.select("qid", F.length("text").cast("double").alias("chars")), "qid"), index)
+    q = of_collection(q.join(a.of_terms(index.terms), "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).join(a.texts.select("qid", F.length("text").cast("double").alias("chars")), "qid"), index)
     q = q.withColumn("raw", weighting.tf_weight(tf, F.col("qtf"), F.col("max_tf"), F.col("avg_tf")) * weighting.df_weight(df, F.col("df"), F.col("n")))
     by = {"n": F.lit(1.0), "c": F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(over)), "u": F.col("chars"), "b": F.pow("chars", F.lit(weighting.BYTE_POWER))}[norm]
     q = q.withColumn("by", by)
     return q.select("qid", "term", (F.col("raw") / F.when(F.col("by") > 0, F.col("by")).otherwise(1.0)).alias("w"))
 
 
-def smart(index: Index, queries: DataFrame, k: int = 10, doc_scheme: str = "lnc", query_scheme: str = "ltc") -> DataFrame:
+def smart(index: Index, queries: Queries, k: int = 10, doc_scheme: str = "lnc", query_scheme: str = "ltc") -> DataFrame:
     """Any pair of SMART schemes; documents that score 0 are left out."""
     weighting.check_scheme(doc_scheme)
-    q = smart_query_weights(index, queries, query_scheme).where("w <> 0")
-    d = smart_doc_weights(index, doc_scheme, q.select("term").distinct()).withColumnRenamed("w", "dw")
+    a = analyzed(queries)
+    q = smart_query_weights(index, a, query_scheme).where("w <> 0")
+    d = smart_doc_weights(index, doc_scheme, a).withColumnRenamed("w", "dw")
     return top(q.join(d, "term").groupBy("qid", "docid").agg(F.sum(F.col("w") * F.col("dw")).alias("score")).where("score <> 0"), k)

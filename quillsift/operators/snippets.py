@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.functions.text import full_text, spans
 from quillsift.operators.index import Index
-from quillsift.operators.rank import query_terms
+from quillsift.operators.rank import Queries, query_terms
 
 WINDOW, MARGIN, NO_WORDS = 16, 3, 140
+#: What is made of a marked word: marks before and behind it, or a column function.
+Mark = tuple[str, str] | Callable[[Column], Column]
 
 
-def snippets(index: Index, results: DataFrame, queries: DataFrame, window: int = WINDOW, mark: tuple[str, str] = ("**", "**")) -> DataFrame:
+def snippets(index: Index, results: DataFrame, queries: Queries, window: int = WINDOW, mark: Mark = ("**", "**")) -> DataFrame:
     """qid, docid, snippet for results qid, docid: the first window of so many words that holds the most
     occurrences of query terms, a few characters more on both sides, and an ellipsis where text is cut
     off. Only the results' texts are read."""
@@ -36,11 +40,12 @@ def snippets(index: Index, results: DataFrame, queries: DataFrame, window: int =
     inside = words.where("hit = 1").join(framed.select(*keys, "low", "high", F.col("at")), list(keys)).where((F.col("i") >= F.col("at")) & (F.col("i") < F.col("at") + window))
     marks = inside.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("marks"))
     joined = framed.join(marks, list(keys), "left")
+    marked = mark if callable(mark) else lambda word: F.concat(F.lit(mark[0]), word, F.lit(mark[1]))
     marks = F.coalesce("marks", F.array().cast("array<struct<start:int,end:int>>"))
     start = F.struct(F.col("low").alias("at"), F.lit("").alias("said"))
     piece = lambda a, b: F.substring(F.col("full"), a + 1, b - a)
     told = F.aggregate(
-        marks, start, lambda acc, m: F.struct(m["end"].alias("at"), F.concat(acc["said"], piece(acc["at"], m["start"]), F.lit(mark[0]), piece(m["start"], m["end"]), F.lit(mark[1])).alias("said"))
+        marks, start, lambda acc, m: F.struct(m["end"].alias("at"), F.concat(acc["said"], piece(acc["at"], m["start"]), marked(piece(m["start"], m["end"]))).alias("said"))
     )
     joined = joined.withColumn("told", told)
     body = F.concat(F.col("told.said"), piece(F.col("told.at"), F.col("high")))

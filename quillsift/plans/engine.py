@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from quillsift.functions.weighting import check_scheme
 from quillsift.operators import correction, evaluation, positional, rank
 from quillsift.operators.index import Index, build_index, load_index
-from quillsift.operators.snippets import snippets
+from quillsift.operators.snippets import Mark, snippets
 from quillsift.sources.collections import checked, tagged_documents
 
-Queries = str | list[str] | DataFrame
+Queries = str | list[str] | DataFrame | rank.Analyzed
 
 
 class SearchEngine:
     """All searches return DataFrames with qid (0 for a single text), so batches and single queries go
     the same way. Nothing is changed by a search; a scheme is an argument."""
 
-    def __init__(self, index: Index):
-        self.index = index
+    def __init__(self, index: Index, mark: Mark = ("**", "**")):
+        """mark: what snippets make of a word that was searched for."""
+        self.index, self.mark = index, mark
 
     @classmethod
     def from_documents(cls, docs: DataFrame, path: str | None = None) -> SearchEngine:
@@ -33,15 +34,14 @@ class SearchEngine:
     def open(cls, spark: SparkSession, path: str) -> SearchEngine:
         return cls(load_index(spark, path))
 
-    def queries(self, q: Queries) -> DataFrame:
-        if isinstance(q, DataFrame):
-            return q
-        texts = [q] if isinstance(q, str) else q
-        return self.index.spark.createDataFrame(list(enumerate(texts)), "qid int, text string")
+    def queries(self, q: Queries) -> rank.Analyzed:
+        if not isinstance(q, DataFrame | rank.Analyzed):
+            q = self.index.spark.createDataFrame(list(enumerate([q] if isinstance(q, str) else q)), "qid int, text string")
+        return rank.analyzed(q)
 
-    def formatted(self, ranked: DataFrame, queries: DataFrame) -> DataFrame:
+    def formatted(self, ranked: DataFrame, queries: rank.Queries) -> DataFrame:
         """qid, rank, docid, title, category, score (4 places), snippet."""
-        found = ranked.join(self.index.docs.select("docid", "title", "category"), "docid").join(snippets(self.index, ranked, queries), ["qid", "docid"])
+        found = ranked.join(self.index.docs.select("docid", "title", "category"), "docid").join(snippets(self.index, ranked, queries, mark=self.mark), ["qid", "docid"])
         return found.select("qid", "rank", "docid", "title", "category", F.round("score", 4).alias("score"), "snippet").orderBy("qid", "rank")
 
     def oov(self, q: Queries) -> DataFrame:
@@ -71,15 +71,15 @@ class SearchEngine:
         return self.formatted(rank.smart(self.index, q, top_k, check_scheme(doc_scheme), check_scheme(query_scheme)), q)
 
     def search_with_typo_tolerance(self, q: Queries, top_k: int = 10) -> DataFrame:
-        fixed = correction.corrected(self.index, self.queries(q))
+        fixed = rank.analyzed(correction.corrected(self.index, self.queries(q)))
         return self.formatted(rank.vsm(self.index, fixed, top_k), fixed)
 
     def corrections(self, q: Queries) -> DataFrame:
         return correction.suggestions(self.index, self.queries(q))
 
-    def _positional(self, hits: DataFrame, queries: DataFrame, *columns: str, top_k: int) -> DataFrame:
+    def _positional(self, hits: DataFrame, queries: rank.Queries, *columns: str, top_k: int) -> DataFrame:
         ranked = evaluation.with_badges(self.index, positional.by_hits(hits, top_k, *columns), queries)
-        found = ranked.join(self.index.docs.select("docid", "title", "category"), "docid").join(snippets(self.index, ranked, queries), ["qid", "docid"])
+        found = ranked.join(self.index.docs.select("docid", "title", "category"), "docid").join(snippets(self.index, ranked, queries, mark=self.mark), ["qid", "docid"])
         return found.select("qid", "rank", "docid", "title", "category", "match_positions", "rank_shift", "vsm_rank", "snippet").orderBy("qid", "rank")
 
     def search_phrase(self, q: Queries, top_k: int = 10) -> DataFrame:
@@ -91,5 +91,5 @@ class SearchEngine:
         return self._positional(positional.proximity_hits(self.index, pairs, ordered), self.queries(f"{term_a} {term_b}"), "pa", "pb", top_k=top_k)
 
     def ndcg_report(self, q: Queries, judgments: DataFrame | None = None, top_k: int = 10, custom: tuple[str, str] | None = None) -> DataFrame:
-        """ranker, qid, ndcg_at_10, ndcg_at_5; judgments: qid, docid, grade (the rule's if none)."""
+        """ranker, qid, ndcg_at_10, ndcg_at_5, ranked_docids; judgments: qid, docid, grade (the rule's if none)."""
         return evaluation.report(self.index, self.queries(q), judgments, top_k, custom)

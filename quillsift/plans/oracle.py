@@ -9,7 +9,8 @@ from quillsift.functions import weighting
 from quillsift.functions.stemming import stem_ctes
 from quillsift.functions.text import STOPWORDS
 from quillsift.operators.rank import BOOST, BOOST_POOL, SDM_POOL, SDM_WEIGHTS
-from quillsift.plans.queries import PAIRS, PARTS, PHRASES, QUERIES, SCHEMES
+from quillsift.sources.collections import TITLE
+from quillsift.plans.queries import COMMON, PAIRS, PARTS, PHRASES, QUERIES, SCHEMES
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -24,7 +25,7 @@ def values(rows: dict[int, str]) -> str:
 
 FULL = "title || '. ' || text"
 FRAGMENTS = {
-    "docs": "SELECT doc_id AS docid, coalesce(source, '') AS category, left(split_part(coalesce(text, ''), chr(10), 1), 80) AS title, coalesce(text, '') AS text FROM documents",
+    "docs": "SELECT doc_id AS docid, coalesce(source, '') AS category, regexp_extract(coalesce(text, ''), '" + TITLE + "', 1) AS title, coalesce(text, '') AS text FROM documents",
     "queries": values(QUERIES),
     "raw_tokens": f"SELECT docid, unnest(ws) AS raw, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT docid, {words(FULL)} AS ws FROM docs)",
     "raw_titles": f"SELECT docid, unnest({words("title || ' ' || category")}) AS raw FROM docs",
@@ -107,7 +108,7 @@ FRAGMENTS |= {
     "pool": "SELECT DISTINCT qid, docid FROM lists",
     "held": "SELECT qid, docid, count(*) AS held FROM q_terms JOIN postings USING (term) GROUP BY ALL",
     "graded_pool": "SELECT p.qid, p.docid, CASE WHEN f.docid IS NOT NULL THEN 3 WHEN held = (SELECT count(*) FROM q_terms t WHERE t.qid = p.qid) THEN 2 WHEN held > 0 THEN 1 ELSE 0 END AS grade FROM pool p LEFT JOIN held h ON h.qid = p.qid AND h.docid = p.docid LEFT JOIN (SELECT * FROM phrase_ranked WHERE rank <= 100) f ON f.qid = p.qid AND f.docid = p.docid",
-    "graded": "SELECT ranker, qid, rank, grade, row_number() OVER (PARTITION BY ranker, qid ORDER BY grade DESC, rank) AS ideal FROM lists JOIN graded_pool USING (qid, docid)",
+    "graded": "SELECT ranker, qid, rank, docid, grade, row_number() OVER (PARTITION BY ranker, qid ORDER BY grade DESC, rank) AS ideal FROM lists JOIN graded_pool USING (qid, docid)",
     "snippet_hits": "SELECT qid, docid FROM vsm WHERE rank <= 10",
 }
 FRAGMENTS |= {
@@ -170,6 +171,13 @@ def gain(rank: str, k: int) -> str:
     return f"sum(CASE WHEN {rank} <= {k} THEN (pow(2, grade) - 1) / log2({rank} + 1) ELSE 0 END)"
 
 
+SETS = (
+    "SELECT qid, docid, max(v)::BIGINT AS in_vsm, max(p)::BIGINT AS in_phrase, max(s)::BIGINT AS in_sdm FROM (SELECT qid, docid, 1 AS v, 0 AS p, 0 AS s FROM vsm WHERE rank <= 10 "
+    "UNION ALL SELECT qid, docid, 0, 1, 0 FROM phrase_ranked WHERE rank <= 10 UNION ALL SELECT qid, docid, 0, 0, 1 FROM sdm WHERE rank <= 10) GROUP BY ALL"
+)
+PART_DOCS = "SELECT p_partkey AS docid, p_type AS category, p_name AS title, p_brand AS text FROM part"
+
+
 def oracle_sql() -> dict[str, str]:
     phrases = {"queries": values(PHRASES)}
     trim = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
@@ -200,24 +208,23 @@ def oracle_sql() -> dict[str, str]:
         "candidate_docs": sql("SELECT qid, docid FROM candidates", **phrases),
         "phrase": sql("SELECT qid, docid, start FROM phrase_hits", **phrases),
         "rank_shift": sql(badges("phrase_ranked"), **phrases),
-        "levenshtein": sql("SELECT term, levenshtein(term, 'attion') AS distance FROM terms WHERE levenshtein(term, 'attion') <= 3"),
+        "levenshtein": sql("SELECT term, levenshtein(term, 'attion') AS distance FROM terms"),
         "suggest_correction": sql("SELECT term, suggestion, distance FROM suggested"),
         "corrected_query": sql("SELECT qid, text FROM corrected"),
         "snippet": sql(snippet_of("snippet_hits")),
         "dcg": sql(f"SELECT qid, round({gain('rank', 10)}, 6) AS dcg FROM (SELECT qid, rank, coalesce(quality, 0) AS grade FROM vsm LEFT JOIN labels ON doc_id = docid WHERE rank <= 10) GROUP BY qid"),
         "judgments_rule": sql("SELECT qid, docid, grade::BIGINT AS grade FROM graded_pool"),
         "ndcg_report": sql(
-            "SELECT ranker, qid, " + ", ".join(f"round(CASE WHEN {gain('ideal', k)} > 0 THEN {gain('rank', k)} / {gain('ideal', k)} ELSE 0 END, 6) AS ndcg_at_{k}" for k in (10, 5)) + " FROM graded GROUP BY ALL"
-        ),
-        "result_sets": sql(
-            "SELECT qid, docid, max(v)::BIGINT AS in_vsm, max(p)::BIGINT AS in_phrase, max(s)::BIGINT AS in_sdm FROM (SELECT qid, docid, 1 AS v, 0 AS p, 0 AS s FROM vsm WHERE rank <= 10 UNION ALL SELECT qid, docid, 0, 1, 0 FROM phrase_ranked WHERE rank <= 10 UNION ALL SELECT qid, docid, 0, 0, 1 FROM sdm WHERE rank <= 10) GROUP BY ALL",
-            **phrases,
+            "SELECT ranker, qid, " + ", ".join(f"round(CASE WHEN {gain('ideal', k)} > 0 THEN {gain('rank', k)} / {gain('ideal', k)} ELSE 0 END, 6) AS ndcg_at_{k}" for k in (10, 5)) + ", string_agg(docid::VARCHAR, ',' ORDER BY rank) AS ranked_docids FROM graded GROUP BY ALL"
         ),
+        "result_sets": sql(SETS, **phrases),
+        "result_sets_common_term": sql(SETS, docs=PART_DOCS, queries=values(COMMON)),
+        "markdown_report": sql("SELECT line, value FROM (SELECT 0::BIGINT AS line, '| qid | rank | docid |' AS value UNION ALL SELECT 1, '|---|---|---|' UNION ALL SELECT 1 + row_number() OVER (ORDER BY qid, rank), '| ' || qid || ' | ' || rank || ' | ' || docid || ' |' FROM vsm WHERE rank <= 10)"),
         "index_dump_inverted": sql("SELECT term, rpad(term, greatest(15, length(term))::INTEGER, ' ') || ' df=' || rpad(count(*)::VARCHAR, greatest(4, length(count(*)::VARCHAR))::INTEGER, ' ') || ' -> [' || string_agg('(' || docid || ',' || tf || ')', ', ' ORDER BY docid) || ']' AS value FROM postings GROUP BY term"),
         "index_dump_positional": sql("SELECT term, rpad(term, greatest(15, length(term))::INTEGER, ' ') || ' df=' || rpad(count(*)::VARCHAR, greatest(4, length(count(*)::VARCHAR))::INTEGER, ' ') || ' ->' || chr(10) || '    [' || string_agg('(' || docid || ',' || tf || ',[' || array_to_string(positions, ', ') || '])', ',' || chr(10) || '     ' ORDER BY docid) || ']' || chr(10) AS value FROM postings GROUP BY term"),
         "batch_search_vsm": sql(shown("vsm"), queries="SELECT item_id AS qid, text FROM benchmark"),
         "batch_search_bm25": sql(shown("bm25"), queries="SELECT item_id AS qid, text FROM benchmark"),
-        "part_search_vsm": sql(shown("vsm"), queries=values(PARTS), docs="SELECT p_partkey AS docid, p_type AS category, p_name AS title, p_brand AS text FROM part"),
+        "part_search_vsm": sql(shown("vsm"), queries=values(PARTS), docs=PART_DOCS),
     }
     for d, q in SCHEMES:
         own = {"smart_scores": smart(d, q)} | ranked("smart_list", "smart_scores")

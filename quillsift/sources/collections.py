@@ -20,10 +20,14 @@ def tagged_documents(spark: SparkSession, path: str) -> DataFrame:
     return records.where(F.col("value").rlike(body)).select(*fields)
 
 
+#: The words of a first line that go into so many characters are a title; a longer first word makes none.
+TITLE = r"^([^\n]{0,79}[^ \n])( |\n|\z)"
+
+
 def from_documents(documents: DataFrame) -> DataFrame:
-    """The documents table: the first line, up to 80 characters, is the title, the source the category."""
+    """The documents table: the first line's words, up to 80 characters, are the title, the source the category."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select(F.col("doc_id").alias("docid"), F.coalesce("source", F.lit("")).alias("category"), F.left(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit(80)).alias("title"), text.alias("text"))
+    return documents.select(F.col("doc_id").alias("docid"), F.coalesce("source", F.lit("")).alias("category"), F.regexp_extract(text, TITLE, 1).alias("title"), text.alias("text"))
 
 
 def from_parts(part: DataFrame) -> DataFrame:

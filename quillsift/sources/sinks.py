@@ -23,15 +23,23 @@ def head(index: Index, kind: str, form: str) -> DataFrame:
     return index.spark.createDataFrame([("", i, x) for i, x in enumerate(lines)], "term string, line int, value string")
 
 
+#: Postings that one line of a dump holds at most, without and with positions.
+LINE_POSTINGS, LINE_POSITIONAL = 1_000_000, 20_000
+
+
 def dump_lines(index: Index, positional: bool = False) -> DataFrame:
-    """term, line, value: the text of a dump but for its head, a value for each term."""
-    # a term's list is its dump line: that one line is held whole
+    """term, line, value: the text of a dump but for its head, a value for each term. A term of more documents
+    than a line may hold goes on in further lines: it is dealt to them by a hash of the documents, and each
+    is sorted."""
+    lines = F.ceil(F.col("df") / (LINE_POSITIONAL if positional else LINE_POSTINGS)).cast("int")
+    dealt = index.postings.join(index.terms.withColumn("lines", lines), "term").withColumn("line", F.when(F.col("lines") > 1, F.pmod(F.xxhash64("docid"), "lines")).otherwise(0).cast("int"))
     posting = F.concat(F.lit("("), F.col("docid").cast("string"), F.lit(","), F.col("tf").cast("string"), *([F.lit(",["), F.array_join(F.col("positions").cast("array<string>"), ", "), F.lit("])")] if positional else [F.lit(")")]))
-    per = index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("docid", posting.alias("said")))).alias("all"))
+    per = dealt.groupBy("term", "df", "lines", "line").agg(F.sort_array(F.collect_list(F.struct("docid", posting.alias("said")))).alias("all"))
     start = F.concat(F.expr("rpad(term, greatest(15, length(term)), ' ')"), F.lit(" df="), F.expr("rpad(cast(df AS string), greatest(4, length(cast(df AS string))), ' ')"))
     joined = F.array_join(F.col("all.said"), ",\n     " if positional else ", ")
-    value = F.concat(start, F.lit(" ->\n    [" if positional else " -> ["), joined, F.lit("]\n" if positional else "]"))
-    return per.select("term", F.lit(0).alias("line"), value.alias("value"))
+    opened = F.when(F.col("line") == 0, F.concat(start, F.lit(" ->\n    [" if positional else " -> ["))).otherwise(F.lit("     "))
+    closed = F.when(F.col("line") == F.col("lines") - 1, F.lit("]\n" if positional else "]")).otherwise(F.lit(","))
+    return per.select("term", "line", F.concat(opened, joined, closed).alias("value"))
 
 
 def dump_index(index: Index, path: str, positional: bool = False) -> None:
@@ -46,8 +54,9 @@ def markdown_table(rows: Iterable[Sequence[object]], headers: Sequence[str]) ->
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A report table of a small result."""
-    return markdown_table(df.limit(most).collect(), df.columns)
+    """A report table of a small result. Where there are more rows, the last line says so."""
+    rows = df.limit(most + 1).collect()
+    return markdown_table(rows[:most], df.columns) + (f"\n\nThe first {most} rows; there are more." if len(rows) > most else "")
 
 
 def ranked_lines(results: Iterable, oov: Sequence[str] = ()) -> list[str]:

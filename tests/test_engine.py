@@ -11,7 +11,7 @@ from quillsift.plans.engine import SearchEngine
 from quillsift.sources import collections, sinks
 
 DOCS = [
-    ("D1", "Shirt", "Men's Checked Cotton Shirt - Black", "Men's Checked Cotton Shirt - Black. Made from linen blend, this shirt is designed for everyday Indian wear. It features a regular fit."),
+    ("D1", "Shirt", "Owl's Painted Cotton Shirt - Black", "Owl's Painted Cotton Shirt - Black. Sewn from yarn, this shirt is for everyday walks. It has pockets on both sides."),
     ("D2", "Shirt", "", "cotton x x shirt all"),
     ("D3", "Shirt", "", "shirt x cotton y y y y shirt all"),
     ("D4", "Twin", "Twin", "winter jacket winter jacket all"),
@@ -104,7 +104,7 @@ def test_snippets(engine):
     s = {r.docid: r.snippet for r in engine.search_vsm("leg").collect()}
     assert s["D7"].startswith("…") and s["D7"].endswith("**leg** al…")
     s = {r.docid: r.snippet for r in engine.search_phrase("cotton shirt").collect()}
-    assert s["D1"].startswith("Men's Checked **Cotton** **Shirt** - Black. Men's") and s["D1"].endswith("…")
+    assert s["D1"].startswith("Owl's Painted **Cotton** **Shirt** - Black. Owl's") and s["D1"].endswith("…")
 
 
 def test_badges(engine):
@@ -163,9 +163,67 @@ def test_saved_index(engine, spark, tmp_path):
     assert one(again.search_bm25("cotton"), "docid", "score") == one(engine.search_bm25("cotton"), "docid", "score")
 
 
+def test_long_dumps(engine, monkeypatch):
+    """A term of many documents goes on in further lines; no posting is lost."""
+    monkeypatch.setattr(sinks, "LINE_POSTINGS", 2)
+    monkeypatch.setattr(sinks, "LINE_POSITIONAL", 2)
+    for positional_ in (False, True):
+        rows = [r for r in sinks.dump_lines(engine.index, positional_).orderBy("term", "line").collect() if r.term == "all"]
+        text = "\n".join(r.value for r in rows)
+        assert len(rows) > 1 and text.startswith("all ") and text.count("]" if not positional_ else "])") == (1 if not positional_ else 5)
+        assert all(text.count(f"({d},") == 1 for d in ("D2", "D3", "D4", "D5", "D7"))
+
+
+def test_dump_entry(spark, tmp_path):
+    from quillsift import cli
+
+    docs = spark.createDataFrame([(1, "first words here", "s"), (2, "second words", None)], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "d.parquet"))
+    cli.main(["--documents", str(tmp_path / "d.parquet"), "--dump", str(tmp_path / "out")])
+    lines = "\n".join(p.read_text() for p in sorted((tmp_path / "out" / "inverted_index").glob("part-*")))
+    assert lines.startswith("INVERTED INDEX  (N=2 documents") and "word            df=2    -> [(1,2), (2,2)]" in lines
+    assert "(1,2,[" in "".join(p.read_text() for p in (tmp_path / "out" / "positional_index").glob("part-*"))
+
+
+def test_own_highlighter(engine):
+    from pyspark.sql import functions as F
+
+    from quillsift.operators.snippets import snippets
+
+    found = rank.vsm(engine.index, engine.queries("leg"))
+    s = {r.docid: r.snippet for r in snippets(engine.index, found, engine.queries("leg"), mark=lambda w: F.concat(F.lit("<"), F.upper(w), F.lit(">"))).collect()}
+    assert "<LEG>" in s["D7"]
+
+
+def test_markdown_says_what_is_left_out(spark):
+    df = spark.range(5)
+    assert sinks.markdown(df).count("\n") == 6 and "more" not in sinks.markdown(df)
+    assert "The first 3 rows; there are more." in sinks.markdown(df, most=3)
+
+
+def test_scans_are_pruned(engine):
+    """Searches of few words read the postings of their terms, batches of many words are joined."""
+    q = engine.queries("cotton shirt")
+    for found in (rank.vsm(engine.index, q), rank.bm25(engine.index, q), rank.sdm(engine.index, q), rank.smart(engine.index, q, 10, "anc", "apc"), positional.phrase_hits(engine.index, q)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.split("PushedFilters: [")[1:] if "struct<term:string" in x.split("ReadSchema")[1][:60]]
+        assert scans and all("In(term, [cotton,shirt])" in x for x in scans)
+    many = engine.index.spark.range(rank.MOST_KNOWN + 10).selectExpr("CAST(id AS int) AS qid", "concat('cotton t', id) AS text")
+    batch = rank.analyzed(many)
+    assert batch.known is None and rank.bm25(engine.index, batch).where("qid < 3").count() == 3 * rank.bm25(engine.index, engine.queries("cotton")).count()
+    assert rank.analyzed(batch) is batch
+
+
+def test_one_ranking_for_all_that_build_on_it(engine):
+    r = {x.ranker: list(x.ranked_docids) for x in engine.ndcg_report("cotton shirt").collect()}
+    assert r["VSM (lnc.ltc)"] == one(engine.search_vsm("cotton shirt"), "docid") and r["SDM"] == one(engine.search_sdm("cotton shirt"), "docid")
+    assert r["Title-boosted VSM"] == one(engine.search_fielded("cotton shirt"), "docid")
+
+
 def test_console(engine):
-    answers = iter(["1", "coton shirt", "2", "1", "winter jacket", "2", "2", "cotton", "shirt", "", "3", "leg", *["3"] * 1, "4", "xxx", "ltc", "4", "bnn", "btn", "5"])
-    said = []
-    Console(engine, lambda _: next(answers, "5"), said.append).run()
+    asked = ["find coton shirt", "phrase winter jacket", "near cotton shirt", "near cotton shirt 1", "judge leg", "3", "scheme xxx ltc", "scheme bnn btn", "find", "nonsense", "judge zzqqx", "near cotton", "quit"]
+    answers, said = iter(asked), []
+    Console(engine, lambda _: next(answers, "quit"), said.append).run()
     text = "\n".join(map(str, said))
-    assert "corrected: {'coton': 'cotton'}" in text and "at 1, 3" in text and "left unchanged" in text and "| ranker |" in text
+    assert "coton -> cotton" in text and "at 1, 3" in text and "not done: unknown scheme" in text and "scheme bnn.btn" in text and "| ranker |" in text
+    assert "no model finds a document" in text and text.count("near A B") >= 3
