@@ -6,7 +6,8 @@ else is decided. Two hashes are counted:
 
 * of the content (tag, marks, text, children): boilerplate that says the same on many pages. Headings, table
   cells and inline elements inside an article are exempt; its paragraphs, quotations and list items are
-  deleted only if their share of the host's articles is large and these are different texts.
+  deleted only if their share of the host's articles is large, these are different texts, and the share
+  among all other hosts' articles is small: what articles say everywhere is no template of a site.
 * of the shape (tag, marks without page numbers, the kinds of children): blocks of the site, such as menus,
   adverts and footers, whose texts change from page to page. Only subtrees count that have a name (a class, an
   id, a role or a tag that says more than div), hold no first heading, and lie beside the host's main place:
@@ -46,6 +47,8 @@ from quillsift.llm.runtime import dropped, steady, stored
 #: A subtree is template if it goes with so many of the host's articles at least, and with this share of them,
 #: or with MANY_ARTICLES, whatever their share.
 LEAST_ARTICLES, LEAST_SHARE, MANY_ARTICLES = 4, 0.3, 10
+#: Of a paragraph's share of the host's articles, the most that its share of other hosts' articles may be.
+ELSEWHERE = 0.1
 #: A shape is template if it goes with LEAST_ARTICLES and this share of the host's articles, and holds at most so
 #: large a share of the words of the main place. A place is more main than its parent if it holds so much of it.
 SHAPE_SHARE, SHAPE_WORDS, MAIN_SHARE = 0.5, 0.25, 0.7
@@ -411,7 +414,7 @@ def site_templates(pages: DataFrame) -> DataFrame:
         F.sum(F.when(differ, F.col("bodies")).otherwise(1)).alias("n"), F.sum(F.when(differ & F.col("marked"), F.col("bodies")).otherwise(1)).alias("apart"),
         F.sum("pages").alias("pages"), F.sum("words").alias("words"),
     )
-    counts = stored(counts.where((F.col("n") >= LEAST_ARTICLES) | F.col("kind").isin(PAGE, MAIN)), "subtrees")
+    counts = stored(counts.where((F.col("n") >= LEAST_ARTICLES) | F.col("kind").isin(PAGE, MAIN, PARAGRAPH)), "subtrees")
     mains = counts.where(F.col("kind") == MAIN).groupBy("host").agg(F.max_by(F.struct("hash", "words"), F.struct("words", "hash")).alias("main"))
     hosts = stored(counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("articles")).join(mains, "host"), "hosts")
     least = lambda share: F.col("n") >= share * F.col("articles")
@@ -421,10 +424,15 @@ def site_templates(pages: DataFrame) -> DataFrame:
         .when(F.col("kind") == SHAPE, least(SHAPE_SHARE) & (F.col("words") <= SHAPE_WORDS * F.col("main.words")))
     )
     of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("hash"))))
-    chosen = counts.where(F.col("n") >= LEAST_ARTICLES).join(hosts, "host").where(recurs)
+    recurring = stored(counts.where(F.col("n") >= LEAST_ARTICLES).join(hosts, "host").where(recurs), "recurring")
+    said = recurring.where(F.col("kind") == PARAGRAPH).select("hash").distinct()
+    everywhere = counts.where(F.col("kind") == PARAGRAPH).join(said, "hash").groupBy("kind", "hash").agg(F.sum("n").alias("n_everywhere"))
+    articles = hosts.agg(F.coalesce(F.sum("articles"), F.lit(0))).first()[0]
+    own = (F.col("n_everywhere") - F.col("n")) * F.col("articles") <= ELSEWHERE * F.col("n") * (F.lit(articles) - F.col("articles"))
+    chosen = recurring.join(everywhere, ["kind", "hash"], "left").where((F.col("kind") != PARAGRAPH) | own)
     templates = chosen.groupBy("host").agg(of(OUTSIDE).alias("outside"), of(PARAGRAPH).alias("paragraphs"), of(SHAPE).alias("shapes"), F.min("main.hash").alias("main"))
     templates = stored(templates, "templates")
-    dropped(counts, hosts)
+    dropped(counts, hosts, recurring)
     return templates
 
 
