@@ -353,15 +353,14 @@ def near_duplicates(docs: DataFrame, set_of: Sets = shingles, keys: int | None =
     first = links_of(rows, sigs_of, texts, set_of)
     dropped(shared, sizes)
 
-    def with_components(links: DataFrame) -> DataFrame:
-        comps = stored(connected_components(links), "components")
+    def with_components(comps: DataFrame) -> DataFrame:
         named = members.join(comps, members.set_id == comps.node, "left").select("b0", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-        named = stored(named, "members")
-        dropped(comps)
-        return named
+        return stored(named, "members")
 
     # pass 2
-    now = with_components(first)
+    links = first
+    comps = stored(connected_components(links), "components")
+    now = with_components(comps)
     heads = now.groupBy("b0", "component").agg(F.min("set_id").alias("set_id"), F.max("n").alias("n"), F.count("*").alias("in_component"))
     sizes = heads.groupBy("b0").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.sum("in_component").alias("all_sets")).where("k > 1")
     sizes = stored(sizes, "blocks")
@@ -369,9 +368,12 @@ def near_duplicates(docs: DataFrame, set_of: Sets = shingles, keys: int | None =
     second = links_of(rows, sigs_of, texts, set_of)
     seen = sizes.where((F.col("k") == F.col("all_sets")) & (chunks("k", "w") == 1)).select("b0")
     # pass 3
-    dropped(now)
-    after = with_components(first.unionByName(second))
-    now = stored(after.join(seen, "b0", "left_anti"), "members")
+    if not second.isEmpty():
+        dropped(comps, now)
+        links = links.unionByName(second)
+        comps = stored(connected_components(links), "components")
+        now = with_components(comps)
+    after, now = now, stored(now.join(seen, "b0", "left_anti"), "members")
     dropped(after, sizes)
     sizes = stored(now.groupBy("b0").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1"), "blocks")
     cut = now.join(sizes, "b0").withColumn("chunks", chunks("k", "w")).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
@@ -379,8 +381,9 @@ def near_duplicates(docs: DataFrame, set_of: Sets = shingles, keys: int | None =
     pairs = cut.withColumn("other", other).select("b0", F.least("chunk", "other").alias("b1"), F.greatest("chunk", "other").alias("b2"), "set_id", "component")
     third = links_of(pairs, sigs_of, texts, set_of)
     dropped(now, members, texts, sizes)
-
-    comps = stored(connected_components(first.unionByName(second).unionByName(third)), "components")
+    if not third.isEmpty():
+        dropped(comps)
+        comps = stored(connected_components(links.unionByName(third)), "components")
     dropped(first, second, third)
     of_set = sets.select("set_id", F.col("least.doc_id").alias("doc_id")).join(comps, F.col("set_id") == F.col("node"))
     smallest = stored(of_set.groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")

@@ -18,7 +18,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.option("path", path).bucketBy(partitions(spark), key).saveAsTable(table)
+    df.write.format("parquet").option("path", path).bucketBy(partitions(spark), key).saveAsTable(table)
     out = spark.table(table)
     out._stored_at, out._stored_as = path, table
     return out

@@ -169,7 +169,10 @@ def test_paragraphs_in_articles(spark):
     line = "<p>Subscribe <b>now</b> to our letters</p>"
     rows = [(i, f"http://a.org/{i}", page(f"Story {i}", prose(i), line if i % 2 else "<p>Only here %d</p>" % i)) for i in range(20)]
     rows += [(100 + i, f"http://b.org/{i}", page(f"Copy {i}", prose(7), "<p>Its second paragraph</p>")) for i in range(20)]
+    saying = "<p>As they say everywhere</p>"
+    rows += [(1000 + 20 * h + i, f"http://h{h}.org/{i}", page(f"Tale {h} {i}", prose(500 + 20 * h + i), saying if i % 2 else "")) for h in range(5) for i in range(20)]
     got = texts_of(spark, rows)
+    assert all(got[1000 + 20 * h + i].endswith("\n\nAs they say everywhere") == (i % 2 == 1) for h in range(5) for i in range(20))
     for i in range(20):
         assert got[i] == f"Story {i}\n\n{prose(i)}" + ("" if i % 2 else f"\n\nOnly here {i}")
         assert got[100 + i] == f"Copy {i}\n\n{prose(7)}\n\nIts second paragraph"
@@ -233,6 +236,37 @@ def test_language(spark, edge, none):
     assert {r.lang_pred for r in langid.identify(edge.withColumn("lang", edge.lang.substr(9, 1)).where("lang is null or lang = 'x'")).collect()} <= {"und"}
 
 
+def plain_subwords(t):
+    """Bytes of every run of 1 to 4 bytes of the letters, words apart by one space."""
+    b = (" " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " ").encode()
+    return [b[i : i + n] for n in langid.SIZES for i in range(len(b) - n + 1)]
+
+
+def plain_bucket(run):
+    h = 0
+    for c in run:
+        h = (h * 0x01000193 + c + 1) % 2**32
+    x = (h + len(run)) * 0x9E3779B1 % 2**32
+    return (x ^ x >> 15) * 0x85EBCA77 % 2**32 >> 16
+
+
+@given(st.text(alphabet="abÄß é9_ .\n漢", max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_language_scores_are_means(t):
+    """A text's logits are the plain mean of its subwords' rows; the score is their softmax."""
+    rng = np.random.default_rng(1)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), temperature=0.7)
+    rows = [model.table[plain_bucket(r)].astype(float) for r in plain_subwords(t)]
+    logits = np.mean(rows, axis=0) + model.bias
+    assert np.allclose(model.logits(t), logits, atol=1e-5)
+    e = np.exp((logits - logits.max()) / 0.7)
+    lang, score, _ = model.predict(t)
+    if re.search(r"[^\W\d_]", t):
+        assert np.isclose(score, (e / e.sum()).max(), atol=1e-5) and lang == model.languages[int(np.argmax(logits))]
+    else:
+        assert (lang, score) == ("und", 0.0)
+
+
 # 3
 
 
@@ -586,6 +620,48 @@ def test_toxicity(spark, edge, none):
     assert (toxicity.terms(long)[1] > 0).all()
 
 
+@given(st.lists(st.sampled_from(["insult", "group", "Insults!", "other-word", "x", "ünï"]), max_size=30).map(" ".join))
+@settings(max_examples=80, deadline=None)
+def test_toxicity_scores_are_sums_over_pairs(t):
+    """Against every single term and every pair of terms."""
+    rng = np.random.default_rng(5)
+    slot = np.full(toxicity.BUCKETS, -1, np.int32)
+    known = sorted({int(i) for w in ("insult", "group", "insults", "other", "word") for i in toxicity.terms(w)[0]})
+    slot[known] = np.arange(len(known))
+    m = toxicity.Machine(slot, rng.normal(size=len(known)), rng.normal(size=(len(known), toxicity.FACTORS)), 0.3)
+    count = Counter()
+    for w in re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", t.lower()).split():
+        count[w] += 1
+        b = w.encode()
+        for k in toxicity.PREFIXES:
+            if len(b) > k:
+                count[b[:k], k] += 1
+    buckets = Counter()
+    for term, n in count.items():
+        if isinstance(term, str):
+            buckets[whole_bucket(term)] += n
+        else:
+            buckets[prefix_bucket(*term)] += n
+    x = {slot[b]: np.log1p(n) for b, n in buckets.items() if slot[b] >= 0}
+    value = m.bias + sum(m.w[i] * v for i, v in x.items()) + sum(m.v[i] @ m.v[j] * x[i] * x[j] for i in x for j in x if i < j)
+    assert np.isclose(m.value(*toxicity.terms(t)), value)
+    assert np.isclose(m.score(t), 1 / (1 + np.exp(-np.clip(value, -30, 30))))
+
+
+def rolling(b):
+    """The sum of a word's byte values, each times its place's power."""
+    base = int(textcore.BYTE_BASE)
+    return sum(int(textcore.BYTE_VALUE[c]) * pow(base, i, 1 << 64) for i, c in enumerate(b)) % (1 << 64)
+
+
+def whole_bucket(w):
+    return int(textcore.mix(np.array([(rolling(w.encode()) + 1) % (1 << 64)], np.uint64))[0]) >> 46
+
+
+def prefix_bucket(b, k):
+    return int(textcore.mix(np.array([(rolling(b) + k * 1000003) % (1 << 64)], np.uint64))[0]) >> 46
+
+
 def test_terms_in_slices(monkeypatch):
     text = " ".join(f"term{i % 50} other" for i in range(400))
     a = toxicity.terms(text)
