@@ -3,7 +3,7 @@ plain versions in tests/llm."""
 
 from __future__ import annotations
 
-from quillsift.llm import jaccard, quality, suffixes, warc
+from quillsift.llm import decontaminate, divergence, jaccard, quality, suffixes, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -81,10 +81,48 @@ def archive_sql() -> str:
     )
 
 
+def decontamination_sql() -> str:
+    n, word = decontaminate.WINDOW, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    of = lambda ws: f"regexp_extract_all({LOWERED}, '{word}') AS {ws}"
+    parts = [
+        f"d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {of('ws')} FROM documents)",
+        f"i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {of('ws')} FROM benchmark)",
+        f"iw AS MATERIALIZED (SELECT DISTINCT item, k, array_to_string(ws[s:s + k - 1], ' ') AS g FROM (SELECT item, ws, least(len(ws), {n}) AS k, unnest(range(1, greatest(len(ws) - {n}, 0) + 2)) AS s FROM i WHERE len(ws) > 0))",
+        "dw AS MATERIALIZED (SELECT rid, s, k, array_to_string(ws[s:s + k - 1], ' ') AS g FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM iw)))",
+        "found AS MATERIALIZED (SELECT rid, s, k, item FROM dw JOIN iw USING (k, g))",
+        "hit AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest(range(s, s + k)) AS place FROM (SELECT DISTINCT rid, s, k FROM found)) GROUP BY rid)",
+        "item AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)",
+    ]
+    return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, len(ws) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(item.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN item USING (rid)"
+
+
+def divergence_sql() -> str:
+    """Every pair of sources over every kept term, in 128-bit numbers."""
+    term = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+    p = f"1 + ({divergence.SCALE}::HUGEINT * (coalesce({{n}}, 0) + 1)) // ({{of}})"
+    parts = [
+        f"d AS MATERIALIZED (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWERED}, '{term}') AS ws FROM documents)",
+        "t AS MATERIALIZED (SELECT rid, lang, source, unnest(ws) AS term FROM d)",
+        f"kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= {divergence.LEAST_DOCS})",
+        "n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL)",
+        "v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang)",
+        "g AS MATERIALIZED (SELECT lang, source, coalesce(sum(n.n), 0)::HUGEINT + coalesce(any_value(v), 0) AS of FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN n USING (lang, source) GROUP BY lang, source)",
+        f"p AS MATERIALIZED (SELECT lang, g.source, term, n.n, {p.format(n='n.n', of='g.of')} AS p FROM g JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term))",
+        f"q AS MATERIALIZED (SELECT lang, term, {p.format(n='n', of='(SELECT sum(n) FROM n WHERE n.lang = a.lang) + v')} AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM n GROUP BY lang, term) a JOIN v USING (lang))",
+        "sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL)",
+        "pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source)",
+        "terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)",
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))",
+    ]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TERM_RANKS}"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_sql(),
         "op4_ngram_jaccard_join": jaccard_sql(),
         "op6_suffix_dedup": repeats_sql(),
         "op9_warc_round_trip": archive_sql(),
+        "op11_benchmark_decontamination": decontamination_sql(),
+        "op12_source_divergence": divergence_sql(),
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import html_extract, jaccard, langid, mixing, packing, quality, spotsigs, suffixes, toxicity, warc
+from quillsift.llm import alignment, decontaminate, divergence, html_extract, jaccard, langid, mixing, packing, quality, spotsigs, suffixes, toxicity, warc
 from quillsift.llm.runtime import read_table
 
 
@@ -51,9 +51,22 @@ def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_html_main_text, op2_language_id, op3_quality_rules, op4_ngram_jaccard_join, op5_source_mixing,
         op6_suffix_dedup, op7_toxicity, op8_best_fit_packing, op9_warc_round_trip, op10_spotsigs_fingerprints,
+        op11_benchmark_decontamination, op12_source_divergence, op13_tokenizer_alignment,
     )
     return {f.__name__: f for f in every}
