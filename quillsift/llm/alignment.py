@@ -52,8 +52,6 @@ BLOCK_ROWS, BLOCK_DOCS = 1 << 20, 16_384
 MEMO, MEMO_CHARS, SLICE, HELD = 200_000, 64, 1 << 20, 1 << 16
 #: Cells of a matrix in a row of a table.
 CELLS = 1 << 16
-#: Characters without a change between white space and other from which tiktoken's loop isn't used.
-LONG_RUN = 1 << 16
 _pairs: dict[tuple[str, str], Pair] = {}
 
 
@@ -83,7 +81,7 @@ class ByteSide:
         self.fast = ranks and tiktoken.Encoding("from_file", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or len(text) >= LONG_RUN and longest_run(text) >= LONG_RUN:
+        if self.fast is None or packing.long_run(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -107,13 +105,6 @@ class PieceSide:
         return self.model.encode(text) if text else self.space
 
 
-def longest_run(text: str) -> int:
-    """The longest stretch without a change between ASCII white space and other bytes."""
-    space = textcore.SEPARATOR[np.frombuffer(textcore.raw(text), np.uint8)]
-    edges = np.flatnonzero(np.diff(space.view(np.int8)))
-    return int(np.diff(np.concatenate([[-1], edges, [len(space) - 1]])).max(initial=0))
-
-
 @dataclass(frozen=True, slots=True)
 class Chunk:
     """What is known of a chunk: tokens of each side, groups, these as text, linked pairs; None for pairs if the

@@ -13,9 +13,12 @@ plus the sizes of the buckets before it, so a length that a third of all pieces
 RANK_BUCKETS tasks. Full pieces need no rank.
 
 Ids are those of the ``tokenizers`` file. Where it says plainly that it is a byte-level BPE of the kind
-that tiktoken's merge loop computes too, that loop is used, in a quarter of the time.
+that tiktoken's merge loop computes too, that loop is used, in a quarter of the time; texts with a stretch of
+LONG_RUN characters that white space never begins or ends, on whose splitting tiktoken may run out of stack, go
+through ``tokenizers``.
 
-A null text is an empty one: its document is the single end id. Texts of any length are encoded whole.
+A null text is an empty one: its document is the single end id. Texts of any length, and of any
+characters, are encoded whole.
 Repeated rows are packed each on its own. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -30,9 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.llm import textcore
 from quillsift.llm.runtime import steady, stored
 
 CAPACITY, END_ID, RANK_BUCKETS = 1024, 2, 128
+LONG_RUN = 1 << 16
 #: How a ByteLevel pre-tokenizer splits a text before merging: a fixed value of that format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict[str, object] = {}
@@ -78,9 +83,20 @@ def plain_ranks(spec: dict) -> dict[bytes, int] | None:
     return {bytes(letters[c] for c in t): i for t, i in vocab.items()}
 
 
+def longest_run(text: str) -> int:
+    """The longest stretch (in bytes) without a change between ASCII white space and other bytes."""
+    space = textcore.SEPARATOR[np.frombuffer(textcore.raw(text), np.uint8)]
+    edges = np.flatnonzero(np.diff(space.view(np.int8)))
+    return int(np.diff(np.concatenate([[-1], edges, [len(space) - 1]])).max(initial=0))
+
+
+def long_run(text: str) -> bool:
+    return len(text) >= LONG_RUN and longest_run(text) >= LONG_RUN
+
+
 class Encoder:
     """Ids of the ``tokenizers`` file at a path; fast is tiktoken's loop, where it gives the same. Texts with
-    a special token's string go through ``tokenizers`` itself."""
+    a special token's string or a long run go through ``tokenizers`` itself."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -94,7 +110,7 @@ class Encoder:
         self.fast = ranks and tiktoken.Encoding("from_file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or long_run(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
