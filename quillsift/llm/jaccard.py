@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import textcore
-from quillsift.llm.runtime import bucketed, connected_components, dropped, partitions, steady, stored
+from quillsift.llm.runtime import bucketed, connected_components, dropped, partitions, split_by_bitmap, steady, stored
 
 SHINGLE, KEYS, HOME_KEYS = 5, 24, 2
 #: What makes a text the sorted set of 64-bit hashes that is joined.
@@ -326,8 +326,9 @@ def chunks(n: str, words: str) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame, set_of: Sets = shingles, keys: int | None = KEYS) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id for each document. set_of: the sets that are joined; keys:
-    the most blocks that a set joins, None for as many as make sharing one certain."""
+    """doc_id, n_shingles, component_id, set_id, text_hash, group for each document. group names the component
+    whatever its documents' ids are (null without shingles). set_of: the sets that are joined; keys: the most
+    blocks that a set joins, None for as many as make sharing one certain."""
     steady(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sigs = stored(shingled(docs, set_of, keys), "shingled")
@@ -387,9 +388,9 @@ def near_duplicates(docs: DataFrame, set_of: Sets = shingles, keys: int | None =
     dropped(first, second, third)
     of_set = sets.select("set_id", F.col("least.doc_id").alias("doc_id")).join(comps, F.col("set_id") == F.col("node"))
     smallest = stored(of_set.groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
-    of_set = of_set.join(smallest, "component").select("set_id", "smallest")
-    alone = sets.select("set_id", F.col("least.doc_id").alias("alone")).join(of_set, "set_id", "left").select("set_id", F.coalesce("smallest", "alone").alias("component_id"))
-    result = sigs.join(alone, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
+    of_set = of_set.join(smallest, "component").select("set_id", "smallest", "component")
+    alone = sets.select("set_id", F.col("least.doc_id").alias("alone")).join(of_set, "set_id", "left").select("set_id", F.coalesce("smallest", "alone").alias("component_id"), F.coalesce("component", "set_id").alias("group"))
+    result = sigs.join(alone, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "text_hash", "group")
     kind = dict(docs.dtypes)["doc_id"]
     unnamed = docs.where("doc_id is null")
 
@@ -397,13 +398,29 @@ def near_duplicates(docs: DataFrame, set_of: Sets = shingles, keys: int | None =
     def count(text: pd.Series) -> pd.Series:
         return pd.Series([len(set_of(t)) for t in text], dtype="int64")
 
-    return result.unionByName(unnamed.select("doc_id", count("text").alias("n_shingles"), F.lit(None).cast(kind).alias("component_id"), F.lit(None).cast("long").alias("set_id")))
+    none = F.lit(None).cast("long")
+    return result.unionByName(
+        unnamed.select("doc_id", count("text").alias("n_shingles"), F.lit(None).cast(kind).alias("component_id"), none.alias("set_id"), F.xxhash64("text").alias("text_hash"), none.alias("group"))
+    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest id, with the columns it came with. Rows
-    without an id stay; of rows with the same id and text one stays."""
-    kept = near_duplicates(docs).where("doc_id is not null and doc_id = component_id").select("doc_id").distinct()
-    named = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id") == F.col("k.doc_id"), "left_semi")
-    named = named.withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
-    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+    """One document of each group, that with the smallest id (of several texts under it, the smallest hash), with
+    the columns it came with. A document is a doc_id with a text: another text under the id is judged by its own
+    group. Rows without an id stay; of rows with the same id and text one stays. Only documents that may be
+    dropped or repeated are shuffled: the rest are known by a bitmap and stay where they are."""
+    name = ["doc_id", "text_hash"]
+    found = stored(near_duplicates(docs).where("doc_id is not null").select(*name, "group"), "groups")
+    first = stored(found.where("group is not null").groupBy("group").agg(F.min(F.struct(*name)).alias("first")), "firsts")
+    in_groups = found.where("group is not null").join(first, "group").withColumn("stays", F.struct(*name).eqNullSafe(F.col("first")))
+    judged = in_groups.select(*name, "stays").unionByName(found.where("group is null").select(*name, F.lit(True).alias("stays")))
+    per = judged.groupBy(*name).agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
+    doubtful = stored(per.where("not stays or rows > 1"), "doubtful")
+    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
+    apart, unsure = split_by_bitmap(rows, doubtful, [F.col("doc_id"), F.col("__text_hash")], [F.col(c) for c in name])
+    same = (F.col("d.doc_id") == F.col("k.doc_id")) & (F.col("d.__text_hash") == F.col("k.text_hash"))
+    marked = unsure.alias("d").join(doubtful.alias("k"), same, "left").select("d.*", F.col("k.stays").alias("__stays"), F.coalesce("k.rows", F.lit(1)).alias("__rows"))
+    marked = marked.where(F.coalesce("__stays", F.lit(True)))
+    single = marked.where("__rows = 1 or doc_id is null").select(*apart.columns)
+    several = marked.where("__rows > 1 and doc_id is not null").select(*apart.columns).dropDuplicates(["doc_id", "__text_hash"])
+    return apart.unionByName(single).unionByName(several).drop("__text_hash")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillsift.plans.storage import dropped, removed, stored, table_path
 
-__all__ = ["bucketed", "connected_components", "dropped", "id_text", "in_fold", "partitions", "read_table", "removed", "steady", "stored", "table_path"]
+__all__ = ["bucketed", "connected_components", "dropped", "id_text", "in_fold", "partitions", "read_table", "removed", "split_by_bitmap", "steady", "stored", "table_path"]
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -52,6 +52,26 @@ def in_fold(modulus: int, remainder: int, col: str = "doc_id") -> F.Column:
     return F.crc32(id_text(col)) % modulus == remainder
 
 
+#: Bitmaps are rows of so many bits; a set's is cut into MAPS of them, 1 MB in all, however large the set is.
+MAP_BITS, MAPS = 32_768, 256
+
+
+def split_by_bitmap(rows: DataFrame, among: DataFrame, key: list[F.Column], among_key: list[F.Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is certainly not among the others' keys, and those where it may be. A bitmap of hashes is
+    broadcast, of at most MAPS rows: so of a large table joined with a smaller one only what may have a
+    partner must be shuffled. Large sets fill the bitmap, and then all rows may have one."""
+    bits = MAP_BITS * MAPS
+    place = lambda k: F.pmod(F.xxhash64(*k), F.lit(bits)) + 1  # noqa: E731  the functions number buckets and bits from position 1
+    hashed = among.select(place(among_key).alias("p"))
+    maps = hashed.groupBy(F.bitmap_bucket_number("p").alias("__map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    at = place(key)
+    marked = rows.withColumn("__map", F.bitmap_bucket_number(at)).withColumn("__at", F.bitmap_bit_position(at).cast("int")).join(F.broadcast(stored(maps, "bitmap")), "__map", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("__at") % 8)) != 0, F.lit(False))
+    marked = marked.withColumn("__held", held).drop("__map", "__at", "__bits")
+    return marked.where("not __held").drop("__held"), marked.where("__held").drop("__held")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node of an undirected graph.
 
