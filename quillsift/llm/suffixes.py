@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm import textcore
-from quillsift.llm.runtime import dropped, partitions, steady, stored
+from quillsift.llm.runtime import dropped, partitions, split_by_bitmap, steady, stored
 
 LEAST, GRAM = 50, 16
 LEFT = LEAST - GRAM
@@ -330,16 +330,19 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """The documents with every copied passage cut out (originals stay), with the columns they came
     with; n_chars, where there is such a column, counts anew. Each row loses the copies of its own text
     alone, whatever else is stored under its id; rows without an id stay as they are. Documents of which
-    no word is left go."""
+    no word is left go. Only rows that may hold copies are shuffled, as a bitmap of their documents tells."""
     copies = spans_by_document(docs).where("is_copy").groupBy(*DOC).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
+    copies = stored(copies, "copies")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else without_spans(t, [(x["start_word"], x["n_words"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
+    apart, unsure = split_by_bitmap(docs, copies, [F.col("doc_id"), F.xxhash64("text")], [F.col(c) for c in DOC])
     same = (F.col("d.doc_id") == F.col("c.doc_id")) & (F.xxhash64("d.text") == F.col("c.text_hash"))
-    joined = docs.alias("d").join(copies.alias("c"), same, "left").withColumn("__cut", cut(F.col("d.text"), F.col("c.spans")))
+    joined = unsure.alias("d").join(copies.alias("c"), same, "left").withColumn("__cut", cut(F.col("d.text"), F.col("c.spans")))
     fresh = {"text": F.col("__cut")}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.when(F.col("c.spans").isNull(), F.col("d.n_chars")).otherwise(F.length("__cut").cast(dict(docs.dtypes)["n_chars"]))
-    return joined.where(F.col("c.spans").isNull() | F.col("__cut").rlike(r"[^\x20\x09-\x0D]")).select(*[fresh.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    left = joined.where(F.col("c.spans").isNull() | F.col("__cut").rlike(r"[^\x20\x09-\x0D]")).select(*[fresh.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    return apart.unionByName(left)
