@@ -33,7 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -93,15 +93,101 @@ class Node:
         self.inside = parent is not None and (parent.inside or parent.tag in ARTICLE)
 
 
-class Builder(HTMLParser):
+NAME, SKIP, ATTRIBUTE, BARE = (re.compile(x) for x in (r"[^\t\n\r\f />\x00]+", r"[\s/]*", r"([^\s/>][^\s/=>]*)(\s*=+\s*)?", r"[^>\s]*"))
+#: Elements whose content is no markup, with what ends it; numbers of characters too long to be one.
+RAW = {t: re.compile(rf"</\s*{t}\s*>", re.I) for t in ("script", "style")}
+LONG_NUMBER = re.compile(r"&#0*[1-9][0-9]{7,};?")
+
+
+def decoded(text: str) -> str:
+    """Character references in a text, those of numbers beyond all characters too."""
+    return unescape(LONG_NUMBER.sub("\ufffd", text)) if "&" in text else text
+
+
+class Builder:
     """A forgiving tree: unclosed elements end with their parents, stray end tags are ignored. The depths
-    at which each tag is open are kept, so that nothing climbs the tree."""
+    at which each tag is open are kept, so that nothing climbs the tree.
+
+    What begins like a tag, a comment or a declaration but has no > behind it is text up to the next <. A
+    comment that isn't closed, a marked section or another declaration ends at the next >. A quotation mark
+    without its partner is part of a value. Where a tag's quotations reach to the end of the page, quotations
+    count no more from there on. What was looked for in vain isn't looked for again: the work is linear."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.path, self.depths = [self.root], {}
 
+    def read(self, html: str) -> None:
+        i, n, find, quotes = 0, len(html), self.finder(html), True
+        while i < n:
+            j = find("<", i)
+            if j < 0 or j > i:
+                self.handle_data(decoded(html[i : j if j >= 0 else n]))
+            if j < 0:
+                return
+            i, after = j, html[j + 1 : j + 2]
+            if "a" <= after <= "z" or "A" <= after <= "Z":
+                end, said = self.start_tag(html, i, find, quotes) if find(">", i) >= 0 else (-1, None)
+                if end < 0 and quotes and find(">", i) >= 0:
+                    quotes = False
+                    end, said = self.start_tag(html, i, find, quotes)
+                if said:
+                    tag, attrs, empty = said
+                    (self.handle_startendtag if empty else self.handle_starttag)(tag, attrs)
+                    if tag in RAW and not empty:
+                        close = RAW[tag].search(html, end)
+                        self.handle_data(html[end : close.start() if close else n])
+                        end = close.start() if close else n
+            elif after in ("/", "!", "?") and after:
+                closed = find("-->", i + 2) if html.startswith("<!--", i) and html[i + 4 : i + 5] != ">" else -1
+                end = closed + 3 if closed >= 0 else find(">", i) + 1 or -1
+                if after == "/" and end > 0 and (name := NAME.match(html, i + 2)):
+                    self.handle_endtag(name[0].lower())
+            else:
+                end = i + 1
+                self.handle_data("<")
+            if end < 0:
+                end = find("<", i + 1)
+                end = n if end < 0 else end
+                self.handle_data(decoded(html[i:end]))
+            i = end
+
+    @staticmethod
+    def finder(html: str) -> Callable[[str, int], int]:
+        """Finds a string from a place on; what isn't found is remembered."""
+        absent: set[str] = set()
+
+        def find(what: str, at: int) -> int:
+            if what in absent:
+                return -1
+            found = html.find(what, at)
+            if found < 0:
+                absent.add(what)
+            return found
+
+        return find
+
+    @staticmethod
+    def start_tag(html: str, i: int, find: Callable[[str, int], int], quotes: bool) -> tuple[int, tuple[str, list, bool] | None]:
+        """Behind a start tag, its name, marks and whether it ends in />; -1 where the page ends in it."""
+        name = NAME.match(html, i + 1)
+        k, n, attrs = name.end(), len(html), []
+        while True:
+            k = SKIP.match(html, k).end()
+            if k >= n:
+                return -1, None
+            if html[k] == ">":
+                return k + 1, (name[0].lower(), attrs, html[k - 1] == "/")
+            found = ATTRIBUTE.match(html, k)
+            k = found.end()
+            if not found[2]:
+                continue
+            close = find(html[k], k + 1) if quotes and html[k : k + 1] in ("'", '"') and k < n else -1
+            value = html[k + 1 : close] if close >= 0 else BARE.match(html, k)[0]
+            k = close + 1 if close >= 0 else k + len(value)
+            if (attribute := found[1].lower()) in ("class", "id", "role"):
+                attrs.append((attribute, decoded(value)))
+
     def close_from(self, depth: int) -> None:
         while len(self.path) > depth:
             self.depths[self.path.pop().tag].pop()
@@ -128,7 +214,7 @@ class Builder(HTMLParser):
                 self.close_open(HEADINGS, SCOPES)
         if tag in IMPLIED:
             self.close_open(IMPLIED[tag], LISTS)
-        said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v) if attrs else ""
+        said = " ".join(v for _, v in attrs if v)
         node = Node(tag, said, self.path[-1])
         self.path[-1].children.append(node)
         if tag not in VOID:
@@ -150,8 +236,7 @@ class Builder(HTMLParser):
 
 def parse(html: str | None) -> Node:
     b = Builder()
-    b.feed(html or "")
-    b.close()
+    b.read(html or "")
     return b.root
 
 
