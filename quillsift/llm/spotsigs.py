@@ -1,9 +1,9 @@
 """SpotSigs: document fingerprints from chains of content words behind common words.
 
 Each anchor of a text and the CHAIN content words that follow it (or as many as there are) form one
-signature. Anchors are the common words, every content word whose hash falls in one of EVERY classes, and
-the beginning of the text: one rule for texts of every length and language, so a text and its edit are
-never measured by different rules. A text's signatures are a set; its fingerprint holds the set's size and
+signature. Anchors are the common words and the beginning of the text: one rule for texts of every length and
+language, so a text and its edit are never measured by different rules. A text without a common word has the
+signature of its beginning alone. A text's signatures are a set; its fingerprint holds the set's size and
 the whole set, 64 bits for each signature, so the likeness of two fingerprints is the Jaccard of the sets.
 A text without a word has one signature, the text itself (null counts as empty). So texts with equal
 signature sets, and no others but by a collision of 64-bit hashes, have equal fingerprints.
@@ -37,7 +37,7 @@ from quillsift.llm import jaccard as jaccard_join
 from quillsift.llm import textcore
 from quillsift.llm.runtime import partitions, steady
 
-CHAIN, EVERY = 2, 4
+CHAIN = 2
 #: Most ranges of doc_id that documents are dealt to. A range of one id alone is cut into ranges of about the mean size.
 MOST_RANGES = 16_384
 #: Where ids are no numbers, a sample of so many a range finds the ranges' bounds.
@@ -75,8 +75,7 @@ def signatures(text: str) -> np.ndarray:
     anchors = np.flatnonzero(common)
     starts = anchors - np.arange(len(anchors))  # content words before each anchor: where its chain starts
     content = h[~common]
-    spots = np.flatnonzero(content % np.uint64(EVERY) == 0)
-    return np.unique(chains(np.concatenate([BEGINNING, h[anchors], content[spots]]), content, np.concatenate([[0], starts, spots + 1])))
+    return np.unique(chains(np.append(BEGINNING, h[anchors]), content, np.append(0, starts)))
 
 
 def written(sigs: np.ndarray) -> str:

@@ -902,8 +902,6 @@ def plain_signatures(t):
             out.add((w, *content[k : k + 2]))
         else:
             k += 1
-            if int(textcore.word_hashes(w.encode())[0]) % spotsigs.EVERY == 0:
-                out.add((w, *content[k : k + 2]))
     return out
 
 
