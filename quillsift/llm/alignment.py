@@ -21,7 +21,7 @@ The salts grow with the number of partitions, so a B id that a large share of li
 Encoding by chunks. Both tokenizers treat what lies between spaces apart: A's way of splitting always
 cuts before a space behind a character that isn't white space, and no token of B holds its space mark
 behind another character (both are verified of the files, else texts are encoded whole). So a text is
-cut there and chunks are looked up in a bounded table before they are encoded.
+cut there, chunks are looked up in a bounded table, and those that aren't there are encoded together.
 
 Null ids are kept; repeated rows are documents of their own. Texts of any length are read whole, in slices.
 An empty table gives an empty result. Only doc_id and text are read.
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import batched
 
@@ -48,8 +48,9 @@ from quillsift.llm.runtime import dropped, partitions, steady, stored
 STRIPES = 128
 #: A block is closed after so many rows of distinct (document, pair) or documents.
 BLOCK_ROWS, BLOCK_DOCS = 1 << 20, 16_384
-#: Chunks that are remembered, and the characters of the longest; text is split by slices, so many chunks are held.
-MEMO, MEMO_CHARS, SLICE, HELD = 200_000, 64, 1 << 20, 1 << 16
+#: Chunks that are remembered before all are forgotten; so many are encoded at once. Texts of so many
+#: characters together are looked up at a time, of a longer one so many chunks.
+MEMO, AT_ONCE, SLICE, HELD = 300_000, 16_384, 2 << 20, 1 << 16
 #: Cells of a matrix in a row of a table.
 CELLS = 1 << 16
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -105,16 +106,47 @@ class PieceSide:
         return self.model.encode(text) if text else self.space
 
 
-@dataclass(frozen=True, slots=True)
-class Chunk:
-    """What is known of a chunk: tokens of each side, groups, these as text, linked pairs; None for pairs if the
-    bytes differ."""
+@dataclass(frozen=True)
+class Chunks:
+    """Some parts of texts: tokens of A, of B and groups of each; these as text; linked pairs of all, and how many are
+    each one's; whether the bytes differ."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: np.ndarray | None
+    parts: list[str]
+    sizes: np.ndarray
+    groups: list[str]
+    links: np.ndarray
+    count: np.ndarray
+    odd: np.ndarray
+
+
+class Known:
+    """Chunks by number, in arrays that grow."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.sizes, self.count, self.start, self.links, self.odd = np.zeros((0, 3), np.int64), NO_LINKS, NO_LINKS, NO_LINKS, np.zeros(0, bool)
+
+    def add(self, found: list[Chunks]) -> None:
+        for x in found:
+            self.number.update(zip(x.parts, range(len(self.number), len(self.number) + len(x.parts)), strict=True))
+            self.groups += x.groups
+        self.sizes, self.links, self.count, self.odd = (np.concatenate([getattr(self, c), *[getattr(x, c) for x in found]]) for c in ("sizes", "links", "count", "odd"))
+        self.start = np.cumsum(self.count) - self.count
+
+    def of(self, parts: Sequence[str]) -> tuple[np.ndarray, str, tuple[np.ndarray, np.ndarray]] | None:
+        """Tokens and groups, the groups as text, the distinct pairs with how often each is; None if bytes differ."""
+        at = np.array([self.number[p] for p in parts])
+        if self.odd[at].any():
+            return None
+        count = self.count[at]
+        stop = np.cumsum(count)
+        links = self.links[np.arange(stop[-1]) + np.repeat(self.start[at] - stop + count, count)]
+        return self.sizes[at].sum(axis=0), ";".join([self.groups[i] for i in at.tolist()]), np.unique(links, return_counts=True)
+
+
+NO_LINKS = np.zeros(0, np.int64)
+NOTHING = (0, 0, 0, "", NO_LINKS, NO_LINKS)
 
 
 class Pair:
@@ -127,58 +159,97 @@ class Pair:
         self.lengths = tuple(np.array([len(x) for x in side.bytes]) for side in (self.a, self.b))
         self.by_chunk = self.a.by_chunk and self.b.by_chunk
         self.width = len(self.a.bytes)
-        self.memo: dict[str, Chunk] = {}
-
-    def chunk(self, part: str) -> Chunk:
-        """Of a text with a space before it."""
-        a, b = self.a(f" {part}"), self.b(part)
-        whole = b" " + textcore.raw(part)
-        if b"".join([self.a.bytes[i] for i in a]) != whole or b"".join([self.b.bytes[i] for i in b]) != whole:
-            return Chunk(0, 0, 0, "", None)
-        ids = np.array(a), np.array(b)
-        ends = [np.cumsum(n[x]) for n, x in zip(self.lengths, ids, strict=True)]
-        _, at_a, at_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
-        groups, p, q = [], 0, 0
-        for i, j in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            groups.append(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
-            p, q = i, j
-        return Chunk(len(a), len(b), len(groups), ";".join(groups), ids[1][at_b].astype(np.int64) * self.width + ids[0][at_a])
-
-    def chunks(self, text: str) -> Iterator[Chunk]:
-        memo = self.memo
-        for part in parts_of(text) if self.by_chunk else [text]:
-            found = memo.get(part)
-            if found is None:
-                found = self.chunk(part)
-                if len(part) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = found
-            yield found
-
-    def aligned(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
-        """Tokens of A and B, groups, the hash of the groups' text; the distinct pairs and how often each is linked."""
-        n_a = n_b = n_groups = 0
-        said, found = hashlib.sha256(), []
-        for held in batched(self.chunks(text), HELD) if text else ():
-            if any(c.links is None for c in held):
-                return NOTHING
-            said.update((";" * bool(found) + ";".join([c.groups for c in held])).encode())
-            n_a += sum([c.n_a for c in held])
-            n_b += sum([c.n_b for c in held])
-            n_groups += sum([c.n_groups for c in held])
-            found.append(np.unique(np.concatenate([c.links for c in held]), return_counts=True))
-        if not found:
+        self.known = Known()
+
+    def chunks(self, parts: list[str]) -> list[Chunks]:
+        """Of many parts that end in no white space (or one that does), encoded as one text: where they meet, both
+        sides cut."""
+        text = " ".join(parts)
+        a, b, data = self.a(f" {text}"), self.b(text), b" " + textcore.raw(text)
+        if b"".join([self.a.bytes[i] for i in a]) != data or b"".join([self.b.bytes[i] for i in b]) != data:
+            if len(parts) == 1:
+                return [Chunks(parts, np.zeros((1, 3), np.int64), [""], NO_LINKS, np.zeros(1, np.int64), np.ones(1, bool))]
+            half = len(parts) // 2  # find those whose bytes differ
+            return self.chunks(parts[:half]) + self.chunks(parts[half:])
+        ids_a, ids_b = np.array(a), np.array(b)
+        ends_a, ends_b = np.cumsum(self.lengths[0][ids_a]), np.cumsum(self.lengths[1][ids_b])
+        at = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+        at_a = np.flatnonzero(ends_b[at] == ends_a)
+        at_b = at[at_a]
+        both = ends_a[at_a]
+        stops = np.cumsum([1 + len(x) for x in map(textcore.raw, parts)])
+        last = np.searchsorted(both, stops)  # of each part's groups
+        if not np.array_equal(both[np.minimum(last, len(both) - 1)], stops):
+            raise AssertionError("a token goes over a space behind a word")
+        # tokens in the order in which the groups say them, each with the sign behind it
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        signs = np.full(len(a) + len(b), ",")
+        signs[at_a] = "|"
+        signs[len(a) + at_b] = ";"
+        signs[len(a) + at_b[last]] = "\n"
+        said = [""] * (2 * len(order))
+        said[::2], said[1::2] = map(str, np.concatenate([ids_a, ids_b])[order].tolist()), signs[order].tolist()
+        links = ids_b[at_b].astype(np.int64) * self.width + ids_a[at_a]
+        sizes = np.diff(np.stack([at_a[last] + 1, at_b[last] + 1, last + 1], axis=1), axis=0, prepend=0)
+        return [Chunks(parts, sizes, "".join(said).split("\n")[:-1], links, sizes[:, 2], np.zeros(len(parts), bool))]
+
+    def learn(self, parts: set[str]) -> Known:
+        """Knows these parts from now on, as long as no others are learned."""
+        if len(self.known.number) >= MEMO:
+            self.known = Known()
+        rest = [p for p in parts if p not in self.known.number]
+        alone = {p for p in rest if not self.by_chunk or not p or p[-1].isspace()}
+        found = [x for p in alone for x in self.chunks([p])]
+        for some in batched([p for p in rest if p not in alone] if alone else rest, AT_ONCE):
+            found += self.chunks(list(some))
+        if found:
+            self.known.add(found)
+        return self.known
+
+    def aligned(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        """For each text the tokens of A and B, groups, the hash of the groups' text; the distinct pairs and how
+        often each is linked. Some texts are looked up at a time; of a long one some parts."""
+        held, size = [], 0
+        for text in texts:
+            if text and len(text) >= SLICE:
+                yield from self.short(held)
+                held, size = [], 0
+                yield united(self.learn(set(parts)).of(parts) for parts in batched(parts_of(text) if self.by_chunk else [text], HELD))
+                continue
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= SLICE:
+                yield from self.short(held)
+                held, size = [], 0
+        yield from self.short(held)
+
+    def short(self, texts: list[str]) -> Iterator[tuple]:
+        parts = [([t] if not self.by_chunk else t.split(" ")) if t else [] for t in texts]
+        if self.by_chunk and (odd := {p for p in set().union(*parts) if not p or p[-1].isspace()}):
+            parts = [p if odd.isdisjoint(p) else list(parts_of(t)) for p, t in zip(parts, texts, strict=True)]
+        known = self.learn(set().union(*parts))
+        for p in parts:
+            yield united([known.of(p)] if p else [])
+
+
+def united(found: Iterable[tuple | None]) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
+    """What the slices of a text come to."""
+    sizes, said, links = np.zeros(3, np.int64), hashlib.sha256(), []
+    for x in found:
+        if x is None:
             return NOTHING
-        pairs, counts = found[0]
-        if len(found) > 1:
-            pairs, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-            counts = np.zeros(len(pairs), np.int64)
-            np.add.at(counts, at, np.concatenate([n for _, n in found]))
-        return n_a, n_b, n_groups, said.hexdigest(), pairs, counts
-
-
-NOTHING = (0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+        sizes += x[0]
+        said.update((";" * bool(links) + x[1]).encode())
+        links.append(x[2])
+    if not links:
+        return NOTHING
+    pairs, counts = links[0]
+    if len(links) > 1:
+        pairs, at = np.unique(np.concatenate([x for x, _ in links]), return_inverse=True)
+        counts = np.zeros(len(pairs), np.int64)
+        np.add.at(counts, at, np.concatenate([n for _, n in links]))
+    return *sizes.tolist(), said.hexdigest(), pairs, counts
 
 
 def pair_of(a: str, b: str) -> Pair:
@@ -260,8 +331,7 @@ def encoded(docs: DataFrame, a: str, b: str) -> DataFrame:
         pair = pair_of(a, b)
         block, documents, links, n = None, [], [], 0
         for batch in batches:
-            for row, doc_id, text in zip(batch["row"], batch.doc_id, batch.text, strict=True):
-                n_a, n_b, n_groups, said, pairs, counts = pair.aligned(text)
+            for row, doc_id, (n_a, n_b, n_groups, said, pairs, counts) in zip(batch["row"], batch.doc_id, pair.aligned(batch.text.tolist()), strict=True):
                 block = row if block is None else block
                 if len(pairs):
                     links.append((len(documents), pairs, counts))

@@ -106,6 +106,16 @@ def test_documents(spark, libraries, monkeypatch):
     assert rows(COLUMNS, alignment.alignment(docs).collect()) == want
 
 
+def test_slices_and_forgetting(libraries, monkeypatch):
+    """Long texts by parts, and a table that is forgotten again and again: the same."""
+    texts = [t for t in TEXTS if t] + ["one two one three " * 50, None]
+    pair = alignment.Pair(*alignment.default_tokenizers())
+    want = [(x[:4], x[4].tolist(), x[5].tolist()) for x in pair.aligned(texts)]
+    for name, value in (("MEMO", 7), ("HELD", 3), ("SLICE", 20), ("AT_ONCE", 2)):
+        monkeypatch.setattr(alignment, name, value)
+    assert [(x[:4], x[4].tolist(), x[5].tolist()) for x in alignment.Pair(*alignment.default_tokenizers()).aligned(texts)] == want
+
+
 def test_best_matches(docs, libraries):
     counts = Counter()
     for r in docs.collect():
@@ -126,7 +136,7 @@ def test_empty(docs):
 def test_blocks(libraries):
     """A block's rows hold what went in, whatever the sizes of runs."""
     pair = alignment.pair_of(*alignment.default_tokenizers())
-    found = [pair.aligned(t) for t in ("one two one", "two three", "one")]
+    found = list(pair.aligned(["one two one", "two three", "one"]))
     out = alignment.block_rows(7, [(i, str(i), *x[:3], int(x[5].sum()), x[3]) for i, x in enumerate(found)], [(i, x[4], x[5]) for i, x in enumerate(found)], pair.width)
     got = Counter()
     for r in out[out.stripe.notna()].itertuples():
@@ -143,7 +153,7 @@ def test_chunks_are_the_whole(libraries, text):
     """Cut at spaces or whole: the same ids, whatever the white space."""
     pair = alignment.pair_of(*alignment.default_tokenizers())
     x = tokens(libraries, text)
-    n_a, n_b, n_groups, said, _, _ = pair.aligned(text)
+    n_a, n_b, n_groups, said, _, _ = next(pair.aligned([text]))
     gs = groups(*x) if x else []
     joined = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in gs)
     assert pair.by_chunk and (n_a, n_b, n_groups, said) == ((len(x[0]), len(x[2]), len(gs), hashlib.sha256(joined.encode()).hexdigest()) if x else (0, 0, 0, ""))
