@@ -45,14 +45,19 @@ def analyze(rows: DataFrame, text: Column, *keys: str, position: str = "pos") ->
     return exploded.join(stems_of(exploded), "raw").select(*keys, position, "term")
 
 
-def spans(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """keys, i, raw, start, end, term for each word, stop words aside; offsets count code points, end is
+def word_spans(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """keys, i, raw, start, end for each word, stop words aside; offsets count code points, end is
     exclusive, and i equals the word's position in the index."""
     segments = F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0))
     by = Window.partitionBy(*keys).orderBy("seg")
     cut = rows.select(*keys, F.posexplode(segments).alias("seg", "raw"))
     cut = cut.withColumn("end", F.sum(F.length("raw")).over(by).cast("int")).withColumn("start", F.col("end") - F.length("raw"))
-    kept = cut.where(F.col("raw").rlike("^[a-zA-Z0-9]")).withColumn("low", F.lower("raw")).where(~F.col("low").isin(*STOPWORDS))
-    kept = kept.withColumn("i", F.row_number().over(by) - 1)
+    kept = cut.where(F.col("raw").rlike("^[a-zA-Z0-9]") & ~F.lower("raw").isin(*STOPWORDS))
+    return kept.select(*keys, (F.row_number().over(by) - 1).alias("i"), "raw", "start", "end")
+
+
+def spans(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """keys, i, raw, start, end, term for each word."""
+    kept = word_spans(rows, text, *keys).withColumn("low", F.lower("raw"))
     stems = stems_of(kept.select("low"), "low").withColumnRenamed("raw", "low")
     return kept.join(stems, "low").select(*keys, "i", "raw", "start", "end", "term")

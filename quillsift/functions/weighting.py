@@ -46,7 +46,16 @@ def df_weight(code: str, df: Column, n: Column) -> Column:
     return F.when((df > 0) & (n - df > df), F.log10((n - df) / df)).otherwise(0.0)
 
 
+def bm25_idf(df: Column, n: Column) -> Column:
+    n, df = n.cast("double"), df.cast("double")
+    return F.ln((n - df + 0.5) / (df + 0.5) + 1.0)
+
+
+def bm25_saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a document's tf and length make of the idf."""
+    tf, dl = tf.cast("double"), dl.cast("double")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def bm25(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
-    n, df, tf, dl = (c.cast("double") for c in (n, df, tf, dl))
-    idf = F.ln((n - df + 0.5) / (df + 0.5) + 1.0)
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+    return bm25_idf(df, n) * bm25_saturation(tf, dl, avgdl)

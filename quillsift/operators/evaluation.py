@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillsift.operators.index import Index
 from quillsift.operators.positional import by_hits, phrase_hits
-from quillsift.operators.rank import BOOST_POOL, Queries, Ranker, analyzed, bm25, fielded, sdm, smart, vsm
+from quillsift.operators.rank import BOOST_POOL, Queries, Ranker, analyzed, bm25, fielded, matched, sdm, smart, vsm
 from quillsift.plans.storage import stored
 
 BASELINE_POOL, PHRASE_POOL = 100, 100
@@ -58,7 +58,7 @@ def rule_judgments(index: Index, queries: Queries, pooled: DataFrame) -> DataFra
     a = analyzed(queries)
     terms = a.words.select("qid", "term").distinct()
     wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
-    held = terms.join(a.of_terms(index.inverted), "term").join(pooled, ["qid", "docid"], "left_semi").groupBy("qid", "docid").agg(F.count("*").alias("held"))
+    held = matched(index, terms, a, "docid").join(pooled, ["qid", "docid"], "left_semi").groupBy("qid", "docid").agg(F.count("*").alias("held"))
     phrases = by_hits(phrase_hits(index, a), PHRASE_POOL, "start").select("qid", "docid", F.lit(True).alias("phrase"))
     rows = pooled.join(wanted, "qid", "left").join(held, ["qid", "docid"], "left").join(phrases, ["qid", "docid"], "left")
     grade = F.when(F.col("phrase"), 3).when(F.col("held") == F.col("wanted"), 2).when(F.col("held") > 0, 1).otherwise(0)

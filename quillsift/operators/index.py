@@ -1,52 +1,73 @@
 """Positional, inverted and title indexes as tables.
 
-docs are dealt out by docid once, and a document's words are counted there: what is joined with the stems is
+docs are dealt into buckets of docid once, and a document's words are counted there: what is joined with the stems is
 a row for each document and distinct word, not for each token. Each distinct word of the collection is
-stemmed once. While the vocabulary is small enough to be broadcast, a document's rows stay together up to the
-postings; beyond, they are shuffled by word and back. One more shuffle sorts the postings by term: a condition
-on terms then reads their row groups alone.
+stemmed once. While the vocabulary is small enough to be broadcast, a document's rows stay together; beyond,
+they are shuffled by word and back. These rows are stored by document; frequencies and norms are sums over
+them, and one more shuffle makes postings of them.
+
+Postings lie in parts. A term of fewer than ``common`` documents is one part, 0. A common term has a part for
+each class of document lengths (of about as many documents each), and classes of very many postings several, by
+docid: so no part grows with the collection as its term does. Parts are dealt into buckets by ``slot``, a hash of
+term and part; the files of a bucket are sorted by term. A search of few words opens its terms' buckets and
+there their row groups; a batch is shuffled to the buckets, the postings stay where they are. ``blocks`` tells the
+greatest weights of each part: what is in documents of one length class can weigh no more.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillsift.functions import weighting
 from quillsift.functions.stemming import stems_of
 from quillsift.functions.text import full_text, title_text, words
-from quillsift.plans.storage import scratch
+from quillsift.plans.storage import exists, read_bucketed, scratch, write_bucketed
 
-TABLES = ("docs", "postings", "terms", "title_postings", "doc_stats", "collection")
+#: Documents from which on a term is common; length classes; postings of a part, about; most parts of a class.
+COMMON, CLASSES, PART_ROWS, MOST_PARTS = 4096, 32, 65_536, 128
+#: Postings of a bucket, about, and most buckets.
+BUCKET_ROWS, MOST_BUCKETS = 4 << 20, 65_536
+TABLES = ("terms", "title_postings", "doc_stats", "collection", "blocks")
+#: Keys and orders of the tables in buckets.
+BY_DOC, BY_TERM = ("docid", "docid"), ("slot", "term", "part", "docid")
 
 
 @dataclass(frozen=True)
 class Index:
-    """docs(docid, category, title, text); postings(term, docid, tf, positions, dl, lnc);
+    """docs(docid, category, title, text) in buckets of docid; postings(slot, term, part, docid, tf, positions, dl, lnc);
     terms(term, df); title_postings(term, docid, tf); doc_stats(docid, dl, max_tf, avg_tf, n_unique,
     char_len and a cosine norm for each pair of SMART's tf and df codes), documents without a word included;
-    collection(n, avgdl), one row."""
+    collection(n, avgdl, buckets, doc_buckets, bounds), one row: bounds are the greatest lengths of the classes but the last;
+    blocks(term, part, slot, n, most_lnc, most_bm25), a row for each part, the latter without the idf."""
 
     docs: DataFrame
-    postings: DataFrame
     terms: DataFrame
     title_postings: DataFrame
     doc_stats: DataFrame
     collection: DataFrame
+    blocks: DataFrame
+    postings: DataFrame
+    path: str
+    _places: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def spark(self) -> SparkSession:
         return self.docs.sparkSession
 
     @cached_property
+    def _collected(self) -> Row:
+        return self.collection.first()
+
+    @property
     def size(self) -> tuple[int, float]:
         """Number of documents and their mean length: the one row of collection."""
-        row = self.collection.first()
-        return row.n, row.avgdl
+        return self._collected.n, self._collected.avgdl
 
     @property
     def inverted(self) -> DataFrame:
@@ -56,15 +77,39 @@ class Index:
         """term, docid, pos: a row for each occurrence."""
         return (self.postings if postings is None else postings).select("term", "docid", F.explode("positions").alias("pos"))
 
+    def length_class(self, dl: Column) -> Column:
+        return length_class(dl, self._collected.bounds)
+
+    def places(self, terms: tuple[str, ...]) -> list[Row]:
+        """The parts of some terms (the rows of blocks, with df), known to the driver; asked for once."""
+        if terms not in self._places:
+            held = self.blocks.join(self.terms, "term").where(F.col("term").isin(*terms)) if terms else None
+            self._places[terms] = held.collect() if held is not None else []
+        return self._places[terms]
+
     def save(self, path: str) -> Index:
         """Writes all tables below a path and returns the index that reads them."""
         for name in TABLES:
             getattr(self, name).write.parquet(f"{path}/{name}")
+        write_bucketed(self.postings, f"{path}/postings", BY_TERM[0], self._collected.buckets, *BY_TERM[1:])
+        write_bucketed(self.docs, f"{path}/docs", BY_DOC[0], self._collected.doc_buckets, *BY_DOC[1:])
         return load_index(self.spark, path)
 
+    def derived(self, name: str, made: Callable[[], DataFrame], key: str, *order: str) -> DataFrame:
+        """A table that is made of the index when it is needed first, in buckets of a key, and stays with it."""
+        path = f"{self.path}/{name}"
+        if not exists(self.spark, f"{path}/_SUCCESS"):
+            write_bucketed(made(), path, key, self._collected.buckets, *order)
+        if name not in self._places:
+            self._places[name] = read_bucketed(self.spark, path, key, self._collected.buckets, *order)
+        return self._places[name]
+
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    held = tables["collection"].first()
+    docs = read_bucketed(spark, f"{path}/docs", BY_DOC[0], held.doc_buckets, *BY_DOC[1:])
+    return Index(**tables, docs=docs, postings=read_bucketed(spark, f"{path}/postings", BY_TERM[0], held.buckets, *BY_TERM[1:]), path=path)
 
 
 def vocabulary(*raw: DataFrame) -> DataFrame:
@@ -75,41 +120,108 @@ def vocabulary(*raw: DataFrame) -> DataFrame:
     return stems_of(every)
 
 
-def build_index(docs: DataFrame, path: str | None = None) -> Index:
+def length_class(dl: Column, bounds: list[int]) -> Column:
+    """0 for the shortest documents; bounds: at most CLASSES numbers."""
+    return sum(((dl > b).cast("int") for b in bounds), F.lit(0))
+
+
+def class_bounds(doc_stats: DataFrame, classes: int) -> list[int]:
+    cuts = [i / classes for i in range(1, classes)]
+    found = doc_stats.where("dl > 0").select(F.percentile_approx("dl", cuts or [1.0], 10_000)).first()[0] or []
+    return sorted(set(found))
+
+
+def slot(term: Column, part: Column) -> Column:
+    return F.xxhash64(term, part)
+
+
+def part_of(df: Column, dl: Column, bounds: list[int], shares: list[float], part_rows: int) -> Column:
+    """df: null for terms that aren't common. Classes hold shares of the documents, by which their parts are cut."""
+    cls = length_class(dl, bounds)
+    cut = F.least(F.lit(MOST_PARTS), F.greatest(F.lit(1), F.ceil(df * F.element_at(F.array(*map(F.lit, shares)), cls + 1) / part_rows)))
+    return F.when(df.isNull(), 0).otherwise(1 + cls * MOST_PARTS + F.pmod(F.xxhash64("docid"), cut)).cast("int")
+
+
+def class_of_part(part: int) -> int:
+    """The length class of a common term's part; -1 for the one part of another term."""
+    return (part - 1) // MOST_PARTS if part else -1
+
+
+def doc_sums() -> dict[str, Column]:
+    """Sums over a document's rows (tf, df, n) of which the squares of all cosine norms are made."""
+    tf = F.col("tf").cast("double")
+    log = weighting.tf_weight("l", tf, tf, tf)
+    out = {}
+    for d in weighting.DF_CODES:
+        idf2 = F.pow(weighting.df_weight(d, F.col("df"), F.col("n")), F.lit(2))
+        out |= {f"{d}_one": F.sum(idf2), f"{d}_tf": F.sum(tf * idf2), f"{d}_tf2": F.sum(tf * tf * idf2), f"{d}_log2": F.sum(log * log * idf2)}
+    return out
+
+
+def norm_of(t: str, d: str) -> Column:
+    """A cosine norm from the sums: weights are squared out, so that none needs the document's max_tf or avg_tf
+    before its rows are summed."""
+    one, tf, tf2, log2 = (F.col(f"{d}_{x}") for x in ("one", "tf", "tf2", "log2"))
+    most, mean = F.greatest(F.col("max_tf").cast("double"), F.lit(1.0)), F.lit(1.0) + F.log10("avg_tf")
+    squared = {"n": tf2, "l": log2, "a": 0.25 * one + 0.5 * tf / most + 0.25 * tf2 / (most * most), "b": one, "L": log2 / (mean * mean)}[t]
+    return F.sqrt(squared)
+
+
+def document_rows(docs: DataFrame, stems: DataFrame) -> DataFrame:
+    """docid, term, tf, positions, dl, lnc: a row for each document and term, a document's rows together."""
+    found = docs.select("docid", F.posexplode(words(full_text())).alias("pos", "raw")).groupBy("docid", "raw").agg(F.collect_list("pos").alias("at"))
+    grouped = found.join(stems, "raw").groupBy("docid", "term").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("positions")).withColumn("tf", F.size("positions"))
+    whole = Window.partitionBy("docid")
+    log = F.lit(1.0) + F.log10(F.col("tf").cast("double"))
+    weighted = grouped.withColumn("dl", F.sum("tf").over(whole)).withColumn("lnc", log / F.sqrt(F.sum(log * log).over(whole)))
+    return weighted.select("docid", "term", "tf", "positions", "dl", "lnc")
+
+
+def build_index(docs: DataFrame, path: str | None = None, common: int = COMMON, classes: int = CLASSES, part_rows: int = PART_ROWS) -> Index:
     """Builds all tables and stores them below the path (or in the session's scratch folder)."""
     spark = docs.sparkSession
     path = path or f"{scratch(spark)}/index-{uuid.uuid4().hex}"
-    docs.select("docid", "category", "title", "text").write.parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
+    doc_buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_bucketed(docs.select("docid", "category", "title", "text"), f"{path}/docs", BY_DOC[0], doc_buckets, *BY_DOC[1:])
+    docs = read_bucketed(spark, f"{path}/docs", BY_DOC[0], doc_buckets, *BY_DOC[1:])
 
     body = docs.select("docid", F.explode(words(full_text())).alias("raw")).select("raw")
     head = docs.select(F.explode(words(title_text())).alias("raw"))
     vocabulary(body, head).write.parquet(f"{path}/vocabulary")
     stems = spark.read.parquet(f"{path}/vocabulary")
-
-    dealt = docs.repartition("docid")
-    found = dealt.select("docid", F.posexplode(words(full_text())).alias("pos", "raw")).groupBy("docid", "raw").agg(F.collect_list("pos").alias("at"))
-    grouped = found.join(stems, "raw").groupBy("docid", "term").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("positions")).withColumn("tf", F.size("positions"))
-    whole = Window.partitionBy("docid")
-    log = F.lit(1.0) + F.log10(F.col("tf").cast("double"))
-    weighted = grouped.withColumn("dl", F.sum("tf").over(whole)).withColumn("lnc", log / F.sqrt(F.sum(log * log).over(whole)))
-    by_term = weighted.repartitionByRange("term", "docid").sortWithinPartitions("term", "docid")
-    by_term.select("term", "docid", "tf", "positions", "dl", "lnc").write.parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-
-    postings.groupBy("term").agg(F.count("*").alias("df")).sort("term").write.parquet(f"{path}/terms")
+    document_rows(docs, stems).write.parquet(f"{path}/forward")
     titles = docs.select("docid", F.explode(words(title_text())).alias("raw")).join(stems, "raw")
     titles.groupBy("term", "docid").agg(F.count("*").cast("int").alias("tf")).sort("term", "docid").write.parquet(f"{path}/title_postings")
+    forward = spark.read.parquet(f"{path}/forward")
+    forward.groupBy("term").agg(F.count("*").alias("df")).sort("term").write.parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
     n = docs.count()
-    known = postings.select("docid", "term", "tf").join(spark.read.parquet(f"{path}/terms"), "term").withColumns({"max_tf": F.max("tf").over(whole), "avg_tf": F.avg("tf").over(whole)})
-    squared = lambda t, d: F.pow(weighting.tf_weight(t, F.col("tf"), F.col("max_tf"), F.col("avg_tf")) * weighting.df_weight(d, F.col("df"), F.lit(n)), F.lit(2))
-    norms = {weighting.norm_name(t, d): F.sqrt(F.sum(squared(t, d))) for t in weighting.TF_CODES for d in weighting.DF_CODES}
-    stats = known.groupBy("docid").agg(F.sum("tf").alias("dl"), F.max("tf").alias("max_tf"), F.avg("tf").alias("avg_tf"), F.count("*").alias("n_unique"), *[v.alias(k) for k, v in norms.items()])
+    known = forward.select("docid", "term", "tf").join(terms, "term").withColumn("n", F.lit(n))
+    sums = known.groupBy("docid").agg(F.sum("tf").alias("dl"), F.max("tf").alias("max_tf"), F.avg("tf").alias("avg_tf"), F.count("*").alias("n_unique"), *[v.alias(k) for k, v in doc_sums().items()])
+    norms = {weighting.norm_name(t, d): norm_of(t, d) for t in weighting.TF_CODES for d in weighting.DF_CODES}
+    stats = sums.select("docid", "dl", "max_tf", "avg_tf", "n_unique", *[v.alias(k) for k, v in norms.items()])
     char_len = F.length(F.coalesce("title", F.lit(""))) + 1 + F.length(F.coalesce("text", F.lit("")))
     zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
     docs.select("docid", char_len.alias("char_len")).join(stats, "docid", "left").select(
         "docid", zero("dl", "long"), zero("max_tf", "int"), zero("avg_tf", "double"), zero("n_unique", "long"), "char_len", *[zero(c, "double") for c in norms]
     ).write.parquet(f"{path}/doc_stats")
     doc_stats = spark.read.parquet(f"{path}/doc_stats")
-    doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl") / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0)).alias("avgdl")).write.parquet(f"{path}/collection")
+
+    bounds = class_bounds(doc_stats, classes)
+    rows, avgdl = doc_stats.agg(F.coalesce(F.sum("n_unique"), F.lit(0)), F.coalesce(F.sum("dl") / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0))).first()
+    buckets = int(min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))))
+    spark.createDataFrame([(n, float(avgdl), buckets, doc_buckets, bounds)], "n long, avgdl double, buckets int, doc_buckets int, bounds array<long>").coalesce(1).write.parquet(f"{path}/collection")
+    held = {r.c: r.k for r in doc_stats.where("dl > 0").groupBy(length_class(F.col("dl"), bounds).alias("c")).agg(F.count("*").alias("k")).collect()}
+    shares = [held.get(c, 0) / max(1, n) for c in range(len(bounds) + 1)]
+    often = terms.where(F.col("df") >= common)
+    often.write.parquet(f"{path}/common")  # a table of its own: small enough it is broadcast
+    placed = forward.join(spark.read.parquet(f"{path}/common"), "term", "left").withColumn("part", part_of(F.col("df"), F.col("dl"), bounds, shares, part_rows))
+    postings = placed.select(slot(F.col("term"), F.col("part")).alias("slot"), "term", "part", "docid", "tf", "positions", "dl", "lnc")
+    write_bucketed(postings, f"{path}/postings", BY_TERM[0], buckets, *BY_TERM[1:])
+    postings = read_bucketed(spark, f"{path}/postings", BY_TERM[0], buckets, *BY_TERM[1:])
+    # the buckets hold a part's rows together: nothing is shuffled before the parts are sorted
+    saturation = weighting.bm25_saturation(F.col("tf"), F.col("dl"), F.lit(float(avgdl)))
+    postings.groupBy("slot", "term", "part").agg(F.count("*").alias("n"), F.max("lnc").alias("most_lnc"), F.max(saturation).alias("most_bm25")).select(
+        "term", "part", "slot", "n", "most_lnc", "most_bm25"
+    ).sort("term", "part").write.parquet(f"{path}/blocks")
     return load_index(spark, path)

@@ -6,28 +6,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.operators.index import Index
-from quillsift.operators.rank import Analyzed, Queries, analyzed
+from quillsift.operators.rank import Analyzed, Queries, analyzed, matched
+from quillsift.plans.storage import stored
+
+
+#: A rarest term of up to so many documents is broadcast to the others' postings.
+MOST_BROADCAST = 500_000
+
+
+def conjunction(index: Index, queries: Queries, *columns: str) -> DataFrame:
+    """qid, docid, held: documents that hold every term of a query, with columns of their postings (an array of
+    term and these). None if a term is unknown. The rarest term's postings come first; of the others' only
+    those of its documents go on, and no posting is read twice."""
+    a = analyzed(queries)
+    terms = a.words.select("qid", "term").distinct().join(a.of_terms(index.terms), "term", "left")
+    by = Window.partitionBy("qid")
+    terms = terms.withColumn("r", F.row_number().over(by.orderBy("df", "term"))).withColumn("wanted", F.count("*").over(by)).withColumn("least", F.min(F.coalesce("df", F.lit(0))).over(by))
+    terms = stored(terms.where("least > 0"), "conjunctions")  # a row for each term of a query
+    most = terms.where("r = 1").agg(F.sum("df")).first()[0] or 0
+    rarest = matched(index, terms.where("r = 1").select("qid", "term", "wanted"), a, "docid", *columns)
+    entry = F.struct("term", *columns)
+    docs = rarest.select("qid", "docid", "wanted", entry.alias("first"))
+    few = F.broadcast(docs) if most <= MOST_BROADCAST else docs
+    others = matched(index, terms.where("r > 1").select("qid", "term"), a, "docid", *columns).select("qid", "docid", entry.alias("other"))
+    joined = others.join(few, ["qid", "docid"]).groupBy("qid", "docid").agg(F.count("*").alias("k"), F.first("wanted").alias("wanted"), F.first("first").alias("first"), F.collect_list("other").alias("others"))
+    several = joined.where("k = wanted - 1").select("qid", "docid", F.concat(F.array("first"), "others").alias("held"))
+    return several.unionByName(docs.where("wanted = 1").select("qid", "docid", F.array("first").alias("held")))
 
 
 def candidate_docs(index: Index, queries: Queries) -> DataFrame:
     """qid, docid: documents that hold every term of a query; none if a term is unknown."""
-    a = analyzed(queries)
-    terms = a.words.select("qid", "term").distinct()
-    wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
-    held = terms.join(a.of_terms(index.inverted), "term").groupBy("qid", "docid").agg(F.count("*").alias("held"))
-    return held.join(wanted, "qid").where("held = wanted").select("qid", "docid")
+    return conjunction(index, queries).select("qid", "docid")
 
 
 def phrase_hits(index: Index, queries: Queries) -> DataFrame:
     """qid, docid, start: places where the terms of a query stand in order without a gap. Each occurrence
     votes for the place where the phrase would start; a place with as many votes as the phrase has
-    terms is a hit. One equi-join, no pairs of positions."""
+    terms is a hit. No pairs of positions are made."""
     a = analyzed(queries)
-    q = a.words
-    wanted = q.groupBy("qid").agg(F.count("*").alias("wanted"))
-    near = q.select("qid", "term").distinct().join(a.of_terms(index.postings).select("term", "docid", "positions"), "term")
-    near = near.join(candidate_docs(index, a), ["qid", "docid"], "left_semi")
-    votes = near.select("qid", "docid", "term", F.explode("positions").alias("pos")).join(q, ["qid", "term"])
+    wanted = a.words.groupBy("qid").agg(F.count("*").alias("wanted"))
+    held = conjunction(index, a, "positions").select("qid", "docid", F.explode("held").alias("at")).select("qid", "docid", "at.term", "at.positions")
+    votes = held.select("qid", "docid", "term", F.explode("positions").alias("pos")).join(a.words, ["qid", "term"])
     found = votes.groupBy("qid", "docid", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("votes"))
     return found.join(wanted, "qid").where("votes = wanted").select("qid", "docid", "start")
 
@@ -48,9 +67,10 @@ def proximity_hits(index: Index, pairs: DataFrame, ordered: bool = True) -> Data
     q, one, other = first_terms(pairs)
     q = q.where("k > 0")
     width = F.floor(F.col("pos") / F.col("k"))
-    a = q.select("qid", "k", F.col("a").alias("term")).join(index.positions(one.of_terms(index.postings)), "term").select("qid", "k", "docid", F.col("pos").alias("pa"), width.alias("bin"))
+    places = lambda x, side: matched(index, q.select("qid", "k", F.col(side).alias("term")), x, "docid", "positions").select("qid", "k", "docid", F.explode("positions").alias("pos"))
+    a = places(one, "a").select("qid", "k", "docid", F.col("pos").alias("pa"), width.alias("bin"))
     bins = F.array(width - 1, width) if ordered else F.array(width - 1, width, width + 1)
-    b = q.select("qid", "k", F.col("b").alias("term")).join(index.positions(other.of_terms(index.postings)), "term").select("qid", "docid", F.col("pos").alias("pb"), F.explode(bins).alias("bin"))
+    b = places(other, "b").select("qid", "docid", F.col("pos").alias("pb"), F.explode(bins).alias("bin"))
     gap = F.col("pb") - F.col("pa")
     near = (gap > 0) & (gap <= F.col("k")) if ordered else (gap != 0) & (F.abs(gap) <= F.col("k"))
     return a.join(b, ["qid", "docid", "bin"]).where(near).select("qid", "docid", "pa", "pb")

@@ -3,6 +3,11 @@ rank for the best documents of each query, so one job ranks a whole batch.
 
 Scores are sums over the postings of a query's terms. They are ranked by value rounded to 10 places,
 then docid: the order of a distributed sum doesn't decide between equal documents.
+
+Queries of few words are known to the driver, and so are the parts of postings of their terms: scans open these
+alone. Where that would still be many postings, a first pass over the rare terms (and the length class that
+promises most) gives each query a score that its best documents reach; classes of common terms' postings
+that can't lift a document to it are left out. Larger batches are shuffled to the postings' buckets.
 """
 
 from __future__ import annotations
@@ -15,11 +20,13 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import weighting
 from quillsift.functions.text import analyze
-from quillsift.operators.index import Index
+from quillsift.operators.index import Index, class_of_part
 from quillsift.plans.storage import stored
 
 #: Up to so many analyzed words of queries are known to the driver: their terms become conditions of the scans.
 MOST_KNOWN = 2000
+#: Up to so many parts are named in a condition; from so many postings on, bounds are looked at before they are read.
+MOST_SLOTS, PAYS = 10_000, 4_000_000
 BOOST, BOOST_POOL = 1.5, 200
 SDM_WEIGHTS, SDM_POOL, ORDERED_WINDOW, UNORDERED_WINDOW = (0.8, 0.15, 0.05), 50, 2, 4
 
@@ -57,6 +64,106 @@ def analyzed(queries: Queries) -> Analyzed:
     return Analyzed(queries, queries.sparkSession.createDataFrame(rows, words.schema), tuple(sorted({r.term for r in few})))
 
 
+def of_slots(rows: DataFrame, slots: list[int]) -> DataFrame:
+    """The postings of some parts: a condition on slots opens their buckets alone. Too many are not named."""
+    return rows.where(F.col("slot").isin(*slots)) if len(slots) <= MOST_SLOTS else rows
+
+
+def matched(index: Index, q: DataFrame, a: Analyzed, *columns: str, term: str = "term") -> DataFrame:
+    """q (with a column of terms) joined with columns of these terms' postings. The postings are never
+    shuffled: few terms come to them as a condition and a broadcast, others are shuffled to their buckets."""
+    if a.known is not None:
+        rows = of_slots(a.of_terms(index.postings), [p.slot for p in index.places(a.known)])
+        return q.join(rows.select(F.col("term").alias(term), *columns), term)
+    placed = q.join(index.blocks.select(F.col("term").alias(term), "slot"), term)
+    rows = index.postings.select("slot", F.col("term").alias("__term"), *columns)
+    # the buckets are of slot alone: another equality would be a key of the join too, and deal the postings anew
+    return placed.join(rows, "slot").where(F.col("__term").between(F.col(term), F.col(term))).drop("slot", "__term")
+
+
+@dataclass(frozen=True)
+class Reading:
+    """Which parts of postings a search needs: rows qid, term, part, slot, w; how many postings that is, and how
+    many all parts of the queries' terms have."""
+
+    rows: list[tuple]
+    read: int
+    of: int
+
+
+def class_bounds(weights: list[tuple], places: list, most: str) -> dict[tuple, dict[int, float]]:
+    """For each query and length class the most that its common terms can weigh there."""
+    by_class: dict[str, dict[int, float]] = {}
+    for p in places:
+        if p.part:
+            of = by_class.setdefault(p.term, {})
+            of[class_of_part(p.part)] = max(p[most], of.get(class_of_part(p.part), 0.0))
+    out: dict[tuple, dict[int, float]] = {}
+    for qid, term, w in weights:
+        for c, m in by_class.get(term, {}).items():
+            of = out.setdefault(qid, {})
+            of[c] = of.get(c, 0.0) + w * m
+    return out
+
+
+def chosen_parts(weights: list[tuple], places: list, keep: Callable[[object, int], bool]) -> Reading:
+    """The parts of rare terms, and of common ones those of the classes to keep for a query. A posting that
+    several queries share is read once."""
+    of_term: dict[str, list] = {}
+    for p in places:
+        of_term.setdefault(p.term, []).append(p)
+    rows = [(qid, p.term, p.part, p.slot, float(w)) for qid, term, w in weights for p in of_term.get(term, ()) if not p.part or keep(qid, class_of_part(p.part))]
+    read = {(p[1], p[2]) for p in rows}
+    return Reading(rows, sum(p.n for p in places if (p.term, p.part) in read), sum(p.n for p in places))
+
+
+def read_parts(index: Index, reading: Reading, kind: str, *columns: str) -> DataFrame:
+    """qid, w and columns of the postings of a reading."""
+    q = index.spark.createDataFrame(reading.rows, f"qid {kind}, term string, part int, slot long, w double")
+    slots, terms = sorted({r[3] for r in reading.rows}), sorted({r[1] for r in reading.rows})
+    rows = of_slots(index.postings.where(F.col("term").isin(*terms)), slots)
+    return F.broadcast(q).join(rows.select("slot", "term", "part", *columns), ["slot", "term", "part"])  # a row for each query's part, known here
+
+
+def bounded_reading(index: Index, weights: DataFrame, a: Analyzed, k: int, value: Column, most: str) -> Reading:
+    """What a search for the k best must read. weights: qid, term, w (from 0 up); value: what a posting's columns
+    make of w, at most ``most`` of its part."""
+    kind, places = dict(weights.dtypes)["qid"], index.places(a.known)
+    held = [tuple(r) for r in weights.select("qid", "term", "w").where("w > 0").collect()]
+    bounds = class_bounds(held, places, most)
+    best = {qid: max(of, key=lambda c, of=of: (of[c], -c)) for qid, of in bounds.items()}
+    first = chosen_parts(held, places, lambda qid, c: best.get(qid) == c)
+    cls = index.length_class(F.col("dl"))
+    scores = read_parts(index, first, kind, "docid", "dl", "tf", "lnc").groupBy("qid", "docid").agg(F.sum(F.col("w") * value).alias("score"), F.first(cls).alias("c"))
+    # the k-th score so far, which the k best of all reach; the best candidate of each class: a row for each query and class
+    seen = scores.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"))))
+    told = seen.groupBy("qid", "c").agg(F.max("score").alias("most"), F.min(F.when(F.col("r") == k, F.col("score"))).alias("kth")).collect()
+    least, candidate = {}, {}
+    for r in told:
+        candidate[r.qid, r.c] = r.most
+        if r.kth is not None:
+            least[r.qid] = r.kth
+
+    def keep(qid: object, c: int) -> bool:
+        if qid not in least or c == best.get(qid):
+            return True
+        reach = bounds[qid].get(c, 0.0) + candidate.get((qid, c), 0.0)
+        return reach >= least[qid] * (1 - 1e-9) - 1e-9  # sums of floats, ranked by 10 places
+
+    return chosen_parts(held, places, keep)
+
+
+def summed(index: Index, weights: DataFrame, a: Analyzed, k: int, value: Column, most: str, pays: int) -> DataFrame:
+    """qid, docid, score: the sums of w * value over the postings of the queries' terms; where these are many, of
+    the documents that may be among the k best."""
+    if a.known is not None and sum(p.n for p in index.places(a.known) if p.part) >= pays:
+        reading = bounded_reading(index, weights, a, k, value, most)
+        hits = read_parts(index, reading, dict(weights.dtypes)["qid"], "docid", "dl", "tf", "lnc")
+    else:
+        hits = matched(index, weights.select("qid", "term", "w"), a, "docid", "dl", "tf", "lnc")
+    return hits.groupBy("qid", "docid").agg(F.sum(F.col("w") * value).alias("score"))
+
+
 def query_terms(queries: Queries) -> DataFrame:
     """qid, off, term: the analyzed queries."""
     return analyzed(queries).words
@@ -83,8 +190,7 @@ def vsm_idf(index: Index) -> DataFrame:
 
 
 def bm25_idf(index: Index) -> DataFrame:
-    n, df = F.col("n").cast("double"), F.col("df").cast("double")
-    return of_collection(index.terms, index).select("term", "df", F.ln((n - df + 0.5) / (df + 0.5) + 1.0).alias("idf"))
+    return of_collection(index.terms, index).select("term", "df", weighting.bm25_idf(F.col("df"), F.col("n")).alias("idf"))
 
 
 def unit(df: DataFrame, key: str, raw: str) -> Column:
@@ -101,20 +207,18 @@ def ltc_query(index: Index, queries: Queries) -> DataFrame:
     return raw.select("qid", "term", unit(raw, "qid", "raw").alias("w"))
 
 
-def vsm(index: Index, queries: Queries, k: int = 10) -> DataFrame:
+def vsm(index: Index, queries: Queries, k: int = 10, pays: int = PAYS) -> DataFrame:
     """Vector space, lnc.ltc: document weights are in the postings."""
     a = analyzed(queries)
-    q = ltc_query(index, a).where("w <> 0")
-    return top(q.join(a.of_terms(index.postings).select("term", "docid", "lnc"), "term").groupBy("qid", "docid").agg(F.sum(F.col("w") * F.col("lnc")).alias("score")), k)
+    return top(summed(index, ltc_query(index, a).where("w <> 0"), a, k, F.col("lnc"), "most_lnc", pays), k)
 
 
-def bm25(index: Index, queries: Queries, k: int = 10) -> DataFrame:
+def bm25(index: Index, queries: Queries, k: int = 10, pays: int = PAYS) -> DataFrame:
     """Each distinct query term counts once."""
     a = analyzed(queries)
-    q = a.words.select("qid", "term").distinct().join(a.of_terms(index.terms), "term")
-    hits = of_collection(q.join(a.of_terms(index.postings).select("term", "docid", "tf", "dl"), "term"), index)
-    part = weighting.bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
-    return top(hits.groupBy("qid", "docid").agg(F.sum(part).alias("score")), k)
+    q = of_collection(a.words.select("qid", "term").distinct().join(a.of_terms(index.terms), "term"), index)
+    weights = q.select("qid", "term", weighting.bm25_idf(F.col("df"), F.col("n")).alias("w"))
+    return top(summed(index, weights, a, k, weighting.bm25_saturation(F.col("tf"), F.col("dl"), F.lit(index.size[1])), "most_bm25", pays), k)
 
 
 def fielded(index: Index, queries: Queries, k: int = 10, base: Ranker = vsm, boost: float = BOOST, pool: int = BOOST_POOL) -> DataFrame:
@@ -148,9 +252,9 @@ def sdm_evidence(index: Index, queries: Queries) -> DataFrame:
     """qid, docid, ordered, unordered: for every document that holds both terms of some bigram (counts
     may be 0) the pairs within the ordered and unordered windows, summed over the bigrams."""
     a = analyzed(queries)
-    p = a.of_terms(index.postings).select("term", "docid", "positions")
-    left = query_bigrams(index, a).join(p.select(F.col("term").alias("ta"), "docid", F.col("positions").alias("pa")), "ta")
-    both = left.join(p.select(F.col("term").alias("tb"), "docid", F.col("positions").alias("pb")), ["tb", "docid"])
+    left = matched(index, query_bigrams(index, a), a, "docid", "positions", term="ta").withColumnRenamed("positions", "pa")
+    right = matched(index, query_bigrams(index, a), a, "docid", "positions", term="tb").withColumnRenamed("positions", "pb")
+    both = left.join(right, ["qid", "ta", "tb", "docid"])
     ahead, near = list(range(1, ORDERED_WINDOW + 1)), [d for k in range(1, UNORDERED_WINDOW + 1) for d in (k, -k)]
     return both.groupBy("qid", "docid").agg(F.sum(shifted_hits("pa", "pb", ahead)).alias("ordered"), F.sum(shifted_hits("pa", "pb", near)).alias("unordered"))
 
@@ -174,20 +278,24 @@ def sdm_on_bm25(index: Index, queries: Queries, k: int = 10) -> DataFrame:
     return sdm(index, queries, k, base=bm25)
 
 
-def smart_doc_weights(index: Index, scheme: str, queries: Queries | None = None) -> DataFrame:
-    """term, docid, w of a document scheme, of all terms or of the queries'. Cosine norms of every tf and df
+def smart_weight(index: Index, scheme: str) -> Column:
+    """The document weight of postings with df and the document's statistics. Cosine norms of every tf and df
     code are stored with the documents, so that no other posting is read."""
     tf, df, norm = weighting.check_scheme(scheme)
-    wanted = (lambda t: t) if queries is None else analyzed(queries).of_terms
-    rows = of_collection(wanted(index.postings).select("term", "docid", "tf").join(wanted(index.terms), "term").join(index.doc_stats, "docid"), index)
-    raw = weighting.tf_weight(tf, F.col("tf"), F.col("max_tf"), F.col("avg_tf")) * weighting.df_weight(df, F.col("df"), F.col("n"))
+    raw = weighting.tf_weight(tf, F.col("tf"), F.col("max_tf"), F.col("avg_tf")) * weighting.df_weight(df, F.col("df"), F.lit(index.size[0]))
     by = {"n": F.lit(1.0), "c": F.col(weighting.norm_name(tf, df)), "u": F.col("n_unique").cast("double"), "b": F.pow(F.col("char_len").cast("double"), F.lit(weighting.BYTE_POWER))}[norm]
-    return rows.select("term", "docid", (raw / F.when(by > 0, by).otherwise(1.0)).alias("w"))
+    return raw / F.when(by > 0, by).otherwise(1.0)
+
+
+def smart_doc_weights(index: Index, scheme: str) -> DataFrame:
+    """term, docid, w of a document scheme, of all terms."""
+    rows = index.postings.select("term", "docid", "tf").join(index.terms, "term").join(index.doc_stats.drop("dl"), "docid")
+    return rows.select("term", "docid", smart_weight(index, scheme).alias("w"))
 
 
 def smart_query_weights(index: Index, queries: Queries, scheme: str) -> DataFrame:
-    """qid, term, w of a query scheme. Both length norms u and b divide by the length of the query's
-    text; unknown terms count in the cosine norm where the scheme has no idf."""
+    """qid, term, w, df of a query scheme. Both length norms u and b divide by the length of the query's
+    text; unknown terms (df 0) count in the cosine norm where the scheme has no idf."""
     tf, df, norm = weighting.check_scheme(scheme)
     over = Window.partitionBy("qid")
     a = analyzed(queries)
@@ -197,13 +305,13 @@ def smart_query_weights(index: Index, queries: Queries, scheme: str) -> DataFram
     q = q.withColumn("raw", weighting.tf_weight(tf, F.col("qtf"), F.col("max_tf"), F.col("avg_tf")) * weighting.df_weight(df, F.col("df"), F.col("n")))
     by = {"n": F.lit(1.0), "c": F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(over)), "u": F.col("chars"), "b": F.pow("chars", F.lit(weighting.BYTE_POWER))}[norm]
     q = q.withColumn("by", by)
-    return q.select("qid", "term", (F.col("raw") / F.when(F.col("by") > 0, F.col("by")).otherwise(1.0)).alias("w"))
+    return q.select("qid", "term", (F.col("raw") / F.when(F.col("by") > 0, F.col("by")).otherwise(1.0)).alias("w"), "df")
 
 
 def smart(index: Index, queries: Queries, k: int = 10, doc_scheme: str = "lnc", query_scheme: str = "ltc") -> DataFrame:
     """Any pair of SMART schemes; documents that score 0 are left out."""
     weighting.check_scheme(doc_scheme)
     a = analyzed(queries)
-    q = smart_query_weights(index, a, query_scheme).where("w <> 0")
-    d = smart_doc_weights(index, doc_scheme, a).withColumnRenamed("w", "dw")
-    return top(q.join(d, "term").groupBy("qid", "docid").agg(F.sum(F.col("w") * F.col("dw")).alias("score")).where("score <> 0"), k)
+    q = smart_query_weights(index, a, query_scheme).where("w <> 0 and df > 0")
+    hits = matched(index, q, a, "docid", "tf").join(index.doc_stats.drop("dl"), "docid")
+    return top(hits.groupBy("qid", "docid").agg(F.sum(F.col("w") * smart_weight(index, doc_scheme)).alias("score")).where("score <> 0"), k)

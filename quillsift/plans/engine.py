@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quillsift.functions.weighting import check_scheme
 from quillsift.operators import correction, evaluation, positional, rank
 from quillsift.operators.index import Index, build_index, load_index
-from quillsift.operators.snippets import Mark, snippets
+from quillsift.operators.snippets import MOST_RESULTS, Mark, snippets
+from quillsift.plans.storage import gathered
 from quillsift.sources.collections import checked, tagged_documents
 
 Queries = str | list[str] | DataFrame | rank.Analyzed
@@ -39,9 +40,17 @@ class SearchEngine:
             q = self.index.spark.createDataFrame(list(enumerate([q] if isinstance(q, str) else q)), "qid int, text string")
         return rank.analyzed(q)
 
+    def described(self, ranked: DataFrame, queries: rank.Queries) -> DataFrame:
+        """Adds title, category and snippet. The ranking is computed once; few results become conditions of
+        the scan of documents."""
+        ranked, known = gathered(ranked, MOST_RESULTS)
+        docs = self.index.docs.select("docid", "title", "category")
+        docs = docs if known is None else docs.where(F.col("docid").isin(sorted({r.docid for r in known})))
+        return ranked.join(docs, "docid").join(snippets(self.index, ranked, queries, mark=self.mark), ["qid", "docid"])
+
     def formatted(self, ranked: DataFrame, queries: rank.Queries) -> DataFrame:
         """qid, rank, docid, title, category, score (4 places), snippet."""
-        found = ranked.join(self.index.docs.select("docid", "title", "category"), "docid").join(snippets(self.index, ranked, queries, mark=self.mark), ["qid", "docid"])
+        found = self.described(ranked, queries)
         return found.select("qid", "rank", "docid", "title", "category", F.round("score", 4).alias("score"), "snippet").orderBy("qid", "rank")
 
     def oov(self, q: Queries) -> DataFrame:
@@ -79,7 +88,7 @@ class SearchEngine:
 
     def _positional(self, hits: DataFrame, queries: rank.Queries, *columns: str, top_k: int) -> DataFrame:
         ranked = evaluation.with_badges(self.index, positional.by_hits(hits, top_k, *columns), queries)
-        found = ranked.join(self.index.docs.select("docid", "title", "category"), "docid").join(snippets(self.index, ranked, queries, mark=self.mark), ["qid", "docid"])
+        found = self.described(ranked, queries)
         return found.select("qid", "rank", "docid", "title", "category", "match_positions", "rank_shift", "vsm_rank", "snippet").orderBy("qid", "rank")
 
     def search_phrase(self, q: Queries, top_k: int = 10) -> DataFrame:

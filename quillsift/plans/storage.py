@@ -38,6 +38,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame, most: int) -> tuple[DataFrame, list | None]:
+    """A result that is read more than once: up to so many rows come to the driver and back as a local table,
+    with the rows; more are stored."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        return stored(df, "gathered"), None
+    return df.sparkSession.createDataFrame(rows, df.schema), rows
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, *order: str) -> None:
+    """Writes df dealt into buckets of a key, a file for each bucket, its rows in order."""
+    table = f"written_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(*order).saveAsTable(table)
+    df.sparkSession.sql(f"DROP TABLE {table}")  # the files stay: a table with a path of its own owns none
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int, *order: str) -> DataFrame:
+    """Reads such files as a table of the session: joins and aggregates on the key don't shuffle it, and a
+    condition on the key opens the files of its buckets alone."""
+    table, columns = f"read_{uuid.uuid4().hex}", spark.read.parquet(path).schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
+    where = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {table} ({fields}) USING parquet CLUSTERED BY ({key}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{where}'")
+    return spark.table(table)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
