@@ -12,6 +12,8 @@ docid: so no part grows with the collection as its term does. Parts are dealt in
 term and part; the files of a bucket are sorted by term. A search of few words opens its terms' buckets and
 there their row groups; a batch is shuffled to the buckets, the postings stay where they are. ``blocks`` tells the
 greatest weights of each part: what is in documents of one length class can weigh no more.
+
+Documents that are added make a segment of their own; the statistics are those of all segments.
 """
 
 from __future__ import annotations
@@ -33,32 +35,50 @@ from quillsift.plans.storage import exists, read_bucketed, scratch, write_bucket
 COMMON, CLASSES, PART_ROWS, MOST_PARTS = 4096, 32, 65_536, 128
 #: Postings of a bucket, about, and most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 4 << 20, 65_536
-TABLES = ("terms", "title_postings", "doc_stats", "collection", "blocks")
 #: Keys and orders of the tables in buckets.
 BY_DOC, BY_TERM = ("docid", "docid"), ("slot", "term", "part", "docid")
+COLLECTION = "n long, avgdl double, bounds array<long>, segments array<struct<path:string,buckets:int,doc_buckets:int,avgdl:double>>"
 
 
 @dataclass(frozen=True)
-class Index:
-    """docs(docid, category, title, text) in buckets of docid; postings(slot, term, part, docid, tf, positions, dl, lnc);
-    terms(term, df); title_postings(term, docid, tf); doc_stats(docid, dl, max_tf, avg_tf, n_unique,
-    char_len and a cosine norm for each pair of SMART's tf and df codes), documents without a word included;
-    collection(n, avgdl, buckets, doc_buckets, bounds), one row: bounds are the greatest lengths of the classes but the last;
-    blocks(term, part, slot, n, most_lnc, most_bm25), a row for each part, the latter without the idf."""
+class Segment:
+    """What was indexed at one time: docs(docid, category, title, text) in buckets of docid; postings(slot, term,
+    part, docid, tf, positions, dl, lnc) in buckets of slot; blocks(term, part, slot, n, most_lnc, most_bm25), a
+    row for each part, the latter without the idf and for the mean length avgdl; title_postings(term, docid,
+    tf); forward(docid, term, tf, positions, dl, lnc), of which postings are made."""
 
+    path: str
+    buckets: int
+    doc_buckets: int
+    avgdl: float
     docs: DataFrame
-    terms: DataFrame
+    postings: DataFrame
+    blocks: DataFrame
     title_postings: DataFrame
+    forward: DataFrame
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return tables[0] if len(tables) == 1 else tables[0].unionByName(union(tables[1:]))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Segments, and the statistics of all of them: terms(term, df); doc_stats(docid, dl, max_tf, avg_tf,
+    n_unique, char_len and a cosine norm for each pair of SMART's tf and df codes), documents without a word
+    included; collection(n, avgdl, bounds, segments), one row: bounds are the greatest lengths of the classes
+    but the last, the same for all segments. The segments' tables are also there as one."""
+
+    terms: DataFrame
     doc_stats: DataFrame
     collection: DataFrame
-    blocks: DataFrame
-    postings: DataFrame
+    segments: tuple[Segment, ...]
     path: str
     _places: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def spark(self) -> SparkSession:
-        return self.docs.sparkSession
+        return self.terms.sparkSession
 
     @cached_property
     def _collected(self) -> Row:
@@ -69,6 +89,26 @@ class Index:
         """Number of documents and their mean length: the one row of collection."""
         return self._collected.n, self._collected.avgdl
 
+    @cached_property
+    def docs(self) -> DataFrame:
+        return union([s.docs for s in self.segments])
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return union([s.postings for s in self.segments])
+
+    @cached_property
+    def title_postings(self) -> DataFrame:
+        return union([s.title_postings for s in self.segments])
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """A row for each part of each segment. A saturation grows with the mean length at most as that does, so
+        what was the greatest under a smaller mean is bounded by its multiple."""
+        now = self.size[1]
+        grown = lambda s: max(1.0, now / s.avgdl) if s.avgdl > 0 else 1.0
+        return union([s.blocks.withColumn("most_bm25", F.col("most_bm25") * F.lit(grown(s))) for s in self.segments])
+
     @property
     def inverted(self) -> DataFrame:
         return self.postings.select("term", "docid", "tf")
@@ -81,35 +121,46 @@ class Index:
         return length_class(dl, self._collected.bounds)
 
     def places(self, terms: tuple[str, ...]) -> list[Row]:
-        """The parts of some terms (the rows of blocks, with df), known to the driver; asked for once."""
+        """The parts of some terms (the rows of blocks), known to the driver; asked for once."""
         if terms not in self._places:
-            held = self.blocks.join(self.terms, "term").where(F.col("term").isin(*terms)) if terms else None
-            self._places[terms] = held.collect() if held is not None else []
+            self._places[terms] = self.blocks.where(F.col("term").isin(*terms)).collect() if terms else []
         return self._places[terms]
 
     def save(self, path: str) -> Index:
-        """Writes all tables below a path and returns the index that reads them."""
-        for name in TABLES:
-            getattr(self, name).write.parquet(f"{path}/{name}")
-        write_bucketed(self.postings, f"{path}/postings", BY_TERM[0], self._collected.buckets, *BY_TERM[1:])
-        write_bucketed(self.docs, f"{path}/docs", BY_DOC[0], self._collected.doc_buckets, *BY_DOC[1:])
+        """Writes all tables below a path, as one segment, and returns the index that reads them."""
+        s, held = self.segments[0], self._collected
+        blocks = self.blocks.groupBy("term", "part", "slot").agg(F.sum("n").alias("n"), F.max("most_lnc").alias("most_lnc"), F.max("most_bm25").alias("most_bm25"))
+        tables = {"terms": self.terms, "doc_stats": self.doc_stats, "title_postings": self.title_postings, "forward": union([x.forward for x in self.segments]), "blocks": blocks}
+        for name, t in tables.items():
+            t.write.parquet(f"{path}/{name}")
+        write_bucketed(self.postings, f"{path}/postings", BY_TERM[0], s.buckets, *BY_TERM[1:])
+        write_bucketed(self.docs, f"{path}/docs", BY_DOC[0], s.doc_buckets, *BY_DOC[1:])
+        write_collection(self.spark, path, held.n, held.avgdl, held.bounds, [(path, s.buckets, s.doc_buckets, held.avgdl)])
         return load_index(self.spark, path)
 
     def derived(self, name: str, made: Callable[[], DataFrame], key: str, *order: str) -> DataFrame:
         """A table that is made of the index when it is needed first, in buckets of a key, and stays with it."""
-        path = f"{self.path}/{name}"
+        path, buckets = f"{self.path}/{name}", max(s.buckets for s in self.segments)
         if not exists(self.spark, f"{path}/_SUCCESS"):
-            write_bucketed(made(), path, key, self._collected.buckets, *order)
+            write_bucketed(made(), path, key, buckets, *order)
         if name not in self._places:
-            self._places[name] = read_bucketed(self.spark, path, key, self._collected.buckets, *order)
+            self._places[name] = read_bucketed(self.spark, path, key, buckets, *order)
         return self._places[name]
 
 
+def load_segment(spark: SparkSession, path: str, buckets: int, doc_buckets: int, avgdl: float) -> Segment:
+    docs = read_bucketed(spark, f"{path}/docs", BY_DOC[0], doc_buckets, *BY_DOC[1:])
+    postings = read_bucketed(spark, f"{path}/postings", BY_TERM[0], buckets, *BY_TERM[1:])
+    return Segment(path, buckets, doc_buckets, avgdl, docs, postings, *(spark.read.parquet(f"{path}/{t}") for t in ("blocks", "title_postings", "forward")))
+
+
 def load_index(spark: SparkSession, path: str) -> Index:
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-    held = tables["collection"].first()
-    docs = read_bucketed(spark, f"{path}/docs", BY_DOC[0], held.doc_buckets, *BY_DOC[1:])
-    return Index(**tables, docs=docs, postings=read_bucketed(spark, f"{path}/postings", BY_TERM[0], held.buckets, *BY_TERM[1:]), path=path)
+    terms, doc_stats, collection = (spark.read.parquet(f"{path}/{t}") for t in ("terms", "doc_stats", "collection"))
+    return Index(terms, doc_stats, collection, tuple(load_segment(spark, *s) for s in collection.first().segments), path)
+
+
+def write_collection(spark: SparkSession, path: str, n: int, avgdl: float, bounds: list[int], segments: list[tuple]) -> None:
+    spark.createDataFrame([(n, float(avgdl), bounds, segments)], COLLECTION).coalesce(1).write.parquet(f"{path}/collection")
 
 
 def vocabulary(*raw: DataFrame) -> DataFrame:
@@ -181,10 +232,40 @@ def build_index(docs: DataFrame, path: str | None = None, common: int = COMMON,
     """Builds all tables and stores them below the path (or in the session's scratch folder)."""
     spark = docs.sparkSession
     path = path or f"{scratch(spark)}/index-{uuid.uuid4().hex}"
-    doc_buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    write_bucketed(docs.select("docid", "category", "title", "text"), f"{path}/docs", BY_DOC[0], doc_buckets, *BY_DOC[1:])
-    docs = read_bucketed(spark, f"{path}/docs", BY_DOC[0], doc_buckets, *BY_DOC[1:])
+    doc_buckets = write_documents(docs, path)
+    n, avgdl = write_statistics(spark, [path], path)
+    bounds = class_bounds(spark.read.parquet(f"{path}/doc_stats"), classes)
+    buckets = write_postings(spark, path, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/doc_stats"), bounds, avgdl, common, part_rows)
+    write_collection(spark, path, n, avgdl, bounds, [(path, buckets, doc_buckets, avgdl)])
+    return load_index(spark, path)
+
+
+def extend_index(index: Index, docs: DataFrame, path: str | None = None, common: int = COMMON, part_rows: int = PART_ROWS) -> Index:
+    """An index of these documents too, as a further segment. Only they are analyzed and made postings of; of
+    the documents before, frequencies are added up and norms are summed anew from their stored rows, for
+    they hang on the whole collection. Searches find the same as in one build of all documents. A docid that is
+    there already is an error. The segments before stay where they are and are read from there."""
+    spark = index.spark
+    path = path or f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    if not docs.select("docid").join(index.doc_stats.select("docid"), "docid", "left_semi").isEmpty():
+        raise ValueError("a document with this docid is in the index")
+    doc_buckets = write_documents(docs, path)
+    before = index.segments
+    n, avgdl = write_statistics(spark, [*(s.path for s in before), path], path)
+    own = spark.read.parquet(f"{path}/forward").groupBy("term").agg(F.count("*").alias("df"))
+    stats = spark.read.parquet(f"{path}/doc_stats").join(spark.read.parquet(f"{path}/docs").select("docid"), "docid", "left_semi")
+    bounds = index.collection.first().bounds
+    buckets = write_postings(spark, path, own, stats, bounds, avgdl, common, part_rows)
+    write_collection(spark, path, n, avgdl, bounds, [*((s.path, s.buckets, s.doc_buckets, s.avgdl) for s in before), (path, buckets, doc_buckets, avgdl)])
+    return load_index(spark, path)
+
 
+def write_documents(docs: DataFrame, path: str) -> int:
+    """docs, forward and title_postings below a path; the number of docs' buckets."""
+    spark = docs.sparkSession
+    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_bucketed(docs.select("docid", "category", "title", "text"), f"{path}/docs", BY_DOC[0], buckets, *BY_DOC[1:])
+    docs = read_bucketed(spark, f"{path}/docs", BY_DOC[0], buckets, *BY_DOC[1:])
     body = docs.select("docid", F.explode(words(full_text())).alias("raw")).select("raw")
     head = docs.select(F.explode(words(title_text())).alias("raw"))
     vocabulary(body, head).write.parquet(f"{path}/vocabulary")
@@ -192,11 +273,15 @@ def build_index(docs: DataFrame, path: str | None = None, common: int = COMMON,
     document_rows(docs, stems).write.parquet(f"{path}/forward")
     titles = docs.select("docid", F.explode(words(title_text())).alias("raw")).join(stems, "raw")
     titles.groupBy("term", "docid").agg(F.count("*").cast("int").alias("tf")).sort("term", "docid").write.parquet(f"{path}/title_postings")
-    forward = spark.read.parquet(f"{path}/forward")
+    return buckets
+
+
+def write_statistics(spark: SparkSession, segments: list[str], path: str) -> tuple[int, float]:
+    """terms and doc_stats of all segments, below a path; the number of documents and their mean length."""
+    docs, forward = (union([spark.read.parquet(f"{s}/{t}") for s in segments]) for t in ("docs", "forward"))
     forward.groupBy("term").agg(F.count("*").alias("df")).sort("term").write.parquet(f"{path}/terms")
-    terms = spark.read.parquet(f"{path}/terms")
     n = docs.count()
-    known = forward.select("docid", "term", "tf").join(terms, "term").withColumn("n", F.lit(n))
+    known = forward.select("docid", "term", "tf").join(spark.read.parquet(f"{path}/terms"), "term").withColumn("n", F.lit(n))
     sums = known.groupBy("docid").agg(F.sum("tf").alias("dl"), F.max("tf").alias("max_tf"), F.avg("tf").alias("avg_tf"), F.count("*").alias("n_unique"), *[v.alias(k) for k, v in doc_sums().items()])
     norms = {weighting.norm_name(t, d): norm_of(t, d) for t in weighting.TF_CODES for d in weighting.DF_CODES}
     stats = sums.select("docid", "dl", "max_tf", "avg_tf", "n_unique", *[v.alias(k) for k, v in norms.items()])
@@ -205,23 +290,25 @@ def build_index(docs: DataFrame, path: str | None = None, common: int = COMMON,
     docs.select("docid", char_len.alias("char_len")).join(stats, "docid", "left").select(
         "docid", zero("dl", "long"), zero("max_tf", "int"), zero("avg_tf", "double"), zero("n_unique", "long"), "char_len", *[zero(c, "double") for c in norms]
     ).write.parquet(f"{path}/doc_stats")
-    doc_stats = spark.read.parquet(f"{path}/doc_stats")
-
-    bounds = class_bounds(doc_stats, classes)
-    rows, avgdl = doc_stats.agg(F.coalesce(F.sum("n_unique"), F.lit(0)), F.coalesce(F.sum("dl") / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0))).first()
-    buckets = int(min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))))
-    spark.createDataFrame([(n, float(avgdl), buckets, doc_buckets, bounds)], "n long, avgdl double, buckets int, doc_buckets int, bounds array<long>").coalesce(1).write.parquet(f"{path}/collection")
-    held = {r.c: r.k for r in doc_stats.where("dl > 0").groupBy(length_class(F.col("dl"), bounds).alias("c")).agg(F.count("*").alias("k")).collect()}
-    shares = [held.get(c, 0) / max(1, n) for c in range(len(bounds) + 1)]
-    often = terms.where(F.col("df") >= common)
-    often.write.parquet(f"{path}/common")  # a table of its own: small enough it is broadcast
+    words_ = F.coalesce(F.sum("dl") / F.greatest(F.count("*"), F.lit(1)), F.lit(0.0))
+    return n, spark.read.parquet(f"{path}/doc_stats").agg(words_).first()[0]
+
+
+def write_postings(spark: SparkSession, path: str, df: DataFrame, stats: DataFrame, bounds: list[int], avgdl: float, common: int, part_rows: int) -> int:
+    """postings and blocks of a segment, from its forward rows; the number of postings' buckets. df: term, df and
+    stats: docid, dl, n_unique of the segment."""
+    forward = spark.read.parquet(f"{path}/forward")
+    held = stats.groupBy(F.when(F.col("dl") > 0, length_class(F.col("dl"), bounds)).otherwise(-1).alias("c")).agg(F.count("*").alias("k"), F.sum("n_unique").alias("rows")).collect()
+    buckets = int(min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-sum(r["rows"] for r in held) // BUCKET_ROWS))))
+    in_class, n = {r.c: r.k for r in held}, max(1, sum(r.k for r in held))
+    shares = [in_class.get(c, 0) / n for c in range(len(bounds) + 1)]
+    df.where(F.col("df") >= common).write.parquet(f"{path}/common")  # a table of its own: small enough it is broadcast
     placed = forward.join(spark.read.parquet(f"{path}/common"), "term", "left").withColumn("part", part_of(F.col("df"), F.col("dl"), bounds, shares, part_rows))
     postings = placed.select(slot(F.col("term"), F.col("part")).alias("slot"), "term", "part", "docid", "tf", "positions", "dl", "lnc")
     write_bucketed(postings, f"{path}/postings", BY_TERM[0], buckets, *BY_TERM[1:])
     postings = read_bucketed(spark, f"{path}/postings", BY_TERM[0], buckets, *BY_TERM[1:])
     # the buckets hold a part's rows together: nothing is shuffled before the parts are sorted
     saturation = weighting.bm25_saturation(F.col("tf"), F.col("dl"), F.lit(float(avgdl)))
-    postings.groupBy("slot", "term", "part").agg(F.count("*").alias("n"), F.max("lnc").alias("most_lnc"), F.max(saturation).alias("most_bm25")).select(
-        "term", "part", "slot", "n", "most_lnc", "most_bm25"
-    ).sort("term", "part").write.parquet(f"{path}/blocks")
-    return load_index(spark, path)
+    parts = postings.groupBy("slot", "term", "part").agg(F.count("*").alias("n"), F.max("lnc").alias("most_lnc"), F.max(saturation).alias("most_bm25"))
+    parts.select("term", "part", "slot", "n", "most_lnc", "most_bm25").sort("term", "part").write.parquet(f"{path}/blocks")
+    return buckets

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import weighting
 from quillsift.functions.text import analyze
-from quillsift.operators.index import Index, class_of_part
+from quillsift.operators.index import Index, class_of_part, union
 from quillsift.plans.storage import stored
 
 #: Up to so many analyzed words of queries are known to the driver: their terms become conditions of the scans.
@@ -75,10 +75,13 @@ def matched(index: Index, q: DataFrame, a: Analyzed, *columns: str, term: str =
     if a.known is not None:
         rows = of_slots(a.of_terms(index.postings), [p.slot for p in index.places(a.known)])
         return q.join(rows.select(F.col("term").alias(term), *columns), term)
-    placed = q.join(index.blocks.select(F.col("term").alias(term), "slot"), term)
-    rows = index.postings.select("slot", F.col("term").alias("__term"), *columns)
-    # the buckets are of slot alone: another equality would be a key of the join too, and deal the postings anew
-    return placed.join(rows, "slot").where(F.col("__term").between(F.col(term), F.col(term))).drop("slot", "__term")
+    out = []
+    for s in index.segments:
+        placed = q.join(s.blocks.select(F.col("term").alias(term), "slot"), term)
+        rows = s.postings.select("slot", F.col("term").alias("__term"), *columns)
+        # the buckets are of slot alone: another equality would be a key of the join too, and deal the postings anew
+        out.append(placed.join(rows, "slot").where(F.col("__term").between(F.col(term), F.col(term))).drop("slot", "__term"))
+    return union(out)
 
 
 @dataclass(frozen=True)
@@ -122,6 +125,7 @@ def read_parts(index: Index, reading: Reading, kind: str, *columns: str) -> Data
     q = index.spark.createDataFrame(reading.rows, f"qid {kind}, term string, part int, slot long, w double")
     slots, terms = sorted({r[3] for r in reading.rows}), sorted({r[1] for r in reading.rows})
     rows = of_slots(index.postings.where(F.col("term").isin(*terms)), slots)
+    q = q.distinct()  # several segments may hold a part
     return F.broadcast(q).join(rows.select("slot", "term", "part", *columns), ["slot", "term", "part"])  # a row for each query's part, known here
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions.weighting import check_scheme
 from quillsift.operators import correction, evaluation, positional, rank
-from quillsift.operators.index import Index, build_index, load_index
+from quillsift.operators.index import Index, build_index, extend_index, load_index
 from quillsift.operators.snippets import MOST_RESULTS, Mark, snippets
 from quillsift.plans.storage import gathered
 from quillsift.sources.collections import checked, tagged_documents
@@ -35,6 +35,10 @@ class SearchEngine:
     def open(cls, spark: SparkSession, path: str) -> SearchEngine:
         return cls(load_index(spark, path))
 
+    def with_documents(self, docs: DataFrame, path: str | None = None) -> SearchEngine:
+        """An engine over these documents too; the ones before are not analyzed again."""
+        return SearchEngine(extend_index(self.index, checked(docs), path), self.mark)
+
     def queries(self, q: Queries) -> rank.Analyzed:
         if not isinstance(q, DataFrame | rank.Analyzed):
             q = self.index.spark.createDataFrame(list(enumerate([q] if isinstance(q, str) else q)), "qid int, text string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions.text import STOPWORDS
 from quillsift.operators import correction, positional, rank, snippets
-from quillsift.operators.index import build_index, class_of_part
+from quillsift.operators.index import build_index, class_of_part, extend_index
 
 FIELDS = "docid long, category string, title string, text string"
 
@@ -256,3 +256,47 @@ def test_norms_are_the_definition(index, plain):
             name = weighting.norm_name(t, d)
             off = known.groupBy("docid").agg(F.sqrt(F.sum(w * w)).alias("x")).join(index.doc_stats.select("docid", name), "docid").select(F.max(F.abs(F.col("x") - F.col(name)))).first()[0]
             assert off is not None and math.isclose(off, 0, abs_tol=1e-9), (t, d)
+
+
+@pytest.fixture(scope="module")
+def grown(tables):
+    """The same documents in three segments, the last one of longer texts."""
+    first = build_index(tables.where("docid % 3 = 0"), common=40, classes=8, part_rows=64)
+    second = extend_index(first, tables.where("docid % 3 = 1 and length(text) < 300"), common=40, part_rows=64)
+    return extend_index(second, tables.where("docid % 3 = 2 or docid % 3 = 1 and length(text) >= 300"), common=40, part_rows=64)
+
+
+def test_segments_are_one_index(grown, index, plain, queries, spark, monkeypatch, tmp_path):
+    assert len(grown.segments) == 3 and grown.size == index.size and [r.path for r in grown.collection.first().segments][0] != grown.path
+    assert sorted(grown.terms.collect()) == sorted(index.terms.collect())
+    round_ = lambda t: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect())
+    assert round_(grown.doc_stats) == round_(index.doc_stats)
+    assert sorted(grown.inverted.collect()) == sorted(plain.inverted.collect()) and grown.docs.count() == len(DOCS)
+    for ranker in (rank.vsm, rank.bm25, rank.sdm, rank.fielded):
+        want = found(ranker(plain, queries, 10))
+        assert found(ranker(grown, queries, 10)) == want
+    for ranker in (rank.vsm, rank.bm25):
+        assert found(ranker(grown, queries, 10, pays=0)) == found(ranker(plain, queries, 10))
+    assert found(rank.smart(grown, queries, 10, "Lpc", "apc")) == found(rank.smart(plain, queries, 10, "Lpc", "apc"))
+    assert sorted(positional.phrase_hits(grown, queries).collect()) == sorted(positional.phrase_hits(plain, queries).collect())
+    typo = spark.createDataFrame([(0, "z3000 u5122")], "qid int, text string")
+    assert sorted(correction.suggestions(grown, typo).collect()) == sorted(correction.suggestions(plain, typo).collect())
+    one = grown.save(str(tmp_path / "one"))
+    assert len(one.segments) == 1 and found(rank.bm25(one, queries, 10, pays=0)) == found(rank.bm25(plain, queries, 10))
+    monkeypatch.setattr(rank, "MOST_KNOWN", 3)
+    batch = rank.analyzed(spark.createDataFrame(list(enumerate(QUERIES)), "qid int, text string"))
+    assert found(rank.bm25(grown, batch)) == found(rank.bm25(plain, queries))
+
+
+def test_bounds_hold_under_another_mean(grown):
+    """A segment's greatest saturation bounds its postings' under the mean length of all."""
+    from quillsift.functions import weighting
+
+    now = grown.postings.select("term", "part", weighting.bm25_saturation(F.col("tf"), F.col("dl"), F.lit(grown.size[1])).alias("x"))
+    most = grown.blocks.groupBy("term", "part").agg(F.max("most_bm25").alias("most"))
+    assert now.join(most, ["term", "part"]).where(F.col("x") > F.col("most") + 1e-12).isEmpty() and len({s.avgdl for s in grown.segments}) == 3
+
+
+def test_a_docid_is_added_once(grown, tables):
+    with pytest.raises(ValueError):
+        extend_index(grown, tables.where("docid = 3"))
