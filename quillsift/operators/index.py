@@ -138,6 +138,10 @@ class Index:
         write_collection(self.spark, path, held.n, held.avgdl, held.bounds, [(path, s.buckets, s.doc_buckets, held.avgdl)])
         return load_index(self.spark, path)
 
+    def has(self, name: str) -> bool:
+        """Whether a derived table is there."""
+        return name in self._places or exists(self.spark, f"{self.path}/{name}/_SUCCESS")
+
     def derived(self, name: str, made: Callable[[], DataFrame], key: str, *order: str) -> DataFrame:
         """A table that is made of the index when it is needed first, in buckets of a key, and stays with it."""
         path, buckets = f"{self.path}/{name}", max(s.buckets for s in self.segments)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.operators.index import Index
-from quillsift.operators.rank import Analyzed, Queries, analyzed, matched
+from quillsift.operators.rank import PAYS, Analyzed, Queries, Reading, analyzed, chosen_parts, matched, read_parts
 from quillsift.plans.storage import stored
 
 
@@ -14,26 +14,40 @@ from quillsift.plans.storage import stored
 MOST_BROADCAST = 500_000
 
 
-def conjunction(index: Index, queries: Queries, *columns: str) -> DataFrame:
+def conjunction(index: Index, queries: Queries, *columns: str, pays: int = PAYS) -> DataFrame:
     """qid, docid, held: documents that hold every term of a query, with columns of their postings (an array of
     term and these). None if a term is unknown. The rarest term's postings come first; of the others' only
-    those of its documents go on, and no posting is read twice."""
+    those of its documents go on, and no posting is read twice. Where the others have many postings, only
+    their parts in the length classes of the rarest term's documents are read."""
     a = analyzed(queries)
     terms = a.words.select("qid", "term").distinct().join(a.of_terms(index.terms), "term", "left")
     by = Window.partitionBy("qid")
     terms = terms.withColumn("r", F.row_number().over(by.orderBy("df", "term"))).withColumn("wanted", F.count("*").over(by)).withColumn("least", F.min(F.coalesce("df", F.lit(0))).over(by))
     terms = stored(terms.where("least > 0"), "conjunctions")  # a row for each term of a query
     most = terms.where("r = 1").agg(F.sum("df")).first()[0] or 0
-    rarest = matched(index, terms.where("r = 1").select("qid", "term", "wanted"), a, "docid", *columns)
+    rarest = matched(index, terms.where("r = 1").select("qid", "term", "wanted"), a, "docid", "dl", *columns)
     entry = F.struct("term", *columns)
     docs = rarest.select("qid", "docid", "wanted", entry.alias("first"))
     few = F.broadcast(docs) if most <= MOST_BROADCAST else docs
-    others = matched(index, terms.where("r > 1").select("qid", "term"), a, "docid", *columns).select("qid", "docid", entry.alias("other"))
+    rest = terms.where("r > 1").select("qid", "term")
+    if a.known is not None and sum(p.n for p in index.places(a.known) if p.part) >= pays:
+        reading = classes_read(index, a, rarest, rest)
+        others = read_parts(index, reading, dict(rest.dtypes)["qid"], "docid", *columns)
+    else:
+        others = matched(index, rest, a, "docid", *columns)
+    others = others.select("qid", "docid", entry.alias("other"))
     joined = others.join(few, ["qid", "docid"]).groupBy("qid", "docid").agg(F.count("*").alias("k"), F.first("wanted").alias("wanted"), F.first("first").alias("first"), F.collect_list("other").alias("others"))
     several = joined.where("k = wanted - 1").select("qid", "docid", F.concat(F.array("first"), "others").alias("held"))
     return several.unionByName(docs.where("wanted = 1").select("qid", "docid", F.array("first").alias("held")))
 
 
+def classes_read(index: Index, a: Analyzed, rarest: DataFrame, rest: DataFrame) -> Reading:
+    """The parts of the other terms in the length classes in which a query's rarest term is."""
+    classes = {(r.qid, r.c) for r in rarest.select("qid", index.length_class(F.col("dl")).alias("c")).distinct().collect()}  # a row for each query and class
+    weights = [(r.qid, r.term, 1.0) for r in rest.collect()]
+    return chosen_parts(weights, index.places(a.known), lambda qid, c: (qid, c) in classes)
+
+
 def candidate_docs(index: Index, queries: Queries) -> DataFrame:
     """qid, docid: documents that hold every term of a query; none if a term is unknown."""
     return conjunction(index, queries).select("qid", "docid")

@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import weighting
 from quillsift.functions.text import analyze
-from quillsift.operators.index import Index, class_of_part, union
+from quillsift.operators.index import COMMON, Index, class_of_part, union
 from quillsift.plans.storage import stored
 
 #: Up to so many analyzed words of queries are known to the driver: their terms become conditions of the scans.
 MOST_KNOWN = 2000
 #: Up to so many parts are named in a condition; from so many postings on, bounds are looked at before they are read.
 MOST_SLOTS, PAYS = 10_000, 4_000_000
+#: Tables of counts of near pairs, and of the terms that are counted.
+BIGRAMS, BIGRAM_TERMS = "bigrams", "bigram_terms"
 BOOST, BOOST_POOL = 1.5, 200
 SDM_WEIGHTS, SDM_POOL, ORDERED_WINDOW, UNORDERED_WINDOW = (0.8, 0.15, 0.05), 50, 2, 4
 
@@ -252,15 +254,54 @@ def shifted_hits(a: str, b: str, shifts: list[int]) -> Column:
     return sum((F.size(F.array_intersect(moved(d), b)) for d in shifts), F.lit(0))
 
 
+def near_pairs(index: Index, common: int = COMMON) -> None:
+    """Stores with the index how often each two terms of ``common`` documents or more stand near each other in a
+    document: bigrams(slot, ta, tb, docid, ordered, unordered), and the terms for which that is so. Evidence
+    for two such terms then reads counts; what isn't there is 0. A document's words are in one place, so what
+    stands behind a word is looked at, never all pairs of its places."""
+    terms = index.terms.where(F.col("df") >= common).select("term")
+    words = union([s.forward for s in index.segments]).join(terms, "term").select("docid", "term", F.explode("positions").alias("pos"))
+    order = Window.partitionBy("docid").orderBy("pos")
+    behind = [F.struct(F.lead("term", k).over(order).alias("other"), (F.lead("pos", k).over(order) - F.col("pos")).alias("gap")) for k in range(1, UNORDERED_WINDOW + 1)]
+    near = words.select("docid", "term", F.array(*behind).alias("behind")).select("docid", "term", F.explode("behind").alias("b")).select("docid", "term", "b.*")
+    near = near.where((F.col("gap") <= UNORDERED_WINDOW) & (F.col("other") != F.col("term")))
+    sides = F.array(
+        F.struct(F.col("term").alias("ta"), F.col("other").alias("tb"), (F.col("gap") <= ORDERED_WINDOW).cast("int").alias("ordered")),
+        F.struct(F.col("other").alias("ta"), F.col("term").alias("tb"), F.lit(0).alias("ordered")),
+    )
+    made = lambda: (
+        near.select("docid", F.explode(sides).alias("p")).groupBy("docid", "p.ta", "p.tb").agg(F.sum("p.ordered").alias("ordered"), F.count("*").alias("unordered"))
+        .select(F.xxhash64("ta", "tb").alias("slot"), "ta", "tb", "docid", "ordered", "unordered")
+    )
+    index.derived(BIGRAMS, made, "slot", "ta", "tb", "docid")
+    index.derived(BIGRAM_TERMS, lambda: terms, "term", "term")
+
+
 def sdm_evidence(index: Index, queries: Queries) -> DataFrame:
     """qid, docid, ordered, unordered: for every document that holds both terms of some bigram (counts
-    may be 0) the pairs within the ordered and unordered windows, summed over the bigrams."""
+    may be 0) the pairs within the ordered and unordered windows, summed over the bigrams. Where counts of
+    near pairs are stored with the index (``near_pairs``), the places of such terms are not read."""
     a = analyzed(queries)
-    left = matched(index, query_bigrams(index, a), a, "docid", "positions", term="ta").withColumnRenamed("positions", "pa")
-    right = matched(index, query_bigrams(index, a), a, "docid", "positions", term="tb").withColumnRenamed("positions", "pb")
+    pairs = query_bigrams(index, a)
+    counted = None
+    if index.has(BIGRAM_TERMS):
+        terms = index.derived(BIGRAM_TERMS, lambda: None, "term", "term")
+        pairs = stored(pairs, "bigrams")
+        held = pairs.join(terms.select(F.col("term").alias("ta")), "ta", "left_semi").join(terms.select(F.col("term").alias("tb")), "tb", "left_semi").select("qid", "ta", "tb")
+        held = stored(held, "counted_bigrams")
+        pairs = pairs.join(held, ["qid", "ta", "tb"], "left_anti")
+        rows = index.derived(BIGRAMS, lambda: None, "slot", "ta", "tb", "docid")
+        both = matched(index, held, a, "docid", term="ta").join(matched(index, held, a, "docid", term="tb"), ["qid", "ta", "tb", "docid"])
+        near = held.withColumn("slot", F.xxhash64("ta", "tb")).join(rows, ["slot", "ta", "tb"]).select("qid", "ta", "tb", "docid", "ordered", "unordered")
+        counted = both.join(near, ["qid", "ta", "tb", "docid"], "left").select("qid", "docid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ordered", "unordered")])
+    left = matched(index, pairs, a, "docid", "positions", term="ta").withColumnRenamed("positions", "pa")
+    right = matched(index, pairs, a, "docid", "positions", term="tb").withColumnRenamed("positions", "pb")
     both = left.join(right, ["qid", "ta", "tb", "docid"])
     ahead, near = list(range(1, ORDERED_WINDOW + 1)), [d for k in range(1, UNORDERED_WINDOW + 1) for d in (k, -k)]
-    return both.groupBy("qid", "docid").agg(F.sum(shifted_hits("pa", "pb", ahead)).alias("ordered"), F.sum(shifted_hits("pa", "pb", near)).alias("unordered"))
+    each = both.select("qid", "docid", shifted_hits("pa", "pb", ahead).cast("long").alias("ordered"), shifted_hits("pa", "pb", near).cast("long").alias("unordered"))
+    if counted is not None:
+        each = each.unionByName(counted)
+    return each.groupBy("qid", "docid").agg(F.sum("ordered").alias("ordered"), F.sum("unordered").alias("unordered"))
 
 
 def sdm(index: Index, queries: Queries, k: int = 10, base: Ranker = vsm, pool: int = SDM_POOL, weights: tuple[float, float, float] = SDM_WEIGHTS) -> DataFrame:

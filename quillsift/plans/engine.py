@@ -39,6 +39,11 @@ class SearchEngine:
         """An engine over these documents too; the ones before are not analyzed again."""
         return SearchEngine(extend_index(self.index, checked(docs), path), self.mark)
 
+    def count_near_pairs(self) -> SearchEngine:
+        """Stores counts of near pairs of common terms with the index, for sequential dependence."""
+        rank.near_pairs(self.index)
+        return self
+
     def queries(self, q: Queries) -> rank.Analyzed:
         if not isinstance(q, DataFrame | rank.Analyzed):
             q = self.index.spark.createDataFrame(list(enumerate([q] if isinstance(q, str) else q)), "qid int, text string")

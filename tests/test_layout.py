@@ -300,3 +300,39 @@ def test_bounds_hold_under_another_mean(grown):
 def test_a_docid_is_added_once(grown, tables):
     with pytest.raises(ValueError):
         extend_index(grown, tables.where("docid = 3"))
+
+
+def test_conjunctions_read_classes(index, queries, spark):
+    """The other terms' postings are read in the rarest term's length classes alone, with the same result."""
+    want = sorted((r.qid, r.docid) for r in positional.candidate_docs(index, queries).collect())
+    assert sorted((r.qid, r.docid) for r in positional.conjunction(index, queries, pays=0).collect()) == want
+    q = rank.analyzed(spark.createDataFrame([(0, "z300 z1 z2")], "qid int, text string"))
+    rarest = rank.matched(index, spark.createDataFrame([(0, "z300")], "qid int, term string"), q, "docid", "dl")
+    reading = positional.classes_read(index, q, rarest, spark.createDataFrame([(0, "z1"), (0, "z2")], "qid int, term string"))
+    assert 0 < reading.read < 0.7 * reading.of
+
+
+def test_counts_of_near_pairs(tables, queries, spark):
+    """Evidence from stored counts is that from places, for pairs of two, one or no common term; for the former
+    no places are read."""
+    some = build_index(tables.where("docid % 2 = 0"), common=60, classes=4, part_rows=64)
+    some = extend_index(some, tables.where("docid % 2 = 1"), common=60, part_rows=64)
+    rows = lambda: sorted(rank.sdm_evidence(some, queries).collect())
+    want = rows()
+    assert any(r.ordered for r in want) and any(not r.unordered for r in want) and not some.has(rank.BIGRAMS)
+    rank.near_pairs(some, common=100)
+    assert some.has(rank.BIGRAMS) and rows() == want
+    held = {r.term for r in some.derived(rank.BIGRAM_TERMS, lambda: None, "term", "term").collect()}
+    assert held == {r.term for r in some.terms.where("df >= 100").collect()} and {"z1", "z2", "z3"} <= held
+    q = rank.analyzed(spark.createDataFrame([(0, "z1 z2 z3")], "qid int, text string"))
+    read = rank.sdm_evidence(some, q)
+    read.collect()
+    node, todo, placed = read._jdf.queryExecution().executedPlan().executedPlan(), [], 0
+    todo.append(node)
+    while todo:
+        x = todo.pop()
+        if x.nodeName().startswith("Scan parquet") and "positions" in x.schema().simpleString():
+            placed += x.metrics().apply("numOutputRows").value()
+        todo += [x.children().apply(i) for i in range(x.children().size())] + ([x.plan()] if x.nodeName().endswith("QueryStage") else [])
+    assert placed == 0
+    assert found(rank.sdm(some, queries)) and len(rank.sdm_evidence(some, q).collect()) > 0
