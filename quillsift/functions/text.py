@@ -14,6 +14,8 @@ STOPWORDS = (
 ).split()
 TOKEN = "[a-zA-Z0-9]+"
 SEGMENT = "[a-zA-Z0-9]+|[^a-zA-Z0-9]+"
+#: Texts of more characters are cut into slices of so many before they become words.
+SLICE = 1 << 20
 
 
 def tokenize(text: Column) -> Column:
@@ -30,6 +32,13 @@ def words(text: Column) -> Column:
     return without_stopwords(tokenize(text))
 
 
+def slices(text: Column, size: int | None = None) -> Column:
+    """A text in pieces of about so many characters that end with a token or outside one: the words of the pieces
+    are the words of the text, and no row holds more of them than a piece has."""
+    n = size or SLICE
+    return F.when(F.length(text) <= n, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{{n}}}[a-zA-Z0-9]*|.+"), F.lit(0)))
+
+
 def full_text(title: str = "title", text: str = "text") -> Column:
     return F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(". "), F.coalesce(F.col(text), F.lit("")))
 
@@ -48,9 +57,9 @@ def analyze(rows: DataFrame, text: Column, *keys: str, position: str = "pos") ->
 def word_spans(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
     """keys, i, raw, start, end for each word, stop words aside; offsets count code points, end is
     exclusive, and i equals the word's position in the index."""
-    segments = F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0))
-    by = Window.partitionBy(*keys).orderBy("seg")
-    cut = rows.select(*keys, F.posexplode(segments).alias("seg", "raw"))
+    segments = F.regexp_extract_all("piece", F.lit(SEGMENT), F.lit(0))
+    by = Window.partitionBy(*keys).orderBy("slice", "seg")
+    cut = rows.select(*keys, F.posexplode(slices(text)).alias("slice", "piece")).select(*keys, "slice", F.posexplode(segments).alias("seg", "raw"))
     cut = cut.withColumn("end", F.sum(F.length("raw")).over(by).cast("int")).withColumn("start", F.col("end") - F.length("raw"))
     kept = cut.where(F.col("raw").rlike("^[a-zA-Z0-9]") & ~F.lower("raw").isin(*STOPWORDS))
     return kept.select(*keys, (F.row_number().over(by) - 1).alias("i"), "raw", "start", "end")

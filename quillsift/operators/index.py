@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import weighting
 from quillsift.functions.stemming import stems_of
-from quillsift.functions.text import full_text, title_text, words
+from quillsift.functions.text import full_text, slices, title_text, words
 from quillsift.plans.storage import exists, read_bucketed, scratch, write_bucketed
 
 #: Documents from which on a term is common; length classes; postings of a part, about; most parts of a class.
@@ -223,8 +223,13 @@ def norm_of(t: str, d: str) -> Column:
 
 
 def document_rows(docs: DataFrame, stems: DataFrame) -> DataFrame:
-    """docid, term, tf, positions, dl, lnc: a row for each document and term, a document's rows together."""
-    found = docs.select("docid", F.posexplode(words(full_text())).alias("pos", "raw")).groupBy("docid", "raw").agg(F.collect_list("pos").alias("at"))
+    """docid, term, tf, positions, dl, lnc: a row for each document and term, a document's rows together. Very long
+    texts become words slice by slice, so none of their rows holds more than a slice's words but the last, which
+    holds a number for each occurrence of a term."""
+    cut = docs.select("docid", slices(full_text()).alias("pieces")).withColumn("counts", F.when(F.size("pieces") > 1, F.transform("pieces", lambda p: F.size(words(p)))))
+    before = F.coalesce(F.aggregate(F.slice("counts", F.lit(1), F.col("slice")), F.lit(0), lambda n, x: n + x), F.lit(0))
+    each = cut.select("docid", "counts", F.posexplode("pieces").alias("slice", "piece")).select("docid", "slice", before.alias("before"), F.posexplode(words(F.col("piece"))).alias("pos", "raw"))
+    found = each.groupBy("docid", "slice", "raw").agg(F.collect_list(F.col("pos") + F.col("before")).alias("at"))
     grouped = found.join(stems, "raw").groupBy("docid", "term").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("positions")).withColumn("tf", F.size("positions"))
     whole = Window.partitionBy("docid")
     log = F.lit(1.0) + F.log10(F.col("tf").cast("double"))
@@ -270,7 +275,7 @@ def write_documents(docs: DataFrame, path: str) -> int:
     buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     write_bucketed(docs.select("docid", "category", "title", "text"), f"{path}/docs", BY_DOC[0], buckets, *BY_DOC[1:])
     docs = read_bucketed(spark, f"{path}/docs", BY_DOC[0], buckets, *BY_DOC[1:])
-    body = docs.select("docid", F.explode(words(full_text())).alias("raw")).select("raw")
+    body = docs.select(F.explode(slices(full_text())).alias("piece")).select(F.explode(words(F.col("piece"))).alias("raw"))
     head = docs.select(F.explode(words(title_text())).alias("raw"))
     vocabulary(body, head).write.parquet(f"{path}/vocabulary")
     stems = spark.read.parquet(f"{path}/vocabulary")

@@ -336,3 +336,29 @@ def test_counts_of_near_pairs(tables, queries, spark):
         todo += [x.children().apply(i) for i in range(x.children().size())] + ([x.plan()] if x.nodeName().endswith("QueryStage") else [])
     assert placed == 0
     assert found(rank.sdm(some, queries)) and len(rank.sdm_evidence(some, q).collect()) > 0
+
+
+def test_long_texts_by_slices(tables, index, queries, spark, monkeypatch):
+    """Texts cut into many slices: the same words at the same places, the same snippets."""
+    from quillsift.functions import text
+
+    full = [r.full for r in tables.select(text.full_text().alias("full")).limit(50).collect()] + ["é" * 30 + "a" * 30 + "🙂 b", "x", "  " * 30]
+    df = spark.createDataFrame([(x,) for x in full], "full string")
+    for n in (1, 7, 20):
+        cut = df.select("full", text.slices(F.col("full"), n).alias("s")).collect()
+        assert all("".join(r.s) == r.full and WORD.findall(r.full) == [w for p in r.s for w in WORD.findall(p)] for r in cut)
+    results = spark.createDataFrame([(q, d) for q in range(4) for d in range(0, 1500, 150)], "qid int, docid long")
+    want = sorted(snippets.snippets(index, results, queries).collect())
+    monkeypatch.setattr(text, "SLICE", 40)
+    cut = build_index(tables.where("docid % 5 = 0"))
+    places = lambda i: sorted(tuple(r) for r in i.postings.where("docid % 5 = 0").select("term", "docid", "tf", "positions", "dl").collect())
+    assert places(cut) == places(index)
+    assert sorted(snippets.snippets(index, results, queries).collect()) == want
+
+
+def test_a_document_of_millions_of_words(spark):
+    """Its words never are in one row."""
+    docs = spark.range(1).select(F.col("id").alias("docid"), F.lit("").alias("category"), F.lit("long").alias("title"), F.repeat(F.lit("alpha beta gamma9 "), 700_000).alias("text"))
+    index = build_index(docs)
+    assert {(r.term, r.tf, r.positions[-1]) for r in index.postings.where("term <> 'long'").collect()} == {("alpha", 700_000, 2_099_998), ("beta", 700_000, 2_099_999), ("gamma9", 700_000, 2_100_000)}
+    assert index.size == (1, 2_100_001.0)
