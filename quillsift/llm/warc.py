@@ -13,7 +13,8 @@ larger than a chunk and one record is held.
 What a row says of a response is counted and hashed from the payload that was read; a header that says
 otherwise is an error. A revisit has no payload, so its header is held against the response it refers to.
 
-Null html is the empty payload. A null page_id is kept as null and refers to nothing by number. Rows
+Null html is the empty payload. A null page_id is kept as null; it is less than any number, so where a numbered
+record has the same long payload the row revisits it, and where none has, all are responses. Rows
 with the same page_id and payload can't be told apart: both are responses. Files are reached through
 pyarrow's file systems, by the scheme of the shared folder's URI.
 """
@@ -73,9 +74,10 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """Adds refers_to: null for records that hold their payload. Equal payloads are found by digest:
     a partial aggregate of ids, then an equi-join on the digest, which may be split where one is hot."""
     marked = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("n"))
-    keepers = marked.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1").select("digest", "keeper")
-    links = marked.where(F.col("n") >= LEAST_REVISIT).select("page_id", "digest").join(keepers, "digest").where("page_id < keeper").select("page_id", "digest", "keeper").distinct()
-    return marked.join(links.withColumnRenamed("keeper", "refers_to"), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    keepers = marked.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("k")).where("k > 1 and keeper is not null").select("digest", "keeper")
+    links = marked.where(F.col("n") >= LEAST_REVISIT).select("page_id", "digest").join(keepers, "digest").where("page_id is null or page_id < keeper")
+    links = links.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), F.col("keeper").alias("refers_to")).distinct()
+    return marked.join(links, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
