@@ -247,7 +247,12 @@ def mix_copies(docs: DataFrame, *more: str) -> DataFrame:
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, source for each document."""
     source = F.when(F.substring("key", 1, 1) == "0", F.expr("substring(key, 2)"))
-    each = mix_copies(docs).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    whole = lambda n: F.lit(n).cast("long")
+    alike = mix_copies(docs)
+    # rows alike in any number: first by numbers of up to BUCKET_ROWS, which are dealt out, then one by one
+    many = alike.where(F.col("rows") > BUCKET_ROWS).withColumn("first", F.explode(F.sequence(whole(1), F.col("rows"), whole(BUCKET_ROWS)))).repartition(partitions(docs.sparkSession))
+    some = alike.where(F.col("rows") <= BUCKET_ROWS).withColumn("first", whole(1)).unionByName(many)
+    each = some.withColumn("i", F.explode(F.sequence(F.col("first"), F.least(F.col("rows"), F.col("first") + whole(BUCKET_ROWS - 1)))))
     taken = F.col("size") * (F.col("base") + F.when(F.col("i") <= F.col("once_more"), 1).otherwise(0))
     return each.select("doc_id", "size", "source_size", "target", taken.alias("taken"), source.alias("source"))
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillsift.llm import html_extract, jaccard, packing, suffixes
+from quillsift.llm import html_extract, jaccard, mixing, packing, suffixes, warc
 from quillsift.llm.runtime import split_by_bitmap
 
 PIECES = ["<", ">", "</", "<!--", "-->", "<![", "]]>", "<!", "<?", "&", "&#", "&#x41;", "&amp;", ";", '"', "'", "=", "/", " ", "\n", "a", "p", "div", "script", "<p>", "</p>", "<script>", "</script>", "<a href=", "class=ad", "9" * 20, "text"]
@@ -110,3 +110,29 @@ def test_copies_under_the_bitmap(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
     got = {(r.doc_id, r.text, r.n_chars) for r in suffixes.without_copies(docs).collect()}
     assert got == {(1, f"{A} {passage}", len(f"{A} {passage}")), (2, B, len(B)), (2, C, len(C)), (3, None, 0), (None, passage, len(passage)), (4, "x y", 3)}
+
+
+def test_registered_names():
+    """A fault in the subpackage would drop its queries from the entry in silence."""
+    import __spark_entry__ as entry
+
+    assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
+    assert {n for n in entry.oracle_sql() if n.startswith("op")} == {"op3_quality_rules", "op4_ngram_jaccard_join", "op6_suffix_dedup", "op9_warc_round_trip", "op11_benchmark_decontamination", "op12_source_divergence"}
+
+
+def test_pages_without_id_revisit(spark):
+    long, other = "<p>" + "x" * 1000, "<p>" + "y" * 1000
+    rows = [(None, long), (None, long), (3, long), (7, long), (None, other), (None, other), (None, "short"), (4, "short")]
+    got = warc.archive_round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3)).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == Counter(
+        [(None, 1003, "revisit", 7)] * 2 + [(3, 1003, "revisit", 7), (7, 1003, "response", None)] + [(None, 1003, "response", None)] * 2 + [(None, 5, "response", None), (4, 5, "response", None)]
+    )
+
+
+def test_very_many_rows_alike_in_a_mix(spark):
+    """They are dealt out by numbers before they are told one by one; their sums stay."""
+    docs = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("x")
+    docs = docs.unionByName(spark.createDataFrame([(2, "d e", "t"), (None, None, None)], docs.schema))
+    got = mixing.mix_report(docs).collect()
+    assert Counter(r.doc_id for r in got) == {1: 3000, 2: 1, None: 1}
+    assert abs(sum(r.taken for r in got if r.source == "s") - next(r.target for r in got if r.source == "s")) <= 3 and max(r.taken for r in got) <= 6
