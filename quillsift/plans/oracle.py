@@ -226,6 +226,9 @@ def oracle_sql() -> dict[str, str]:
         "batch_search_bm25": sql(shown("bm25"), queries="SELECT item_id AS qid, text FROM benchmark"),
         "part_search_vsm": sql(shown("vsm"), queries=values(PARTS), docs=PART_DOCS),
     }
+    out["batch_suggest_correction"] = sql("SELECT term, suggestion, distance FROM suggested", queries="SELECT item_id AS qid, regexp_replace(text, '([a-z]{3})[a-z]', '\\1', 'g') AS text FROM benchmark")
+    # an index that grew finds what one built at once finds
+    out |= {f"grown_{name}": out[name] for name in ("vocabulary", "tf_stats", "search_vsm", "search_bm25", "sdm_evidence", "candidate_docs")}
     for d, q in SCHEMES:
         own = {"smart_scores": smart(d, q)} | ranked("smart_list", "smart_scores")
         out[f"smart_{d}_{q}"] = sql(shown("smart_list"), **own)

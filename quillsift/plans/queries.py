@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillsift.functions import text as T
 from quillsift.functions.stemming import stems_of
 from quillsift.operators import correction, evaluation, positional, rank, snippets
-from quillsift.operators.index import Index, build_index
+from quillsift.operators.index import Index, build_index, extend_index
 from quillsift.plans.engine import SearchEngine
 from quillsift.plans.storage import scratch
 from quillsift.sources import collections, sinks
@@ -25,17 +25,30 @@ SCHEMES = [("lnc", "ltc"), ("anc", "apc"), ("Lnu", "ltn"), ("bnn", "btn"), ("npb
 _indexes: dict[tuple, tuple[tuple, Index]] = {}
 
 
-def opened(spark: SparkSession, sf_dir: str, collection: str = "documents") -> Index:
+def opened(spark: SparkSession, sf_dir: str, collection: str = "documents", make: Callable[[DataFrame], Index] = build_index) -> Index:
     """The index of a collection, built once for each session as long as its files are the same."""
     table = spark.read.parquet(f"{sf_dir}/{collection}.parquet")
-    key = spark.sparkContext.applicationId, sf_dir, collection
+    key = spark.sparkContext.applicationId, sf_dir, collection, make.__name__
     now = written(spark, table)
     if key not in _indexes or _indexes[key][0] != now:
         adapt = {"documents": collections.from_documents, "part": collections.from_parts}[collection]
-        _indexes[key] = now, build_index(adapt(table))
+        _indexes[key] = now, make(adapt(table))
     return _indexes[key][1]
 
 
+#: What a large collection has: terms in many parts, here from so few documents on, and segments.
+FEW, FEW_ROWS = 64, 256
+
+
+def grown_index(docs: DataFrame) -> Index:
+    """An index of documents that came in two lots, with counts of near pairs."""
+    odd = F.pmod(F.xxhash64("docid"), F.lit(2)) == 1
+    index = build_index(docs.where(~odd), common=FEW, classes=8, part_rows=FEW_ROWS)
+    index = extend_index(index, docs.where(odd), common=FEW, part_rows=FEW_ROWS)
+    rank.near_pairs(index, common=FEW)
+    return index
+
+
 def written(spark: SparkSession, table: DataFrame) -> tuple:
     """Names, sizes and times of a table's files."""
     conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
@@ -336,6 +349,53 @@ def batch_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(rank.bm25(opened(spark, sf_dir), q, 10))
 
 
+def grown(spark: SparkSession, sf_dir: str) -> Index:
+    return opened(spark, sf_dir, make=grown_index)
+
+
+@query
+def grown_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies over two segments."""
+    return grown(spark, sf_dir).terms
+
+
+@query
+def grown_tf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = grown(spark, sf_dir).doc_stats
+    return s.select("docid", F.col("max_tf").cast("long").alias("max_tf"), F.round("avg_tf", 6).alias("avg_tf"), "n_unique", F.col("char_len").cast("long").alias("char_len"))
+
+
+@query
+def grown_search_vsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over two segments, reading only parts that may hold one of the best."""
+    return ranked(rank.vsm(grown(spark, sf_dir), texts(spark, QUERIES), 10, pays=0))
+
+
+@query
+def grown_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(rank.bm25(grown(spark, sf_dir), texts(spark, QUERIES), 10, pays=0))
+
+
+@query
+def grown_sdm_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From counts of near pairs where these are stored."""
+    return rank.sdm_evidence(grown(spark, sf_dir), texts(spark, QUERIES))
+
+
+@query
+def grown_candidate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the length classes of the rarest term's documents are read."""
+    return positional.conjunction(grown(spark, sf_dir), texts(spark, PHRASES), pays=0).select("qid", "docid")
+
+
+@query
+def batch_suggest_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections for all benchmark texts, with a letter missing behind each three."""
+    short = F.regexp_replace("text", "([a-z]{3})[a-z]", "$1").alias("text")
+    q = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), short)
+    return correction.suggestions(opened(spark, sf_dir), q).withColumn("distance", F.col("distance").cast("long"))
+
+
 @query
 def part_search_vsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Very short documents with many ties."""
