@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quillsift.functions import weighting
 from quillsift.functions.stemming import stems_of
 from quillsift.functions.text import full_text, slices, title_text, words
-from quillsift.plans.storage import exists, read_bucketed, scratch, write_bucketed
+from quillsift.plans.storage import exists, qualified, read_bucketed, scratch, write_bucketed
 
 #: Documents from which on a term is common; length classes; postings of a part, about; most parts of a class.
 COMMON, CLASSES, PART_ROWS, MOST_PARTS = 4096, 32, 65_536, 128
@@ -37,6 +37,8 @@ COMMON, CLASSES, PART_ROWS, MOST_PARTS = 4096, 32, 65_536, 128
 BUCKET_ROWS, MOST_BUCKETS = 4 << 20, 65_536
 #: Keys and orders of the tables in buckets.
 BY_DOC, BY_TERM = ("docid", "docid"), ("slot", "term", "part", "docid")
+#: The path of an index's own segment, wherever the index is moved to.
+OWN = "."
 COLLECTION = "n long, avgdl double, bounds array<long>, segments array<struct<path:string,buckets:int,doc_buckets:int,avgdl:double>>"
 
 
@@ -128,14 +130,14 @@ class Index:
 
     def save(self, path: str) -> Index:
         """Writes all tables below a path, as one segment, and returns the index that reads them."""
-        s, held = self.segments[0], self._collected
+        s, held, path = self.segments[0], self._collected, qualified(self.spark, path)
         blocks = self.blocks.groupBy("term", "part", "slot").agg(F.sum("n").alias("n"), F.max("most_lnc").alias("most_lnc"), F.max("most_bm25").alias("most_bm25"))
         tables = {"terms": self.terms, "doc_stats": self.doc_stats, "title_postings": self.title_postings, "forward": union([x.forward for x in self.segments]), "blocks": blocks}
         for name, t in tables.items():
             t.write.parquet(f"{path}/{name}")
         write_bucketed(self.postings, f"{path}/postings", BY_TERM[0], s.buckets, *BY_TERM[1:])
         write_bucketed(self.docs, f"{path}/docs", BY_DOC[0], s.doc_buckets, *BY_DOC[1:])
-        write_collection(self.spark, path, held.n, held.avgdl, held.bounds, [(path, s.buckets, s.doc_buckets, held.avgdl)])
+        write_collection(self.spark, path, held.n, held.avgdl, held.bounds, [(OWN, s.buckets, s.doc_buckets, held.avgdl)])
         return load_index(self.spark, path)
 
     def has(self, name: str) -> bool:
@@ -159,8 +161,9 @@ def load_segment(spark: SparkSession, path: str, buckets: int, doc_buckets: int,
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
+    path = qualified(spark, path)
     terms, doc_stats, collection = (spark.read.parquet(f"{path}/{t}") for t in ("terms", "doc_stats", "collection"))
-    return Index(terms, doc_stats, collection, tuple(load_segment(spark, *s) for s in collection.first().segments), path)
+    return Index(terms, doc_stats, collection, tuple(load_segment(spark, path if s.path == OWN else s.path, *s[1:]) for s in collection.first().segments), path)
 
 
 def write_collection(spark: SparkSession, path: str, n: int, avgdl: float, bounds: list[int], segments: list[tuple]) -> None:
@@ -240,12 +243,12 @@ def document_rows(docs: DataFrame, stems: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, path: str | None = None, common: int = COMMON, classes: int = CLASSES, part_rows: int = PART_ROWS) -> Index:
     """Builds all tables and stores them below the path (or in the session's scratch folder)."""
     spark = docs.sparkSession
-    path = path or f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    path = qualified(spark, path or f"{scratch(spark)}/index-{uuid.uuid4().hex}")
     doc_buckets = write_documents(docs, path)
     n, avgdl = write_statistics(spark, [path], path)
     bounds = class_bounds(spark.read.parquet(f"{path}/doc_stats"), classes)
     buckets = write_postings(spark, path, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/doc_stats"), bounds, avgdl, common, part_rows)
-    write_collection(spark, path, n, avgdl, bounds, [(path, buckets, doc_buckets, avgdl)])
+    write_collection(spark, path, n, avgdl, bounds, [(OWN, buckets, doc_buckets, avgdl)])
     return load_index(spark, path)
 
 
@@ -255,7 +258,7 @@ def extend_index(index: Index, docs: DataFrame, path: str | None = None, common:
     they hang on the whole collection. Searches find the same as in one build of all documents. A docid that is
     there already is an error. The segments before stay where they are and are read from there."""
     spark = index.spark
-    path = path or f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    path = qualified(spark, path or f"{scratch(spark)}/index-{uuid.uuid4().hex}")
     if not docs.select("docid").join(index.doc_stats.select("docid"), "docid", "left_semi").isEmpty():
         raise ValueError("a document with this docid is in the index")
     doc_buckets = write_documents(docs, path)
@@ -265,7 +268,7 @@ def extend_index(index: Index, docs: DataFrame, path: str | None = None, common:
     stats = spark.read.parquet(f"{path}/doc_stats").join(spark.read.parquet(f"{path}/docs").select("docid"), "docid", "left_semi")
     bounds = index.collection.first().bounds
     buckets = write_postings(spark, path, own, stats, bounds, avgdl, common, part_rows)
-    write_collection(spark, path, n, avgdl, bounds, [*((s.path, s.buckets, s.doc_buckets, s.avgdl) for s in before), (path, buckets, doc_buckets, avgdl)])
+    write_collection(spark, path, n, avgdl, bounds, [*((s.path, s.buckets, s.doc_buckets, s.avgdl) for s in before), (OWN, buckets, doc_buckets, avgdl)])
     return load_index(spark, path)
 
 

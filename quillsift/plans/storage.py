@@ -64,6 +64,12 @@ def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int, *order
     return spark.table(table)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system and folder named: tables of a session would look for others in the warehouse."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
