@@ -375,3 +375,39 @@ def test_an_index_may_be_moved(tables, queries, spark, tmp_path):
     want = found(rank.bm25(made, queries))
     shutil.move(tmp_path / "one", tmp_path / "two")
     assert want and found(rank.bm25(load_index(spark, f"file://{tmp_path}/two"), queries)) == want
+
+
+def test_large_collections_go_in_rounds(tables, index, queries, spark, monkeypatch, tmp_path):
+    """A share of the documents is shuffled at a time, with the same tables, whether words are broadcast or not; no
+    shuffle files stay behind."""
+    from quillsift.operators import index as module
+    from quillsift.plans import storage
+
+    monkeypatch.setattr(module, "ROUND_CHARS", 100_000)
+    monkeypatch.setattr(module, "ROUND_ROWS", 10_000)
+    monkeypatch.setattr(rank, "ROUND_ROWS", 10_000)
+    rows = lambda t: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect())
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(storage, "MOST_BROADCAST", most)
+        path = tmp_path / f"most{most}"
+        cut = build_index(tables, str(path), common=100, classes=8, part_rows=64)
+        files = list((path / "postings").glob("*.parquet"))
+        assert len(files) > cut.segments[0].buckets  # a file for each bucket and round
+        for name in ("terms", "doc_stats", "postings", "blocks", "title_postings"):
+            assert rows(getattr(cut, name)) == rows(getattr(index, name)), name
+        want = sorted(rank.sdm_evidence(cut, queries).collect())
+        rank.near_pairs(cut, common=100)
+        assert len(list((path / rank.BIGRAMS).glob("*.parquet"))) > 1 and sorted(rank.sdm_evidence(cut, queries).collect()) == want
+    assert spark.conf.get(storage.CLEANUP) == "false"
+
+
+def test_only_evidence_needs_near_pairs(spark):
+    """Counts of near pairs are many times the collection: an index that grew has none before evidence asks for them."""
+    from quillsift.plans import queries as registered
+
+    path = "/root/testdata/sf0.001"
+    registered.grown_search_bm25(spark, path).collect()
+    grown = registered.grown(spark, path)
+    assert not grown.has(rank.BIGRAMS)
+    registered.grown_sdm_evidence(spark, path).collect()
+    assert grown.has(rank.BIGRAMS)
