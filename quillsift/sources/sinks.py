@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.operators.index import Index
@@ -23,23 +23,64 @@ def head(index: Index, kind: str, form: str) -> DataFrame:
     return index.spark.createDataFrame([("", i, x) for i, x in enumerate(lines)], "term string, line int, value string")
 
 
-#: Postings that one line of a dump holds at most, without and with positions.
-LINE_POSTINGS, LINE_POSITIONAL = 1_000_000, 20_000
+#: Postings that one line of a dump holds, about, without and with positions; most pieces in which long terms are sorted.
+LINE_POSTINGS, LINE_POSITIONAL, MOST_PIECES = 1_000_000, 20_000, 2000
 
 
-def dump_lines(index: Index, positional: bool = False) -> DataFrame:
-    """term, line, value: the text of a dump but for its head, a value for each term. A term of more documents
-    than a line may hold goes on in further lines: it is dealt to them by a hash of the documents, and each
-    is sorted."""
-    lines = F.ceil(F.col("df") / (LINE_POSITIONAL if positional else LINE_POSTINGS)).cast("int")
-    dealt = index.postings.join(index.terms.withColumn("lines", lines), "term").withColumn("line", F.when(F.col("lines") > 1, F.pmod(F.xxhash64("docid"), "lines")).otherwise(0).cast("int"))
+def pieces(index: Index, positional: bool) -> tuple[DataFrame, DataFrame | None]:
+    """term, df, piece, said: the text of a term's postings, for terms that go into one line, and for the others, if
+    there are any. The latter's postings are dealt by ranges of term and document, so a term's pieces follow each
+    other and none holds more than a range does."""
     posting = F.concat(F.lit("("), F.col("docid").cast("string"), F.lit(","), F.col("tf").cast("string"), *([F.lit(",["), F.array_join(F.col("positions").cast("array<string>"), ", "), F.lit("])")] if positional else [F.lit(")")]))
-    per = dealt.groupBy("term", "df", "lines", "line").agg(F.sort_array(F.collect_list(F.struct("docid", posting.alias("said")))).alias("all"))
+    lines = F.ceil(F.col("df") / (LINE_POSITIONAL if positional else LINE_POSTINGS)).cast("int")
+    terms = index.terms.withColumn("lines", lines)
+
+    def said(rows: DataFrame) -> DataFrame:
+        per = rows.groupBy("term", "df", "piece").agg(F.sort_array(F.collect_list(F.struct("docid", posting.alias("said")))).alias("all"))
+        return per.select("term", "df", "piece", F.array_join("all.said", between(positional)).alias("said"))
+
+    short = said(index.postings.join(terms.where("lines = 1"), "term").withColumn("piece", F.lit(0)))
+    n = terms.where("lines > 1").agg(F.sum("lines")).first()[0]
+    if not n:
+        return short, None
+    ranges = index.postings.join(terms.where("lines > 1"), "term").repartitionByRange(min(n, MOST_PIECES), "term", "docid")
+    return short, said(ranges.withColumn("piece", F.spark_partition_id()))
+
+
+def between(positional: bool) -> str:
+    return ",\n     " if positional else ", "
+
+
+def opening(positional: bool) -> Column:
     start = F.concat(F.expr("rpad(term, greatest(15, length(term)), ' ')"), F.lit(" df="), F.expr("rpad(cast(df AS string), greatest(4, length(cast(df AS string))), ' ')"))
-    joined = F.array_join(F.col("all.said"), ",\n     " if positional else ", ")
-    opened = F.when(F.col("line") == 0, F.concat(start, F.lit(" ->\n    [" if positional else " -> ["))).otherwise(F.lit("     "))
-    closed = F.when(F.col("line") == F.col("lines") - 1, F.lit("]\n" if positional else "]")).otherwise(F.lit(","))
-    return per.select("term", "line", F.concat(opened, joined, closed).alias("value"))
+    return F.concat(start, F.lit(" ->\n    [" if positional else " -> ["))
+
+
+def closing(positional: bool) -> Column:
+    return F.lit("]\n" if positional else "]")
+
+
+def dump_values(index: Index, positional: bool = False) -> DataFrame:
+    """term, value: the text of a dump but for its head, one value for each term however many documents it has."""
+    short, long_ = pieces(index, positional)
+    if long_ is not None:
+        whole = long_.groupBy("term", "df").agg(F.sort_array(F.collect_list(F.struct("piece", "said"))).alias("all"))
+        short = short.select("term", "df", "said").unionByName(whole.select("term", "df", F.array_join("all.said", between(positional)).alias("said")))
+    return short.select("term", F.concat(opening(positional), F.col("said"), closing(positional)).alias("value"))
+
+
+def dump_lines(index: Index, positional: bool = False) -> DataFrame:
+    """term, line, value: the same as lines of a file. A term of more documents than a line may hold goes on in
+    further lines, in order of the documents over all of them."""
+    short, long_ = pieces(index, positional)
+    out = short.select("term", F.lit(0).alias("line"), F.concat(opening(positional), F.col("said"), closing(positional)).alias("value"))
+    if long_ is None:
+        return out
+    order = Window.partitionBy("term").orderBy("piece")
+    numbered = long_.withColumn("line", F.row_number().over(order) - 1).withColumn("last", F.lead("piece").over(order).isNull())
+    opened = F.when(F.col("line") == 0, opening(positional)).otherwise(F.lit("     "))
+    closed = F.when(F.col("last"), closing(positional)).otherwise(F.lit(","))
+    return out.unionByName(numbered.select("term", "line", F.concat(opened, F.col("said"), closed).alias("value")))
 
 
 def dump_index(index: Index, path: str, positional: bool = False) -> None:

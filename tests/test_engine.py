@@ -174,6 +174,18 @@ def test_long_dumps(engine, monkeypatch):
         assert all(text.count(f"({d},") == 1 for d in ("D2", "D3", "D4", "D5", "D7"))
 
 
+def test_long_dumps_are_one_value(engine, monkeypatch):
+    """Dumps as a table hold one value a term, documents in order, also where a file has further lines for it."""
+    want = [sorted(sinks.dump_values(engine.index, p).collect()) for p in (False, True)]
+    monkeypatch.setattr(sinks, "LINE_POSTINGS", 2)
+    monkeypatch.setattr(sinks, "LINE_POSITIONAL", 2)
+    for positional_ in (False, True):
+        assert sorted(sinks.dump_values(engine.index, positional_).collect()) == want[positional_]
+        lines = [r.value for r in sinks.dump_lines(engine.index, positional_).where("term = 'all'").orderBy("line").collect()]
+        value = next(r.value for r in want[positional_] if r.term == "all")
+        assert len(lines) > 1 and "\n".join(lines).split() == value.split()
+
+
 def test_dump_entry(spark, tmp_path):
     from quillsift import cli
 
