@@ -411,3 +411,17 @@ def test_only_evidence_needs_near_pairs(spark):
     assert not grown.has(rank.BIGRAMS)
     registered.grown_sdm_evidence(spark, path).collect()
     assert grown.has(rank.BIGRAMS)
+
+
+def test_documents_rows_go_when_postings_are_there(tables, grown, queries, spark, tmp_path):
+    """An index keeps no second copy of its postings, nor the words that it was built with; what grows of it and what is
+    saved of that have what they need."""
+    first = build_index(tables.where("docid % 2 = 0"), str(tmp_path / "first"), common=100, classes=8, part_rows=64)
+    both = extend_index(first, tables.where("docid % 2 = 1"), str(tmp_path / "both"), common=100, part_rows=64)
+    saved = both.save(str(tmp_path / "saved"))
+    for name in ("first", "both", "saved"):
+        assert {p.name for p in (tmp_path / name).iterdir()} == {"docs", "postings", "blocks", "title_postings", "terms", "doc_stats", "collection"}, name
+    rows = lambda t: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect())
+    for i in (both, saved):
+        assert rows(i.doc_stats) == rows(grown.doc_stats) and rows(i.terms) == rows(grown.terms)
+        assert found(rank.bm25(i, queries)) == found(rank.bm25(grown, queries))
