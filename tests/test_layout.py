@@ -425,3 +425,12 @@ def test_documents_rows_go_when_postings_are_there(tables, grown, queries, spark
     for i in (both, saved):
         assert rows(i.doc_stats) == rows(grown.doc_stats) and rows(i.terms) == rows(grown.terms)
         assert found(rank.bm25(i, queries)) == found(rank.bm25(grown, queries))
+
+
+def test_shares_of_documents_chosen_by_a_hash(spark):
+    """Documents that came in two lots by a hash of docid go in as many rounds as any others."""
+    from quillsift.operators.index import shares
+
+    lot = spark.range(2000).select(F.col("id").alias("docid")).where(F.pmod(F.xxhash64("docid"), F.lit(2)) == 1)
+    counts = [s.count() for s in shares(lot, 8)]
+    assert sum(counts) == lot.count() and min(counts) > 60

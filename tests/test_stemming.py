@@ -82,3 +82,18 @@ def test_engines(spark):
     con = duckdb.connect()
     con.register("src", pd.DataFrame({"raw": words}))
     assert dict(con.sql("WITH " + stem_ctes("src", "stems") + " SELECT raw, term FROM stems").fetchall()) == got
+
+
+def test_words_beyond_the_frequent_are_stemmed_where_they_stand(spark):
+    """The same stems whether all, some or no words are in the table that is broadcast, without a shuffle."""
+    from quillsift.functions.stemming import with_stems
+
+    made = "relational hopping hoping skies ties sky by is a feed agreed plastered motoring sing controll roll probate rate cease ee yyy yy".split()
+    words = spark.createDataFrame([(i, w) for i, w in enumerate(made * 2)], "i int, raw string")
+    every = stems_of(words)
+    want = sorted((r.i, r.raw, r.term) for r in words.join(every, "raw").collect())
+    assert len(want) == 2 * len(made)
+    for known, whole in ((every, True), (every.where("length(raw) > 4"), False), (every.where("false"), False)):
+        found = with_stems(words, spark.createDataFrame(known.collect(), every.schema), whole)
+        assert sorted((r.i, r.raw, r.term) for r in found.select("i", "raw", "term").collect()) == want
+        assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
