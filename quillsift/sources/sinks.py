@@ -39,11 +39,11 @@ def pieces(index: Index, positional: bool) -> tuple[DataFrame, DataFrame | None]
         per = rows.groupBy("term", "df", "piece").agg(F.sort_array(F.collect_list(F.struct("docid", posting.alias("said")))).alias("all"))
         return per.select("term", "df", "piece", F.array_join("all.said", between(positional)).alias("said"))
 
-    short = said(index.postings.join(terms.where("lines = 1"), "term").withColumn("piece", F.lit(0)))
+    short = said(index.entries.join(terms.where("lines = 1"), "term").withColumn("piece", F.lit(0)))
     n = terms.where("lines > 1").agg(F.sum("lines")).first()[0]
     if not n:
         return short, None
-    ranges = index.postings.join(terms.where("lines > 1"), "term").repartitionByRange(min(n, MOST_PIECES), "term", "docid")
+    ranges = index.entries.join(terms.where("lines > 1"), "term").repartitionByRange(min(n, MOST_PIECES), "term", "docid")
     return short, said(ranges.withColumn("piece", F.spark_partition_id()))
 
 

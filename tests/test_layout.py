@@ -434,3 +434,37 @@ def test_shares_of_documents_chosen_by_a_hash(spark):
     lot = spark.range(2000).select(F.col("id").alias("docid")).where(F.pmod(F.xxhash64("docid"), F.lit(2)) == 1)
     counts = [s.count() for s in shares(lot, 8)]
     assert sum(counts) == lot.count() and min(counts) > 60
+
+
+def test_postings_hold_nothing_of_their_documents(tables, index, spark, tmp_path):
+    """A document's length and norm are stored once: repeated in each posting they were as large as the postings in
+    files of very many documents. Postings have them when asked."""
+    path = str(tmp_path / "index")
+    some = build_index(tables, path, common=100, classes=8, part_rows=64)
+    assert spark.read.parquet(f"{path}/postings").columns == ["slot", "term", "part", "docid", "tf", "positions"]
+    dl, tf = {}, {}
+    for d, _, title, text in DOCS:
+        words = [w for w in re.findall("[a-z0-9]+", f"{title}. {text}".lower()) if w not in STOPWORDS]
+        dl[d], tf[d] = len(words), {}
+        for w in words:
+            tf[d][w] = tf[d].get(w, 0) + 1
+    norm = {d: math.sqrt(sum((1 + math.log10(n)) ** 2 for n in of.values())) for d, of in tf.items()}
+    rows = some.postings.select("docid", "term", "tf", "dl", "lnc").where("docid % 50 = 0").collect()
+    assert len(rows) == sum(len(of) for d, of in tf.items() if d % 50 == 0)
+    assert all(r.dl == dl[r.docid] and abs(r.lnc - (1 + math.log10(r.tf)) / norm[r.docid]) < 1e-12 for r in rows)
+    assert "lnc" not in some.entries.columns and some.with_docs(some.entries, "docid", "tf") is some.entries
+
+
+def test_words_are_stemmed_only_where_unknown(spark):
+    """Of a vocabulary too large to be broadcast: the steps are one expression behind the known stems, as columns they
+    were computed for every word."""
+    from quillsift.functions.stemming import stems_of, with_stems
+
+    words = [f"{a}{b}{c}" for a in ("relat", "hopp", "fil", "tr", "control", "conflat", "agre", "y", "sky", "a") for b in ("", "ion", "al", "iz", "at", "ful", "l") for c in ("", "s", "ed", "ing", "eed", "ies", "y", "e", "ness", "ly")]
+    raw = spark.createDataFrame([(w,) for w in [*words, "is", "a1", "2000"]], "raw string").distinct()
+    want = sorted(stems_of(raw).collect())
+    for some in (0, 50):
+        got = with_stems(raw, spark.createDataFrame(want[:some], "raw string, term string"), False)
+        assert sorted(got.select("raw", "term").collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS cut" not in plan and "AS w#" not in plan
