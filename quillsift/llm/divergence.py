@@ -21,8 +21,8 @@ Part ``term``: the kept terms that a group has more often than its language, by
 language, down to rank TERM_RANKS. Columns are ranked first; of a column only its TERM_RANKS smallest terms
 can be among them.
 
-Words are counted in the tasks that read the documents, then by partial aggregates over (language, source,
-term), so no key of a hot source or a common word gathers rows. Every occurring group is there, even without
+Words are counted in the tasks that read the documents, so a common word has a row for each source in what a task holds
+at a time; these are dealt once, by language and term, so no hot source gathers rows. Every occurring group is there, even without
 terms, and a language without kept terms has pairs with value 0. Null language, source and text count as
 ''. Repeated rows count again; texts of any length are read whole, in slices. One source alone has no pairs.
 An empty table gives an empty result. Only text, lang and source are read.
@@ -32,8 +32,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,45 +45,56 @@ from quillsift.llm.runtime import dropped, steady, stored
 LEAST_DOCS, SCALE, TERM_RANKS = 3, 1_000_000_000, 200
 #: Bytes of terms, a space for all others. So many counts are held before they are handed on.
 PLAIN = bytes(b if b >= 0x80 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
-HELD, SLICE = 200_000, 4 << 20
+HELD, SLICE = 400_000, 4 << 20
 WHOLE = "decimal(38,0)"
 
 
-def terms_of(text: str | None) -> Counter:
-    """How often each term (as bytes) is in a text."""
-    plain, out, at = textcore.raw(text).translate(PLAIN), Counter(), 0
+def slices_of(text: bytes) -> Iterator[list[bytes]]:
+    """All terms of a text, one slice's at a time."""
+    plain, at = text.translate(PLAIN), 0
     while at < len(plain):
         end = plain.find(b" ", at + SLICE)
         end = len(plain) if end < 0 else end
-        out.update(plain[at:end].split())
+        yield plain[at:end].split()
         at = end
-    return out
+
+
+def terms_of(text: str | None) -> Counter:
+    """How often each term (as bytes) is in a text."""
+    return Counter(chain.from_iterable(slices_of(textcore.raw(text))))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, df: occurrences of each term in a group's documents, and how many hold it."""
+    """lang, source, term, n, df: occurrences of each term in some of a group's documents, and how many of these hold it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-        def told() -> pd.DataFrame:
-            rows = [(lang, source, t.decode("utf-8", "surrogatepass"), n, df[t]) for (lang, source), (tf, df) in held.items() for t, n in tf.items()]
+        def told() -> pa.RecordBatch:
+            counts, sizes = list(held.values()), [len(tf) for tf, _ in held.values()]
+            rows = sum(sizes)
+            of_groups = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            names = [pa.DictionaryArray.from_arrays(of_groups, pa.array(c, pa.string())).cast(pa.string()) for c in zip(*held, strict=True)]
+            terms = pa.array(list(chain.from_iterable(tf for tf, _ in counts)), pa.binary()).cast(pa.string())
+            n = np.fromiter(chain.from_iterable(tf.values() for tf, _ in counts), np.int64, rows)
+            df = np.fromiter(chain.from_iterable(map(df.__getitem__, tf) for tf, df in counts), np.int64, rows)
             held.clear()
-            return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "df"])
+            return pa.RecordBatch.from_arrays([*names, terms, pa.array(n), pa.array(df)], ["lang", "source", "term", "n", "df"])
 
         for b in batches:
-            for lang, source, text in zip(b.lang, b.source, b.text, strict=True):
-                found = terms_of(text)
+            for lang, source, text in zip(b["lang"].to_pylist(), b["source"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
                 tf, df = held.setdefault((lang, source), (Counter(), Counter()))
-                tf.update(found)
-                df.update(found.keys())
+                seen: set[bytes] = set()
+                for terms in slices_of(text):  # of lists and sets, counts are made without a step of Python for each
+                    tf.update(terms)
+                    seen.update(terms)
+                df.update(seen)
             if sum(len(tf) for tf, _ in held.values()) >= HELD:
                 yield told()
         if held:
             yield told()
 
-    counted = docs.mapInPandas(run, "lang string, source string, term string, n long, df long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return docs.mapInArrow(run, "lang string, source string, term string, n long, df long")
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -96,9 +109,12 @@ def diverges(p: Column, q: Column) -> Column:
 
 
 def columns_of(docs: DataFrame) -> DataFrame:
-    """lang, term, column: the kept terms with their counts by source (array of source, n), stored."""
-    per = term_counts(docs).groupBy("lang", "term").agg(F.sum("df").alias("df"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("column"))  # no more than a language has sources
-    return stored(per.where(F.col("df") >= LEAST_DOCS).drop("df"), "columns")
+    """lang, term, column: the kept terms with their counts by source (array of source, n). The tasks that read the
+    documents have counted already; one shuffle by language and term serves both sums."""
+    dealt = term_counts(docs).repartition("lang", "term")
+    of_groups = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    per = of_groups.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("column"))  # no more than a language has sources
+    return per.where(F.col("df") >= LEAST_DOCS).drop("df")
 
 
 def pair_values(groups: DataFrame, entries: DataFrame) -> DataFrame:
@@ -138,7 +154,7 @@ def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank."""
     steady(docs.sparkSession)
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    held = columns_of(docs)
+    held = stored(columns_of(docs), "columns")
     ids = stored(held.groupBy("lang", "column").agg(F.count("*").alias("times")).withColumn("id", F.monotonically_increasing_id()), "distinct_columns")
     each = ids.select("id", "lang", "times", F.aggregate("column", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("all"), F.explode("column").alias("at")).select("id", "lang", "times", "all", "at.source", "at.n")
     totals = stored(each.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("times")).alias("total")), "totals")

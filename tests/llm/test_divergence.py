@@ -93,3 +93,19 @@ def test_slices(monkeypatch):
     whole = divergence.terms_of(text)
     monkeypatch.setattr(divergence, "SLICE", 7)
     assert divergence.terms_of(text) == whole and whole[b"cd"] == 50
+
+
+def test_terms_are_shuffled_once(docs):
+    """Counts of groups and columns of terms come from one shuffle: a second one moved all groups' terms again."""
+    some = docs.selectExpr("coalesce(text, '') text", "coalesce(lang, '') lang", "coalesce(source, '') source")
+    plan = divergence.columns_of(some)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_document_counts_once_over_slices_and_batches(spark, monkeypatch):
+    """A term in several slices of a document is in one document; what a task hands on early is added up."""
+    assert len(list(divergence.slices_of(b"Ab cd, ef " * 900_000))) == 3
+    monkeypatch.setattr(divergence, "HELD", 2)
+    some = [("Ab cd, ef " * 900_000, "en", "a"), ("ab x", "en", "b"), ("ab cd x é", "en", "a"), ("cd x é É", "en", "c")]
+    got = divergence.audit(spark.createDataFrame(some, "text string, lang string, source string").repartition(2))
+    assert rows(COLUMNS, got.select(COLUMNS).collect()) == rows(COLUMNS, plain(some))
