@@ -497,3 +497,47 @@ def test_frequencies_are_added_up_share_by_share(tables, index, spark, monkeypat
         assert not (tmp_path / name / "counted").exists()
     assert sorted(built.terms.collect()) == sorted(index.terms.collect())
     assert built.terms.schema == index.terms.schema
+
+
+ODD = ["", None, "   ", "The \u212aelvin \u0130stanbul caf\u00e9s x-ray running\nRUNNERS 007 a", "\U0001f642relational\u00e9hoping hopping\x00skies", "the of and", "ties " * 300, "y" * 500 + " Zed"]
+
+
+def texts_by_words(module, docs, monkeypatch, path):
+    from quillsift.functions import text
+
+    with monkeypatch.context() as m:
+        m.setattr(text, "SLICE", 0)
+        return module.build_index(docs, path)
+
+
+def test_ordinary_texts_have_no_row_for_each_word(spark, monkeypatch, tmp_path):
+    """They become rows by document in batches; long ones, and texts with one docid, word by word, with the same rows."""
+    from quillsift.operators import index as module
+
+    docs = spark.createDataFrame([(i, "Cat s", None if i % 3 else "a Title", t) for i, t in enumerate(ODD)], FIELDS)
+    want = texts_by_words(module, docs, monkeypatch, str(tmp_path / "words"))
+    rows = lambda t: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect())
+    with monkeypatch.context() as m:
+        m.setattr(module, "document_rows", None)
+        got = build_index(docs, str(tmp_path / "batches"))
+    for name in ("postings", "title_postings", "terms", "doc_stats"):
+        assert rows(getattr(got, name)) == rows(getattr(want, name)) and getattr(got, name).schema == getattr(want, name).schema, name
+    assert {r.term for r in got.terms.collect()} >= {"elvin", "stanbul", "caf", "relat", "hope", "hop", "run", "runner", "007", "ti"}
+
+
+def test_texts_with_one_docid_have_one_row_for_each_term(spark):
+    docs = spark.createDataFrame([(1, "c", "", "alpha beta"), (1, "c", "", "alpha"), (2, "c", "", "beta"), (None, "c", "", "beta beta")], FIELDS)
+    assert sorted((r.docid or 0, r.term, r.tf) for r in build_index(docs).entries.collect()) == [(0, "beta", 2), (1, "alpha", 2), (1, "beta", 1), (2, "beta", 1)]
+
+
+def test_length_classes_by_halves(spark):
+    """31 comparisons for each posting, several times in a stage, were more code than the JVM compiles."""
+    from bisect import bisect_left
+
+    from quillsift.operators.index import length_class
+
+    for bounds in ([], [3], [1, 4, 9], sorted(random.Random(3).sample(range(500), 31))):
+        rows = spark.range(510).select("id", length_class(F.col("id"), bounds).alias("c"))
+        assert [r.c for r in rows.orderBy("id").collect()] == [bisect_left(bounds, i) for i in range(510)]
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(">") == len(bounds)

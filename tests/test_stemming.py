@@ -97,3 +97,13 @@ def test_words_beyond_the_frequent_are_stemmed_where_they_stand(spark):
         found = with_stems(words, spark.createDataFrame(known.collect(), every.schema), whole)
         assert sorted((r.i, r.raw, r.term) for r in found.select("i", "raw", "term").collect()) == want
         assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_word():
+    """The steps in Python, for words that never are a column."""
+    from quillsift.functions.stemming import stem
+
+    r = random.Random(6)
+    ends = [s for s, _ in STEP2 + STEP3] + STEP4 + ["ion", "sion", "tion", "ed", "ing", "eed", "s", "sses", "ies", "y", "yy", "e", "ll", ""]
+    made = {"".join(r.choice("aeyytlsbwz1") for _ in range(r.randint(1, 5))) + r.choice(ends) + r.choice(["", "", "s", "ed", "ing", "e"]) for _ in range(20000)} | set(KNOWN)
+    assert {w: stem(w) for w in made} == {w: plain(w) for w in made}
